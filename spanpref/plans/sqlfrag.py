@@ -150,3 +150,142 @@ def _noisy_pred_text(ms: int) -> str:
         f"WHEN {fmt} < 0.97 THEN replace({js}, '\"', '&quot;') "
         f"ELSE left({js}, floor(length({js}) * 0.8)::BIGINT) END)"
     )
+
+
+# ---------------------------------------------------------------------------
+# parse / repair (twin of spanpref.functions.jsonish)
+# ---------------------------------------------------------------------------
+ANN_T = "STRUCT(code VARCHAR, sub_code VARCHAR, span VARCHAR)[]"
+REPAIR_RE = r'\{\s*"Code"\s*:\s*"[^"]*"\s*,\s*"Sub-code"\s*:\s*"[^"]*"\s*,\s*"Span"\s*:\s*"[^"]*"\s*\}'
+FIX_RE = r'\{\s*"Code"\s*:\s*"[^"]+"\s*,\s*"Sub-code"\s*:\s*"[^"]+"\s*,\s*"Span"\s*:\s*"[^"]+"\s*\}'
+VALID_FORMAT_RE = (
+    r'^\{\s*"results"\s*:\s*\[(\s*\{\s*"Code"\s*:\s*' + "'[^']+'" + r'\s*,\s*"Sub-code"\s*:\s*' + "'[^']+'"
+    + r'\s*,\s*"Span"\s*:\s*' + "'[^']+'" + r'\s*\}\s*,?)*\s*\]\s*\}$'
+)
+
+
+def _items(json_list: str) -> str:
+    return (
+        f"list_filter(list_transform({json_list}, lambda x: {{'code': json_extract_string(x, '$.Code'), "
+        "'sub_code': json_extract_string(x, '$.\"Sub-code\"'), 'span': json_extract_string(x, '$.Span')}), "
+        "lambda a: a.code IS NOT NULL OR a.sub_code IS NOT NULL OR a.span IS NOT NULL)"
+    )
+
+
+def unescape(t: str) -> str:
+    chain = t
+    for a, b in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        chain = f"replace({chain}, {q(a)}, {q(b)})"
+    return f"(CASE WHEN contains({t}, '&') THEN {chain} ELSE {t} END)"
+
+
+def parse_cols(t: str, p: str) -> str:
+    """Select-list adding ``{p}_strict, {p}_mode, {p}_bad_shape, {p}_results`` (uses a lateral alias)."""
+    strict = f"coalesce(json_valid({t}), false)"
+    strict_items = (
+        f"(CASE WHEN {strict} AND json_type({t}, '$.results') = 'ARRAY' "
+        f"THEN {_items(f'json_extract({t}, {q(chr(36) + '.results[*]')})')} END)"
+    )
+    fixed = f"replace(replace({unescape(t)}, '''', '\"'), '\\', '\\\\')"
+    rep = _items(f"list_filter(regexp_extract_all({fixed}, {q(REPAIR_RE)}), lambda m: json_valid(m))")
+    return (
+        f"{strict} AS {p}_strict, {strict_items} AS {p}_si, CASE WHEN {strict} THEN NULL ELSE {rep} END AS {p}_ri, "
+        f"CASE WHEN {p}_strict THEN 'strict' WHEN len({p}_ri) > 0 THEN 'repaired' ELSE 'empty' END AS {p}_mode, "
+        f"({p}_strict AND {p}_si IS NULL) AS {p}_bad_shape, "
+        f"CASE WHEN {p}_strict THEN coalesce({p}_si, []::{ANN_T}) ELSE coalesce({p}_ri, []::{ANN_T}) END AS {p}_results"
+    )
+
+
+def eval_ctes(source: str = "conversations") -> str:
+    """Fixture + parsed evaluation table ``ev(model, ex_id, pred_text, answer, gold_*, pred_*)``."""
+    return (
+        fixture_ctes(source)
+        + f""",
+ev_g AS (SELECT ex_id, answer, query, {parse_cols('answer', 'gold')} FROM fx_ex),
+ev_p AS (SELECT model, ex_id, pred_text, {parse_cols('pred_text', 'pred')} FROM fx_pred),
+ev AS (SELECT p.model, p.ex_id, p.pred_text, g.answer, g.query, g.gold_mode, g.gold_bad_shape, g.gold_results,
+              p.pred_mode, p.pred_bad_shape, p.pred_results
+       FROM ev_p p JOIN ev_g g ON p.ex_id = g.ex_id)"""
+    )
+
+
+def canon_set(results: str, field: str, kind: str) -> str:
+    return f"list_distinct(list_filter(list_transform({results}, lambda a: {canon('a.' + field, kind)}), lambda x: x IS NOT NULL))"
+
+
+def exact_set(results: str, field: str, kind: str) -> str:
+    voc = str_list(vocab.CODE_SET if kind == "code" else vocab.SUB_CODE_SET)
+    return f"list_distinct(list_filter(list_transform({results}, lambda a: a.{field}), lambda x: list_contains({voc}, x)))"
+
+
+def minus(a: str, b: str) -> str:
+    return f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
+
+
+def word_set(s: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({s}), '[\\s\\x1c-\\x1f]+'), lambda w: w <> ''))"
+
+
+def labsets_cte(src: str = "ev") -> str:
+    return f"""ls AS (SELECT *,
+   {canon_set('gold_results', 'code', 'code')} AS true_codes, {canon_set('pred_results', 'code', 'code')} AS pred_codes,
+   {canon_set('gold_results', 'sub_code', 'sub_code')} AS true_subcodes, {canon_set('pred_results', 'sub_code', 'sub_code')} AS pred_subcodes
+ FROM {src})"""
+
+
+def edges_sql(tcol: str, pcol: str, include_none: bool) -> str:
+    fn, fp = minus(tcol, pcol), minus(pcol, tcol)
+    if include_none:
+        none = f"[{q(vocab.NONE_TOKEN)}]"
+        fn2 = f"CASE WHEN len({fn}) = 0 AND len({fp}) > 0 THEN {none} ELSE {fn} END"
+        fp2 = f"CASE WHEN len({fp}) = 0 AND len({fn}) > 0 THEN {none} ELSE {fp} END"
+        fn, fp = fn2, fp2
+    return f"""SELECT model, ground_truth, predicted, count(*)::BIGINT AS count FROM (
+  SELECT model, ground_truth, unnest(fp) AS predicted FROM (
+    SELECT model, unnest(fn) AS ground_truth, fp FROM (SELECT model, {fn} AS fn, {fp} AS fp FROM ls)))
+GROUP BY ALL"""
+
+
+def span_tp_sql(tws: str, pws: str, thr: float = 0.6) -> str:
+    match = (
+        f"(list_has_all(p, {tws}[j + 1]) OR list_has_all({tws}[j + 1], p) OR "
+        f"(len(list_distinct(list_concat(p, {tws}[j + 1]))) > 0 AND "
+        f"len(list_intersect(p, {tws}[j + 1])) / len(list_distinct(list_concat(p, {tws}[j + 1]))) >= {thr}))"
+    )
+    first = f"list_filter(st.rem, lambda j: {match})[1]"
+    step = (
+        f"lambda st, p: {{'rem': CASE WHEN {first} IS NULL THEN st.rem ELSE list_filter(st.rem, lambda r: r <> {first}) END, "
+        f"'tp': st.tp + CASE WHEN {first} IS NULL THEN 0 ELSE 1 END}}"
+    )
+    init = f"{{'rem': range(len({tws})), 'tp': 0}}"
+    return f"list_reduce({pws}, {step}, {init}).tp"
+
+
+def counts_cte(src: str = "ev") -> str:
+    cols = []
+    for kind in ("code", "sub_code"):
+        t = exact_set("gold_results", kind, kind)
+        p = exact_set("pred_results", kind, kind)
+        cols.append(
+            f"len(list_intersect({t}, {p}))::BIGINT AS {kind}_tp, len({minus(p, t)})::BIGINT AS {kind}_fp, "
+            f"len({minus(t, p)})::BIGINT AS {kind}_fn"
+        )
+    tws = f"list_transform(list_filter(list_transform(gold_results, lambda a: a.span), lambda s: s IS NOT NULL), lambda s: {word_set('s')})"
+    pws = f"list_transform(list_filter(list_transform(pred_results, lambda a: a.span), lambda s: s IS NOT NULL), lambda s: {word_set('s')})"
+    return f"""ec0 AS (SELECT *, {", ".join(cols)}, {tws} AS tws, {pws} AS pws FROM {src}),
+ec AS (SELECT *, {span_tp_sql('tws', 'pws')}::BIGINT AS span_tp FROM ec0),
+cnt AS (SELECT *, len(pws) - span_tp AS span_fp, len(tws) - span_tp AS span_fn FROM ec)"""
+
+
+def prf_sql(tp: str, fp: str, fn: str) -> str:
+    return (
+        f"coalesce({tp}::DOUBLE / nullif({tp} + {fp}, 0), 0.0) AS p, coalesce({tp}::DOUBLE / nullif({tp} + {fn}, 0), 0.0) AS r, "
+        f"coalesce((2 * {tp})::DOUBLE / nullif(2 * {tp} + {fp} + {fn}, 0), 0.0) AS f1"
+    )
+
+
+def conf_table_cte() -> str:
+    return f"""conf AS (
+  SELECT model, 'code' AS kind, ground_truth AS gt, predicted AS pred, count AS cnt FROM ({edges_sql('true_codes', 'pred_codes', False)})
+  UNION ALL
+  SELECT model, 'sub_code' AS kind, ground_truth AS gt, predicted AS pred, count AS cnt FROM ({edges_sql('true_subcodes', 'pred_subcodes', False)}))"""

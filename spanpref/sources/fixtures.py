@@ -87,19 +87,25 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
     b = b.withColumn("words", _letters_words(F.col("text")))
     nw = F.size("words")
     n = F.floor(u("n") * 4).cast("int")
+    # stage 1: the draws of each annotation, computed once
+    b = b.withColumn(
+        "gold_draws",
+        F.transform(
+            _range(n),
+            lambda k: F.struct(
+                F.floor(u("pair", k) * 36).cast("int").alias("pair"),
+                (F.floor(u("s", k) * F.greatest(nw - 5, F.lit(1))) + 1).cast("int").alias("start"),
+                (F.floor(u("l", k) * 5) + 1).cast("int").alias("len"),
+            ),
+        ),
+    )
+    # stage 2: labels and spans from the draws
     gold = F.transform(
-        _range(n),
-        lambda k: F.struct(
-            F.get(pairs, F.floor(u("pair", k) * 36).cast("int"))["code"].alias("code"),
-            F.get(pairs, F.floor(u("pair", k) * 36).cast("int"))["sub_code"].alias("sub_code"),
-            F.array_join(
-                F.slice(
-                    F.col("words"),
-                    (F.floor(u("s", k) * F.greatest(nw - 5, F.lit(1))) + 1).cast("int"),
-                    (F.floor(u("l", k) * 5) + 1).cast("int"),
-                ),
-                " ",
-            ).alias("span"),
+        F.col("gold_draws"),
+        lambda d: F.struct(
+            F.get(pairs, d["pair"])["code"].alias("code"),
+            F.get(pairs, d["pair"])["sub_code"].alias("sub_code"),
+            F.array_join(F.slice(F.col("words"), d["start"], d["len"]), " ").alias("span"),
         ),
     )
     b = b.withColumn("gold", gold)
@@ -116,6 +122,7 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
         F.lit("\nCurrent sentence: "), _flat(F.col("text")),
         F.lit("\nNext sentence: "), _flat(F.col("next_text")),
     )
+    b = b.withColumn("gold", F.col("gold"))
     return b.select(
         (F.col("grp") * F.col("stride") + F.col("seq")).alias("ex_id"),
         "grp",
@@ -127,8 +134,13 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
     )
 
 
-def _noisy_annotations(model_seed: int) -> Column:
-    """Per gold annotation: keep / other sub-code / other code / drop / shorter span; plus extras."""
+def _noisy_annotations(df: DataFrame, model_seed: int) -> DataFrame:
+    """Add ``pred_annots``: per gold annotation keep / other sub-code / other code /
+    drop / shorter span, with label case noise, plus an occasional extra annotation.
+
+    Built in stages (draws first, then labels) so every draw and lookup is
+    computed once per annotation instead of once per use.
+    """
 
     def u(*k):
         return draw(model_seed, F.col("grp"), F.col("seq"), *k)
@@ -136,52 +148,63 @@ def _noisy_annotations(model_seed: int) -> Column:
     codes = vocab.code_vocab_array()
     pairs = vocab.hierarchy_pairs_array()
 
-    def one(a, k):
-        fate = u("fate", k)
+    def stage1(a, k):
+        ci = F.array_position(codes, a["code"]).cast("int") - 1
         alt = u("alt", k)
-        subs = vocab.valid_subs(a["code"])
+        new_code = F.get(codes, ((ci + 1 + F.floor(alt * 7)) % 8).cast("int"))
+        return F.struct(
+            a["code"].alias("code"),
+            a["sub_code"].alias("sub_code"),
+            a["span"].alias("span"),
+            u("fate", k).alias("fate"),
+            alt.alias("alt"),
+            u("alt2", k).alias("alt2"),
+            (u("case", k) < 0.10).alias("noisy"),
+            vocab.valid_subs(a["code"]).alias("subs"),
+            new_code.alias("new_code"),
+            vocab.valid_subs(new_code).alias("new_subs"),
+        )
+
+    def stage2(d):
+        fate, subs, nsubs = d["fate"], d["subs"], d["new_subs"]
         ns = F.size(subs)
-        old = F.array_position(subs, a["sub_code"]).cast("int") - 1
+        old = F.array_position(subs, d["sub_code"]).cast("int") - 1
         other_sub = F.when(
-            ns > 1, F.get(subs, ((old + 1 + F.floor(alt * (ns - 1))) % ns).cast("int"))
-        ).otherwise(a["sub_code"])
-        ci = F.array_position(codes, a["code"]).cast("int") - 1
-        new_code = F.get(codes, ((ci + 1 + F.floor(alt * 7)) % 8).cast("int"))
-        nsubs = vocab.valid_subs(new_code)
-        new_sub = F.when(F.array_contains(nsubs, a["sub_code"]), a["sub_code"]).otherwise(
-            F.get(nsubs, F.floor(u("alt2", k) * F.size(nsubs)).cast("int"))
+            ns > 1, F.get(subs, ((old + 1 + F.floor(d["alt"] * (ns - 1))) % ns).cast("int"))
+        ).otherwise(d["sub_code"])
+        new_sub = F.when(F.array_contains(nsubs, d["sub_code"]), d["sub_code"]).otherwise(
+            F.get(nsubs, F.floor(d["alt2"] * F.size(nsubs)).cast("int"))
         )
-        sw = F.split(a["span"], " ")
+        sw = F.split(d["span"], " ")
         short = F.array_join(F.slice(sw, F.lit(2), F.greatest(F.size(sw) - 1, F.lit(0))), " ")
-        code = F.when((fate >= 0.70) & (fate < 0.85), new_code).otherwise(a["code"])
-        sub = (
-            F.when((fate >= 0.55) & (fate < 0.70), other_sub)
-            .when((fate >= 0.70) & (fate < 0.85), new_sub)
-            .otherwise(a["sub_code"])
-        )
-        span = F.when(fate >= 0.95, short).otherwise(a["span"])
-        noisy = u("case", k) < 0.10
+        recode = (fate >= 0.70) & (fate < 0.85)
         return F.struct(
             (~((fate >= 0.85) & (fate < 0.95))).alias("keep"),
-            F.when(noisy, F.concat(F.lit(" "), F.lower(code), F.lit("  "))).otherwise(code).alias("code"),
-            F.when(noisy, F.upper(sub)).otherwise(sub).alias("sub_code"),
-            span.alias("span"),
+            d["noisy"].alias("noisy"),
+            F.when(recode, d["new_code"]).otherwise(d["code"]).alias("code"),
+            F.when((fate >= 0.55) & (fate < 0.70), other_sub).when(recode, new_sub).otherwise(d["sub_code"]).alias("sub_code"),
+            F.when(fate >= 0.95, short).otherwise(d["span"]).alias("span"),
         )
 
-    kept = F.transform(
-        F.filter(F.transform(F.col("gold"), one), lambda a: a["keep"]),
-        lambda a: F.struct(a["code"].alias("code"), a["sub_code"].alias("sub_code"), a["span"].alias("span")),
-    )
-    xp = F.get(pairs, F.floor(u("xp") * 36).cast("int"))
+    def stage3(a):
+        return F.struct(
+            F.when(a["noisy"], F.concat(F.lit(" "), F.lower(a["code"]), F.lit("  "))).otherwise(a["code"]).alias("code"),
+            F.when(a["noisy"], F.upper(a["sub_code"])).otherwise(a["sub_code"]).alias("sub_code"),
+            a["span"].alias("span"),
+        )
+
+    df = df.withColumn("_d1", F.transform(F.col("gold"), stage1))
+    df = df.withColumn("_d2", F.filter(F.transform(F.col("_d1"), stage2), lambda a: a["keep"]))
+    df = df.withColumn("_kept", F.transform(F.col("_d2"), stage3))
+    df = df.withColumn("_xp", F.get(pairs, F.floor(u("xp") * 36).cast("int")))
+    df = df.withColumn("_xs", (F.floor(u("xs") * F.greatest(F.size("words") - 3, F.lit(1))) + 1).cast("int"))
     extra = F.struct(
-        xp["code"].alias("code"),
-        xp["sub_code"].alias("sub_code"),
-        F.array_join(
-            F.slice(F.col("words"), (F.floor(u("xs") * F.greatest(F.size("words") - 3, F.lit(1))) + 1).cast("int"), F.lit(2)),
-            " ",
-        ).alias("span"),
+        F.col("_xp.code").alias("code"),
+        F.col("_xp.sub_code").alias("sub_code"),
+        F.array_join(F.slice(F.col("words"), F.col("_xs"), F.lit(2)), " ").alias("span"),
     )
-    return F.when(u("x") < 0.12, F.concat(kept, F.array(extra))).otherwise(kept)
+    df = df.withColumn("pred_annots", F.when(u("x") < 0.12, F.concat("_kept", F.array(extra))).otherwise(F.col("_kept")))
+    return df.drop("_d1", "_d2", "_kept", "_xp", "_xs")
 
 
 def _format_noise(json_text: Column, fmt: Column) -> Column:
@@ -203,13 +226,10 @@ def predictions(ex: DataFrame, models=MODELS) -> DataFrame:
     """
     out = None
     for name, mseed in models:
-        m = ex.select(
-            F.lit(name).alias("model"),
-            "ex_id",
-            _format_noise(_answer_text(_noisy_annotations(mseed)), draw(mseed, F.col("grp"), F.col("seq"), "fmt")).alias(
-                "pred_text"
-            ),
-        )
+        m = _noisy_annotations(ex.select("ex_id", "grp", "seq", "gold", "words"), mseed)
+        m = m.withColumn("pred_json", _answer_text(F.col("pred_annots")))
+        m = m.withColumn("fmt", draw(mseed, F.col("grp"), F.col("seq"), "fmt"))
+        m = m.select(F.lit(name).alias("model"), "ex_id", _format_noise(F.col("pred_json"), F.col("fmt")).alias("pred_text"))
         out = m if out is None else out.unionByName(m)
     return out
 
