@@ -32,3 +32,13 @@ def draw(*parts) -> Column:
 def pick_index(u: Column, n: Column) -> Column:
     """Uniform index in [0, n) (0-based); NULL when n = 0."""
     return F.when(n > 0, F.floor(u * n).cast("int"))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(bound)``.
+
+    ``get(transform(array(value), body), 0)``: the optimizer never inlines a
+    lambda variable, so a value used many times in ``body`` is computed once
+    and the plan stays linear even when filters are pushed through it.
+    """
+    return F.get(F.transform(F.array(value), body), 0)

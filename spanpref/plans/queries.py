@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanpref.functions import jsonish, labels, text, vocab
-from spanpref.operators import confusion, metrics
+from spanpref.operators import confusion, metrics, negatives, pairs
 from spanpref.operators.evaluation_input import evaluation_table
 from spanpref.sources import fixtures
 from spanpref.sources.tables import read_table
@@ -162,6 +162,72 @@ def q_prediction_dump(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- preference data
+PARAMS = negatives.GeneratorParams(seed=42, negatives_per_sample=2)
+
+
+def preference_build(spark, sf_dir, params=PARAMS, source="conversations"):
+    """Mined confusion -> per-model dimensions -> negatives -> pairs (one job graph)."""
+    ex, pr = fixture(spark, sf_dir, source)
+    conf = confusion.confusion_table(confusion.with_label_sets(evaluation_table(ex, pr)))
+    dims = negatives.confusion_dims(conf)
+    gold, quarantine = negatives.parse_gold(ex)
+    neg = negatives.generate_negatives(gold, dims, params=params)
+    return pairs.assemble_pairs(neg, params), ex, quarantine
+
+
+def q_preference_pairs(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return pairs.drop_identical(p).select(
+        "model", "pair_id", "ex_id", "neg_idx", "strategy", "prompt", "chosen", "rejected",
+        F.col("num_chosen").cast("bigint").alias("num_chosen"), F.col("num_rejected").cast("bigint").alias("num_rejected"),
+    )
+
+
+def q_pair_metadata(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return p.select("model", "pair_id", "metadata")
+
+
+def q_negatives_long(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return p.select(
+        "model", "pair_id", "strategy", F.posexplode_outer("rejected_annotations").alias("pos", "a")
+    ).where(F.col("pos").isNotNull()).select(
+        "model", "pair_id", "strategy", F.col("pos").cast("bigint").alias("pos"),
+        F.col("a.code").alias("code"), F.col("a.sub_code").alias("sub_code"), F.col("a.span").alias("span"),
+    )
+
+
+def q_strategy_distribution(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return pairs.strategy_distribution(p).select("model", "strategy", "count", F.round("pct", R).alias("pct"))
+
+
+def q_pair_diff_counts(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    d = pairs.pair_diff_counts(p)
+    return d.select("model", "pair_id", "strategy", *[F.col(c).cast("bigint").alias(c) for c in ("n_added", "n_removed", "n_code_changes", "n_sub_code_changes")])
+
+
+def q_identical_filter_report(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    r = pairs.identical_filter_report(p)
+    return r.select("model", "total", "removed", "kept", "identical_sets", F.round("removed_pct", R).alias("removed_pct"), F.round("kept_pct", R).alias("kept_pct"))
+
+
+def q_pairs_preview(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    v = pairs.preview(p, 3)
+    return v.select("model", F.col("sample").cast("bigint").alias("sample"), "pair_id", "strategy", "to_pat_yn", "current_sentence",
+                    *[F.col(c).cast("bigint").alias(c) for c in ("num_chosen", "num_rejected", "n_added", "n_removed", "n_code_changes", "n_sub_code_changes")])
+
+
+def q_run_config(spark, sf_dir):
+    p, ex, qn = preference_build(spark, sf_dir)
+    return pairs.run_config(p, ex, qn, PARAMS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_status": q_parse_status,
     "format_flags": q_format_flags,
@@ -180,4 +246,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_report_by_model": q_eval_report_by_model,
     "per_example_metrics": q_per_example_metrics,
     "prediction_dump": q_prediction_dump,
+    "preference_pairs": q_preference_pairs,
+    "pair_metadata": q_pair_metadata,
+    "negatives_long": q_negatives_long,
+    "strategy_distribution": q_strategy_distribution,
+    "pair_diff_counts": q_pair_diff_counts,
+    "identical_filter_report": q_identical_filter_report,
+    "pairs_preview": q_pairs_preview,
+    "run_config": q_run_config,
 }
