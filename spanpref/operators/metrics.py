@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanpref.functions import labels, text
+from spanpref.functions.draws import let
 
 LEVELS = ("code", "sub_code", "span")
 
@@ -26,16 +27,25 @@ def greedy_span_tp(true_ws: Column, pred_ws: Column, threshold: float = 0.6) ->
     Jaccard >= threshold).  The fold keeps the greedy order, which a join +
     ``row_number`` formulation would not.
     """
-    init = F.struct(_range(F.size(true_ws)).alias("rem"), F.lit(0).alias("tp"))
 
-    def step(st, p):
-        j = F.get(F.filter(st["rem"], lambda i: text.spans_match(F.get(true_ws, i), p, threshold)), 0)
-        return F.struct(
-            F.when(j.isNull(), st["rem"]).otherwise(F.array_remove(st["rem"], j)).alias("rem"),
-            (st["tp"] + F.when(j.isNull(), F.lit(0)).otherwise(F.lit(1))).alias("tp"),
-        )
+    def fold(b):
+        tws, pws = b["t"], b["p"]
+        init = F.struct(_range(F.size(tws)).alias("rem"), F.lit(0).alias("tp"))
 
-    return F.aggregate(pred_ws, init, step, lambda st: st["tp"])
+        def step(st, p):
+            j = F.get(F.filter(st["rem"], lambda i: text.spans_match(F.get(tws, i), p, threshold)), 0)
+            return let(
+                j,
+                lambda jj: F.struct(
+                    F.when(jj.isNull(), st["rem"]).otherwise(F.array_remove(st["rem"], jj)).alias("rem"),
+                    (st["tp"] + F.when(jj.isNull(), F.lit(0)).otherwise(F.lit(1))).alias("tp"),
+                ),
+            )
+
+        return F.aggregate(pws, init, step, lambda st: st["tp"])
+
+    # bind both arrays once: they are read inside the fold
+    return let(F.struct(true_ws.alias("t"), pred_ws.alias("p")), fold)
 
 
 def with_example_counts(df: DataFrame, jaccard_threshold: float = 0.6, canonicalize: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanpref.functions import jsonish, labels, text, vocab
-from spanpref.operators import confusion, metrics, negatives, pairs
+from spanpref.operators import confusion, loss, metrics, negatives, pairs, tokens
 from spanpref.operators.evaluation_input import evaluation_table
 from spanpref.sources import fixtures
 from spanpref.sources.tables import read_table
@@ -228,6 +228,62 @@ def q_run_config(spark, sf_dir):
     return pairs.run_config(p, ex, qn, PARAMS)
 
 
+# ---------------------------------------------------------------- tokens and loss
+TOKEN_PARAMS = tokens.TokenParams(batch_size=4)
+LOSS_PARAMS = loss.LossParams(batch_size=4)
+
+
+def token_sides(spark, sf_dir, source="conversations"):
+    p, _, _ = preference_build(spark, sf_dir, source=source)
+    return tokens.token_sides(pairs.drop_identical(p), TOKEN_PARAMS)
+
+
+def q_token_weights(spark, sf_dir):
+    t = token_sides(spark, sf_dir)
+    out = None
+    for side in ("chosen", "rejected"):
+        lab, w = F.col(f"{side}_labels"), F.col(f"{side}_weights")
+        s = t.select(
+            "model", "pair_id", F.lit(side).alias("side"),
+            F.size(f"{side}_ids").cast("bigint").alias("n_tokens"),
+            F.col(f"{side}_start").cast("bigint").alias("answer_start"),
+            F.size(F.filter(lab, lambda x: x != tokens.IGNORE)).cast("bigint").alias("n_supervised"),
+            F.size(F.filter(w, lambda x: x > 1.0)).cast("bigint").alias("n_upweighted"),
+            F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 4).alias("weight_sum"),
+        )
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def q_padded_batches(spark, sf_dir):
+    b = tokens.pad_batches(token_sides(spark, sf_dir), TOKEN_PARAMS)
+    pad = F.size(F.filter("chosen_attention_mask", lambda x: x == 0)) + F.size(F.filter("rejected_attention_mask", lambda x: x == 0))
+    return b.groupBy("model", "batch").agg(
+        F.max("max_len").cast("bigint").alias("max_len"),
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.sum(pad).cast("bigint").alias("n_padding"),
+    )
+
+
+def sequence_table(spark, sf_dir):
+    return loss.sequence_logps(loss.token_logps_from_sides(token_sides(spark, sf_dir)), LOSS_PARAMS)
+
+
+def q_sequence_logp(spark, sf_dir):
+    s = sequence_table(spark, sf_dir)
+    return s.select(
+        "model", "pair_id", *[F.round(c, R).alias(c) for c in ("pi_c", "pi_r", "ref_c", "ref_r", "barrier")],
+        "chosen_tokens", "rejected_tokens", "gate_tokens",
+    )
+
+
+def q_preference_loss_metrics(spark, sf_dir):
+    m = loss.batch_metrics(loss.pair_losses(sequence_table(spark, sf_dir), LOSS_PARAMS), LOSS_PARAMS)
+    cols = ("loss", "loss_preference", "loss_barrier", "policy_prob_chosen", "barrier_active_pct", "pref_p_pref",
+            "logits_mean", "logits_max", "logits_min")
+    return m.select("model", "batch", "n_pairs", *[F.round(c, R).alias(c) for c in cols])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_status": q_parse_status,
     "format_flags": q_format_flags,
@@ -254,4 +310,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "identical_filter_report": q_identical_filter_report,
     "pairs_preview": q_pairs_preview,
     "run_config": q_run_config,
+    "token_weights": q_token_weights,
+    "padded_batches": q_padded_batches,
+    "sequence_logp": q_sequence_logp,
+    "preference_loss_metrics": q_preference_loss_metrics,
 }
