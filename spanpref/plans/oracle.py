@@ -112,6 +112,86 @@ def prediction_dump():
     return _with(S.eval_ctes(), S.labsets_cte()) + f"SELECT model, ex_id, {cols}, pred_text AS raw_pred_text FROM ls"
 
 
+def _pref_with():
+    from spanpref.operators.negatives import SECOND_CONFUSION_GATE
+    from spanpref.plans.queries import PARAMS
+
+    return _with(
+        S.eval_ctes(), S.labsets_cte(), S.conf_table_cte(),
+        S.negatives_ctes(PARAMS.seed, PARAMS.negatives_per_sample, PARAMS.strategies, PARAMS.max_attempts, SECOND_CONFUSION_GATE),
+        S.pairs_cte(PARAMS.negatives_per_sample),
+    )
+
+
+def preference_pairs():
+    return _pref_with() + """SELECT model, pair_id, ex_id, neg_idx, strategy, prompt, chosen, rejected,
+  num_chosen::BIGINT AS num_chosen, num_rejected::BIGINT AS num_rejected FROM pairs WHERE chosen <> rejected"""
+
+
+def negatives_long():
+    return _pref_with() + """SELECT model, pair_id, strategy, pos::BIGINT AS pos, a.code AS code, a.sub_code AS sub_code, a.span AS span
+FROM (SELECT model, pair_id, strategy, unnest(rejected_annotations) AS a, unnest(range(len(rejected_annotations))) AS pos FROM pairs)"""
+
+
+def strategy_distribution():
+    return _pref_with() + f"""SELECT s.model, s.strategy, s.count, round(coalesce(100.0 * s.count / nullif(e.emitted, 0), 0.0), {R}) AS pct
+FROM (SELECT model, strategy, count(*)::BIGINT AS count FROM pairs GROUP BY ALL) s
+LEFT JOIN (SELECT model, count(*) AS emitted FROM pairs WHERE chosen <> rejected GROUP BY model) e USING (model)"""
+
+
+def _diff_cols():
+    return """len(list_distinct(list_filter(rejected_annotations, lambda x: NOT list_contains(gold, x))))::BIGINT AS n_added,
+  len(list_distinct(list_filter(gold, lambda x: NOT list_contains(rejected_annotations, x))))::BIGINT AS n_removed,
+  coalesce(list_sum(list_transform(gold, lambda a: len(list_filter(rejected_annotations, lambda b: b.span = a.span AND b.code <> a.code)))), 0)::BIGINT AS n_code_changes,
+  coalesce(list_sum(list_transform(gold, lambda a: len(list_filter(rejected_annotations, lambda b: b.span = a.span AND b.code = a.code AND b.sub_code <> a.sub_code)))), 0)::BIGINT AS n_sub_code_changes"""
+
+
+def pair_diff_counts():
+    return _pref_with() + f"SELECT model, pair_id, strategy, {_diff_cols()} FROM pairs"
+
+
+def identical_filter_report():
+    return _pref_with() + f"""SELECT model, total, removed, kept, identical_sets,
+  round(coalesce(100.0 * removed / nullif(total, 0), 0.0), {R}) AS removed_pct, round(coalesce(100.0 * kept / nullif(total, 0), 0.0), {R}) AS kept_pct
+FROM (SELECT model, count(*)::BIGINT AS total, count(*) FILTER (WHERE chosen = rejected)::BIGINT AS removed,
+             count(*) FILTER (WHERE chosen <> rejected)::BIGINT AS kept,
+             count(*) FILTER (WHERE {S.identical_sql('gold', 'rejected_annotations')})::BIGINT AS identical_sets
+      FROM pairs GROUP BY model)"""
+
+
+def pairs_preview():
+    first = f"list_filter(string_split(prompt, chr(10)), lambda l: starts_with(l, {q(MARKERS['current'])}))[1]"
+    return _pref_with() + f"""SELECT model, sample, pair_id, strategy,
+  coalesce(CASE WHEN contains(prompt, 'TO_PAT_YN: Y') THEN 'Y' WHEN contains(prompt, 'TO_PAT_YN: N') THEN 'N' END, 'N/A') AS to_pat_yn,
+  left(coalesce(trim(replace({first}, {q(MARKERS['current'])}, '')), 'N/A'), 100) AS current_sentence,
+  num_chosen::BIGINT AS num_chosen, num_rejected::BIGINT AS num_rejected, {_diff_cols()}
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY pair_id)::BIGINT AS sample FROM pairs) WHERE sample <= 3"""
+
+
+def run_config():
+    import json
+
+    from spanpref.operators.pairs import VERSION
+    from spanpref.plans.queries import PARAMS
+
+    strategies = json.dumps({s: w / 100 for s, w in PARAMS.strategies})
+    return _pref_with() + f"""SELECT model, {PARAMS.seed}::BIGINT AS seed, {PARAMS.negatives_per_sample}::BIGINT AS negatives_per_sample,
+  count(*)::BIGINT AS total_pairs, (SELECT count(*) FROM fx_ex)::BIGINT AS original_samples,
+  (SELECT count(*) FROM pg WHERE NOT (gold_strict AND gold_si IS NOT NULL))::BIGINT AS skipped_invalid,
+  {q(strategies)} AS strategies, {q(VERSION)} AS version
+FROM pairs WHERE chosen <> rejected GROUP BY model"""
+
+
+def pair_metadata():
+    ctx = []
+    for name, marker in MARKERS.items():
+        last = f"list_filter(string_split(prompt, chr(10)), lambda l: starts_with(l, {q(marker)}))[-1]"
+        ctx.append(f"'{name}': trim(replace({last}, {q(marker)}, ''))")
+    yn = "CASE WHEN contains(prompt, 'TO_PAT_YN: Y') THEN 'Y' WHEN contains(prompt, 'TO_PAT_YN: N') THEN 'N' END"
+    return _pref_with() + f"""SELECT model, pair_id, to_json({{'strategy': strategy, 'context': {{'TO_PAT_YN': {yn}, {", ".join(ctx)}}},
+  'num_chosen': num_chosen, 'num_rejected': num_rejected}})::VARCHAR AS metadata FROM pairs"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "parse_status": parse_status(),
@@ -131,4 +211,12 @@ def oracle_sql() -> dict[str, str]:
         "eval_report_by_model": eval_report_by_model(),
         "per_example_metrics": per_example_metrics(),
         "prediction_dump": prediction_dump(),
+        "preference_pairs": preference_pairs(),
+        "pair_metadata": pair_metadata(),
+        "negatives_long": negatives_long(),
+        "strategy_distribution": strategy_distribution(),
+        "pair_diff_counts": pair_diff_counts(),
+        "identical_filter_report": identical_filter_report(),
+        "pairs_preview": pairs_preview(),
+        "run_config": run_config(),
     }

@@ -289,3 +289,254 @@ def conf_table_cte() -> str:
   SELECT model, 'code' AS kind, ground_truth AS gt, predicted AS pred, count AS cnt FROM ({edges_sql('true_codes', 'pred_codes', False)})
   UNION ALL
   SELECT model, 'sub_code' AS kind, ground_truth AS gt, predicted AS pred, count AS cnt FROM ({edges_sql('true_subcodes', 'pred_subcodes', False)}))"""
+
+
+# ---------------------------------------------------------------------------
+# negative generation (twin of spanpref.operators.negatives)
+# ---------------------------------------------------------------------------
+_n = [0]
+
+
+def fresh(prefix: str = "v") -> str:
+    _n[0] += 1
+    return f"{prefix}{_n[0]}"
+
+
+def let(value: str, body) -> str:
+    """``body(name)`` with ``value`` bound once (list_transform over a 1-element list)."""
+    v = fresh()
+    return f"list_transform([{value}], lambda {v}: {body(v)})[1]"
+
+
+def lookup(conf_list: str, key: str) -> str:
+    e = fresh("e")
+    return f"list_filter({conf_list}, lambda {e}: {e}.gt = {key})[1].lst"
+
+
+def is_valid(code: str, sub: str) -> str:
+    return f"coalesce(list_contains({valid_subs(code)}, {sub}), false)"
+
+
+def sum_cnt(lst: str) -> str:
+    x = fresh("c")
+    return f"coalesce(list_sum(list_transform({lst}, lambda {x}: {x}.cnt)), 0)::BIGINT"
+
+
+def pick(arr: str, u_: str) -> str:
+    return f"{arr}[floor({u_} * len({arr}))::BIGINT + 1]"
+
+
+def weighted_pick(lst: str, weight, total: str, u_: str) -> str:
+    st, x = fresh("st"), fresh("x")
+    r = f"floor({u_} * {total})"
+    w = weight(x)
+    return (
+        f"list_reduce({lst}, lambda {st}, {x}: {{'acc': {st}.acc + {w}, "
+        f"'hit': coalesce({st}.hit, CASE WHEN {st}.acc + {w} > {r} THEN {x}.pred END)}}, "
+        f"{{'acc': 0::BIGINT, 'hit': NULL::VARCHAR}}).hit"
+    )
+
+
+CONF_LIST_T = "STRUCT(pred VARCHAR, cnt BIGINT)[]"
+
+
+def replace_at(arr: str, k: str, code: str, sub: str) -> str:
+    b, j = fresh("b"), fresh("j")
+    return (
+        f"list_transform({arr}, lambda {b}, {j}: CASE WHEN {j} - 1 = {k} "
+        f"THEN {{'code': {code}, 'sub_code': {sub}, 'span': {b}.span}} ELSE {b} END)"
+    )
+
+
+def valid_conf(code: str, sub: str) -> str:
+    x = fresh("x")
+    return f"list_filter(coalesce({lookup('sub_conf', sub)}, []::{CONF_LIST_T}), lambda {x}: {is_valid(code, x + '.pred')})"
+
+
+def sub_positions(arr: str) -> str:
+    a, i, p = fresh("a"), fresh("i"), fresh("p")
+    return (
+        f"list_filter(list_transform({arr}, lambda {a}, {i}: CASE WHEN len({valid_conf(a + '.code', a + '.sub_code')}) > 0 "
+        f"THEN {i} - 1 END), lambda {p}: {p} IS NOT NULL)"
+    )
+
+
+def code_positions(arr: str) -> str:
+    a, i, p = fresh("a"), fresh("i"), fresh("p")
+    return (
+        f"list_filter(list_transform({arr}, lambda {a}, {i}: CASE WHEN coalesce(len({lookup('code_conf', a + '.code')}), 0) > 0 "
+        f"THEN {i} - 1 END), lambda {p}: {p} IS NOT NULL)"
+    )
+
+
+def g2_sql(arr: str, positions: str, u_pos: str, u_lab: str) -> str:
+    def at(k):
+        def with_a(a):
+            def with_lst(lst):
+                def with_valid(valid):
+                    stats = (
+                        f"{{'nv': len({valid})::BIGINT, 'tot': {sum_cnt(lst)}, 'rest': {sum_cnt(lst)} - {sum_cnt(valid)}}}"
+                    )
+                    return let(
+                        stats,
+                        lambda s: replace_at(
+                            arr, k, f"{a}.code",
+                            weighted_pick(valid, lambda x: f"{s}.nv * {x}.cnt + {s}.rest", f"({s}.tot * {s}.nv)", u_lab),
+                        ),
+                    )
+
+                x = fresh("x")
+                return let(f"list_filter({lst}, lambda {x}: {is_valid(a + '.code', x + '.pred')})", with_valid)
+
+            return let(f"coalesce({lookup('sub_conf', a + '.sub_code')}, []::{CONF_LIST_T})", with_lst)
+
+        return let(f"{arr}[{k} + 1]", with_a)
+
+    return f"(CASE WHEN len({positions}) > 0 THEN {let(pick(positions, u_pos), at)} END)"
+
+
+def g3_sql(arr: str, positions: str, u_pos: str, u_lab: str, u_sub: str) -> str:
+    def at(k):
+        def with_a(a):
+            def with_lst(lst):
+                def with_code(c):
+                    fb = subs_or_fallback(c)
+                    new_sub = f"(CASE WHEN {is_valid(c, a + '.sub_code')} THEN {a}.sub_code ELSE {pick(fb, u_sub)} END)"
+                    return replace_at(arr, k, c, new_sub)
+
+                return let(weighted_pick(lst, lambda x: f"{x}.cnt", sum_cnt(lst), u_lab), with_code)
+
+            return let(lookup("code_conf", f"{a}.code"), with_lst)
+
+        return let(f"{arr}[{k} + 1]", with_a)
+
+    return f"(CASE WHEN len({positions}) > 0 THEN {let(pick(positions, u_pos), at)} END)"
+
+
+def corrupt_span(span: str) -> str:
+    w = fresh("w")
+    words = f"list_filter(regexp_split_to_array({span}, '[\\s\\x1c-\\x1f]+'), lambda {w}: {w} <> '')"
+    return let(
+        words,
+        lambda ws: f"(CASE WHEN len({ws}) > 2 THEN array_to_string(list_slice({ws}, 1, floor(len({ws}) / 2)::BIGINT), ' ') "
+        f"ELSE {span} || ' extra' END)",
+    )
+
+
+def identical_sql(a: str, b: str) -> str:
+    x, y = fresh("x"), fresh("y")
+    return (
+        f"(len({a}) = len({b}) AND len(list_filter({a}, lambda {x}: NOT list_contains({b}, {x}))) = 0 "
+        f"AND len(list_filter({b}, lambda {y}: NOT list_contains({a}, {y}))) = 0)"
+    )
+
+
+def negatives_ctes(seed: int, n_neg: int, strategies, max_attempts: int, gate: float) -> str:
+    """CTEs ``neg(model, ex_id, neg_idx, query, answer, gold, rejected, strategy)`` after ``conf``."""
+    from spanpref.functions import vocab as V
+
+    def un(p):
+        return u(seed, "model", "ex_id", "neg_idx", q(p))
+
+    names = [s for s, _ in strategies]
+    wcols = ", ".join(
+        f"CASE WHEN {cond} THEN {w} ELSE 0 END AS w_{s}"
+        for (s, w), cond in zip(
+            strategies,
+            ["len(code_pos) > 0", "len(sub_pos) > 0", "(len(code_pos) > 0 OR len(sub_pos) > 0)", "len(gold) > 1", "len(bag) > 0"],
+        )
+    )
+    q10 = "((100 - total_w)::DOUBLE / 100.0)"
+    qexp = q10
+    for _ in range(max_attempts - 1):
+        qexp = f"({qexp} * {q10})"
+    r = f"floor({un('pick')} * total_w)"
+    cum = "0"
+    whens = []
+    for s in names:
+        cum = f"({cum} + w_{s})"
+        whens.append(f"WHEN w_{s} > 0 AND {cum} > {r} THEN {q(s)}")
+    drawn = (
+        f"CASE WHEN len(gold) = 0 THEN 'spurious_annotation' WHEN {un('gate')} < {qexp} THEN 'forced' "
+        + " ".join(whens) + " END"
+    )
+    g3 = g3_sql("gold", "code_pos", un("pos"), un("lab"), un("sub"))
+    g2 = g2_sql("gold", "sub_pos", un("pos"), un("lab"))
+    a_, i_ = fresh("a"), fresh("i")
+    miss = f"list_filter(gold, lambda {a_}, {i_}: ({i_} - 1) <> floor({un('miss')} * len(gold)))"
+    extra = let(
+        pick("bag", un("x1")),
+        lambda xc: f"list_append(gold, {{'code': {xc}, 'sub_code': {pick(subs_or_fallback(xc), un('x2'))}, "
+        f"'span': {corrupt_span(pick('gold', un('x3')) + '.span')}}})",
+    )
+    spurious = let(
+        f"coalesce({pick('gt_codes', un('sp1'))}, {q(V.FALLBACK_CODE)})",
+        lambda sc: f"[{{'code': {sc}, 'sub_code': CASE WHEN len(gt_codes) > 0 THEN {pick(subs_or_fallback(sc), un('sp2'))} "
+        f"ELSE {q(V.FALLBACK_SUB_CODE)} END, 'span': {q('spurious annotation')}}}]",
+    )
+    g4 = let(
+        g3,
+        lambda c1: f"(CASE WHEN {un('g4gate')} > {gate} THEN "
+        + let(sub_positions(c1), lambda p2: f"coalesce({g2_sql(c1, p2, un('pos2'), un('lab2'))}, {c1})")
+        + f" ELSE {c1} END)",
+    )
+    cand = (
+        f"(CASE WHEN drawn = 'code_confusion' THEN {g3} WHEN drawn = 'subcode_confusion' THEN {g2} "
+        f"WHEN drawn = 'code_and_subcode_confusion' THEN (CASE WHEN len(code_pos) > 0 THEN {g4} ELSE {g2} END) "
+        f"WHEN drawn = 'missing_annotation' THEN {miss} WHEN drawn = 'extra_annotation' THEN {extra} "
+        f"WHEN drawn = 'spurious_annotation' THEN {spurious} END)"
+    )
+    x_ = fresh("x")
+    fv = (
+        f"list_filter(coalesce({lookup('sub_conf', 'gold[1].sub_code')}, []::{CONF_LIST_T}), "
+        f"lambda {x_}: {is_valid('gold[1].code', x_ + '.pred')})[1].pred"
+    )
+    gen_ok = is_valid("gold[1].code", q(V.FALLBACK_SUB_CODE))
+
+    def one(c, s):
+        return f"[{{'code': {c}, 'sub_code': {s}, 'span': gold[1].span}}]"
+
+    forced_strategy = (
+        f"CASE WHEN len(gold) > 1 THEN 'forced_missing_annotation' WHEN fv IS NOT NULL THEN 'forced_subcode_change' "
+        f"WHEN {gen_ok} THEN 'forced_subcode_to_general' ELSE 'forced_code_change' END"
+    )
+    forced = (
+        f"CASE WHEN len(gold) > 1 THEN list_slice(gold, 1, len(gold) - 1) WHEN fv IS NOT NULL THEN {one('gold[1].code', 'fv')} "
+        f"WHEN {gen_ok} THEN {one('gold[1].code', q(V.FALLBACK_SUB_CODE))} "
+        f"ELSE {one(q(V.FALLBACK_CODE), q(V.FALLBACK_SUB_CODE))} END"
+    )
+    none = q(V.NONE_TOKEN)
+    return f"""cw AS (SELECT model, kind, gt, pred, cnt FROM conf WHERE gt <> pred AND cnt > 0 AND gt <> {none} AND pred <> {none}),
+dl AS (SELECT model, kind, gt, list({{'pred': pred, 'cnt': cnt}} ORDER BY cnt DESC, pred) AS lst FROM cw GROUP BY ALL),
+dm AS (SELECT model,
+         coalesce(list({{'gt': gt, 'lst': lst}}) FILTER (WHERE kind = 'sub_code'), []) AS sub_conf,
+         coalesce(list({{'gt': gt, 'lst': lst}}) FILTER (WHERE kind = 'code'), []) AS code_conf,
+         coalesce(list(gt ORDER BY gt) FILTER (WHERE kind = 'code'), []::VARCHAR[]) AS gt_codes
+       FROM dl GROUP BY model),
+db AS (SELECT model, list(pred ORDER BY gt, pred) AS bag FROM cw WHERE kind = 'code' GROUP BY model),
+dims AS (SELECT dm.*, coalesce(db.bag, []::VARCHAR[]) AS bag FROM dm LEFT JOIN db USING (model)),
+pg AS (SELECT ex_id, query, answer, {parse_cols('answer', 'gold')} FROM fx_ex),
+gv AS (SELECT ex_id, query, answer, gold_si AS gold FROM pg WHERE gold_strict AND gold_si IS NOT NULL),
+n0 AS (SELECT gv.*, dims.model, dims.sub_conf, dims.code_conf, dims.gt_codes, dims.bag FROM gv, dims),
+n1 AS (SELECT *, {sub_positions('gold')} AS sub_pos, {code_positions('gold')} AS code_pos FROM n0),
+n2 AS (SELECT *, {wcols} FROM n1),
+n3 AS (SELECT *, {" + ".join("w_" + s for s in names)} AS total_w, r.range AS neg_idx FROM n2, range({n_neg}) r),
+n4 AS (SELECT *, {drawn} AS drawn FROM n3),
+n5 AS (SELECT *, {cand}::{ANN_T} AS cand FROM n4),
+n6 AS (SELECT *, (drawn = 'forced' OR (drawn <> 'spurious_annotation' AND {identical_sql('cand', 'gold')})) AS forced_flag,
+              CASE WHEN len(gold) = 1 THEN {fv} END AS fv FROM n5),
+neg AS (SELECT model, ex_id, neg_idx, query, answer, gold,
+               CASE WHEN forced_flag THEN ({forced})::{ANN_T} ELSE cand END AS rejected,
+               CASE WHEN forced_flag THEN {forced_strategy} ELSE drawn END AS strategy FROM n6)"""
+
+
+def ann_json(arr: str) -> str:
+    a = fresh("a")
+    item = f"""'{{"Code":"' || {a}.code || '","Sub-code":"' || {a}.sub_code || '","Span":"' || {a}.span || '"}}'"""
+    return f"""('{{"results":[' || array_to_string(list_transform({arr}, lambda {a}: {item}), ',') || ']}}')"""
+
+
+def pairs_cte(n_neg: int) -> str:
+    return f"""pairs AS (SELECT model, ex_id * {n_neg} + neg_idx AS pair_id, ex_id, neg_idx, query AS prompt,
+   {ann_json('gold')} AS chosen, answer AS chosen_raw, {ann_json('rejected')} AS rejected, strategy,
+   len(gold) AS num_chosen, len(rejected) AS num_rejected, gold, rejected AS rejected_annotations FROM neg)"""
