@@ -1,0 +1 @@
+"""Structured Streaming variant of confusion mining."""

@@ -1,0 +1,36 @@
+"""Confusion mining over prediction files as they arrive.
+
+The reference is batch-only.  The same operator (parse -> canonical sets ->
+FN x FP edges -> count) runs unchanged on a file stream of predictions joined
+to the (static) gold table; the running edge counts are a stateful streaming
+aggregation whose state is bounded by |labels|^2 per model.  A static-stream
+join on ``ex_id`` needs no watermark.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanpref.operators import confusion
+from spanpref.operators.evaluation_input import parse_examples, parse_predictions
+
+PRED_SCHEMA = "model string, ex_id bigint, pred_text string"
+
+
+def stream_confusion_edges(spark: SparkSession, pred_dir: str, examples: DataFrame, kind: str = "code",
+                           fmt: str = "parquet") -> DataFrame:
+    """Streaming DataFrame of ``(model, ground_truth, predicted, count)`` (complete mode)."""
+    preds = spark.readStream.schema(PRED_SCHEMA).format(fmt).load(pred_dir)
+    g = parse_examples(examples).select("ex_id", "gold_results")
+    p = parse_predictions(preds).select("model", "ex_id", "pred_results")
+    labelled = confusion.with_label_sets(p.join(g, "ex_id"))
+    t, q = ("true_codes", "pred_codes") if kind == "code" else ("true_subcodes", "pred_subcodes")
+    return confusion.confusion_edges(labelled, t, q)
+
+
+def run_to_table(stream_df: DataFrame, name: str, checkpoint: str):
+    """Start the query into a memory table (tests) with a checkpoint for recovery."""
+    return (
+        stream_df.writeStream.outputMode("complete").format("memory").queryName(name)
+        .option("checkpointLocation", checkpoint).start()
+    )

@@ -1,0 +1,45 @@
+"""Sources, sinks, the inference hook and the streaming confusion job."""
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from spanpref.operators import confusion
+from spanpref.operators.evaluation_input import evaluation_table
+from spanpref.operators.inference import echo_gold_factory, generate_predictions
+from spanpref.plans import queries as Q
+from spanpref.sources.confusion_csv import read_confusion_csv, write_confusion_csv
+from spanpref.streaming.confusion_stream import run_to_table, stream_confusion_edges
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_confusion_csv_roundtrip(spark):
+    edges = Q.QUERIES["code_confusion_edges"](spark, SF).where(F.col("model") == "model_a").drop("model")
+    d = tempfile.mkdtemp(prefix="spanpref-test-", dir="/tmp")
+    write_confusion_csv(edges, os.path.join(d, "code"), "code")
+    back = read_confusion_csv(spark, os.path.join(d, "code"), "model_a")
+    assert sorted((r.gt, r.pred, r.cnt) for r in back.collect()) == sorted(
+        (r.ground_truth, r.predicted, r["count"]) for r in edges.collect()
+    )
+
+
+def test_inference_hook(spark):
+    ex, _ = Q.fixture(spark, SF)
+    pr = generate_predictions(ex, echo_gold_factory(), "stub")
+    ev = confusion.with_label_sets(evaluation_table(ex, pr))
+    assert ev.where(F.size("pred_codes") > 0).count() == 0
+    assert pr.count() == ex.count()
+
+
+def test_streaming_matches_batch(spark):
+    ex, pr = Q.fixture(spark, SF)
+    d = tempfile.mkdtemp(prefix="spanpref-stream-", dir="/tmp")
+    pr.write.mode("overwrite").parquet(os.path.join(d, "in"))
+    q = run_to_table(stream_confusion_edges(spark, os.path.join(d, "in"), ex), "edges_stream", os.path.join(d, "ckpt"))
+    q.processAllAvailable()
+    q.stop()
+    got = {tuple(r) for r in spark.sql("SELECT * FROM edges_stream").collect()}
+    want = {tuple(r) for r in Q.QUERIES["code_confusion_edges"](spark, SF).collect()}
+    assert got == want
