@@ -192,6 +192,58 @@ def pair_metadata():
   'num_chosen': num_chosen, 'num_rejected': num_rejected}})::VARCHAR AS metadata FROM pairs"""
 
 
+def _token_with(with_loss: bool = False):
+    import math
+
+    from spanpref.plans.queries import LOSS_PARAMS, PARAMS, TOKEN_PARAMS
+
+    ctes = [S.token_ctes(TOKEN_PARAMS)]
+    if with_loss:
+        ctes += [S.token_logp_ctes(PARAMS.seed), S.sequence_cte(math.log(LOSS_PARAMS.policy_prob_threshold))]
+    return _pref_with().rstrip() + ",\n" + ",\n".join(ctes) + "\n"
+
+
+def token_weights():
+    parts = []
+    for side, pre in (("chosen", "c"), ("rejected", "r")):
+        parts.append(
+            f"""SELECT model, pair_id, '{side}' AS side, len({pre}_ids)::BIGINT AS n_tokens, {pre}_start::BIGINT AS answer_start,
+  len(list_filter({pre}_lab, lambda x: x <> -100))::BIGINT AS n_supervised,
+  len(list_filter({pre}_w, lambda x: x > 1.0))::BIGINT AS n_upweighted,
+  round(list_reduce({pre}_w, lambda a, x: a + x, 0.0::DOUBLE), 4) AS weight_sum FROM tk"""
+        )
+    return _token_with() + "\nUNION ALL\n".join(parts)
+
+
+def padded_batches():
+    return _token_with() + """SELECT model, batch, max(ml)::BIGINT AS max_len, count(*)::BIGINT AS n_pairs,
+  sum(2 * bm - len(c_ids) - len(r_ids))::BIGINT AS n_padding
+FROM (SELECT *, greatest(len(c_ids), len(r_ids)) AS ml, max(greatest(len(c_ids), len(r_ids))) OVER (PARTITION BY model, batch) AS bm FROM tk)
+GROUP BY model, batch"""
+
+
+def sequence_logp():
+    return _token_with(True) + f"""SELECT model, pair_id, round(pi_c, {R}) AS pi_c, round(pi_r, {R}) AS pi_r, round(ref_c, {R}) AS ref_c,
+  round(ref_r, {R}) AS ref_r, round(barrier, {R}) AS barrier, chosen_tokens, rejected_tokens, gate_tokens FROM sq"""
+
+
+def preference_loss_metrics():
+    from spanpref.plans.queries import LOSS_PARAMS as P
+
+    b = P.beta
+    return _token_with(True) + f"""SELECT model, batch, n_pairs, round(loss_preference + loss_barrier, {R}) AS loss,
+  round(loss_preference, {R}) AS loss_preference, round(loss_barrier, {R}) AS loss_barrier,
+  round(policy_prob_chosen, {R}) AS policy_prob_chosen, round(barrier_active_pct, {R}) AS barrier_active_pct,
+  round(pref_p_pref, {R}) AS pref_p_pref, round(logits_mean, {R}) AS logits_mean, round(logits_max, {R}) AS logits_max,
+  round(logits_min, {R}) AS logits_min
+FROM (SELECT model, floor(pair_id / {P.batch_size})::BIGINT AS batch, count(*)::BIGINT AS n_pairs,
+        avg(greatest(-{b} * x, 0.0) + ln(1 + exp(-abs(-{b} * x)))) AS loss_preference,
+        avg(barrier) * {P.sft_barrier_weight} AS loss_barrier, avg(exp(pi_c)) AS policy_prob_chosen,
+        sum(gate_tokens) / greatest(sum(chosen_tokens)::DOUBLE, 1.0) AS barrier_active_pct,
+        avg(1.0 / (1.0 + exp(-({b} * x)))) AS pref_p_pref, avg(x) AS logits_mean, max(x) AS logits_max, min(x) AS logits_min
+      FROM (SELECT *, (pi_c - pi_r) - (ref_c - ref_r) AS x FROM sq) GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "parse_status": parse_status(),
@@ -219,4 +271,8 @@ def oracle_sql() -> dict[str, str]:
         "identical_filter_report": identical_filter_report(),
         "pairs_preview": pairs_preview(),
         "run_config": run_config(),
+        "token_weights": token_weights(),
+        "padded_batches": padded_batches(),
+        "sequence_logp": sequence_logp(),
+        "preference_loss_metrics": preference_loss_metrics(),
     }

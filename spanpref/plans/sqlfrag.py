@@ -540,3 +540,117 @@ def pairs_cte(n_neg: int) -> str:
     return f"""pairs AS (SELECT model, ex_id * {n_neg} + neg_idx AS pair_id, ex_id, neg_idx, query AS prompt,
    {ann_json('gold')} AS chosen, answer AS chosen_raw, {ann_json('rejected')} AS rejected, strategy,
    len(gold) AS num_chosen, len(rejected) AS num_rejected, gold, rejected AS rejected_annotations FROM neg)"""
+
+
+# ---------------------------------------------------------------------------
+# token table and loss (twin of spanpref.operators.tokens / loss)
+# ---------------------------------------------------------------------------
+def _chars(t: str) -> str:
+    return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, '') END)"
+
+
+def _full_text(prompt: str, answer: str, p) -> str:
+    import re as _re
+
+    parts = _re.split(r"(\{system\}|\{prompt\}|\{answer\})", p.template)
+    cols = {"{system}": q(p.system_prompt), "{prompt}": prompt, "{answer}": answer}
+    return "(" + " || ".join(cols.get(x, q(x).replace("\n", "' || chr(10) || '")) for x in parts if x != "") + ")"
+
+
+def _values(answer: str, pattern: str) -> str:
+    return f"regexp_extract_all({answer}, {q(pattern)}, 1)"
+
+
+def token_ctes(p) -> str:
+    """``tk(model, pair_id, batch, c_ids, c_lab, c_w, c_start, r_ids, r_lab, r_w, r_start)`` after ``pairs``."""
+    from spanpref.functions.jsonish import CODE_VALUE, SPAN_VALUE, SUBCODE_VALUE
+
+    prompt = f"(CASE WHEN length(prompt) <= {p.max_prompt_length} THEN prompt ELSE right(prompt, {p.max_prompt_length}) END)"
+
+    def tok(ft: str) -> str:
+        return (
+            f"list_slice(list_concat([{{'id': {p.bos_id}, 's': 0, 'e': 0}}], "
+            f"list_transform({_chars(ft)}, lambda c, i: {{'id': unicode(c)::INT, 's': (i - 1)::INT, 'e': i::INT}})), 1, {p.max_length})"
+        )
+
+    def start(ft: str, ans: str) -> str:
+        return (
+            f"(CASE WHEN instr(reverse({ft}), reverse({ans})) = 0 THEN -1 "
+            f"ELSE length({ft}) - instr(reverse({ft}), reverse({ans})) + 1 - length({ans}) END)"
+        )
+
+    def targets(pre: str) -> str:
+        parts = []
+        for pat, w in ((CODE_VALUE, p.weight_code_value), (SUBCODE_VALUE, p.weight_subcode_value), (SPAN_VALUE, p.weight_span_value)):
+            parts.append(
+                f"flatten(list_transform({_values(pre + '_ans', pat)}, lambda v: "
+                f"list_transform(list_filter(range(0, greatest(length({pre}_ans) - length(v) + 1, 0)), "
+                f"lambda i: length(v) > 0 AND substring({pre}_ans, i + 1, length(v)) = v), "
+                f"lambda i: {{'s': {pre}_start + i, 'e': {pre}_start + i + length(v), 'w': {w}::DOUBLE}})))"
+            )
+        return f"(CASE WHEN {pre}_start >= 0 THEN list_concat({parts[0]}, {parts[1]}, {parts[2]}) ELSE [] END)"
+
+    def weights(pre: str) -> str:
+        return (
+            f"list_transform({pre}_tok, lambda t, i: CASE WHEN {pre}_lab[i] = -100 THEN 0.0 "
+            f"WHEN t.s = 0 AND t.e = 0 THEN 1.0 ELSE list_reduce({pre}_tg, lambda acc, x: "
+            f"CASE WHEN t.s < x.e AND t.e > x.s THEN greatest(acc, x.w) ELSE acc END, 1.0::DOUBLE) END)"
+        )
+
+    def sup(lab: str) -> str:
+        return f"list_filter(list_transform({lab}, lambda x, i: CASE WHEN x <> -100 THEN i - 1 END), lambda i: i IS NOT NULL)"
+
+    def diff(a: str, b: str) -> str:
+        wd = p.weight_diff_tokens
+        return (
+            f"list_transform({a}_w0, lambda w, i: CASE WHEN {a}0 IS NOT NULL AND {b}0 IS NOT NULL AND i - 1 >= {a}0 "
+            f"AND i - 1 < {a}0 + dl AND {a}_lab[i] <> -100 AND {b}_lab[i - 1 - {a}0 + {b}0 + 1] <> -100 "
+            f"AND {a}_ids[i] <> {b}_ids[i - 1 - {a}0 + {b}0 + 1] THEN w * {wd} ELSE w END)"
+        )
+
+    return f"""tk0 AS (SELECT model, pair_id, {prompt} AS pr, chosen AS c_ans, rejected AS r_ans FROM pairs WHERE chosen <> rejected),
+tk1 AS (SELECT *, {_full_text('pr', 'c_ans', p)} AS c_ft, {_full_text('pr', 'r_ans', p)} AS r_ft FROM tk0),
+tk2 AS (SELECT *, {tok('c_ft')} AS c_tok, {tok('r_ft')} AS r_tok, {start('c_ft', 'c_ans')} AS c_start, {start('r_ft', 'r_ans')} AS r_start FROM tk1),
+tk3 AS (SELECT *, list_transform(c_tok, lambda t: CASE WHEN c_start < 0 OR t.s < c_start THEN -100 ELSE t.id END) AS c_lab,
+              list_transform(r_tok, lambda t: CASE WHEN r_start < 0 OR t.s < r_start THEN -100 ELSE t.id END) AS r_lab,
+              list_transform(c_tok, lambda t: t.id) AS c_ids, list_transform(r_tok, lambda t: t.id) AS r_ids FROM tk2),
+tk4 AS (SELECT *, {targets('c')} AS c_tg, {targets('r')} AS r_tg FROM tk3),
+tk5 AS (SELECT *, {weights('c')} AS c_w0, {weights('r')} AS r_w0,
+              {sup('c_lab')}[1] AS c0, {sup('r_lab')}[1] AS r0, least(len({sup('c_lab')}), len({sup('r_lab')})) AS dl FROM tk4),
+tk AS (SELECT model, pair_id, floor(pair_id / {p.batch_size})::BIGINT AS batch, c_ids, c_lab, {diff('c', 'r')} AS c_w, c_start,
+              r_ids, r_lab, {diff('r', 'c')} AS r_w, r_start FROM tk5)"""
+
+
+def token_logp_ctes(seed: int) -> str:
+    def ud(purpose, side):
+        return u(seed, q(purpose), "model", "pair_id", q(side), "pos")
+
+    parts = []
+    for side, pre in (("chosen", "c"), ("rejected", "r")):
+        parts.append(
+            f"""SELECT model, pair_id, '{side}' AS side, pos, label, weight,
+       ln(greatest({ud('policy', side)}, 1e-6)) AS policy_logp, ln(greatest({ud('reference', side)}, 1e-6)) AS ref_logp
+FROM (SELECT model, pair_id, unnest({pre}_lab) AS label, unnest({pre}_w) AS weight, unnest(range(len({pre}_lab))) AS pos FROM tk)
+WHERE pos >= 1 AND label <> -100"""
+        )
+    return "tl AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+def sequence_cte(log_tau: float) -> str:
+    tau = repr(log_tau)
+    return f"""sq0 AS (SELECT model, pair_id,
+   sum(CASE WHEN side = 'chosen' THEN policy_logp * weight END) AS c_pol, sum(CASE WHEN side = 'chosen' THEN ref_logp * weight END) AS c_ref,
+   sum(CASE WHEN side = 'chosen' THEN weight END) AS c_w, count(*) FILTER (WHERE side = 'chosen') AS c_n,
+   sum(CASE WHEN side = 'rejected' THEN policy_logp * weight END) AS r_pol, sum(CASE WHEN side = 'rejected' THEN ref_logp * weight END) AS r_ref,
+   sum(CASE WHEN side = 'rejected' THEN weight END) AS r_w, count(*) FILTER (WHERE side = 'rejected') AS r_n,
+   sum(CASE WHEN side = 'chosen' AND policy_logp < {tau} THEN -policy_logp * weight END) AS b_num,
+   sum(CASE WHEN side = 'chosen' AND policy_logp < {tau} THEN weight END) AS b_den,
+   count(*) FILTER (WHERE side = 'chosen' AND policy_logp < {tau}) AS n_gate
+ FROM tl GROUP BY model, pair_id),
+sq AS (SELECT model, pair_id,
+   coalesce(c_pol, 0.0) / greatest(coalesce(c_w, 0.0), 1e-6) AS pi_c, coalesce(r_pol, 0.0) / greatest(coalesce(r_w, 0.0), 1e-6) AS pi_r,
+   coalesce(c_ref, 0.0) / greatest(coalesce(c_w, 0.0), 1e-6) AS ref_c, coalesce(r_ref, 0.0) / greatest(coalesce(r_w, 0.0), 1e-6) AS ref_r,
+   c_n::BIGINT AS chosen_tokens, r_n::BIGINT AS rejected_tokens, n_gate::BIGINT AS gate_tokens,
+   (greatest(c_n::DOUBLE, 1.0) / greatest(coalesce(c_w, 0.0), 1e-6)) * coalesce(b_num, 0.0)
+     / greatest((greatest(c_n::DOUBLE, 1.0) / greatest(coalesce(c_w, 0.0), 1e-6)) * coalesce(b_den, 0.0), 1.0) AS barrier
+ FROM sq0)"""
