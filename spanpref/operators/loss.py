@@ -47,12 +47,18 @@ def token_logps_from_sides(sides: DataFrame, seed: int = 42) -> DataFrame:
     """
     out = None
     for side in ("chosen", "rejected"):
+        # explode only the supervised tail (prompts are long and fully masked)
+        m = F.greatest(F.col(f"{side}_m"), F.lit(1))
+        n = F.size(f"{side}_labels")
+        tail = F.arrays_zip(
+            F.slice(f"{side}_labels", m + 1, F.greatest(n - m, F.lit(0))).alias("label"),
+            F.slice(f"{side}_weights", m + 1, F.greatest(n - m, F.lit(0))).alias("weight"),
+        )
         s = sides.select(
-            "model", "pair_id", F.lit(side).alias("side"),
-            F.posexplode_outer(F.arrays_zip(F.col(f"{side}_labels").alias("label"), F.col(f"{side}_weights").alias("weight"))).alias("pos", "t"),
-        ).where((F.col("pos") >= 1) & (F.col("t.label") != IGNORE))
+            "model", "pair_id", F.lit(side).alias("side"), m.alias("m"), F.posexplode_outer(tail).alias("k", "t"),
+        ).where(F.col("k").isNotNull() & (F.col("t.label") != IGNORE))
         s = s.select(
-            "model", "pair_id", "side", F.col("pos").cast("bigint").alias("pos"),
+            "model", "pair_id", "side", (F.col("m") + F.col("k")).cast("bigint").alias("pos"),
             F.col("t.label").cast("bigint").alias("label"), F.col("t.weight").alias("weight"),
         )
         out = s if out is None else out.unionByName(s)

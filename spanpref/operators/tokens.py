@@ -221,10 +221,97 @@ def side_struct(text: Column, answer: Column, p: TokenParams, tokenizer: str = "
     return let(F.slice(tok_fn(text), 1, p.max_length), with_tok)
 
 
+def _char_side(text: Column, answer: Column, p: TokenParams) -> Column:
+    """Character-tokenizer fast path of :func:`side_struct`.
+
+    Token k (k >= 1) covers character k-1, so offsets are implicit.  The masked
+    prefix (BOS + everything before the answer) is built with ``array_repeat``;
+    per-token lambdas run only over the supervised tail.  Same result as the
+    general path (tested), a fraction of the work: prompts are long, answers short.
+    """
+
+    def with_ids(ids):
+        n = F.size(ids)
+
+        def with_start(start):
+            m = F.when(start < 0, n).otherwise(F.least(start + 1, n))
+
+            def with_m(m):
+                tail_idx = F.when(m < n, F.sequence(m, n - 1)).otherwise(F.array().cast("array<int>"))
+                targets = F.when(start >= 0, value_targets(answer, start, p)).otherwise(
+                    F.array().cast("array<struct<s:int,e:int,w:double>>")
+                )
+                w_tail = let(
+                    targets,
+                    lambda tg: F.transform(
+                        tail_idx,
+                        lambda k: F.when(k == 0, F.lit(1.0)).otherwise(
+                            F.aggregate(
+                                tg,
+                                F.lit(1.0),
+                                lambda acc, x: F.when((k - 1 < x["e"]) & (k > x["s"]), F.greatest(acc, x["w"])).otherwise(acc),
+                            )
+                        ),
+                    ),
+                )
+                return F.struct(
+                    ids.alias("ids"),
+                    F.concat(F.array_repeat(F.lit(IGNORE), m), F.slice(ids, m + 1, n - m)).alias("labels"),
+                    w_tail.alias("w_tail"),
+                    m.alias("m"),
+                    start.alias("start"),
+                )
+
+            return let(m, with_m)
+
+        return let(rfind(text, answer), with_start)
+
+    ids = F.slice(F.concat(F.array(F.lit(p.bos_id)), F.transform(chars(text), lambda c: F.ascii(c))), 1, p.max_length)
+    return let(ids, with_ids)
+
+
+def _char_finish(c: Column, r: Column, p: TokenParams) -> Column:
+    """K9 on the supervised tails (positional; all tail tokens are supervised)."""
+    use_diff = bool(p.weight_diff_tokens and p.weight_diff_tokens > 1.0)
+
+    def tail_weights(a, b):
+        if not use_diff:
+            return a["w_tail"]
+        la, lb = F.size(a["w_tail"]), F.size(b["w_tail"])
+        L = F.least(la, lb)
+        differs = F.zip_with(F.slice(a["ids"], a["m"] + 1, L), F.slice(b["ids"], b["m"] + 1, L), lambda x, y: x != y)
+        return let(
+            differs,
+            lambda d: F.transform(
+                a["w_tail"], lambda w, j: F.when(F.coalesce(F.get(d, j), F.lit(False)), w * F.lit(p.weight_diff_tokens)).otherwise(w)
+            ),
+        )
+
+    def full(a, w_tail):
+        return F.concat(F.array_repeat(F.lit(0.0), a["m"]), w_tail)
+
+    return F.struct(
+        c["ids"].alias("chosen_ids"), c["labels"].alias("chosen_labels"), full(c, tail_weights(c, r)).alias("chosen_weights"),
+        c["start"].alias("chosen_start"), c["m"].alias("chosen_m"),
+        r["ids"].alias("rejected_ids"), r["labels"].alias("rejected_labels"), full(r, tail_weights(r, c)).alias("rejected_weights"),
+        r["start"].alias("rejected_start"), r["m"].alias("rejected_m"),
+    )
+
+
 def token_sides(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str = "char") -> DataFrame:
-    """K1-K9 per pair: ids, labels and weights of both sides (unpadded, double weights)."""
+    """K1-K9 per pair: ids, labels and weights of both sides (unpadded, double
+    weights), plus ``*_m``, the index of the first supervised token."""
     prompt = truncate_prompt(F.col("prompt"), p.max_prompt_length)
     df = pairs.select("model", "pair_id", prompt.alias("_prompt"), "chosen", "rejected")
+    if tokenizer == "char":
+        df = df.select(
+            "model",
+            "pair_id",
+            _char_side(full_text(F.col("_prompt"), F.col("chosen"), p), F.col("chosen"), p).alias("c"),
+            _char_side(full_text(F.col("_prompt"), F.col("rejected"), p), F.col("rejected"), p).alias("r"),
+        )
+        df = df.select("model", "pair_id", let(F.struct("c", "r"), lambda b: _char_finish(b["c"], b["r"], p)).alias("t"))
+        return df.select("model", "pair_id", "t.*")
     df = df.select(
         "model",
         "pair_id",
@@ -237,9 +324,12 @@ def token_sides(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str
         c, r = b["c"], b["r"]
         cw = diff_weights(c["ids"], c["labels"], c["weights"], r["ids"], r["labels"], p.weight_diff_tokens) if use_diff else c["weights"]
         rw = diff_weights(r["ids"], r["labels"], r["weights"], c["ids"], c["labels"], p.weight_diff_tokens) if use_diff else r["weights"]
+        first = lambda lab: F.coalesce(F.get(_supervised_positions(lab), 0), F.size(lab))
         return F.struct(
-            c["ids"].alias("chosen_ids"), c["labels"].alias("chosen_labels"), cw.alias("chosen_weights"), c["start"].alias("chosen_start"),
-            r["ids"].alias("rejected_ids"), r["labels"].alias("rejected_labels"), rw.alias("rejected_weights"), r["start"].alias("rejected_start"),
+            c["ids"].alias("chosen_ids"), c["labels"].alias("chosen_labels"), cw.alias("chosen_weights"),
+            c["start"].alias("chosen_start"), first(c["labels"]).alias("chosen_m"),
+            r["ids"].alias("rejected_ids"), r["labels"].alias("rejected_labels"), rw.alias("rejected_weights"),
+            r["start"].alias("rejected_start"), first(r["labels"]).alias("rejected_m"),
         )
 
     df = df.select("model", "pair_id", let(F.struct("c", "r"), finish).alias("t"))
