@@ -90,9 +90,7 @@ def fixture_ctes(source: str = "conversations") -> str:
         f" || chr(10) || 'Current sentence: ' || {flat('text')}"
         f" || chr(10) || 'Next sentence: ' || {flat('next_text')}"
     )
-    preds = []
-    for name, ms in MODELS:
-        preds.append(f"SELECT {q(name)} AS model, ex_id, {_noisy_pred_text(ms)} AS pred_text FROM fx_ex")
+    models = ", ".join(f"({q(name)}, {ms})" for name, ms in MODELS)
     return f"""
 fx_sent AS ({sentences_sql(source)}),
 fx_b0 AS (
@@ -104,52 +102,66 @@ fx_b0 AS (
 fx_b1 AS (SELECT *, list_transform(range(floor({ug(q('n'))} * 4)::BIGINT), lambda k: {gold_item}) AS gold0 FROM fx_b0),
 fx_b2 AS (SELECT *, CASE WHEN {ug(q('dup'))} < 0.05 AND len(gold0) > 0 THEN list_append(gold0, gold0[1]) ELSE gold0 END AS gold FROM fx_b1),
 fx_ex AS (SELECT grp * stride + seq AS ex_id, grp, seq, {query} AS query, {answer_text('gold')} AS answer, gold, words FROM fx_b2),
-fx_pred AS ({" UNION ALL ".join(preds)})"""
+fx_m AS (SELECT * FROM (VALUES {models}) AS m(model, ms)),
+{_noisy_pred_ctes()}"""
 
 
-def _noisy_pred_text(ms: int) -> str:
+def _noisy_pred_ctes() -> str:
+    """Staged twin of ``fixtures._noisy_annotations`` + format noise (per model seed ``ms``)."""
+
     def um(*p):
-        return u(ms, "grp", "seq", *p)
+        return u("ms", "grp", "seq", *p)
 
     k = "(i - 1)"
-    fate = um(q("fate"), k)
-    alt = um(q("alt"), k)
-    subs = valid_subs("a.code")
-    old = f"(list_position({subs}, a.sub_code) - 1)"
-    other_sub = f"(CASE WHEN len({subs}) > 1 THEN {subs}[((({old} + 1 + floor({alt} * (len({subs}) - 1))::BIGINT) % len({subs})) + 1)] ELSE a.sub_code END)"
     codes = str_list(vocab.CODE_SET)
     ci = f"(list_position({codes}, a.code) - 1)"
+    alt = um(q("alt"), k)
     new_code = f"{codes}[((({ci} + 1 + floor({alt} * 7)::BIGINT) % 8) + 1)]"
-    nsubs = valid_subs(new_code)
-    new_sub = f"(CASE WHEN list_contains({nsubs}, a.sub_code) THEN a.sub_code ELSE {nsubs}[floor({um(q('alt2'), k)} * len({nsubs}))::BIGINT + 1] END)"
-    short = "array_to_string(list_slice(string_split(a.span, ' '), 2, len(string_split(a.span, ' '))), ' ')"
-    code = f"(CASE WHEN {fate} >= 0.70 AND {fate} < 0.85 THEN {new_code} ELSE a.code END)"
-    sub = (
-        f"(CASE WHEN {fate} >= 0.55 AND {fate} < 0.70 THEN {other_sub} "
-        f"WHEN {fate} >= 0.70 AND {fate} < 0.85 THEN {new_sub} ELSE a.sub_code END)"
+    d1 = (
+        f"list_transform(gold, lambda a, i: {{'code': a.code, 'sub_code': a.sub_code, 'span': a.span, "
+        f"'fate': {um(q('fate'), k)}, 'alt': {alt}, 'alt2': {um(q('alt2'), k)}, 'noisy': {um(q('case'), k)} < 0.10, "
+        f"'subs': {valid_subs('a.code')}, 'new_code': {new_code}}})"
+    )
+    subs = "d.subs"
+    old = f"(list_position({subs}, d.sub_code) - 1)"
+    other_sub = (
+        f"(CASE WHEN len({subs}) > 1 THEN {subs}[((({old} + 1 + floor(d.alt * (len({subs}) - 1))::BIGINT) % len({subs})) + 1)] "
+        "ELSE d.sub_code END)"
     )
-    span = f"(CASE WHEN {fate} >= 0.95 THEN {short} ELSE a.span END)"
-    noisy = f"({um(q('case'), k)} < 0.10)"
-    item = (
-        f"{{'keep': NOT ({fate} >= 0.85 AND {fate} < 0.95), "
-        f"'code': CASE WHEN {noisy} THEN ' ' || lower({code}) || '  ' ELSE {code} END, "
-        f"'sub_code': CASE WHEN {noisy} THEN upper({sub}) ELSE {sub} END, 'span': {span}}}"
+    new_sub = "(CASE WHEN list_contains(ns, d.sub_code) THEN d.sub_code ELSE ns[floor(d.alt2 * len(ns))::BIGINT + 1] END)"
+    short = "array_to_string(list_slice(string_split(d.span, ' '), 2, len(string_split(d.span, ' '))), ' ')"
+    recode = "(d.fate >= 0.70 AND d.fate < 0.85)"
+    d2 = (
+        f"list_transform(d1, lambda d: list_transform([{valid_subs('d.new_code')}], lambda ns: "
+        f"{{'keep': NOT (d.fate >= 0.85 AND d.fate < 0.95), 'noisy': d.noisy, "
+        f"'code': CASE WHEN {recode} THEN d.new_code ELSE d.code END, "
+        f"'sub_code': CASE WHEN d.fate >= 0.55 AND d.fate < 0.70 THEN {other_sub} WHEN {recode} THEN {new_sub} ELSE d.sub_code END, "
+        f"'span': CASE WHEN d.fate >= 0.95 THEN {short} ELSE d.span END}})[1])"
+    )
+    kept = (
+        "list_transform(list_filter(d2, lambda a: a.keep), lambda a: {'code': CASE WHEN a.noisy THEN ' ' || lower(a.code) || '  ' "
+        "ELSE a.code END, 'sub_code': CASE WHEN a.noisy THEN upper(a.sub_code) ELSE a.sub_code END, 'span': a.span})"
     )
-    kept = f"list_transform(list_filter(list_transform(gold, lambda a, i: {item}), lambda a: a.keep), lambda a: {{'code': a.code, 'sub_code': a.sub_code, 'span': a.span}})"
     pairs = pairs_list()
     xi = f"floor({um(q('xp'))} * 36)::BIGINT + 1"
     xs = f"floor({um(q('xs'))} * greatest(len(words) - 3, 1))::BIGINT"
-    extra = f"{{'code': {pairs}[{xi}].code, 'sub_code': {pairs}[{xi}].sub_code, 'span': array_to_string(list_slice(words, {xs} + 1, {xs} + 2), ' ')}}"
-    annots = f"(CASE WHEN {um(q('x'))} < 0.12 THEN list_append({kept}, {extra}) ELSE {kept} END)"
-    js = answer_text(annots)
-    fmt = um(q("fmt"))
-    return (
-        f"(CASE WHEN {fmt} < 0.70 THEN {js} WHEN {fmt} < 0.80 THEN {js} || ' done' "
-        f"WHEN {fmt} < 0.88 THEN '```json' || chr(10) || {js} || chr(10) || '```' "
-        f"WHEN {fmt} < 0.94 THEN replace({js}, '\"', '''') "
-        f"WHEN {fmt} < 0.97 THEN replace({js}, '\"', '&quot;') "
-        f"ELSE left({js}, floor(length({js}) * 0.8)::BIGINT) END)"
+    extra = (
+        f"{{'code': {pairs}[{xi}].code, 'sub_code': {pairs}[{xi}].sub_code, "
+        f"'span': array_to_string(list_slice(words, {xs} + 1, {xs} + 2), ' ')}}"
+    )
+    sq, dq = "''''", "'\"'"
+    fmt_case = (
+        "CASE WHEN fmt < 0.70 THEN js WHEN fmt < 0.80 THEN js || ' done' "
+        "WHEN fmt < 0.88 THEN '```json' || chr(10) || js || chr(10) || '```' "
+        f"WHEN fmt < 0.94 THEN replace(js, {dq}, {sq}) WHEN fmt < 0.97 THEN replace(js, {dq}, '&quot;') "
+        "ELSE left(js, floor(length(js) * 0.8)::BIGINT) END"
     )
+    return f"""fx_p1 AS (SELECT m.model, m.ms, e.ex_id, e.grp, e.seq, e.words, {d1} AS d1 FROM fx_ex e, fx_m m),
+fx_p2 AS (SELECT *, {d2} AS d2 FROM fx_p1),
+fx_p3 AS (SELECT *, {kept} AS kept FROM fx_p2),
+fx_p4 AS (SELECT *, CASE WHEN {um(q('x'))} < 0.12 THEN list_append(kept, {extra}) ELSE kept END AS annots FROM fx_p3),
+fx_p5 AS (SELECT model, ex_id, {answer_text('annots')} AS js, {um(q('fmt'))} AS fmt FROM fx_p4),
+fx_pred AS (SELECT model, ex_id, {fmt_case} AS pred_text FROM fx_p5)"""
 
 
 # ---------------------------------------------------------------------------

@@ -122,8 +122,7 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
         F.lit("\nCurrent sentence: "), _flat(F.col("text")),
         F.lit("\nNext sentence: "), _flat(F.col("next_text")),
     )
-    b = b.withColumn("gold", F.col("gold"))
-    return b.select(
+    out = b.select(
         (F.col("grp") * F.col("stride") + F.col("seq")).alias("ex_id"),
         "grp",
         "seq",
@@ -132,6 +131,12 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
         "gold",
         "words",
     )
+    # Spread the examples by id: everything downstream (parsing, negative
+    # generation, token weighting) is CPU-heavy per row, and a small or
+    # single-file source would otherwise keep it all in one task.  An explicit
+    # partition count is kept by AQE (it does not coalesce it back to one).
+    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, "ex_id")
 
 
 def _noisy_annotations(df: DataFrame, model_seed: int) -> DataFrame:
