@@ -246,7 +246,15 @@ def all_dims(dims: DataFrame) -> Column:
     query and rides along every row as a constant (no join, no shuffle of examples).
     """
     entry = F.struct(F.col("model"), F.struct("sub_conf", "code_conf", "bag", "gt_codes"))
-    return dims.select(F.map_from_entries(F.collect_list(entry))).scalar()
+    size = F.sum(
+        F.aggregate(F.map_values("sub_conf"), F.lit(0), lambda acc, x: acc + F.size(x))
+        + F.aggregate(F.map_values("code_conf"), F.lit(0), lambda acc, x: acc + F.size(x))
+    )
+    # size check inside the subquery: refuse a dimension that is not a label vocabulary
+    checked = F.when(size <= F.lit(MAX_DIM_ROWS), F.map_from_entries(F.collect_list(entry))).otherwise(
+        F.raise_error(F.lit(f"confusion dimensions exceed {MAX_DIM_ROWS} entries; labels are not a vocabulary"))
+    )
+    return dims.select(checked).scalar()
 
 
 def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | None = None,

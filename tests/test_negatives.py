@@ -130,3 +130,11 @@ def test_pairs_reports(spark, generated):
     assert abs(sum(r.pct for r in d) - 100.0) < 1e-6
     prev = P.preview(pairs, 3).collect()
     assert len(prev) == 3 and [r.sample for r in sorted(prev, key=lambda r: r.sample)] == [1, 2, 3]
+
+
+def test_dimension_size_guard(spark, monkeypatch):
+    monkeypatch.setattr(N, "MAX_DIM_ROWS", 2)
+    gold = _gold(spark, n=5)
+    neg = N.generate_negatives(gold, N.confusion_dims(_conf(spark)))
+    with pytest.raises(Exception, match="exceed"):
+        neg.collect()
