@@ -54,9 +54,9 @@ SELECT ex_id,
 FROM fx_ex"""
 
 
-def edges(kind, include_none):
+def edges(kind, include_none, source="conversations"):
     t, p = ("true_codes", "pred_codes") if kind == "code" else ("true_subcodes", "pred_subcodes")
-    return _with(S.eval_ctes(), S.labsets_cte()) + S.edges_sql(t, p, include_none)
+    return _with(S.eval_ctes(source), S.labsets_cte()) + S.edges_sql(t, p, include_none)
 
 
 def confusion_weights():
@@ -91,7 +91,7 @@ SELECT model, tp, fp, fn, round(p, {R}) AS p, round(r, {R}) AS r, round(f1, {R})
     SELECT model, sum({level}_tp)::BIGINT AS tp, sum({level}_fp)::BIGINT AS fp, sum({level}_fn)::BIGINT AS fn FROM cnt GROUP BY model))"""
 
 
-def eval_report_by_model():
+def eval_report_by_model(source="conversations"):
     parts = []
     for lv, name in (("code", "code"), ("sub_code", "sub-code"), ("span", "span")):
         parts.append(
@@ -99,7 +99,7 @@ def eval_report_by_model():
   SELECT model, {S.prf_sql('tp', 'fp', 'fn')} FROM (
     SELECT model, sum({lv}_tp) AS tp, sum({lv}_fp) AS fp, sum({lv}_fn) AS fn FROM cnt GROUP BY model))"""
         )
-    return _with(S.eval_ctes(), S.counts_cte()) + "\nUNION ALL\n".join(parts)
+    return _with(S.eval_ctes(source), S.counts_cte()) + "\nUNION ALL\n".join(parts)
 
 
 def per_example_metrics():
@@ -275,4 +275,6 @@ def oracle_sql() -> dict[str, str]:
         "padded_batches": padded_batches(),
         "sequence_logp": sequence_logp(),
         "preference_loss_metrics": preference_loss_metrics(),
+        "doc_code_confusion_edges": edges("code", False, "documents"),
+        "doc_eval_report_by_model": eval_report_by_model("documents"),
     }

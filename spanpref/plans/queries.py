@@ -284,6 +284,16 @@ def q_preference_loss_metrics(spark, sf_dir):
     return m.select("model", "batch", "n_pairs", *[F.round(c, R).alias(c) for c in cols])
 
 
+# ---------------------------------------------------------------- document-scale variants
+def q_doc_code_confusion_edges(spark, sf_dir):
+    """Confusion edges with one example per non-empty ``documents`` line (bench scale)."""
+    return confusion.confusion_edges(labelled(spark, sf_dir, source="documents"), "true_codes", "pred_codes")
+
+
+def q_doc_eval_report_by_model(spark, sf_dir):
+    return metrics.eval_report(counts(spark, sf_dir, source="documents"), digits=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_status": q_parse_status,
     "format_flags": q_format_flags,
@@ -314,4 +324,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "padded_batches": q_padded_batches,
     "sequence_logp": q_sequence_logp,
     "preference_loss_metrics": q_preference_loss_metrics,
+    "doc_code_confusion_edges": q_doc_code_confusion_edges,
+    "doc_eval_report_by_model": q_doc_eval_report_by_model,
 }

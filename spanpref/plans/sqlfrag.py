@@ -67,7 +67,7 @@ def sentences_sql(source: str = "conversations") -> str:
     return f"""SELECT doc_id AS grp, (i - 1)::BIGINT AS seq,
           CASE WHEN (i - 1) % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, line AS text, {DOC_ID_STRIDE} AS stride
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                     unnest(generate_subscripts(string_split(text, chr(10)), 1)) AS i FROM documents)
+                     unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
         WHERE trim(line) <> ''"""
 
 
