@@ -43,3 +43,19 @@ def test_streaming_matches_batch(spark):
     got = {tuple(r) for r in spark.sql("SELECT * FROM edges_stream").collect()}
     want = {tuple(r) for r in Q.QUERIES["code_confusion_edges"](spark, SF).collect()}
     assert got == want
+
+
+def test_arrow_shard_source(spark):
+    import pyarrow as pa
+
+    from spanpref.sources.arrow_shards import register
+
+    d = tempfile.mkdtemp(prefix="spanpref-arrow-", dir="/tmp")
+    for k in range(3):
+        t = pa.table({"query": [f"q{k}{i}" for i in range(4)], "answer": ['{"results":[]}'] * 4})
+        with pa.OSFile(os.path.join(d, f"data-{k:05d}.arrow"), "wb") as f, pa.ipc.new_stream(f, t.schema) as w:
+            w.write_table(t)
+    register(spark)
+    df = spark.read.format("arrow_shards").load(d)
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted(r.query for r in df.collect()) == sorted(f"q{k}{i}" for k in range(3) for i in range(4))
