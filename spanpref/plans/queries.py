@@ -242,10 +242,14 @@ def q_token_weights(spark, sf_dir):
     t = token_sides(spark, sf_dir)
     out = None
     for side in ("chosen", "rejected"):
-        lab, w = F.col(f"{side}_labels"), F.col(f"{side}_weights")
+        # everything before the first supervised token is masked with weight 0,
+        # so the per-element work only needs the supervised tail
+        n, m = F.size(f"{side}_ids"), F.col(f"{side}_m")
+        lab = F.slice(f"{side}_labels", m + 1, F.greatest(n - m, F.lit(0)))
+        w = F.slice(f"{side}_weights", m + 1, F.greatest(n - m, F.lit(0)))
         s = t.select(
             "model", "pair_id", F.lit(side).alias("side"),
-            F.size(f"{side}_ids").cast("bigint").alias("n_tokens"),
+            n.cast("bigint").alias("n_tokens"),
             F.col(f"{side}_start").cast("bigint").alias("answer_start"),
             F.size(F.filter(lab, lambda x: x != tokens.IGNORE)).cast("bigint").alias("n_supervised"),
             F.size(F.filter(w, lambda x: x > 1.0)).cast("bigint").alias("n_upweighted"),
