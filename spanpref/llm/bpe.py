@@ -24,7 +24,7 @@ from __future__ import annotations
 import base64
 import codecs
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from spanpref.llm.common import Memo, doc_texts
 
 #: Memory bounds of a worker; they change speed only, never results.
-STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT = 200_000, 600_000, 900_000
-#: Trie subtrees up to this size are searched for a token that may still follow; larger ones count as open.
-HOPE_LIMIT = 1500
+STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT = 150_000, 400_000, 500_000
+#: Trie subtrees up to this size are searched for the tokens that may still follow; larger ones count as open.
+HOPE_LIMIT = 48
 #: Tokens given to the UTF-8 machine at a time.
 DECODE_CHUNK = 65_536
 _NEVER = 1 << 60
@@ -128,14 +128,18 @@ class Transducer:
             else:
                 j += 1
 
-    def _hope(self, key: tuple[int, int]) -> bool:
-        """Whether some token longer than the trie path to ``node`` may follow ``last`` (a large subtree: assumed)."""
+    def _hope(self, key: tuple[int, int]) -> bytes:
+        """Which longer tokens below a trie node may follow ``last``: all (``+``), none (empty) or one sign each.
+
+        Of a large subtree the answer is ``last`` itself: it may go on, and only like ``last`` does.
+        """
         last, node = key
         low, high = self._below[node]
         if high - low > HOPE_LIMIT:
-            return True
-        depth_token = self._token[node]
-        return any(t != depth_token and self._split[t] is not None and self._pair((last, t)) for t in self._sorted[low:high])
+            return b"%d" % last
+        own = self._token[node]
+        signs = bytes(43 if t != own and self._split[t] is not None and (last < 0 or self._pair((last, t))) else 45 for t in self._sorted[low:high])
+        return b"" if b"+" not in signs else signs
 
     def _forget(self, keep) -> int:
         """Drop all states but ``keep``; returns its new number."""
@@ -143,11 +147,12 @@ class Transducer:
         self._states: list = []
         self._next: list[dict] = []
         self._ends: list = []
-        self._start = self._intern(-1, b"", [(0, 0)], (None,))
+        self._start = self._intern(-1, b"", [(0, 0)], (None,), b"-1")
         return self._intern(*keep) if keep is not None else self._start
 
-    def _intern(self, last: int, pending: bytes, live: list, chain: tuple) -> int:
-        key = (last, pending)
+    def _intern(self, last: int, pending: bytes, live: list, chain: tuple, outlook: bytes) -> int:
+        """Number of a state. Tokens before it count only by ``outlook``: what may still begin at its first byte."""
+        key = (pending, chain, outlook)
         number = self._ids.get(key)
         if number is None:
             number = self._ids[key] = len(self._states)
@@ -160,7 +165,7 @@ class Transducer:
         """Build the transition of ``state`` on ``byte``: (next state, tokens emitted)."""
         last, pending, live, chain = self._states[state]
         here = len(pending) + 1
-        grown, ends = [], None
+        grown, signs, ends = [], [], None
         for begin, node in live:
             node = self._step.get(node * 256 + byte)
             if node is None:
@@ -171,9 +176,10 @@ class Transducer:
                 if before < 0 or self._fits[before, token]:
                     ends = (begin, token)
             if self._inner[node]:
-                before = chain[begin][1] if begin else last
-                if before < 0 or self._open[before, node]:
+                after = self._open[chain[begin][1] if begin else last, node]
+                if after:
                     grown.append((begin, node))
+                    signs.append((begin, after))
         if ends is None:
             raise ValueError("the ranks lack a single byte")
         # from the last open position back to the last boundary that all open paths share
@@ -192,8 +198,12 @@ class Transducer:
             chain = (None, *[(b - shared, t) if b >= shared else None for b, t in [x or (-1, 0) for x in chain[shared + 1 :]]])
             grown = [(b - shared, n) for b, n in grown]
             last = out[-1]
+        if shared == here:
+            outlook = b"%d" % last
+        else:
+            outlook = signs[0][1] if signs and signs[0][0] == shared else b""
         grown.append((here - shared, 0))
-        now = (last, (pending + _BYTE[byte])[shared:], grown, chain)
+        now = (last, (pending + _BYTE[byte])[shared:], grown, chain, outlook)
         if len(self._states) >= self.state_limit:
             return self._forget(now), out
         edge = self._next[state][byte] = (self._intern(*now), out)
@@ -230,14 +240,17 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.transducer = Transducer(ranks)
+            self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
         self.memo = Memo(lambda piece: np.array(self.transducer.encode(piece.encode()), "<i4").tobytes(), PIECE_LIMIT)
         self.table = [b""] * (max(ranks.values()) + 1)
         for word, rank in ranks.items():
             self.table[rank] = word
 
+    @cached_property
+    def transducer(self) -> Transducer:
+        return Transducer(self.ranks)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         return b"".join(map(self.memo.__getitem__, self.find(text)))

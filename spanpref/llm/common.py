@@ -66,6 +66,15 @@ class Memo(dict):
         return value
 
 
+def dealt_anew(column: str):
+    """The same long by an expression Spark doesn't know its partitioning by.
+
+    A join on it shuffles an aggregate once more, so that both sides of the join
+    come from exchanges and Spark may split a hot key among tasks.
+    """
+    return F.bitwise_not(F.bitwise_not(F.col(column)))
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (a, b)`` as ``(node, component)``, component = smallest node.
 
@@ -81,7 +90,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         near = both if large else both.where("v < u")
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("k"), F.least("m", "u").alias("m"))
         far = near.where("v > u") if large else near
         linked = far.join(least, far["u"] == least["k"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
