@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanpref.llm import bpe, token_files
+from spanpref.llm import bpe, simhash, token_files, toxicity
 from spanpref.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op3_token_files(spark, sf_dir):
     return token_files.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_simhash_golay(spark, sf_dir):
+    return simhash.result(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -17,6 +25,8 @@ def op7_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_toxicity": op9_toxicity,
+    "op10_simhash_golay": op10_simhash_golay,
 }
 
 ORACLE_SQL: dict[str, str] = {}
