@@ -55,14 +55,23 @@ class Memo(dict):
         super().__init__()
         self._compute, self._half, self._old = compute, max(1, limit // 2), {}
 
-    def __missing__(self, key):
+    def recall(self, key):
+        """Bring a key back from the old generation; None if it is nowhere."""
         value = self._old.get(key)
-        if value is None:
-            value = self._compute(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def __setitem__(self, key, value):
         if len(self) >= self._half:
             self._old = dict(self)
             self.clear()
-        self[key] = value
+        super().__setitem__(key, value)
+
+    def __missing__(self, key):
+        value = self.recall(key)
+        if value is None:
+            value = self[key] = self._compute(key)
         return value
 
 

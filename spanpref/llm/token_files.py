@@ -37,9 +37,11 @@ from spanpref.llm.common import Memo, doc_texts, scratch_path, staged
 
 END_ID = 2
 #: Words a worker remembers; changes speed only.
-WORD_LIMIT = 700_000
+WORD_LIMIT = 900_000
 LANES, CHECKPOINT, BLOCK_IDS = 2048, 128, 1 << 20
 SCALE_BITS = 22
+#: A word of its own between words; never part of another.
+_MARK = "\x01"
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -51,7 +53,9 @@ class Words:
     """Ids of whole texts with the tokenizers library, word by word.
 
     The file's normaliser and splitter treat white space as a border and drop
-    it, so a text's ids are those of its white-space words in a row.
+    it, so a text's ids are those of its white-space words in a row. Words not
+    yet remembered go through the library together, parted by ``_MARK``, whose
+    id no other word has; a word that holds the mark goes alone.
     """
 
     def __init__(self, path: str):
@@ -60,13 +64,38 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo = Memo(self._one, WORD_LIMIT)
+        (self.mark,) = self._ids(_MARK)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(word.decode()).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain = [w for w in new if _MARK.encode() not in w]
+        if not plain:
+            return
+        ids = self._ids(f" {_MARK} ".join([b.decode() for b in plain]))
+        ends = np.flatnonzero(ids == self.mark).tolist() + [len(ids)]
+        data, at = ids.tobytes(), 0
+        for word, end in zip(plain, ends, strict=True):
+            self.memo[word] = data[4 * at : 4 * end]
+            at = end + 1
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers; ``bytes.split`` splits at ASCII white space only."""
-        return b"".join(map(self.memo.__getitem__, text.encode().split()))
+        """Ids as little-endian 32-bit integers.
+
+        ``bytes`` split and lower at ASCII only; lowering beforehand could change
+        what a combining mark (lead bytes CC, CD) composes with, so not with those.
+        """
+        data = text.encode()
+        found = (data if b"\xcc" in data or b"\xcd" in data else data.lower()).split()
+        memo = self.memo
+        new = [w for w in set(found) if w not in memo and memo.recall(w) is None]
+        if len(new) > 1:
+            self._learn(new)
+        return b"".join(map(memo.__getitem__, found))
 
 
 @lru_cache(maxsize=2)
@@ -74,15 +103,15 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, n long, ids binary)``: little-endian unsigned 32-bit ids with the end id."""
+def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, width: str = "<u4") -> DataFrame:
+    """``(doc_id, n long, ids binary)``: little-endian ids of type ``width`` with the end id."""
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
         for batch in batches:
-            ids = [w.encode(t.as_py()) + tail for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            ids = [np.frombuffer(w.encode(t.as_py()) + tail, "<u4").astype(width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return doc_texts(docs).mapInArrow(run, f"doc_id {kind}, n long, ids binary")
@@ -188,14 +217,14 @@ class Coder:
 # ---- files
 
 
-def frequencies(ids: DataFrame, alphabet: int) -> np.ndarray:
+def frequencies(ids: DataFrame, alphabet: int, width: str) -> np.ndarray:
     """How often each id occurs in all rows; ``alphabet`` numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(alphabet, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=alphabet)
+                counts += np.bincount(np.frombuffer(x.as_buffer(), width), minlength=alphabet)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
@@ -211,8 +240,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, alphabet: int, shards: in
     ``shards``: how many ranges of doc_id; by default as many as the input has partitions.
     """
     spark = docs.sparkSession
-    ids = staged(token_ids(docs, path), "token-ids")
-    freq = scaled(frequencies(ids, alphabet))
+    width = "<u2" if alphabet <= 1 << 16 else "<u4"
+    ids = staged(token_ids(docs, path, width=width), "token-ids")
+    freq = scaled(frequencies(ids, alphabet, width))
     spark.createDataFrame([(SCALE_BITS, freq.astype("<u4").tobytes())], "bits int, freq binary").coalesce(1).write.parquet(f"{folder}/table")
     held = spark.sparkContext.broadcast(freq)
 
@@ -222,7 +252,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, alphabet: int, shards: in
 
         def done():
             nonlocal block, first, rows, parts, size
-            payload = coder.encode(np.frombuffer(b"".join(parts), "<u4"))
+            payload = coder.encode(np.frombuffer(b"".join(parts), width))
             columns = [[shard], [block], [first], [size], [[r for r, _ in rows]], [[n for _, n in rows]], [payload]]
             block, first, rows, parts, size = block + 1, first + size, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
@@ -234,9 +264,10 @@ def write_ids(docs: DataFrame, folder: str, path: str, alphabet: int, shards: in
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
             for doc, x in zip(batch.column(0), batch.column(1)):
                 data = x.as_py()
-                rows.append((doc.as_py(), len(data) // 4))
+                n = len(data) // int(width[2])
+                rows.append((doc.as_py(), n))
                 parts.append(data)
-                size += len(data) // 4
+                size += n
                 if size >= BLOCK_IDS:
                     yield done()
         if rows:
