@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanpref.llm import bpe, simhash, token_files, toxicity
+from spanpref.llm import bpe, decontaminate, pii, secrets, simhash, token_files, toxicity
 from spanpref.llm.common import table
 
 
@@ -10,6 +10,18 @@ def op3_token_files(spark, sf_dir):
     return token_files.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark, sf_dir):
+    return pii.result(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark, sf_dir):
+    return secrets.result(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,7 +36,10 @@ def op7_byte_bpe(spark, sf_dir):
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op4_decontamination": op4_decontamination,
+    "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_simhash_golay": op10_simhash_golay,
 }
