@@ -96,15 +96,19 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     rounds grows with the logarithm of the graph.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def least_of(near: DataFrame) -> DataFrame:
+        return near.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("k"), F.least("m", "u").alias("m"))
+
+    def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        near = both if large else both.where("v < u")
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("k"), F.least("m", "u").alias("m"))
-        far = near.where("v > u") if large else near
-        linked = far.join(least, far["u"] == least["k"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        if not large:
-            linked = linked.unionAll(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        return linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        far = both.where("v > u").join(least_of(both), F.col("u") == F.col("k"))
+        return far.select(F.col("v").alias("a"), F.col("m").alias("b"))  # larger end first
+
+    def small_star(e: DataFrame) -> DataFrame:
+        near = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        least = least_of(near)
+        linked = near.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+        return linked.unionAll(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
     def print_of(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.expr("coalesce(sum(cast(xxhash64(a, b) as decimal(38,0))), 0)")).first())
@@ -114,7 +118,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        cur = staged(star(star(cur, True), False), name)
+        cur = staged(small_star(large_star(cur)), name)
         now = print_of(cur)
         if now == seen:
             break
