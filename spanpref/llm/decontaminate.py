@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,8 +247,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float =
 
 
 def _flag(held, q: int, edit_share: float):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = Index(held.value, q, edit_share)

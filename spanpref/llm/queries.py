@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from spanpref.llm import bpe, decontaminate, pii, secrets, simhash, token_files, toxicity
+from spanpref.llm import bpe, brown, covertree, decontaminate, pii, quality, secrets, simhash, token_files, toxicity
 from spanpref.llm.common import table
 
 
+def op1_cover_tree(spark, sf_dir):
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_brown_lm(spark, sf_dir):
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark, sf_dir):
     return token_files.digests(table(spark, sf_dir, "documents"))
 
@@ -14,6 +22,10 @@ def op4_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ordinal_quality(spark, sf_dir):
+    return quality.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.result(table(spark, sf_dir, "documents"))
 
@@ -35,8 +47,11 @@ def op7_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
+    "op2_brown_lm": op2_brown_lm,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secrets": op8_secrets,
@@ -44,4 +59,17 @@ QUERIES = {
     "op10_simhash_golay": op10_simhash_golay,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_cover_tree": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e FROM embeddings),
+w AS (SELECT vec_id, label, len(e) AS d, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+      WHERE e IS NOT NULL AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT v.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN m ON m.n = v.vec_id LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = v.vec_id""",
+}
