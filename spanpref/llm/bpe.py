@@ -32,10 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import Memo, doc_texts
+from spanpref.llm.common import Memo, doc_texts, slices
 
 #: Memory bounds of a worker; they change speed only, never results.
-STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT = 150_000, 400_000, 500_000
+STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT = 150_000, 300_000, 600_000
 #: Trie subtrees up to this size are searched for the tokens that may still follow; larger ones count as open.
 HOPE_LIMIT = 48
 #: Tokens given to the UTF-8 machine at a time.
@@ -272,18 +272,21 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _lists(parts: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int64)
+    if ends[-1] >= 1 << 31:
+        raise ValueError("too many ids in one batch")
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids array<int>)`` per row of ``docs``. Narrow: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             parts = [c.encode(t.as_py()) for t in batch.column(1)]
-            ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int64)
-            if ends[-1] >= 1 << 31:
-                raise ValueError("too many ids in one Arrow batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts)], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return doc_texts(docs).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -294,7 +297,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [c.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
@@ -302,11 +305,25 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``(doc_id, ids, text)``: ids of every text, and the text decoded from them, in one pass over the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in slices(batches):
+            parts = [c.encode(t.as_py()) for t in batch.column(1)]
+            texts = [c.decode(np.frombuffer(x, "<i4").tolist()) for x in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return doc_texts(docs).mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids as text and of the decoded bytes."""
     own_path, own_pattern = default_vocabulary() if path is None or pattern is None else (path, pattern)
     path, pattern = path or own_path, pattern or own_pattern
-    done = decode_documents(encode_documents(docs, path, pattern), path, pattern)
+    done = round_trip(docs, path, pattern)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

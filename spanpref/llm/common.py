@@ -44,6 +44,13 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of at most ``rows`` rows, so that a task holds little at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Memo(dict):
     """A dict that computes what is missing and holds ``limit`` entries at most.
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import Memo, doc_texts, scratch_path, staged
+from spanpref.llm.common import Memo, doc_texts, scratch_path, slices, staged
 
 END_ID = 2
 #: Words a worker remembers; changes speed only.
@@ -109,7 +109,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, width: str = "<u
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(w.encode(t.as_py()) + tail, "<u4").astype(width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
