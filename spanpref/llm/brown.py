@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from spanpref.llm.common import Memo, id_remainder, staged
 
 MODULUS, HELD_OUT = 7, 2
-CLASSES, SWEEPS = 48, 5
+CLASSES, SWEEPS = 48, 9
+#: Of the units, one in so many may move in a sweep: the others' counts are those of the sweep's start.
+PARTS = 3
 HEAD_BITS, LOOKUP_BITS, TAIL_GROUPS = 15, 18, 512
 #: Weight of the class frequencies in smoothed transitions.
 BACKOFF = 20.0
@@ -146,14 +148,18 @@ def class_bigrams(x: np.ndarray, s: np.ndarray, classes: np.ndarray, n_classes:
     return table
 
 
-def exchange(x: np.ndarray, y: np.ndarray, s: np.ndarray, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, int]:
-    """One sweep: each unit (the end apart) to its best class, frequent ones first. Returns the classes and the moves."""
+def likelihood(table: np.ndarray) -> float:
+    """What exchange raises: the class bigrams' part of the log-likelihood."""
+    return float(_phi(table).sum() - _phi(table.sum(axis=0)).sum() - _phi(table.sum(axis=1)).sum())
+
+
+def exchange(x: np.ndarray, y: np.ndarray, s: np.ndarray, classes: np.ndarray, n_classes: int, turn: int) -> np.ndarray:
+    """One sweep: each unit whose turn it is (the end never) to its best class, frequent ones first."""
     classes = classes.copy()
     table = class_bigrams(x, s, classes, n_classes)
-    moves = 0
     order = np.argsort(-(x.sum(axis=1) + s), kind="stable")
     for u in order:
-        if u == 0:
+        if u == 0 or u % PARTS != turn % PARTS:
             continue
         a, xu, yu, su = classes[u], x[u], y[u], s[u]
         table[a] -= xu
@@ -177,20 +183,21 @@ def exchange(x: np.ndarray, y: np.ndarray, s: np.ndarray, classes: np.ndarray, n
         table[best, best] += su
         if best != a:
             classes[u] = best
-            moves += 1
-    return classes, moves
+    return classes
 
 
 def cluster(pairs: DataFrame, total: int, n_classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all units and the class bigram counts, after ``sweeps`` exchange sweeps."""
     classes = np.concatenate([[0], 1 + np.arange(total - 1) % (n_classes - 1)])
-    for _ in range(sweeps):
+    best: tuple = ()
+    for turn in range(sweeps + 1):
         x, y, s = neighbour_counts(pairs, classes, n_classes)
-        classes, moves = exchange(x, y, s, classes, n_classes)
-        if not moves:
-            break
-    x, _, s = neighbour_counts(pairs, classes, n_classes)
-    return classes, class_bigrams(x, s, classes, n_classes)
+        table = class_bigrams(x, s, classes, n_classes)
+        if not best or likelihood(table) > best[0]:
+            best = (likelihood(table), classes, table)
+        if turn < sweeps:
+            classes = exchange(x, y, s, classes, n_classes, turn)
+    return best[1], best[2]
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -179,12 +179,11 @@ class LabelModel:
             q = np.where(known, np.clip(lab, 0.02, 0.98), np.where(any_vote, 0.5, toxic_share / 4))
         else:
             q = np.where(v.sum(axis=1) >= 2, 0.9, 0.02)
-        self.parent = [-1] * self.m
-        for turn in range(self.rounds):
+        # voters that agree beyond the class would pass for accurate; labelled rows show it best
+        seen = known if n[known].sum() >= 100 else np.ones(len(v), bool)
+        self.parent = self._tree(v[seen], n[seen], q[seen])
+        for _ in range(self.rounds):
             self._maximise(v, lab, n, q)
-            if turn == 5:
-                self.parent = self._tree(v, n, q)
-                self._maximise(v, lab, n, q)
             q = self._posterior(v, lab)
         return self
 
