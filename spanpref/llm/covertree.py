@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import components, dealt_anew, staged
+from spanpref.llm.common import components, dealt_anew, slices, staged
 
 THRESHOLD = 0.98
 MAX_PIVOTS, SAMPLE_ROWS, NODE_ROWS, LEAF = 64, 2_000, 1_024, 24
@@ -165,15 +165,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def unit(values: pa.Scalar) -> list[float] | None:
+    """A vector scaled to length one in double precision; None if it can't link."""
+    if not values.is_valid or not len(values.values) or values.values.null_count:
+        return None
+    x = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    top = np.abs(x).max()
+    if not np.isfinite(x).all() or top == 0:
+        return None
+    x = x / top
+    return (x / math.sqrt(float(x @ x))).tolist()
+
+
 def scaled(vectors: DataFrame) -> DataFrame:
     """``(vec_id, label, x)`` per row; ``x`` is the vector scaled to length one, null where it can't link."""
-    raw = F.col("embedding").cast("array<double>")
-    sound = (F.size(raw) > 0) & F.forall(raw, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(raw, lambda v: v != 0)
-    top = F.array_max(F.transform(raw, lambda v: F.abs(v)))
-    even = F.transform(raw, lambda v: F.try_divide(v, top))
-    norm = F.sqrt(F.aggregate(even, F.lit(0.0), lambda a, v: a + v * v))
-    unit = F.transform(even, lambda v: F.try_divide(v, norm))
-    return vectors.select("vec_id", "label", F.when(F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull(), unit).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = [unit(v) if known.is_valid else None for known, v in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["vec_id", "label", "x"])
+
+    kinds = [vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label")]
+    return vectors.select("vec_id", "label", "embedding").mapInArrow(run, f"vec_id {kinds[0]}, label {kinds[1]}, x array<double>")
 
 
 def _nodes(classes: DataFrame) -> tuple[DataFrame, object]:
@@ -206,7 +219,7 @@ def _nodes(classes: DataFrame) -> tuple[DataFrame, object]:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row."""
-    rows = scaled(vectors)
+    rows = staged(scaled(vectors), "cover-scaled")
     grouped = rows.where("x is not null").groupBy("label", "x").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     numbered = staged(grouped.select("label", F.size("x").alias("dim"), "x", "first", "n", F.monotonically_increasing_id().alias("class")), "cover-classes")
     placed, held = _nodes(numbered)
