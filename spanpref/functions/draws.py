@@ -29,11 +29,6 @@ def draw(*parts) -> Column:
     return draw_bits(*parts) / F.lit(TWO_POW_52)
 
 
-def pick_index(u: Column, n: Column) -> Column:
-    """Uniform index in [0, n) (0-based); NULL when n = 0."""
-    return F.when(n > 0, F.floor(u * n).cast("int"))
-
-
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and evaluate ``body(bound)``.
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from spanpref.functions.labels import WS_RUN
 
+#: Python's white space, by name: controls 9-13 and 28-32, next line, and the Unicode separators.
+WS_CLASS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+STRIP = rf"^{WS_CLASS}+|{WS_CLASS}+\z"
+
 MARKERS = {"previous": "Previous sentence:", "current": "Current sentence:", "next": "Next sentence:"}
 
 
@@ -14,12 +18,17 @@ def _marker_lines(prompt: Column, marker: str) -> Column:
     return F.filter(F.split(prompt, "\n"), lambda line: F.startswith(line, F.lit(marker)))
 
 
+def strip(s: Column) -> Column:
+    """Python ``str.strip()``: white space of every kind off both ends."""
+    return F.regexp_replace(s, STRIP, "")
+
+
 def context_struct(prompt: Column) -> Column:
     """``STRUCT<TO_PAT_YN, previous, current, next>`` (NULL when absent).
 
     ``TO_PAT_YN: Y`` anywhere wins over ``: N``; for the sentence lines the
     *last* line starting with the marker wins; every occurrence of the marker
-    in that line is removed and the rest trimmed.
+    in that line is removed and the rest stripped of all white space.
     """
     yn = F.when(F.contains(prompt, F.lit("TO_PAT_YN: Y")), F.lit("Y")).when(
         F.contains(prompt, F.lit("TO_PAT_YN: N")), F.lit("N")
@@ -27,7 +36,7 @@ def context_struct(prompt: Column) -> Column:
     fields = [yn.alias("TO_PAT_YN")]
     for name, marker in MARKERS.items():
         last = F.try_element_at(_marker_lines(prompt, marker), F.lit(-1))
-        fields.append(F.trim(F.replace(last, F.lit(marker), F.lit(""))).alias(name))
+        fields.append(strip(F.replace(last, F.lit(marker), F.lit(""))).alias(name))
     return F.struct(*fields)
 
 
@@ -35,7 +44,7 @@ def first_current_sentence(prompt: Column, width: int = 100) -> Column:
     """*first* ``Current sentence:`` line, default ``N/A``, cut to ``width`` chars."""
     marker = MARKERS["current"]
     first = F.get(_marker_lines(prompt, marker), 0)
-    return F.left(F.coalesce(F.trim(F.replace(first, F.lit(marker), F.lit(""))), F.lit("N/A")), F.lit(width))
+    return F.left(F.coalesce(strip(F.replace(first, F.lit(marker), F.lit(""))), F.lit("N/A")), F.lit(width))
 
 
 def words(s: Column) -> Column:

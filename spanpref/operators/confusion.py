@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanpref.functions import labels
 from spanpref.functions.text import pct
+from spanpref.functions.draws import let
 from spanpref.functions.vocab import NONE_TOKEN
 
 
@@ -57,20 +58,24 @@ def confusion_edges(
 
 def confusion_table(df: DataFrame, include_none: bool = False) -> DataFrame:
     """Both levels in one tidy table ``(model, kind, gt, pred, cnt)``."""
-    c = confusion_edges(df, "true_codes", "pred_codes", include_none=include_none).select(
-        "model", F.lit("code").alias("kind"), "ground_truth", "predicted", "count"
-    )
-    s = confusion_edges(df, "true_subcodes", "pred_subcodes", include_none=include_none).select(
-        "model", F.lit("sub_code").alias("kind"), "ground_truth", "predicted", "count"
-    )
-    return c.unionByName(s).select(
-        "model", "kind", F.col("ground_truth").alias("gt"), F.col("predicted").alias("pred"), F.col("count").alias("cnt")
-    )
+    none = F.array(F.lit(NONE_TOKEN))
+
+    def edges(kind: str, true_col: str, pred_col: str):
+        missed = F.struct(F.array_except(true_col, pred_col).alias("fn"), F.array_except(pred_col, true_col).alias("fp"))
+
+        def cross(s):
+            fn, fp = s["fn"], s["fp"]
+            if include_none:
+                fn = F.when((F.size(fn) == 0) & (F.size(s["fp"]) > 0), none).otherwise(fn)
+                fp = F.when((F.size(fp) == 0) & (F.size(s["fn"]) > 0), none).otherwise(fp)
+            return F.flatten(F.transform(fn, lambda g: F.transform(fp, lambda p: F.struct(F.lit(kind).alias("kind"), g.alias("gt"), p.alias("pred")))))
 
+        return let(missed, cross)
 
-def sorted_edges(edges: DataFrame, count_col: str = "count", gt_col: str = "ground_truth", pred_col: str = "predicted"):
-    """Count desc with a total order (ties by labels)."""
-    return edges.orderBy(F.col(count_col).desc(), F.col(gt_col), F.col(pred_col))
+    # both levels from one pass over the rows; explode_outer for the reason given in confusion_edges
+    both = F.concat(edges("code", "true_codes", "pred_codes"), edges("sub_code", "true_subcodes", "pred_subcodes"))
+    e = df.select("model", F.explode_outer(both).alias("e")).where(F.col("e").isNotNull()).select("model", "e.*")
+    return e.groupBy("model", "kind", "gt", "pred").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def total_errors(conf: DataFrame, keys=("model", "kind")) -> DataFrame:

@@ -29,8 +29,8 @@ def generate_predictions(examples: DataFrame, factory: GeneratorFactory, model:
     return examples.select("ex_id", "query").mapInPandas(run, "model string, ex_id bigint, pred_text string")
 
 
-def echo_gold_factory(answers: dict[int, str] | None = None) -> GeneratorFactory:
-    """Deterministic stub generator used by tests (returns an empty result list)."""
+def empty_answer_factory() -> GeneratorFactory:
+    """Deterministic stub generator used by tests: an empty result list for every prompt."""
 
     def make():
         return lambda prompts: ['{"results":[]}' for _ in prompts]

@@ -41,27 +41,23 @@ class LossParams:
 def token_logps_from_sides(sides: DataFrame, seed: int = 42) -> DataFrame:
     """Flat token table from :func:`spanpref.operators.tokens.token_sides`.
 
-    Keeps shifted positions (``pos >= 1``) that are supervised; the two
+    Shifted positions (``pos >= 1``) that are supervised, both sides in one pass,
+    and one row of side ``pair`` for each pair, so that a pair whose answers lie
+    beyond the length limit stays (with log-probabilities 0).  The two
     log-probabilities are keyed draws ``ln(max(u, 1e-6))`` standing in for a
     model's logged values.
     """
-    out = None
-    for side in ("chosen", "rejected"):
-        # explode only the supervised tail (prompts are long and fully masked)
+    def tail(side: str):
+        # only the supervised tail: prompts are long and fully masked
         m = F.greatest(F.col(f"{side}_m"), F.lit(1))
-        n = F.size(f"{side}_labels")
-        tail = F.arrays_zip(
-            F.slice(f"{side}_labels", m + 1, F.greatest(n - m, F.lit(0))).alias("label"),
-            F.slice(f"{side}_weights", m + 1, F.greatest(n - m, F.lit(0))).alias("weight"),
-        )
-        s = sides.select(
-            "model", "pair_id", F.lit(side).alias("side"), m.alias("m"), F.posexplode_outer(tail).alias("k", "t"),
-        ).where(F.col("k").isNotNull() & (F.col("t.label") != IGNORE))
-        s = s.select(
-            "model", "pair_id", "side", (F.col("m") + F.col("k")).cast("bigint").alias("pos"),
-            F.col("t.label").cast("bigint").alias("label"), F.col("t.weight").alias("weight"),
-        )
-        out = s if out is None else out.unionByName(s)
+        count = F.greatest(F.size(f"{side}_labels") - m, F.lit(0))
+        both = F.arrays_zip(F.slice(f"{side}_labels", m + 1, count).alias("label"), F.slice(f"{side}_weights", m + 1, count).alias("weight"))
+        placed = F.transform(both, lambda t, k: F.struct(F.lit(side).alias("side"), (m + k).cast("bigint").alias("pos"), t["label"].cast("bigint").alias("label"), t["weight"].alias("weight")))
+        return F.filter(placed, lambda t: t["label"] != IGNORE)
+
+    pair = F.struct(F.lit("pair").alias("side"), F.lit(0).cast("bigint").alias("pos"), F.lit(IGNORE).cast("bigint").alias("label"), F.lit(0.0).alias("weight"))
+    out = sides.select("model", "pair_id", F.explode(F.concat(F.array(pair), tail("chosen"), tail("rejected"))).alias("t"))
+    out = out.select("model", "pair_id", "t.*")
     key = (F.col("model"), F.col("pair_id"), F.col("side"), F.col("pos"))
     return out.select(
         "*",
@@ -73,8 +69,8 @@ def token_logps_from_sides(sides: DataFrame, seed: int = 42) -> DataFrame:
 def sequence_logps(tokens: DataFrame, p: LossParams = LossParams()) -> DataFrame:
     """A12/A13/W5 + barrier sums: one row per (model, pair_id) with both sides.
 
-    ``tokens`` must hold supervised shifted positions only (label <> -100,
-    pos >= 1); unsupervised tokens carry zero weight in the reference.
+    ``tokens`` holds supervised shifted positions (label <> -100, pos >= 1), and
+    may hold a row of side ``pair`` that only keeps its pair.
     """
     log_tau = math.log(p.policy_prob_threshold)
     c = F.col("side") == "chosen"

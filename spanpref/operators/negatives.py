@@ -53,8 +53,6 @@ STRATEGIES = (
 MAX_ATTEMPTS = 10
 SECOND_CONFUSION_GATE = 0.4
 SPURIOUS_SPAN = "spurious annotation"
-# bound for the per-model dimension size (rows of the confusion table)
-MAX_DIM_ROWS = 1_000_000
 
 CONF_TYPE = "array<struct<pred:string,cnt:bigint>>"
 
@@ -68,20 +66,23 @@ class GeneratorParams:
 
 
 # ---------------------------------------------------------------- dimensions
-def confusion_dims(conf: DataFrame) -> DataFrame:
+def confusion_dims(conf: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """One row per model: ``sub_conf``/``code_conf`` (MAP gt -> ordered
     ARRAY<pred, cnt>, weight desc then pred), ``bag`` (X4: preds of all code
     edges with multiplicity, ordered by gt, pred) and ``gt_codes`` (sorted).
 
-    Only off-diagonal rows with a positive count are used (F5, H22) and the
-    ``__NONE__`` token is excluded (H16).
+    Only off-diagonal rows with a positive count are used (F5, H22), and only
+    labels of the vocabulary (mined tables hold no others; a foreign CSV may), so
+    a model's dimensions are bounded by the vocabulary squared.  This leaves out
+    the ``__NONE__`` token (H16).  With ``models (model)`` every model there has
+    a row; one without confusions has null dimensions, which count as empty.
     """
-    off = conf.where(
-        (F.col("gt") != F.col("pred"))
-        & (F.col("cnt") > 0)
-        & (F.col("gt") != vocab.NONE_TOKEN)
-        & (F.col("pred") != vocab.NONE_TOKEN)
-    )
+    code = F.col("kind") == "code"
+
+    def known(c):
+        return F.when(code, F.col(c).isin(*vocab.CODE_SET)).otherwise(F.col(c).isin(*vocab.SUB_CODE_SET))
+
+    off = conf.where((F.col("gt") != F.col("pred")) & (F.col("cnt") > 0) & known("gt") & known("pred"))
     per_gt = off.groupBy("model", "kind", "gt").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), F.col("pred")))),
@@ -89,7 +90,7 @@ def confusion_dims(conf: DataFrame) -> DataFrame:
         ).alias("lst")
     )
     entry = F.struct(F.col("gt"), F.col("lst"))
-    return per_gt.groupBy("model").agg(
+    dims = per_gt.groupBy("model").agg(
         F.map_from_entries(F.filter(F.collect_list(F.when(F.col("kind") == "sub_code", entry)), lambda e: e.isNotNull())).alias("sub_conf"),
         F.map_from_entries(F.filter(F.collect_list(F.when(F.col("kind") == "code", entry)), lambda e: e.isNotNull())).alias("code_conf"),
     ).select(
@@ -104,17 +105,7 @@ def confusion_dims(conf: DataFrame) -> DataFrame:
         ).alias("bag"),
         F.array_sort(F.map_keys("code_conf")).alias("gt_codes"),
     )
-
-
-def check_dim_size(conf: DataFrame, max_rows: int = MAX_DIM_ROWS) -> None:
-    """The dimensions ride along every row as constants; refuse unbounded ones.
-
-    One small aggregation over the confusion table (at most labels^2 rows per
-    model when it was mined here; a foreign CSV is checked before use).
-    """
-    n = conf.count()
-    if n > max_rows:
-        raise ValueError(f"confusion table has {n} rows (> {max_rows}); its labels are not a vocabulary")
+    return dims if models is None else models.join(dims, "model", "left")
 
 
 # ---------------------------------------------------------------- helpers
@@ -246,15 +237,7 @@ def all_dims(dims: DataFrame) -> Column:
     query and rides along every row as a constant (no join, no shuffle of examples).
     """
     entry = F.struct(F.col("model"), F.struct("sub_conf", "code_conf", "bag", "gt_codes"))
-    size = F.sum(
-        F.aggregate(F.map_values("sub_conf"), F.lit(0), lambda acc, x: acc + F.size(x))
-        + F.aggregate(F.map_values("code_conf"), F.lit(0), lambda acc, x: acc + F.size(x))
-    )
-    # size check inside the subquery: refuse a dimension that is not a label vocabulary
-    checked = F.when(size <= F.lit(MAX_DIM_ROWS), F.map_from_entries(F.collect_list(entry))).otherwise(
-        F.raise_error(F.lit(f"confusion dimensions exceed {MAX_DIM_ROWS} entries; labels are not a vocabulary"))
-    )
-    return dims.select(checked).scalar()
+    return dims.select(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
 def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | None = None,
@@ -263,12 +246,14 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
 
     ``gold``: (ex_id, query, answer, gold ARRAY<STRUCT<code, sub_code, span>>).
     ``dims``: :func:`confusion_dims`, one row per model; ``models`` restricts the
-    models generated for (default: every model in ``dims``).  Examples fan out to
+    models generated for (default: every model in ``dims``); one of them that has
+    no dimensions still gets its missing, spurious and forced negatives.  Examples fan out to
     models and negatives in-row, so gold is read and parsed once.
     """
     seed = params.seed
     if models is not None:
-        dims = dims.where(F.col("model").isin(list(models)))
+        wanted = dims.sparkSession.createDataFrame([(m,) for m in models], "model string")
+        dims = wanted.join(dims, "model", "left")
     empty_map = F.create_map().cast(f"map<string,{CONF_TYPE}>")
     df = gold.select("ex_id", "query", "answer", "gold", F.explode(F.map_entries(all_dims(dims))).alias("md"))
     df = df.select(

@@ -64,11 +64,11 @@ def identical_filter_report(pairs: DataFrame) -> DataFrame:
 
 def strategy_distribution(pairs: DataFrame) -> DataFrame:
     """Count per strategy (before the identical filter) and % of emitted pairs."""
-    per = pairs.groupBy("model", "strategy").agg(F.count(F.lit(1)).alias("count"))
-    emitted = drop_identical(pairs).groupBy("model").agg(F.count(F.lit(1)).alias("emitted"))
-    return per.join(emitted, "model", "left").select(
-        "model", "strategy", "count", pct(F.col("count"), F.coalesce(F.col("emitted"), F.lit(0))).alias("pct")
+    per = pairs.groupBy("model", "strategy").agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(F.col("chosen") != F.col("rejected")).alias("emitted")
     )
+    total = F.sum("emitted").over(Window.partitionBy("model"))  # at most a dozen strategies a model
+    return per.select("model", "strategy", "count", pct(F.col("count"), total).alias("pct"))
 
 
 def pair_diff_counts(pairs: DataFrame) -> DataFrame:

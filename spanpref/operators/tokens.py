@@ -84,6 +84,20 @@ def truncate_prompt(prompt: Column, max_prompt_length: int) -> Column:
     return F.when(F.length(prompt) <= max_prompt_length, prompt).otherwise(F.right(prompt, F.lit(max_prompt_length)))
 
 
+def truncate_prompt_tokens(prompt: Column, max_prompt_length: int) -> Column:
+    """K1 (tokenizers with offsets): the text from the first of the last ``max_prompt_length`` tokens on."""
+
+    @pandas_udf("string")
+    def cut(text: pd.Series) -> pd.Series:
+        def one(t):
+            starts = [m.start() for m in _PIECE.finditer(t or "")]
+            return t if len(starts) <= max_prompt_length else t[starts[-max_prompt_length] :] if max_prompt_length else ""
+
+        return text.map(one)
+
+    return cut(prompt)
+
+
 def full_text(prompt: Column, answer: Column, p: TokenParams) -> Column:
     """K2: render system + user + assistant turns with the template."""
     parts = re.split(r"(\{system\}|\{prompt\}|\{answer\})", p.template)
@@ -301,7 +315,8 @@ def _char_finish(c: Column, r: Column, p: TokenParams) -> Column:
 def token_sides(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str = "char") -> DataFrame:
     """K1-K9 per pair: ids, labels and weights of both sides (unpadded, double
     weights), plus ``*_m``, the index of the first supervised token."""
-    prompt = truncate_prompt(F.col("prompt"), p.max_prompt_length)
+    cut = truncate_prompt if tokenizer == "char" else truncate_prompt_tokens
+    prompt = cut(F.col("prompt"), p.max_prompt_length)
     df = pairs.select("model", "pair_id", prompt.alias("_prompt"), "chosen", "rejected")
     if tokenizer == "char":
         df = df.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanpref.functions.text import MARKERS
+from spanpref.functions.text import MARKERS, STRIP
 from spanpref.plans import sqlfrag as S
 from spanpref.plans.sqlfrag import q
 
@@ -40,17 +40,28 @@ FROM (SELECT model, ex_id, unnest({side}_results) AS a, unnest(range(len({side}_
     return _with(S.eval_ctes()) + "\nUNION ALL\n".join(parts)
 
 
+def unmatched_report():
+    return _with(S.fixture_ctes()) + """
+SELECT m.model, count(*) FILTER (WHERE p.ex_id IS NULL)::BIGINT AS no_prediction, 0::BIGINT AS no_example
+FROM fx_ex e CROSS JOIN (SELECT DISTINCT model FROM fx_pred) m LEFT JOIN fx_pred p ON p.model = m.model AND p.ex_id = e.ex_id
+GROUP BY m.model"""
+
+
+def strip(x):
+    return f"regexp_replace({x}, {q(STRIP)}, '', 'g')"
+
+
 def context_fields():
     cols = []
     for name, marker in MARKERS.items():
         last = f"list_filter(string_split(query, chr(10)), lambda l: starts_with(l, {q(marker)}))[-1]"
-        cols.append(f"trim(replace({last}, {q(marker)}, '')) AS {name}")
+        cols.append(f"{strip(f'replace({last}, {q(marker)}, {q(str())})')} AS {name}")
     first = f"list_filter(string_split(query, chr(10)), lambda l: starts_with(l, {q(MARKERS['current'])}))[1]"
     return _with(S.fixture_ctes()) + f"""
 SELECT ex_id,
   CASE WHEN contains(query, 'TO_PAT_YN: Y') THEN 'Y' WHEN contains(query, 'TO_PAT_YN: N') THEN 'N' END AS to_pat_yn,
   {", ".join(cols)},
-  left(coalesce(trim(replace({first}, {q(MARKERS['current'])}, '')), 'N/A'), 100) AS current_preview
+  left(coalesce({strip(f"replace({first}, {q(MARKERS['current'])}, '')")}, 'N/A'), 100) AS current_preview
 FROM fx_ex"""
 
 
@@ -163,7 +174,7 @@ def pairs_preview():
     first = f"list_filter(string_split(prompt, chr(10)), lambda l: starts_with(l, {q(MARKERS['current'])}))[1]"
     return _pref_with() + f"""SELECT model, sample, pair_id, strategy,
   coalesce(CASE WHEN contains(prompt, 'TO_PAT_YN: Y') THEN 'Y' WHEN contains(prompt, 'TO_PAT_YN: N') THEN 'N' END, 'N/A') AS to_pat_yn,
-  left(coalesce(trim(replace({first}, {q(MARKERS['current'])}, '')), 'N/A'), 100) AS current_sentence,
+  left(coalesce({strip(f"replace({first}, {q(MARKERS['current'])}, '')")}, 'N/A'), 100) AS current_sentence,
   num_chosen::BIGINT AS num_chosen, num_rejected::BIGINT AS num_rejected, {_diff_cols()}
 FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY pair_id)::BIGINT AS sample FROM pairs) WHERE sample <= 3"""
 
@@ -186,7 +197,7 @@ def pair_metadata():
     ctx = []
     for name, marker in MARKERS.items():
         last = f"list_filter(string_split(prompt, chr(10)), lambda l: starts_with(l, {q(marker)}))[-1]"
-        ctx.append(f"'{name}': trim(replace({last}, {q(marker)}, ''))")
+        ctx.append(f"'{name}': {strip(f'replace({last}, {q(marker)}, {q(str())})')}")
     yn = "CASE WHEN contains(prompt, 'TO_PAT_YN: Y') THEN 'Y' WHEN contains(prompt, 'TO_PAT_YN: N') THEN 'N' END"
     return _pref_with() + f"""SELECT model, pair_id, to_json({{'strategy': strategy, 'context': {{'TO_PAT_YN': {yn}, {", ".join(ctx)}}},
   'num_chosen': num_chosen, 'num_rejected': num_rejected}})::VARCHAR AS metadata FROM pairs"""
@@ -250,6 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "format_flags": format_flags(),
         "annotations_long": annotations_long(),
         "context_fields": context_fields(),
+        "unmatched_report": unmatched_report(),
         "code_confusion_edges": edges("code", False),
         "subcode_confusion_edges": edges("sub_code", False),
         "code_confusion_edges_with_none": edges("code", True),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanpref.functions import jsonish, labels, text, vocab
 from spanpref.operators import confusion, loss, metrics, negatives, pairs, tokens
-from spanpref.operators.evaluation_input import evaluation_table
+from spanpref.operators.evaluation_input import evaluation_table, unmatched_report
 from spanpref.sources import fixtures
 from spanpref.sources.tables import read_table
 
@@ -71,19 +71,17 @@ def q_format_flags(spark, sf_dir):
 
 def q_annotations_long(spark, sf_dir):
     ev = eval_table(spark, sf_dir)
-    out = None
-    for side in ("gold", "pred"):
-        s = ev.select(
-            "model", "ex_id", F.lit(side).alias("side"), F.posexplode_outer(f"{side}_results").alias("pos", "a")
-        ).where(F.col("pos").isNotNull())
-        s = s.select(
-            "model", "ex_id", "side", F.col("pos").cast("bigint").alias("pos"),
-            F.col("a.code").alias("code"), F.col("a.sub_code").alias("sub_code"), F.col("a.span").alias("span"),
-            labels.canonicalize(F.col("a.code"), vocab.code_canon_map()).alias("code_canon"),
-            labels.canonicalize(F.col("a.sub_code"), vocab.sub_canon_map()).alias("sub_code_canon"),
-        )
-        out = s if out is None else out.unionByName(s)
-    return out
+
+    def side(name):
+        return F.transform(f"{name}_results", lambda a, i: F.struct(F.lit(name).alias("side"), i.cast("bigint").alias("pos"), a.alias("a")))
+
+    rows = ev.select("model", "ex_id", F.explode(F.concat(side("gold"), side("pred"))).alias("t")).select("model", "ex_id", "t.side", "t.pos", "t.a")
+    return rows.select(
+        "model", "ex_id", "side", "pos",
+        F.col("a.code").alias("code"), F.col("a.sub_code").alias("sub_code"), F.col("a.span").alias("span"),
+        labels.canonicalize(F.col("a.code"), vocab.code_canon_map()).alias("code_canon"),
+        labels.canonicalize(F.col("a.sub_code"), vocab.sub_canon_map()).alias("sub_code_canon"),
+    )
 
 
 def q_context_fields(spark, sf_dir):
@@ -99,6 +97,10 @@ def q_context_fields(spark, sf_dir):
     )
 
 
+def q_unmatched_report(spark, sf_dir):
+    return unmatched_report(*fixture(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- confusion
 def _edges(kind, include_none):
     t, p = ("true_codes", "pred_codes") if kind == "code" else ("true_subcodes", "pred_subcodes")
@@ -170,7 +172,7 @@ def preference_build(spark, sf_dir, params=PARAMS, source="conversations"):
     """Mined confusion -> per-model dimensions -> negatives -> pairs (one job graph)."""
     ex, pr = fixture(spark, sf_dir, source)
     conf = confusion.confusion_table(confusion.with_label_sets(evaluation_table(ex, pr)))
-    dims = negatives.confusion_dims(conf)
+    dims = negatives.confusion_dims(conf, pr.select("model").distinct())
     gold, quarantine = negatives.parse_gold(ex)
     neg = negatives.generate_negatives(gold, dims, params=params)
     return pairs.assemble_pairs(neg, params), ex, quarantine
@@ -240,23 +242,24 @@ def token_sides(spark, sf_dir, source="conversations"):
 
 def q_token_weights(spark, sf_dir):
     t = token_sides(spark, sf_dir)
-    out = None
-    for side in ("chosen", "rejected"):
+
+    def side(name):
         # everything before the first supervised token is masked with weight 0,
         # so the per-element work only needs the supervised tail
-        n, m = F.size(f"{side}_ids"), F.col(f"{side}_m")
-        lab = F.slice(f"{side}_labels", m + 1, F.greatest(n - m, F.lit(0)))
-        w = F.slice(f"{side}_weights", m + 1, F.greatest(n - m, F.lit(0)))
-        s = t.select(
-            "model", "pair_id", F.lit(side).alias("side"),
+        n, m = F.size(f"{name}_ids"), F.col(f"{name}_m")
+        lab = F.slice(f"{name}_labels", m + 1, F.greatest(n - m, F.lit(0)))
+        w = F.slice(f"{name}_weights", m + 1, F.greatest(n - m, F.lit(0)))
+        return F.struct(
+            F.lit(name).alias("side"),
             n.cast("bigint").alias("n_tokens"),
-            F.col(f"{side}_start").cast("bigint").alias("answer_start"),
+            F.col(f"{name}_start").cast("bigint").alias("answer_start"),
             F.size(F.filter(lab, lambda x: x != tokens.IGNORE)).cast("bigint").alias("n_supervised"),
             F.size(F.filter(w, lambda x: x > 1.0)).cast("bigint").alias("n_upweighted"),
             F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 4).alias("weight_sum"),
         )
-        out = s if out is None else out.unionByName(s)
-    return out
+
+    rows = t.select("model", "pair_id", F.explode(F.array(side("chosen"), side("rejected"))).alias("s"))
+    return rows.select("model", "pair_id", "s.*")
 
 
 def q_padded_batches(spark, sf_dir):
@@ -303,6 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "format_flags": q_format_flags,
     "annotations_long": q_annotations_long,
     "context_fields": q_context_fields,
+    "unmatched_report": q_unmatched_report,
     "code_confusion_edges": _edges("code", False),
     "subcode_confusion_edges": _edges("sub_code", False),
     "code_confusion_edges_with_none": _edges("code", True),

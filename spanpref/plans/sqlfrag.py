@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from spanpref.functions import vocab
 from spanpref.functions.jsonish import SUBCODE_VALUE  # noqa: F401  (documentation link)
-from spanpref.sources.fixtures import CONV_ID_STRIDE, DOC_ID_STRIDE, GOLD_SEED, INSTRUCTION, MODELS
+from spanpref.sources.fixtures import CONV_ID_STRIDE, DOC_ID_STRIDE, GOLD_SEED, INSTRUCTION, LOST_SHARE, MODELS, PADDED
 
 
 def q(s: str) -> str:
@@ -84,10 +84,12 @@ def fixture_ctes(source: str = "conversations") -> str:
         "'sub_code': " + pairs_list() + f"[floor({ug(q('pair'), 'k')} * 36)::BIGINT + 1].sub_code, "
         f"'span': array_to_string(list_slice(words, {start} + 1, {start} + floor({ug(q('l'), 'k')} * 5)::BIGINT + 1), ' ')}}"
     )
+    padded = f"seq % {PADDED[0]} = {PADDED[1]}"
     query = (
         f"{q(INSTRUCTION)} || chr(10) || 'TO_PAT_YN: ' || CASE WHEN role = 'assistant' THEN 'Y' ELSE 'N' END"
         f" || chr(10) || 'Previous sentence: ' || {flat('prev_text')}"
-        f" || chr(10) || 'Current sentence: ' || {flat('text')}"
+        f" || chr(10) || 'Current sentence: ' || CASE WHEN {padded} THEN chr(9) ELSE '' END || {flat('text')}"
+        f" || CASE WHEN {padded} THEN chr(160) || chr(13) ELSE '' END"
         f" || chr(10) || 'Next sentence: ' || {flat('next_text')}"
     )
     models = ", ".join(f"({q(name)}, {ms})" for name, ms in MODELS)
@@ -160,7 +162,7 @@ def _noisy_pred_ctes() -> str:
 fx_p2 AS (SELECT *, {d2} AS d2 FROM fx_p1),
 fx_p3 AS (SELECT *, {kept} AS kept FROM fx_p2),
 fx_p4 AS (SELECT *, CASE WHEN {um(q('x'))} < 0.12 THEN list_append(kept, {extra}) ELSE kept END AS annots FROM fx_p3),
-fx_p5 AS (SELECT model, ex_id, {answer_text('annots')} AS js, {um(q('fmt'))} AS fmt FROM fx_p4),
+fx_p5 AS (SELECT model, ex_id, {answer_text('annots')} AS js, {um(q('fmt'))} AS fmt FROM fx_p4 WHERE {um(q('lost'))} >= {LOST_SHARE}),
 fx_pred AS (SELECT model, ex_id, {fmt_case} AS pred_text FROM fx_p5)"""
 
 
@@ -215,9 +217,10 @@ def eval_ctes(source: str = "conversations") -> str:
         + f""",
 ev_g AS (SELECT ex_id, answer, query, {parse_cols('answer', 'gold')} FROM fx_ex),
 ev_p AS (SELECT model, ex_id, pred_text, {parse_cols('pred_text', 'pred')} FROM fx_pred),
-ev AS (SELECT p.model, p.ex_id, p.pred_text, g.answer, g.query, g.gold_mode, g.gold_bad_shape, g.gold_results,
-              p.pred_mode, p.pred_bad_shape, p.pred_results
-       FROM ev_p p JOIN ev_g g ON p.ex_id = g.ex_id)"""
+ev AS (SELECT m.model, g.ex_id, p.pred_text, g.answer, g.query, g.gold_mode, g.gold_bad_shape, g.gold_results,
+              coalesce(p.pred_mode, 'empty') AS pred_mode, coalesce(p.pred_bad_shape, false) AS pred_bad_shape,
+              coalesce(p.pred_results, []::{ANN_T}) AS pred_results
+       FROM ev_g g CROSS JOIN (SELECT DISTINCT model FROM fx_pred) m LEFT JOIN ev_p p ON p.model = m.model AND p.ex_id = g.ex_id)"""
     )
 
 
@@ -526,7 +529,9 @@ dm AS (SELECT model,
          coalesce(list(gt ORDER BY gt) FILTER (WHERE kind = 'code'), []::VARCHAR[]) AS gt_codes
        FROM dl GROUP BY model),
 db AS (SELECT model, list(pred ORDER BY gt, pred) AS bag FROM cw WHERE kind = 'code' GROUP BY model),
-dims AS (SELECT dm.*, coalesce(db.bag, []::VARCHAR[]) AS bag FROM dm LEFT JOIN db USING (model)),
+dims AS (SELECT m.model, coalesce(dm.sub_conf, []) AS sub_conf, coalesce(dm.code_conf, []) AS code_conf,
+                coalesce(dm.gt_codes, []::VARCHAR[]) AS gt_codes, coalesce(db.bag, []::VARCHAR[]) AS bag
+         FROM (SELECT DISTINCT model FROM fx_pred) m LEFT JOIN dm USING (model) LEFT JOIN db USING (model)),
 pg AS (SELECT ex_id, query, answer, {parse_cols('answer', 'gold')} FROM fx_ex),
 gv AS (SELECT ex_id, query, answer, gold_si AS gold FROM pg WHERE gold_strict AND gold_si IS NOT NULL),
 n0 AS (SELECT gv.*, dims.model, dims.sub_conf, dims.code_conf, dims.gt_codes, dims.bag FROM gv, dims),
@@ -645,6 +650,7 @@ def token_logp_ctes(seed: int) -> str:
 FROM (SELECT model, pair_id, unnest({pre}_lab) AS label, unnest({pre}_w) AS weight, unnest(range(len({pre}_lab))) AS pos FROM tk)
 WHERE pos >= 1 AND label <> -100"""
         )
+    parts.append("SELECT model, pair_id, 'pair' AS side, 0, -100, 0.0, 0.0, 0.0 FROM tk")
     return "tl AS (" + "\nUNION ALL\n".join(parts) + ")"
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spanpref") -> SparkSession:
@@ -48,10 +50,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing ``df`` as Parquet under the checkpoint folder and reading it back."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "tables", name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, for workers that can't import it.
+
+    A deployment that installs the package on every machine (``pyproject.toml``)
+    or submits it with ``--py-files`` doesn't depend on this; an installed copy
+    that workers already import does no harm.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_spanpref_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="spanpref-zip-")
+    target = os.path.join(folder, "spanpref.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, f"spanpref/{file.relative_to(root)}")
+    context.addPyFile(target)
+    context._spanpref_shipped = True

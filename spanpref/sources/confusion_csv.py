@@ -2,8 +2,9 @@
 
 Reader: three header dialects (``Ground_Truth_Code``, ``Ground_Truth_SubCode``,
 ``Ground_Truth_Subcode``); rows without any of them are skipped; ``Count`` is an
-integer.  Duplicate (gt, pred) keys are *last wins* in a sequential reader,
-which has no meaning on a distributed scan, so duplicates are rejected here.
+integer.  Of rows with the same (gt, pred) the last of the file wins, as in a
+sequential reader: rows are ordered by their split's place in the file and their
+place in the split.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ ALT_SUB = ("Ground_Truth_SubCode", "Predicted_SubCode")
 def read_confusion_csv(spark: SparkSession, path: str, model: str = "model") -> DataFrame:
     """``(model, kind, gt, pred, cnt)`` from one confusion CSV (any dialect)."""
     raw = spark.read.option("header", True).csv(path)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     cols = set(raw.columns)
     if "Ground_Truth_Code" in cols:
         kind, (g, p) = "code", DIALECTS["code"]
@@ -32,15 +34,9 @@ def read_confusion_csv(spark: SparkSession, path: str, model: str = "model") ->
         return spark.createDataFrame([], "model string, kind string, gt string, pred string, cnt bigint")
     out = raw.select(
         F.lit(model).alias("model"), F.lit(kind).alias("kind"),
-        F.col(g).alias("gt"), F.col(p).alias("pred"), F.col("Count").cast("bigint").alias("cnt"),
+        F.col(g).alias("gt"), F.col(p).alias("pred"), F.col("Count").cast("bigint").alias("cnt"), place.alias("place"),
     )
-    return out
-
-
-def assert_unique_keys(conf: DataFrame) -> None:
-    dup = conf.groupBy("model", "kind", "gt", "pred").count().where(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise ValueError(f"duplicate confusion key {tuple(dup[0])[:4]}; the order of a distributed read is undefined")
+    return out.groupBy("model", "kind", "gt", "pred").agg(F.max_by("cnt", "place").alias("cnt"))
 
 
 def write_confusion_csv(edges: DataFrame, path: str, kind: str) -> None:

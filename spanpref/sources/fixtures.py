@@ -24,8 +24,14 @@ from spanpref.functions.draws import draw
 GOLD_SEED = 42
 MODELS = (("model_a", 42), ("model_b", 43))
 INSTRUCTION = "Label the current sentence with Code, Sub-code and Span."
-CONV_ID_STRIDE = 1000
-DOC_ID_STRIDE = 100000
+#: Lines of a text and turns of a conversation are fewer than 2^30 (a string holds
+#: less than 2^31 bytes, a line takes two), so ``grp * stride + seq`` is unique; with
+#: two negatives an example, pair ids stay in 64 bits for ``grp`` below 2^32.
+CONV_ID_STRIDE = DOC_ID_STRIDE = 1 << 30
+#: Every fifth current sentence carries a tab, a no-break space and a carriage return.
+PADDED = (5, 2)
+#: Share of examples a model leaves without a prediction.
+LOST_SHARE = 0.01
 
 
 def sentences_from_conversations(conversations: DataFrame) -> DataFrame:
@@ -116,10 +122,12 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
         ),
     )
     yn = F.when(F.col("role") == "assistant", F.lit("Y")).otherwise(F.lit("N"))
+    padded = F.col("seq") % PADDED[0] == PADDED[1]
     query = F.concat(
         F.lit(INSTRUCTION + "\nTO_PAT_YN: "), yn,
         F.lit("\nPrevious sentence: "), _flat(F.col("prev_text")),
-        F.lit("\nCurrent sentence: "), _flat(F.col("text")),
+        F.lit("\nCurrent sentence: "), F.when(padded, F.lit("\t")).otherwise(""), _flat(F.col("text")),
+        F.when(padded, F.lit("\u00a0\r")).otherwise(""),
         F.lit("\nNext sentence: "), _flat(F.col("next_text")),
     )
     out = b.select(
@@ -224,7 +232,7 @@ def _format_noise(json_text: Column, fmt: Column) -> Column:
 
 
 def predictions(ex: DataFrame, models=MODELS) -> DataFrame:
-    """Model outputs for every example: ``(model, ex_id, pred_text)``.
+    """Model outputs for all but ``LOST_SHARE`` of the examples: ``(model, ex_id, pred_text)``.
 
     The model loop is a union of narrow projections over the same examples
     (no shuffle); a real run gets these rows from the inference hook instead.
@@ -234,6 +242,7 @@ def predictions(ex: DataFrame, models=MODELS) -> DataFrame:
         m = _noisy_annotations(ex.select("ex_id", "grp", "seq", "gold", "words"), mseed)
         m = m.withColumn("pred_json", _answer_text(F.col("pred_annots")))
         m = m.withColumn("fmt", draw(mseed, F.col("grp"), F.col("seq"), "fmt"))
+        m = m.where(draw(mseed, F.col("grp"), F.col("seq"), "lost") >= LOST_SHARE)
         m = m.select(F.lit(name).alias("model"), "ex_id", _format_noise(F.col("pred_json"), F.col("fmt")).alias("pred_text"))
         out = m if out is None else out.unionByName(m)
     return out

@@ -36,8 +36,3 @@ def write_example_metrics(counts: DataFrame, path: str) -> None:
 def write_token_table(batches: DataFrame, path: str) -> None:
     """Training-ready token table (K11 types), one folder per model."""
     batches.write.mode("overwrite").partitionBy("model").parquet(path)
-
-
-def sorted_label_arrays(df: DataFrame) -> DataFrame:
-    """T5 helper: sort every array column (label sets) for a stable dump."""
-    return df.select(*[F.array_sort(c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])

@@ -1,27 +1,22 @@
 """Confusion edges, weights, top-N and metric unit cases against brute force."""
 
 import random
+from collections import Counter
+from itertools import product
 
 from pyspark.sql import functions as F
 
 from spanpref.operators import confusion, metrics
+from spanpref.operators.evaluation_input import evaluation_table, unmatched_report
 
 
 def _edges_py(pairs, include_none=False):
-    out = {}
+    out = Counter()
     for t, p in pairs:
-        fn, fp = set(t) - set(p), set(p) - set(t)
-        if fn and fp:
-            for a in fn:
-                for b in fp:
-                    out[(a, b)] = out.get((a, b), 0) + 1
-        elif include_none and fn:
-            for a in fn:
-                out[(a, "__NONE__")] = out.get((a, "__NONE__"), 0) + 1
-        elif include_none and fp:
-            for b in fp:
-                out[("__NONE__", b)] = out.get(("__NONE__", b), 0) + 1
-    return out
+        missed, added = sorted(set(t).difference(p)), sorted(set(p).difference(t))
+        pad = ["__NONE__"] if include_none and (missed or added) else []
+        out.update(product(missed or pad, added or pad))
+    return dict(out)
 
 
 def test_edges_cases(spark):
@@ -43,6 +38,25 @@ def test_edges_random_and_partition_independent(spark):
         assert got == want
 
 
+def test_table_holds_both_levels(spark):
+    rows = [("m", ["a", "b"], ["b", "c"], ["x"], []), ("m", ["a"], ["c"], ["x"], ["y", "z"])]
+    df = spark.createDataFrame(rows, "model string, true_codes array<string>, pred_codes array<string>, true_subcodes array<string>, pred_subcodes array<string>")
+    for inc in (False, True):
+        got = {(r.kind, r.gt, r.pred): r.cnt for r in confusion.confusion_table(df, include_none=inc).collect()}
+        want = {("code", *k): v for k, v in _edges_py([r[1:3] for r in rows], inc).items()} | {("sub_code", *k): v for k, v in _edges_py([r[3:5] for r in rows], inc).items()}
+        assert got == want
+
+
+def test_examples_without_prediction_are_missed(spark):
+    ex = spark.createDataFrame([(1, '{"results":[{"Code":"SDOH","Sub-code":"x","Span":"s"}]}'), (2, '{"results":[]}')], "ex_id long, answer string")
+    pr = spark.createDataFrame([("a", 1, "{}"), ("b", 1, "{}"), ("b", 2, "{}"), ("b", 9, "{}")], "model string, ex_id long, pred_text string")
+    ev = evaluation_table(ex, pr)
+    assert sorted((r.model, r.ex_id, r.pred_mode) for r in ev.collect()) == [("a", 1, "strict"), ("a", 2, "empty"), ("b", 1, "strict"), ("b", 2, "strict")]
+    assert metrics.with_example_counts(ev).where("model = 'a' and ex_id = 1").first().span_fn == 1
+    rep = {r.model: (r.no_prediction, r.no_example) for r in unmatched_report(ex, pr).collect()}
+    assert rep == {"a": (1, 0), "b": (0, 1)}
+
+
 def test_weights_and_top(spark):
     conf = spark.createDataFrame([("m", "code", "x", "p", 3), ("m", "code", "x", "q", 1), ("m", "code", "x", "x", 9)],
                                  "model string, kind string, gt string, pred string, cnt long")

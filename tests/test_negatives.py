@@ -132,9 +132,20 @@ def test_pairs_reports(spark, generated):
     assert len(prev) == 3 and [r.sample for r in sorted(prev, key=lambda r: r.sample)] == [1, 2, 3]
 
 
-def test_dimension_size_guard(spark, monkeypatch):
-    monkeypatch.setattr(N, "MAX_DIM_ROWS", 2)
-    gold = _gold(spark, n=5)
-    neg = N.generate_negatives(gold, N.confusion_dims(_conf(spark)))
-    with pytest.raises(Exception, match="exceed"):
-        neg.collect()
+def test_models_without_confusions_keep_their_negatives(spark):
+    gold = _gold(spark, n=20)
+    models = spark.createDataFrame([("m",), ("perfect",)], "model string")
+    for dims in (N.confusion_dims(_conf(spark), models), N.confusion_dims(_conf(spark).limit(0), models)):
+        neg = N.generate_negatives(gold, dims)
+        per = {r.model: r["count"] for r in neg.groupBy("model").count().collect()}
+        assert per == {"m": 20, "perfect": 20}
+    strategies = {r.strategy for r in neg.where("model = 'perfect'").collect()}
+    assert strategies and not strategies & {"code_confusion", "subcode_confusion", "extra_annotation"}
+    named = N.generate_negatives(gold, N.confusion_dims(_conf(spark)), models=["perfect"])
+    assert {r.model for r in named.collect()} == {"perfect"} and named.count() == 20
+    assert N.generate_negatives(gold, N.confusion_dims(_conf(spark).limit(0))).count() == 0
+
+
+def test_foreign_labels_never_enter_the_dimensions(spark):
+    conf = spark.createDataFrame([("m", "code", "NoSuchCode", "SDOH", 4)], "model string, kind string, gt string, pred string, cnt long")
+    assert N.confusion_dims(conf).count() == 0

@@ -91,3 +91,19 @@ def test_context_fields(spark):
 def test_word_set_unicode_whitespace(spark):
     r = spark.range(1).select(text.word_set(F.lit("A b  a\x1cC")).alias("w")).first().w
     assert sorted(r) == ["a", "b", "c"]
+
+
+def test_crafted_tails_are_not_strict(spark):
+    from spanpref.functions.jsonish import strict_json_valid
+
+    texts = ['{"results":[]}', "5", "5,0] x", "5,1] x", '{"results":[]},0] tail', '{"results":[]},1] tail', "", None, "[1,2]", '"a"']
+    got = [r.ok for r in spark.createDataFrame([(t,) for t in texts], "t string").select(strict_json_valid(F.col("t")).alias("ok")).collect()]
+    assert got == [True, True, False, False, False, False, False, False, True, True]
+
+
+def test_context_is_stripped_of_all_white_space(spark):
+    from spanpref.functions.text import context_struct
+
+    prompt = "TO_PAT_YN: N\nCurrent sentence: \t a\u00a0b \u00a0\r\nNext sentence:\x1c\u2003x\u3000\x85"
+    row = spark.createDataFrame([(prompt,)], "q string").select(context_struct(F.col("q")).alias("c")).first().c
+    assert (row.TO_PAT_YN, row.previous, row.current, row.next) == ("N", None, "a\u00a0b", "x")
