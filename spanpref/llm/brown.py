@@ -28,19 +28,20 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import Memo, id_remainder, staged
+from spanpref.llm.common import Memo, id_remainder, slices, staged
 
 MODULUS, HELD_OUT = 7, 2
-CLASSES, SWEEPS = 48, 9
+CLASSES, SWEEPS = 48, 6
 #: Of the units, one in so many may move in a sweep: the others' counts are those of the sweep's start.
 PARTS = 3
-HEAD_BITS, LOOKUP_BITS, TAIL_GROUPS = 15, 18, 512
+HEAD_BITS, LOOKUP_BITS, TAIL_GROUPS = 14, 18, 512
 #: Weight of the class frequencies in smoothed transitions.
 BACKOFF = 20.0
 #: Entries a task gathers before it sends them on, and words it remembers.
@@ -241,20 +242,25 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_, lookup_, classes_, moves_, given_ = held.value
         units_ = Units(head_)
-        log_count = Memo(lambda w: float(np.log10(lookup_.get(w.decode(), -1) + 1)) if w.decode() in lookup_ else -1.0, WORD_LIMIT)
-        for batch in batches:
+        # entries: the frequent words, then the tail groups (class known, count not)
+        names_ = [w.encode() for w in lookup_]
+        place_ = {w: i for i, w in enumerate(names_)}
+        class_at = np.concatenate([classes_[units_.of(names_)], classes_[units_.first_tail :]])
+        log_at = np.concatenate([np.log10(np.fromiter(lookup_.values(), np.float64, len(lookup_)) + 1), np.full(TAIL_GROUPS, -1.0)])
+        entry = Memo(lambda w: place_[w] if w in place_ else len(names_) + tail_group(w), WORD_LIMIT)
+        for batch in slices(batches):
             base, model, known, tokens, tail = [], [], [], [], []
             for text in batch.column(3):
                 w = words_of(text.as_py())
-                c = np.concatenate([[0], classes_[units_.of(w)], [0]])
-                logs = np.fromiter(map(log_count.__getitem__, w), np.float64, len(w))
-                found = logs >= 0
+                at = np.fromiter(map(entry.__getitem__, w), np.int64, len(w))
+                c = np.concatenate([[0], class_at[at], [0]])
+                logs, found = log_at[at], at < len(names_)
                 sure = float(logs[found].sum())
                 base.append(sure - base_given * int(found.sum()) + end_base)
                 model.append(float(moves_[c[:-1], c[1:]].sum()) - float(given_[c[1:-1]].sum()) + sure)
                 known.append(int(found.sum()) + (1 if ends else 0))
                 tokens.append(len(w) + 1)
-                tail.append(Counter(x for x, f in zip(w, found.tolist()) if not f))
+                tail.append(Counter(compress(w, (~found).tolist())))
             bounds = np.cumsum([0] + [len(t) for t in tail]).astype(np.int32)
             names = pa.array([x.decode() for t in tail for x in t], pa.string())
             often = pa.array([k for t in tail for k in t.values()], pa.int64())
