@@ -28,6 +28,8 @@ HEADLINE = [
     "strategy_distribution",
     "token_weights",
     "preference_loss_metrics",
+    "doc_code_confusion_edges",
+    "doc_eval_report_by_model",
 ]
 
 

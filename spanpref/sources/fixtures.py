@@ -42,13 +42,23 @@ def sentences_from_conversations(conversations: DataFrame) -> DataFrame:
 
 def sentences_from_documents(documents: DataFrame) -> DataFrame:
     """One sentence per non-empty line of a document; roles alternate by line."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    return lines.where(F.trim("text") != "").select(
+    lines = documents.select("doc_id", F.split("text", "\n").alias("lines"))
+    rows = lines.select("doc_id", "lines", F.posexplode("lines").alias("seq", "text")).where(F.trim("text") != "")
+
+    def near(step: int):
+        # the lines before and after are in the row; a blank one is no sentence
+        at = F.col("seq") + step
+        line = F.when(at >= 0, F.get("lines", at))
+        return F.when(F.trim(line) != "", line)
+
+    return rows.select(
         F.col("doc_id").alias("grp"),
         F.col("seq").cast("bigint").alias("seq"),
         F.when(F.col("seq") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
         "text",
         F.lit(DOC_ID_STRIDE).alias("stride"),
+        near(-1).alias("prev_text"),
+        near(1).alias("next_text"),
     )
 
 
@@ -77,14 +87,15 @@ def _flat(text: Column) -> Column:
 def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
     """Examples with prompt context and gold annotations.
 
-    Previous/next sentences come from two equi-joins on the unique key
-    ``(grp, seq)`` rather than a window over ``grp``: a window would put one
-    very long conversation or document into a single task.
+    Lines of a document bring their neighbours along.  Those of a conversation's
+    turns come from two equi-joins on the unique key ``(grp, seq)`` rather than a
+    window over ``grp``, which would put one very long conversation into a single task.
     """
-    cur = sentences.alias("c")
-    prev = sentences.select("grp", (F.col("seq") + 1).alias("seq"), F.col("text").alias("prev_text"))
-    nxt = sentences.select("grp", (F.col("seq") - 1).alias("seq"), F.col("text").alias("next_text"))
-    b = cur.join(prev, ["grp", "seq"], "left").join(nxt, ["grp", "seq"], "left")
+    b = sentences
+    if "prev_text" not in b.columns:
+        prev = sentences.select("grp", (F.col("seq") + 1).alias("seq"), F.col("text").alias("prev_text"))
+        nxt = sentences.select("grp", (F.col("seq") - 1).alias("seq"), F.col("text").alias("next_text"))
+        b = b.join(prev, ["grp", "seq"], "left").join(nxt, ["grp", "seq"], "left")
 
     def u(*k):
         return draw(seed, F.col("grp"), F.col("seq"), *k)
