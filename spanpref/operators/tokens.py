@@ -155,6 +155,31 @@ def value_targets(answer: Column, base: Column, p: TokenParams) -> Column:
     return let(chars(answer), with_ans)
 
 
+def first_position(text: Column, answer: Column, p: TokenParams) -> Column:
+    """K5 (character tokens): 0-based place of the answer's first occurrence whose tokens
+    all lie within ``max_length`` (BOS included); -1 when there is none or the answer is empty."""
+    at = F.instr(text, answer) - 1
+    return F.when((F.length(answer) > 0) & (at >= 0) & (at + F.length(answer) < p.max_length), at).otherwise(F.lit(-1))
+
+
+def first_targets(text: Column, answer: Column, start: Column, p: TokenParams) -> Column:
+    """K8 (character tokens): of every value its first occurrence from the answer's start on."""
+    rest = F.substr(text, start + 1)
+
+    def marked(values: Column, w: float) -> Column:
+        def one(v):
+            at = F.instr(rest, v) - 1
+            inside = (F.length(v) > 0) & (at >= 0) & (start + at + F.length(v) < p.max_length)
+            return F.when(inside, F.struct((start + at).alias("s"), (start + at + F.length(v)).alias("e"), F.lit(w).alias("w")))
+
+        return F.filter(F.transform(values, one), lambda t: t.isNotNull())
+
+    return let(
+        jsonish_values(answer),
+        lambda v: F.concat(marked(v["code"], p.weight_code_value), marked(v["subcode"], p.weight_subcode_value), marked(v["span"], p.weight_span_value)),
+    )
+
+
 def value_weights(tokens: Column, labels: Column, targets: Column) -> Column:
     """K6 + K7: 0 for ignored tokens, else the max of 1 and every overlapping target weight.
 
@@ -235,7 +260,7 @@ def side_struct(text: Column, answer: Column, p: TokenParams, tokenizer: str = "
     return let(F.slice(tok_fn(text), 1, p.max_length), with_tok)
 
 
-def _char_side(text: Column, answer: Column, p: TokenParams) -> Column:
+def _char_side(text: Column, answer: Column, p: TokenParams, offsets: bool = True) -> Column:
     """Character-tokenizer fast path of :func:`side_struct`.
 
     Token k (k >= 1) covers character k-1, so offsets are implicit.  The masked
@@ -252,7 +277,8 @@ def _char_side(text: Column, answer: Column, p: TokenParams) -> Column:
 
             def with_m(m):
                 tail_idx = F.when(m < n, F.sequence(m, n - 1)).otherwise(F.array().cast("array<int>"))
-                targets = F.when(start >= 0, value_targets(answer, start, p)).otherwise(
+                found = value_targets(answer, start, p) if offsets else first_targets(text, answer, start, p)
+                targets = F.when(start >= 0, found).otherwise(
                     F.array().cast("array<struct<s:int,e:int,w:double>>")
                 )
                 w_tail = let(
@@ -278,7 +304,7 @@ def _char_side(text: Column, answer: Column, p: TokenParams) -> Column:
 
             return let(m, with_m)
 
-        return let(rfind(text, answer), with_start)
+        return let(rfind(text, answer) if offsets else first_position(text, answer, p), with_start)
 
     ids = F.slice(F.concat(F.array(F.lit(p.bos_id)), F.transform(chars(text), lambda c: F.ascii(c))), 1, p.max_length)
     return let(ids, with_ids)
@@ -312,9 +338,15 @@ def _char_finish(c: Column, r: Column, p: TokenParams) -> Column:
     )
 
 
-def token_sides(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str = "char") -> DataFrame:
+def token_sides(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str = "char", offsets: bool = True) -> DataFrame:
     """K1-K9 per pair: ids, labels and weights of both sides (unpadded, double
-    weights), plus ``*_m``, the index of the first supervised token."""
+    weights), plus ``*_m``, the index of the first supervised token.
+
+    ``offsets=False`` (character tokens): as for a tokenizer without an offset map,
+    the answer is the first run of its tokens (K5) and a value counts where its
+    tokens first occur in it (K8)."""
+    if not offsets and tokenizer != "char":
+        raise ValueError("tokens without offsets are searched for the character tokenizer only")
     cut = truncate_prompt if tokenizer == "char" else truncate_prompt_tokens
     prompt = cut(F.col("prompt"), p.max_prompt_length)
     df = pairs.select("model", "pair_id", prompt.alias("_prompt"), "chosen", "rejected")
@@ -322,8 +354,8 @@ def token_sides(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str
         df = df.select(
             "model",
             "pair_id",
-            _char_side(full_text(F.col("_prompt"), F.col("chosen"), p), F.col("chosen"), p).alias("c"),
-            _char_side(full_text(F.col("_prompt"), F.col("rejected"), p), F.col("rejected"), p).alias("r"),
+            _char_side(full_text(F.col("_prompt"), F.col("chosen"), p), F.col("chosen"), p, offsets).alias("c"),
+            _char_side(full_text(F.col("_prompt"), F.col("rejected"), p), F.col("rejected"), p, offsets).alias("r"),
         )
         df = df.select("model", "pair_id", let(F.struct("c", "r"), lambda b: _char_finish(b["c"], b["r"], p)).alias("t"))
         return df.select("model", "pair_id", "t.*")

@@ -203,18 +203,28 @@ def pair_metadata():
   'num_chosen': num_chosen, 'num_rejected': num_rejected}})::VARCHAR AS metadata FROM pairs"""
 
 
-def _token_with(with_loss: bool = False):
+def _token_with(with_loss: bool = False, offsets: bool = True):
     import math
 
     from spanpref.plans.queries import LOSS_PARAMS, PARAMS, TOKEN_PARAMS
 
-    ctes = [S.token_ctes(TOKEN_PARAMS)]
+    ctes = [S.token_ctes(TOKEN_PARAMS, offsets)]
     if with_loss:
         ctes += [S.token_logp_ctes(PARAMS.seed), S.sequence_cte(math.log(LOSS_PARAMS.policy_prob_threshold))]
     return _pref_with().rstrip() + ",\n" + ",\n".join(ctes) + "\n"
 
 
-def token_weights():
+def token_labels():
+    parts = []
+    for side, pre in (("chosen", "c"), ("rejected", "r")):
+        parts.append(
+            f"""SELECT model, pair_id, '{side}' AS side, len(list_filter({pre}_lab, lambda x: x = -100))::BIGINT AS n_masked,
+  coalesce(list_sum(list_filter({pre}_lab, lambda x: x <> -100)), 0)::BIGINT AS label_sum FROM tk"""
+        )
+    return _token_with() + "\nUNION ALL\n".join(parts)
+
+
+def token_weights(offsets: bool = True):
     parts = []
     for side, pre in (("chosen", "c"), ("rejected", "r")):
         parts.append(
@@ -223,7 +233,7 @@ def token_weights():
   len(list_filter({pre}_w, lambda x: x > 1.0))::BIGINT AS n_upweighted,
   round(list_reduce({pre}_w, lambda a, x: a + x, 0.0::DOUBLE), 4) AS weight_sum FROM tk"""
         )
-    return _token_with() + "\nUNION ALL\n".join(parts)
+    return _token_with(offsets=offsets) + "\nUNION ALL\n".join(parts)
 
 
 def padded_batches():
@@ -283,7 +293,9 @@ def oracle_sql() -> dict[str, str]:
         "identical_filter_report": identical_filter_report(),
         "pairs_preview": pairs_preview(),
         "run_config": run_config(),
+        "token_labels": token_labels(),
         "token_weights": token_weights(),
+        "token_weights_no_offsets": token_weights(offsets=False),
         "padded_batches": padded_batches(),
         "sequence_logp": sequence_logp(),
         "preference_loss_metrics": preference_loss_metrics(),

@@ -235,14 +235,35 @@ TOKEN_PARAMS = tokens.TokenParams(batch_size=4)
 LOSS_PARAMS = loss.LossParams(batch_size=4)
 
 
-def token_sides(spark, sf_dir, source="conversations"):
+def token_sides(spark, sf_dir, source="conversations", offsets=True):
     p, _, _ = preference_build(spark, sf_dir, source=source)
-    return tokens.token_sides(pairs.drop_identical(p), TOKEN_PARAMS)
+    return tokens.token_sides(pairs.drop_identical(p), TOKEN_PARAMS, offsets=offsets)
 
 
-def q_token_weights(spark, sf_dir):
+def q_token_labels(spark, sf_dir):
     t = token_sides(spark, sf_dir)
 
+    def side(name):
+        tail = F.slice(f"{name}_labels", F.col(f"{name}_m") + 1, F.greatest(F.size(f"{name}_ids") - F.col(f"{name}_m"), F.lit(0)))
+        return F.struct(
+            F.lit(name).alias("side"),
+            F.col(f"{name}_m").cast("bigint").alias("n_masked"),
+            F.aggregate(tail, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_sum"),
+        )
+
+    return t.select("model", "pair_id", F.explode(F.array(side("chosen"), side("rejected"))).alias("s")).select("model", "pair_id", "s.*")
+
+
+def q_token_weights_no_offsets(spark, sf_dir):
+    return weight_rows(token_sides(spark, sf_dir, offsets=False))
+
+
+def q_token_weights(spark, sf_dir):
+    return weight_rows(token_sides(spark, sf_dir))
+
+
+def weight_rows(t):
+
     def side(name):
         # everything before the first supervised token is masked with weight 0,
         # so the per-element work only needs the supervised tail
@@ -328,7 +349,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "identical_filter_report": q_identical_filter_report,
     "pairs_preview": q_pairs_preview,
     "run_config": q_run_config,
+    "token_labels": q_token_labels,
     "token_weights": q_token_weights,
+    "token_weights_no_offsets": q_token_weights_no_offsets,
     "padded_batches": q_padded_batches,
     "sequence_logp": q_sequence_logp,
     "preference_loss_metrics": q_preference_loss_metrics,

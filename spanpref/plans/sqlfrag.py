@@ -578,7 +578,7 @@ def _values(answer: str, pattern: str) -> str:
     return f"regexp_extract_all({answer}, {q(pattern)}, 1)"
 
 
-def token_ctes(p) -> str:
+def token_ctes(p, offsets: bool = True) -> str:
     """``tk(model, pair_id, batch, c_ids, c_lab, c_w, c_start, r_ids, r_lab, r_w, r_start)`` after ``pairs``."""
     from spanpref.functions.jsonish import CODE_VALUE, SPAN_VALUE, SUBCODE_VALUE
 
@@ -596,7 +596,28 @@ def token_ctes(p) -> str:
             f"ELSE length({ft}) - instr(reverse({ft}), reverse({ans})) + 1 - length({ans}) END)"
         )
 
+    if not offsets:
+
+        def start(ft: str, ans: str) -> str:  # noqa: F811
+            return (
+                f"(CASE WHEN length({ans}) > 0 AND instr({ft}, {ans}) > 0 AND instr({ft}, {ans}) - 1 + length({ans}) < {p.max_length} "
+                f"THEN instr({ft}, {ans}) - 1 ELSE -1 END)"
+            )
+
+    def first_targets(pre: str) -> str:
+        parts = []
+        rest = f"substring({pre}_ft, {pre}_start + 1)"
+        for pat, w in ((CODE_VALUE, p.weight_code_value), (SUBCODE_VALUE, p.weight_subcode_value), (SPAN_VALUE, p.weight_span_value)):
+            parts.append(
+                f"list_transform(list_filter({_values(pre + '_ans', pat)}, lambda v: length(v) > 0 AND instr({rest}, v) > 0 "
+                f"AND {pre}_start + instr({rest}, v) - 1 + length(v) < {p.max_length}), "
+                f"lambda v: {{'s': {pre}_start + instr({rest}, v) - 1, 'e': {pre}_start + instr({rest}, v) - 1 + length(v), 'w': {w}::DOUBLE}})"
+            )
+        return f"(CASE WHEN {pre}_start >= 0 THEN list_concat({parts[0]}, {parts[1]}, {parts[2]}) ELSE [] END)"
+
     def targets(pre: str) -> str:
+        if not offsets:
+            return first_targets(pre)
         parts = []
         for pat, w in ((CODE_VALUE, p.weight_code_value), (SUBCODE_VALUE, p.weight_subcode_value), (SPAN_VALUE, p.weight_span_value)):
             parts.append(
