@@ -23,6 +23,7 @@ of their texts); an empty table gives no blocks and no rows.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,8 +41,6 @@ END_ID = 2
 WORD_LIMIT = 900_000
 LANES, CHECKPOINT, BLOCK_IDS = 2048, 128, 1 << 20
 SCALE_BITS = 22
-#: A word of its own between words; never part of another.
-_MARK = "\x01"
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -53,9 +52,10 @@ class Words:
     """Ids of whole texts with the tokenizers library, word by word.
 
     The file's normaliser and splitter treat white space as a border and drop
-    it, so a text's ids are those of its white-space words in a row. Words not
-    yet remembered go through the library together, parted by ``_MARK``, whose
-    id no other word has; a word that holds the mark goes alone.
+    it, so a text's ids are those of its white-space words in a row. A comma or
+    full stop after letters is a piece of its own, so such a word's ids are those
+    of the letters and of the mark. A word of the letters a-z alone is one piece
+    that normalisation leaves as it is: it goes to the library's model directly.
     """
 
     def __init__(self, path: str):
@@ -63,39 +63,27 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.memo = Memo(self._one, WORD_LIMIT)
-        (self.mark,) = self._ids(_MARK)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _one(self, word: bytes) -> bytes:
-        return self._ids(word.decode()).tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if _MARK.encode() not in w]
-        if not plain:
-            return
-        ids = self._ids(f" {_MARK} ".join([b.decode() for b in plain]))
-        ends = np.flatnonzero(ids == self.mark).tolist() + [len(ids)]
-        data, at = ids.tobytes(), 0
-        for word, end in zip(plain, ends, strict=True):
-            self.memo[word] = data[4 * at : 4 * end]
-            at = end + 1
+        if word.isalpha() and word.islower():  # of bytes: ASCII letters only
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+        elif word[-1:] in (b",", b".") and word[:-1].isalpha():
+            return self.memo[word[:-1]] + self.memo[word[-1:]]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers.
 
-        ``bytes`` split and lower at ASCII only; lowering beforehand could change
+        ``bytes`` split and lower at ASCII only. Lowering beforehand could change
         what a combining mark (lead bytes CC, CD) composes with, so not with those.
         """
         data = text.encode()
-        found = (data if b"\xcc" in data or b"\xcd" in data else data.lower()).split()
-        memo = self.memo
-        new = [w for w in set(found) if w not in memo and memo.recall(w) is None]
-        if len(new) > 1:
-            self._learn(new)
-        return b"".join(map(memo.__getitem__, found))
+        words_ = (data if b"\xcc" in data or b"\xcd" in data else data.lower()).split()
+        return b"".join(map(self.memo.__getitem__, words_))
 
 
 @lru_cache(maxsize=2)

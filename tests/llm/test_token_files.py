@@ -29,7 +29,7 @@ def test_damaged_block_is_noticed():
         coder.decode(bytes(payload))
 
 
-def test_words_together_and_alone():
+def test_words_as_the_library_has_them():
     w = T.Words(T.default_tokenizer())
     plain = Tokenizer.from_file(T.default_tokenizer())
     for text in ("", "a", "A \x01 b\x01c \x01\x01 d", "J̌x é ÀB's he'll 123 4 !?.", "x\x1cy\x85z", "<|endoftext|> now"):
