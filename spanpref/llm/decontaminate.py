@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanpref.llm.common import doc_texts
 
@@ -217,12 +218,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float
     out = None
     for block in blocks(benchmark):
         held = spark.sparkContext.broadcast(block)
-        part = doc_texts(docs).mapInArrow(_finder(held, q, edit_share), schema)
+        part = doc_texts(docs).mapInArrow(_finder(held, q, edit_share, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _finder(held, q: int, edit_share: float):
+def _finder(held, q: int, edit_share: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held.value, q, edit_share)
         for batch in batches:
@@ -230,7 +231,7 @@ def _finder(held, q: int, edit_share: float):
             if rows:
                 doc, item, start, end, edits = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, batch.schema.field(0).type), pa.array(item), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())],
+                    [pa.array(doc, batch.schema.field(0).type), pa.array(item, item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())],
                     ["doc_id", "item_id", "start", "end", "edits"],
                 )
 

@@ -75,6 +75,8 @@ def test_messy_rows(spark, messy, empty, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 50)
     got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in D.matches(docs, bench).collect())
     assert got == [(20, 1, 2, 2 + len(passage), 0), (20, 4, 2, 2 + len(passage), 0), (21, 5, 2, 12, 0)]
+    nameless = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in D.matches(docs, nameless).collect()] == [(20, None)]
     kept = D.clean(docs, bench)
     assert kept.count() == docs.count() - 2 and kept.columns == docs.columns
     assert D.matches(empty, bench).count() == 0
