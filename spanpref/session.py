@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -50,21 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per session, for workers that can't import it.
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package's place on the workers' import path, for those that see the same files.
 
-    A deployment that installs the package on every machine (``pyproject.toml``)
-    or submits it with ``--py-files`` doesn't depend on this; an installed copy
-    that workers already import does no harm.
+    Local sessions need no more.  On a cluster the package is installed on every
+    machine (``pyproject.toml``) or submitted with ``--py-files``.
     """
-    context = spark.sparkContext
-    if getattr(context, "_spanpref_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="spanpref-zip-")
-    target = os.path.join(folder, "spanpref.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, f"spanpref/{file.relative_to(root)}")
-    context.addPyFile(target)
-    context._spanpref_shipped = True
+    environment = spark.sparkContext.environment
+    here = str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, here])
