@@ -24,7 +24,7 @@ from __future__ import annotations
 import base64
 import codecs
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import Memo, doc_texts, slices
+from spanpref.llm.common import Memo, doc_texts, held_once, slices
 
 #: Memory bounds of a worker; they change speed only, never results.
 STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT = 150_000, 300_000, 600_000
@@ -261,9 +261,8 @@ class Codec:
         return "".join(text) + machine.decode(b"", final=True)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held_once(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,22 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+_HELD: dict = {}
+
+
+def held_once(key, build=lambda: None):
+    """What ``build`` makes, kept by this worker until an operator asks for something else.
+
+    Workers outlive their tasks and serve one operator after the other; a worker
+    keeps the tables of one at a time, so their memory doesn't add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 class Memo(dict):
     """A dict that computes what is missing and holds ``limit`` entries at most.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanpref.llm.common import doc_texts
+from spanpref.llm.common import doc_texts, held_once, slices
 
 Q, EDIT_SHARE = 8, 0.08
 #: Characters of the benchmark that are broadcast and matched at a time.
@@ -225,8 +225,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float
 
 def _finder(held, q: int, edit_share: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_once("decontaminate")
         index = Index(held.value, q, edit_share)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in index.find(t.as_py())]
             if rows:
                 doc, item, start, end, edits = zip(*rows)
@@ -250,6 +251,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float =
 def _flag(held, q: int, edit_share: float):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held_once("decontaminate")
         index = Index(held.value, q, edit_share)
         for texts in batches:
             yield pd.Series([bool(index.find(t)) for t in texts], dtype=bool)

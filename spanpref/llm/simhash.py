@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import components, dealt_anew, staged
+from spanpref.llm.common import components, dealt_anew, held_once, slices, staged
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 #: Keys with more classes than this are linked through shared points; it changes the way, not the result.
@@ -66,7 +66,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, text_hash, fp)``: signed 64-bit fingerprints, with a hash that tells rows of equal doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held_once("simhash")
+        for batch in slices(batches):
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 

@@ -26,7 +26,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import Memo, doc_texts, scratch_path, slices, staged
+from spanpref.llm.common import Memo, doc_texts, held_once, scratch_path, slices, staged
 
 END_ID = 2
 #: Words a worker remembers; changes speed only.
@@ -86,9 +85,8 @@ class Words:
         return b"".join(map(self.memo.__getitem__, words_))
 
 
-@lru_cache(maxsize=2)
 def words(path: str) -> Words:
-    return Words(path)
+    return held_once(("words", path), lambda: Words(path))
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, width: str = "<u4") -> DataFrame:

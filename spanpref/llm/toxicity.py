@@ -30,7 +30,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import Memo, doc_texts, id_remainder, staged
+from spanpref.llm.common import Memo, doc_texts, held_once, id_remainder, staged
 
 #: Bounds of the fit (documented parameters): labelled rows, terms, words remembered by a worker.
 SAMPLE_ROWS, MAX_TERMS, WORD_LIMIT = 16_000, 4_000, 400_000
@@ -280,17 +279,9 @@ class Model:
         return hash((self.bias, frozenset(self.weights.items())))
 
 
-@lru_cache(maxsize=2)
-def _scorer_cached(key: int):
-    return {}
-
-
 def _scorer(key: int, model: Model):
-    held = _scorer_cached(key)
-    if "memo" not in held:
-        known = model.weights
-        held["memo"] = Memo(lambda word: tuple(t for t in terms_of(word) if t in known), WORD_LIMIT)
-    memo, weights, bias = held["memo"], model.weights, model.bias
+    weights, bias = model.weights, model.bias
+    memo = held_once(("toxicity", key), lambda: Memo(lambda word: tuple(t for t in terms_of(word) if t in weights), WORD_LIMIT))
 
     def one(text: str) -> float:
         found = set().union(*map(memo.__getitem__, set(words_of(text))))
