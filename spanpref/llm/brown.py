@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanpref.llm.common import Memo, id_remainder, slices, staged
+from spanpref.llm.common import id_remainder, slices, staged
 
 MODULUS, HELD_OUT = 7, 2
 CLASSES, SWEEPS = 48, 6
@@ -44,8 +44,8 @@ PARTS = 3
 HEAD_BITS, LOOKUP_BITS, TAIL_GROUPS = 14, 18, 512
 #: Weight of the class frequencies in smoothed transitions.
 BACKOFF = 20.0
-#: Entries a task gathers before it sends them on, and words it remembers.
-FLUSH, WORD_LIMIT = 600_000, 400_000
+#: Entries a task gathers before it sends them on.
+FLUSH = 600_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -53,10 +53,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def tail_group(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAIL_GROUPS
-
-
 def word_counts(train: DataFrame) -> DataFrame:
     """``(word, c)`` over all of ``text``."""
 
@@ -78,6 +74,12 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def positions(words: list[bytes], known: dict[bytes, int], first_tail: int) -> np.ndarray:
+    """The number of every known word, that of its tail group for the others."""
+    get, crc = known.get, zlib.crc32
+    return np.array([at if (at := get(w)) is not None else first_tail + crc(w[-3:]) % TAIL_GROUPS for w in words], np.int64)
+
+
 class Units:
     """Unit numbers: 0 the text's end, then frequent words, then tail groups."""
 
@@ -85,14 +87,9 @@ class Units:
         self.number = {w.encode(): i + 1 for i, w in enumerate(head)}
         self.first_tail = len(head) + 1
         self.total = self.first_tail + TAIL_GROUPS
-        self.memo = Memo(self._unit, WORD_LIMIT)
-
-    def _unit(self, word: bytes) -> int:
-        known = self.number.get(word)
-        return self.first_tail + tail_group(word) if known is None else known
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        return positions(words, self.number, self.first_tail)
 
 
 def bigrams(train: DataFrame, head: list[str]) -> DataFrame:
@@ -247,12 +244,11 @@ def score(docs: DataFrame) -> DataFrame:
         place_ = {w: i for i, w in enumerate(names_)}
         class_at = np.concatenate([classes_[units_.of(names_)], classes_[units_.first_tail :]])
         log_at = np.concatenate([np.log10(np.fromiter(lookup_.values(), np.float64, len(lookup_)) + 1), np.full(TAIL_GROUPS, -1.0)])
-        entry = Memo(lambda w: place_[w] if w in place_ else len(names_) + tail_group(w), WORD_LIMIT)
         for batch in slices(batches):
             base, model, known, tokens, tail = [], [], [], [], []
             for text in batch.column(3):
                 w = words_of(text.as_py())
-                at = np.fromiter(map(entry.__getitem__, w), np.int64, len(w))
+                at = positions(w, place_, len(names_))
                 c = np.concatenate([[0], class_at[at], [0]])
                 logs, found = log_at[at], at < len(names_)
                 sure = float(logs[found].sum())
