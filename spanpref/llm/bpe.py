@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from spanpref.llm.common import Memo, doc_texts, held_once, slices
 
 #: Memory bounds of a worker; they change speed only, never results.
-STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT = 150_000, 300_000, 600_000
+STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT = 80_000, 100_000, 350_000
 #: Trie subtrees up to this size are searched for the tokens that may still follow; larger ones count as open.
 HOPE_LIMIT = 48
 #: Tokens given to the UTF-8 machine at a time.
@@ -51,23 +52,24 @@ class Transducer:
         self.ranks, self.state_limit = ranks, state_limit
         self.bytes_of = {v: k for k, v in ranks.items()}
         self._step: dict[int, int] = {}  # trie: node * 256 + byte -> node
-        self._token = [-1]
-        self._inner = [False]
-        self._below: list[list[int]] = [[0, 0]]  # of a node: the range of ``_sorted`` that begins with it
+        self._token = array("i", [-1])
+        self._inner = bytearray(1)
+        self._low, self._high = array("i", [0]), array("i", [0])  # of a node: the range of ``_sorted`` that begins with it
         self._sorted = [rank for _, rank in sorted(ranks.items())]
         for at, (word, rank) in enumerate(sorted(ranks.items())):
             node = 0
             for byte in word:
-                self._below[node][1] = at + 1
+                self._high[node] = at + 1
                 nxt = self._step.get(node * 256 + byte)
                 if nxt is None:
                     nxt = self._step[node * 256 + byte] = len(self._token)
                     self._token.append(-1)
-                    self._inner.append(False)
-                    self._below.append([at, at])
-                self._inner[node] = True
+                    self._inner.append(0)
+                    self._low.append(at)
+                    self._high.append(at)
+                self._inner[node] = 1
                 node = nxt
-            self._below[node][1] = at + 1
+            self._high[node] = at + 1
             self._token[node] = rank
         self._split = Memo(self._derive, len(ranks) + 1)
         self._fits = Memo(self._pair, PAIR_LIMIT)
@@ -134,7 +136,7 @@ class Transducer:
         Of a large subtree the answer is ``last`` itself: it may go on, and only like ``last`` does.
         """
         last, node = key
-        low, high = self._below[node]
+        low, high = self._low[node], self._high[node]
         if high - low > HOPE_LIMIT:
             return b"%d" % last
         own = self._token[node]
