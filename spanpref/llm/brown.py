@@ -9,7 +9,9 @@ bounded while the counts behind it cover all training tokens.
 Exchange clustering: units move between ``CLASSES`` classes, one after the
 other, to the class that raises the likelihood of the class bigrams most; each
 sweep's statistics (per unit, counts of next and previous classes) are
-aggregated from the bigram table by Spark.
+aggregated from the bigram table by Spark. There are ``SWEEPS`` sweeps, and more
+until ``PARTS`` of them (each unit's turn once) add less than ``TOLERANCE`` of
+the rise so far.
 
 Model: p(w | previous) = p(class | previous class) p(w | class); transitions are
 smoothed towards class frequencies, emissions by adding one to every known word
@@ -38,10 +40,12 @@ from pyspark.sql import functions as F
 from spanpref.llm.common import id_remainder, slices, staged
 
 MODULUS, HELD_OUT = 7, 2
-CLASSES, SWEEPS = 48, 6
+CLASSES, SWEEPS = 48, 9
+#: Share of the likelihood's rise under which sweeping ends, and a guard for the number of sweeps.
+TOLERANCE, MAX_SWEEPS = 0.01, 30
 #: Of the units, one in so many may move in a sweep: the others' counts are those of the sweep's start.
 PARTS = 3
-HEAD_BITS, LOOKUP_BITS, TAIL_GROUPS = 14, 18, 512
+HEAD_BITS, LOOKUP_BITS, TAIL_GROUPS = 15, 18, 512
 #: Weight of the class frequencies in smoothed transitions.
 BACKOFF = 20.0
 #: Entries a task gathers before it sends them on.
@@ -185,16 +189,19 @@ def exchange(x: np.ndarray, y: np.ndarray, s: np.ndarray, classes: np.ndarray, n
 
 
 def cluster(pairs: DataFrame, total: int, n_classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all units and the class bigram counts, after ``sweeps`` exchange sweeps."""
+    """Classes of all units and the class bigram counts, after ``sweeps`` exchange sweeps and as many more as pay."""
     classes = np.concatenate([[0], 1 + np.arange(total - 1) % (n_classes - 1)])
     best: tuple = ()
-    for turn in range(sweeps + 1):
+    reached: list[float] = []
+    for turn in range(MAX_SWEEPS + 1):
         x, y, s = neighbour_counts(pairs, classes, n_classes)
         table = class_bigrams(x, s, classes, n_classes)
         if not best or likelihood(table) > best[0]:
             best = (likelihood(table), classes, table)
-        if turn < sweeps:
-            classes = exchange(x, y, s, classes, n_classes, turn)
+        reached.append(best[0])
+        if turn == MAX_SWEEPS or turn >= sweeps and reached[-1] - reached[-1 - PARTS] <= TOLERANCE * (reached[-1] - reached[0]):
+            break
+        classes = exchange(x, y, s, classes, n_classes, turn)
     return best[1], best[2]
 
 

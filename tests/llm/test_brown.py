@@ -60,3 +60,20 @@ def test_model_beats_unigrams_on_ordered_text(spark):
     assert len(out) and (out["score"] > out["base_score"]).all()
     # two alternating classes: about one of 30 words at a time
     assert abs(out["score"].sum() / out["n_tokens"].sum() + log10(30)) < 0.1
+
+
+def test_sweeps_go_on_until_they_add_little(spark):
+    assert B.HEAD_BITS >= 15 and B.SWEEPS >= 9
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 12, 240)
+    rows = [(a, b, int(30 if group[b] == (group[a] * 5 + 1) % 12 else rng.integers(0, 3))) for a in range(240) for b in rng.choice(240, 80, replace=False).tolist()]
+    pairs = spark.createDataFrame([r for r in rows if r[2]], "a long, b long, n long").cache()
+    classes, table = B.cluster(pairs, 240, 14)
+    start = np.concatenate([[0], 1 + np.arange(239) % 13])
+    x, y, s = B.neighbour_counts(pairs, start, 14)
+    rise = B.likelihood(table) - B.likelihood(B.class_bigrams(x, s, start, 14))
+    for turn in range(B.PARTS):
+        x, y, s = B.neighbour_counts(pairs, classes, 14)
+        classes = B.exchange(x, y, s, classes, 14, turn)
+    x, y, s = B.neighbour_counts(pairs, classes, 14)
+    assert B.likelihood(B.class_bigrams(x, s, classes, 14)) - B.likelihood(table) <= 0.02 * rise
