@@ -10,7 +10,9 @@ that mention t near e, n_t documents that hold t, n_e that hold e, of N in all,
 1 if t never occurs without e, 0 if independent. Terms that disclose
 ``GENERALISE`` or more in at least ``MIN_CONTEXTS`` different surroundings (copies
 of one text are one) are generalised, from ``REMOVE`` on removed; both add spans
-of kind ``term`` to the pattern spans.
+of kind ``term`` to the pattern spans, wherever in any text the term stands. Only
+the estimate looks at surroundings. Terms are words of letters and digits, two
+characters and more.
 
 All counts cover all documents: words are counted per task before the shuffle;
 entities and pairs are equi-joins that Spark may split.
@@ -38,7 +40,7 @@ PATTERNS = {
 WINDOW, MIN_CONTEXTS, GENERALISE, REMOVE = 60, 3, 0.85, 0.98
 TERM_RANK = len(KINDS)
 _BYTE_RE = r"^(0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.|$)){4}$"
-_TERM_RE = r"\p{L}{3,}"
+_TERM_RE = r"[\p{L}\p{N}]{2,}+"
 
 
 def luhn(digits: Column) -> Column:
@@ -86,6 +88,11 @@ def _around(text: Column, spans: Column) -> Column:
     return F.transform(spans, one)
 
 
+def _terms(text: Column) -> Column:
+    """The different words of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM_RE), F.lit(0)), F.lower))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, spans, around)`` of every row; the text stays behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -104,7 +111,7 @@ def disclosures(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     pairs = pairs.join(contexts.where(F.col("n_contexts") >= MIN_CONTEXTS), ["entity", "term"]).select("entity", "term", "n_te")
     pairs = staged(pairs, "pii-supported")
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM_RE), F.lit(0)))).alias("w")).groupBy("w").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(_terms(text)).alias("w")).groupBy("w").agg(F.count("*").alias("n_t"))
     entities = mentions.select(F.col("entity").alias("e"), "doc_id", "text_hash").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     total = docs.agg(F.count("*").alias("n"))
     joined = pairs.join(words, F.col("term") == F.col("w")).join(entities, F.col("entity") == F.col("e")).crossJoin(F.broadcast(total))
@@ -121,12 +128,23 @@ def find(docs: DataFrame) -> DataFrame:
     context = F.xxhash64(F.transform("a.words", lambda w: w["term"]))
     mentions = near.select("doc_id", "text_hash", F.col("a.entity").alias("entity"), context.alias("context"), F.explode("a.words").alias("w"))
     mentions = staged(mentions.select("doc_id", "text_hash", "entity", "context", "w.term", "w.start", "w.end"), "pii-mentions")
-    known = disclosures(docs, mentions).select(F.col("entity").alias("e"), F.col("term").alias("t"), "disclosure")
-    told = mentions.join(known, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    told = told.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    value = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    term = F.struct("start", F.lit(TERM_RANK).alias("rank"), "end", F.lit("term").alias("kind"), value.alias("value"))
-    added = told.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(term).cast(KIND_SPAN).alias("terms"))
+    known = disclosures(docs, mentions).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    known = staged(known, "pii-known")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(_terms(text)).alias("w"))
+    held = words.join(known, F.col("w") == F.col("term")).groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    held = held.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
+    held = staged(held, "pii-held")
+    texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    holders = texts.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", "text", "known")
+
+    def one(s):
+        value = F.when(F.element_at("known", F.lower(s["value"])) >= REMOVE, "remove").otherwise("generalise")
+        return F.struct(s["start"].alias("start"), F.lit(TERM_RANK).alias("rank"), s["end"].alias("end"), F.lit("term").alias("kind"), value.alias("value"))
+
+    terms = F.transform(located(F.col("text"), _TERM_RE, lambda v: F.map_contains_key("known", F.lower(v))), one).cast(KIND_SPAN)
+    # repeated rows have the same terms
+    added = holders.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), terms.alias("terms")).groupBy("d", "h").agg(F.min("terms").alias("terms"))
     both = marked.join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     everything = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(KIND_SPAN))))
     return both.select("doc_id", "text_hash", everything.alias("spans"), F.col("spans").alias("base"))

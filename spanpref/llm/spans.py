@@ -9,8 +9,8 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 KIND_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches in order as ``struct(start, end, value)``, code points, end exclusive.
+def located(text: Column, pattern: str, keep=None) -> Column:
+    """All matches in order (those that ``keep(value)`` holds for) as ``struct(start, end, value)``, code points, end exclusive.
 
     The texts between the matches (``split``) and the matches alternate, so the
     places are sums of lengths.
@@ -22,7 +22,8 @@ def located(text: Column, pattern: str) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
         one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).cast(SPAN).alias("out"))
+        out = F.concat(acc["out"], F.array(one)).cast(SPAN)
+        return F.struct(end.alias("at"), (out if keep is None else F.when(keep(x["value"]), out).otherwise(acc["out"])).alias("out"))
 
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("value"), F.length(g).alias("gap")))

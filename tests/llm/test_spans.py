@@ -107,3 +107,15 @@ def test_entropy_spans_and_allow_list(spark):
     for i, v in enumerate(good):
         assert spans[i] == f"entropy:4:{4 + len(v)}"
     assert all(spans[len(good) + i] == "" for i in range(len(bad)))
+
+
+def test_terms_are_found_everywhere(spark):
+    far = "filler words without any meaning " * 6
+    rows = [(i, f"{'abcdefgh'[i]}note Quokkafan Li x7q9 writes from joe@ex.org about {'stuvwxyz'[i]}ings today {far} quokkafan again") for i in range(8)]
+    rows += [(100 + i, f"people write about things today number{i} nothing else {far} again") for i in range(200)]
+    rows += [(300, "quokkafan was here, without the address")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i in (*range(8), 300):
+        assert "quokkafan" not in new[i].lower()
+    assert " Li " not in new[0] and "x7q9" not in new[0] and "today" in new[0] and new[100] == rows[8][1]
