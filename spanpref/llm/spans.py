@@ -53,6 +53,18 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with every character of the spans (sorted, may overlap) as a space, so that places stay."""
+
+    def add(acc, s):
+        begin, end = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(done)
+
+
 def replaced(text: Column, spans: Column, tag) -> Column:
     """``text`` with every span (sorted; overlapping ones as one) replaced by ``tag(span)``."""
     none = F.array().cast("array<struct<start:int,end:int,tag:string>>")
