@@ -100,6 +100,25 @@ def align(passage: str, region: str, budget: int) -> tuple[int, int, int] | None
     return best, int(row[end] & (one - 1)), end
 
 
+def occurrences(passage: str, flat: str, low: int, high: int, budget: int) -> list[tuple[int, int, int]]:
+    """``(start, end, edits)`` of the passage's occurrences between two places: the best one, then those before and after it.
+
+    What lies before and after may share as many characters with the best as it
+    has edits, since an edit at its border may have taken a neighbour's character.
+    """
+    out, todo = [], [(low, high)]
+    while todo:
+        low, high = todo.pop()
+        if high - low < len(passage) - budget:
+            continue
+        hit = align(passage, flat[low:high], budget)
+        if hit is not None:
+            edits, start, end = hit
+            out.append((low + start, low + end, edits))
+            todo += [(low, low + start + edits), (low + end - edits, high)]
+    return sorted(out)
+
+
 class Index:
     """Q-grams of one block of passages."""
 
@@ -187,12 +206,7 @@ class Index:
             else:
                 merged.append([low, high])
         for low, high in merged:
-            while low < high:
-                hit = align(passage, flat[low:high], budget)
-                if hit is None:
-                    break
-                found.append((item_id, low + hit[1], low + hit[2], hit[0]))
-                low += max(1, hit[2])
+            found += [(item_id, *hit) for hit in occurrences(passage, flat, low, high, budget)]
         return found
 
 

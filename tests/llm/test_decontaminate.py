@@ -81,3 +81,22 @@ def test_messy_rows(spark, messy, empty, monkeypatch):
     assert kept.count() == docs.count() - 2 and kept.columns == docs.columns
     assert D.matches(empty, bench).count() == 0
     assert D.matches(docs, bench.limit(0)).count() == 0 and D.clean(docs, bench.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unequal_occurrences_are_all_found(seed):
+    rng = random.Random(seed)
+    passage = _text(rng, 30)
+    index = D.Index([(1, passage)])
+    copies = []
+    for edits in rng.sample([0, 1, 2, 3, 4], 4):
+        s = list(passage)
+        for at in rng.sample(range(10, len(s) - 10), edits):
+            s[at] = "q"
+        copies.append(("".join(s), edits))
+    doc, want = _text(rng, 20) + " ", []
+    for text, _ in copies:
+        want.append((len(doc), len(doc) + len(text), _distance(passage, text)))
+        doc += text + " "
+    got = sorted(h[1:] for h in index.find(doc + _text(rng, 20)))
+    assert got == want
