@@ -10,7 +10,12 @@ verified by a banded alignment (edit distance of the whole passage against the
 best piece of the region).
 
 Passages are the benchmark's items: whole texts, lower-cased, white space runs
-as one space. Documents are treated likewise and scanned whole. The benchmark
+as one space. Of items over ``PART_WORDS`` words, every part of that many words
+from each ``PART_STEP``-th word on (and the last one) is a passage too, with its own
+budget, so a quote of ``PART_WORDS + PART_STEP - 1`` words always holds one. Parts
+use the item's own q-grams, and those found in a row give one match: the item, the
+region and its edits against that stretch of the item. A part in an occurrence of
+the whole item gives none. Documents are treated likewise and scanned whole. The benchmark
 is the query set: it is broadcast in blocks of at most ``BLOCK_CHARS``
 characters, one after the other, so what is broadcast has a fixed bound, and
 every document meets every block. Scanning is narrow: no shuffle.
@@ -36,6 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from spanpref.llm.common import doc_texts, held_once, slices
 
 Q, EDIT_SHARE = 8, 0.08
+PART_WORDS, PART_STEP = 25, 12
 #: Characters of the benchmark that are broadcast and matched at a time.
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 23
@@ -119,6 +125,13 @@ def occurrences(passage: str, flat: str, low: int, high: int, budget: int) -> li
     return sorted(out)
 
 
+def parts_of(passage: str) -> list[tuple[int, int]]:
+    """Places of a passage's overlapping parts of ``PART_WORDS`` words; none if it has no more words."""
+    words = [m.span() for m in re.finditer(r"\S+", passage)]
+    last = len(words) - PART_WORDS
+    return [(words[i][0], words[i + PART_WORDS - 1][1]) for i in sorted({*range(0, last, PART_STEP), last})] if last > 0 else []
+
+
 class Index:
     """Q-grams of one block of passages."""
 
@@ -140,7 +153,12 @@ class Index:
             codes.append(g)
             whose.append(np.full(len(g), len(self.items)))
             where.append(np.arange(len(g)))
-            self.items.append((item_id, passage, budget, need))
+            parts = []
+            for a, b in parts_of(passage):
+                k = int((b - a) * edit_share)
+                if b - a + 1 - q * (k + 1) > 0:
+                    parts.append((a, b, k, b - a + 1 - q * (k + 1)))
+            self.items.append((item_id, passage, budget, need, parts))
         code = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(code, kind="stable")
         self.code, first, self.size = np.unique(code[order], return_index=True, return_counts=True)
@@ -178,14 +196,39 @@ class Index:
         spread = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         pos, item, diagonal = np.repeat(spot, size), self.whose[spread], np.repeat(spot, size) - self.where[spread]
         out = []
-        enough = np.bincount(item, minlength=len(self.items)) >= np.array([x[3] for x in self.items])
+        enough = np.bincount(item, minlength=len(self.items)) >= np.array([min([x[3], *(p[3] for p in x[4])]) for x in self.items])
         for i in np.flatnonzero(enough).tolist():
+            item_id, passage, budget, need, parts = self.items[i]
             own = item == i
-            out += self._bands(flat, i, pos[own], diagonal[own])
+            p, d = pos[own], diagonal[own]
+            whole = self._bands(flat, passage, budget, need, p, d)
+            pieces = []
+            for a, b, k, least in parts:
+                inside = (p - d >= a) & (p - d <= b - self.q)
+                if int(inside.sum()) >= least:
+                    pieces += [(*hit, a, b) for hit in self._bands(flat, passage[a:b], k, least, p[inside], d[inside] + a)]
+            pieces = [x for x in pieces if not any(min(x[1], e) - max(x[0], s) > (x[1] - x[0]) // 2 for s, e, _ in whole)]
+            out += [(item_id, *hit) for hit in whole + self._joined(flat, passage, pieces)]
+        return out
+
+    @staticmethod
+    def _joined(flat: str, passage: str, pieces: list[tuple]) -> list[tuple]:
+        """``(start, end, edits)`` of parts found, those that follow each other in text and passage as one."""
+        rows: list[list[tuple]] = []
+        for x in sorted(pieces, key=lambda x: (x[0], x[3])):
+            row = next((r for r in rows if x[0] <= r[-1][1] + 1 and x[3] > r[-1][3] and abs((x[0] - x[3]) - (r[-1][0] - r[-1][3])) <= x[2] + r[-1][2]), None)
+            if row is None:
+                rows.append([x])
+            else:
+                row.append(x)
+        out = []
+        for row in rows:
+            low, high, budget = row[0][0], max(x[1] for x in row), sum(x[2] for x in row)
+            hit = align(passage[row[0][3] : row[-1][4]], flat[low:high], budget) if len(row) > 1 else (row[0][2], 0, high - low)
+            out += [(low + hit[1], low + hit[2], hit[0])] if hit else [x[:3] for x in row]
         return out
 
-    def _bands(self, flat: str, i: int, pos: np.ndarray, diagonal: np.ndarray) -> list[tuple]:
-        item_id, passage, budget, need = self.items[i]
+    def _bands(self, flat: str, passage: str, budget: int, need: int, pos: np.ndarray, diagonal: np.ndarray) -> list[tuple]:
         width, reach = 2 * budget + 1, len(passage) + budget
         found, done = [], []
         for shift in (0, budget):  # every run of budget + 1 diagonals lies in a band of one of the two rows of bands
@@ -206,7 +249,7 @@ class Index:
             else:
                 merged.append([low, high])
         for low, high in merged:
-            found += [(item_id, *hit) for hit in occurrences(passage, flat, low, high, budget)]
+            found += occurrences(passage, flat, low, high, budget)
         return found
 
 

@@ -100,3 +100,21 @@ def test_unequal_occurrences_are_all_found(seed):
         doc += text + " "
     got = sorted(h[1:] for h in index.find(doc + _text(rng, 20)))
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_parts_are_found(seed):
+    rng = random.Random(seed)
+    words = _text(rng, 70).split()
+    index = D.Index([(1, " ".join(words))])
+    low = rng.randrange(0, 70 - 40)
+    quote = " ".join(words[low : low + 40])
+    before = _text(rng, 30) + " "
+    hits = index.find(before + quote + " " + _text(rng, 30))
+    assert len(hits) == 1 and hits[0][0] == 1
+    # a part may reach over the quote's ends by edits within its budget
+    start, end, edits = hits[0][1] - len(before), hits[0][2] - len(before), hits[0][3]
+    assert edits <= 0.11 * (end - start)
+    assert len(quote[max(start, 0) : end].split()) >= D.PART_WORDS - 3
+    # the whole item is one match, not its parts as well
+    assert [h[1:] for h in index.find(before + " ".join(words))] == [(len(before), len(before) + len(" ".join(words)), 0)]
