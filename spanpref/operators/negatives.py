@@ -66,13 +66,29 @@ class GeneratorParams:
 
 
 # ---------------------------------------------------------------- dimensions
+def unknown_confusions(conf: DataFrame) -> DataFrame:
+    """What ``confusion_dims`` leaves out for labels not in the vocabulary: ``(model, kind, n_rows, n_count)``.
+
+    The ``__NONE__`` token is left out by design (H16) and not counted here.
+    """
+    code = F.col("kind") == "code"
+
+    def foreign(c):
+        known = F.when(code, F.col(c).isin(*vocab.CODE_SET)).otherwise(F.col(c).isin(*vocab.SUB_CODE_SET))
+        return ~known & (F.col(c) != vocab.NONE_TOKEN)
+
+    off = conf.where((F.col("gt") != F.col("pred")) & (F.col("cnt") > 0) & (foreign("gt") | foreign("pred")))
+    return off.groupBy("model", "kind").agg(F.count("*").alias("n_rows"), F.sum("cnt").alias("n_count"))
+
+
 def confusion_dims(conf: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """One row per model: ``sub_conf``/``code_conf`` (MAP gt -> ordered
     ARRAY<pred, cnt>, weight desc then pred), ``bag`` (X4: preds of all code
     edges with multiplicity, ordered by gt, pred) and ``gt_codes`` (sorted).
 
     Only off-diagonal rows with a positive count are used (F5, H22), and only
-    labels of the vocabulary (mined tables hold no others; a foreign CSV may), so
+    labels of the vocabulary (mined tables hold no others; a foreign CSV may, see
+    ``unknown_confusions``), so
     a model's dimensions are bounded by the vocabulary squared.  This leaves out
     the ``__NONE__`` token (H16).  With ``models (model)`` every model there has
     a row; one without confusions has null dimensions, which count as empty.

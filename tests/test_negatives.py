@@ -149,3 +149,10 @@ def test_models_without_confusions_keep_their_negatives(spark):
 def test_foreign_labels_never_enter_the_dimensions(spark):
     conf = spark.createDataFrame([("m", "code", "NoSuchCode", "SDOH", 4)], "model string, kind string, gt string, pred string, cnt long")
     assert N.confusion_dims(conf).count() == 0
+
+
+def test_confusions_outside_the_vocabulary_are_counted(spark):
+    a, b = sorted(vocab.CODE_SET)[:2]
+    rows = [("m", "code", a, b, 2), ("m", "code", a, vocab.NONE_TOKEN, 3), ("m", "code", "Other", "Other", 1), ("m", "code", a, "Foreign", 4), ("m", "sub_code", "X", "Y", 5), ("m", "code", "Foreign", b, 6)]
+    got = sorted(tuple(r) for r in N.unknown_confusions(spark.createDataFrame(rows, CONF)).collect())
+    assert got == [("m", "code", 2, 10), ("m", "sub_code", 1, 5)]
