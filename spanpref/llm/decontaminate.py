@@ -17,12 +17,13 @@ use the item's own q-grams, and those found in a row give one match: the item, t
 region and its edits against that stretch of the item. A part in an occurrence of
 the whole item gives none. Documents are treated likewise and scanned whole. The benchmark
 is the query set: it is broadcast in blocks of at most ``BLOCK_CHARS``
-characters, one after the other, so what is broadcast has a fixed bound, and
-every document meets every block. Scanning is narrow: no shuffle.
+characters, one after the other: what a block finds (or leaves) is written to the
+shared folder and its broadcast destroyed before the next but one is read, so what is
+held has a fixed bound, and every document meets every block. Scanning is narrow: no shuffle.
 
 Defined results: null and empty texts hold no passage and are none; items of the
 same text each give their rows; items too short for the lemma (bound under
-one) are looked up exactly, as whole words; repeated rows are matched each; empty tables give
+one) are found by an unchanged piece, aligned with their budget, as whole words; repeated rows are matched each; empty tables give
 no rows.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanpref.llm.common import doc_texts, held_once, slices
+from spanpref.llm.common import doc_texts, held_once, slices, staged
 
 Q, EDIT_SHARE = 8, 0.08
 PART_WORDS, PART_STEP = 25, 12
@@ -125,6 +126,28 @@ def occurrences(passage: str, flat: str, low: int, high: int, budget: int) -> li
     return sorted(out)
 
 
+def short_occurrences(passage: str, flat: str, budget: int) -> list[tuple[int, int, int]]:
+    """Occurrences, as whole words, of a passage too short for the lemma: of ``budget + 1`` pieces of it one is unchanged."""
+    if not budget:
+        return [(m.start(), m.end(), 0) for m in re.finditer(rf"(?<!\w){re.escape(passage)}(?!\w)", flat)]
+    m, regions = len(passage), []
+    cuts = [m * j // (budget + 1) for j in range(budget + 2)]
+    for a, b in zip(cuts, cuts[1:]):
+        at = flat.find(passage[a:b])
+        while at >= 0:
+            regions.append([max(0, at - a - budget), min(len(flat), at - a + m + budget)])
+            at = flat.find(passage[a:b], at + 1)
+    merged: list[list[int]] = []
+    for low, high in sorted(regions):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    edge = re.compile(r"\w")
+    hits = [hit for low, high in merged for hit in occurrences(passage, flat, low, high, budget)]
+    return [(s, e, k) for s, e, k in hits if not (s and edge.match(flat[s - 1]) and edge.match(flat[s])) and not (e < len(flat) and edge.match(flat[e]) and edge.match(flat[e - 1]))]
+
+
 def parts_of(passage: str) -> list[tuple[int, int]]:
     """Places of a passage's overlapping parts of ``PART_WORDS`` words; none if it has no more words."""
     words = [m.span() for m in re.finditer(r"\S+", passage)]
@@ -146,8 +169,7 @@ class Index:
             budget = int(len(passage) * edit_share)
             need = len(passage) + 1 - q * (budget + 1)
             if need < 1:
-                pattern = re.compile(rf"(?<!\w){re.escape(passage)}(?!\w)")
-                self.short.append((item_id, passage, pattern))
+                self.short.append((item_id, passage, budget))
                 continue
             g = grams(passage, q)
             codes.append(g)
@@ -176,8 +198,8 @@ class Index:
         """``(item_id, start, end, edits)`` of all passages in a text, places in the original text."""
         flat, places = normal(text)
         out = []
-        for item_id, passage, pattern in self.short:
-            out += [(item_id, m.start(), m.end(), 0) for m in pattern.finditer(flat)]
+        for item_id, passage, budget in self.short:
+            out += [(item_id, *hit) for hit in short_occurrences(passage, flat, budget)]
         if len(self.code):
             g = grams(flat, self.q)
             spot = np.flatnonzero(self.seen[self._slot(g)])
@@ -267,15 +289,29 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple
         yield block
 
 
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    """Each item and whether it is the last."""
+    for item in items:
+        following = next(items, None)
+        while following is not None:
+            yield item, False
+            item, following = following, next(items, None)
+        yield item, True
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE) -> DataFrame:
     """``(doc_id, item_id, start, end, edits)``: every passage in every document, in code points, end exclusive."""
     spark = docs.sparkSession
     kinds = [x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, end long, edits int"
     out = None
-    for block in blocks(benchmark):
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    for block, last in _with_last(blocks(benchmark)):
         held = spark.sparkContext.broadcast(block)
-        part = doc_texts(docs).mapInArrow(_finder(held, q, edit_share, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
+        part = doc_texts(docs).mapInArrow(_finder(held, q, edit_share, item_type), schema)
+        if not last:
+            part = staged(part, "decontaminate-block")
+            held.destroy()
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -299,9 +335,12 @@ def _finder(held, q: int, edit_share: float, item_type: pa.DataType):
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark; all columns as they came."""
     out = docs
-    for block in blocks(benchmark):
+    for block, last in _with_last(blocks(benchmark)):
         held = docs.sparkSession.sparkContext.broadcast(block)
         out = out.where(~_flag(held, q, edit_share)(F.coalesce(out["text"], F.lit(""))))
+        if not last:
+            out = staged(out, "decontaminate-block")
+            held.destroy()
     return out
 
 

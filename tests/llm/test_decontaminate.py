@@ -118,3 +118,9 @@ def test_quoted_parts_are_found(seed):
     assert len(quote[max(start, 0) : end].split()) >= D.PART_WORDS - 3
     # the whole item is one match, not its parts as well
     assert [h[1:] for h in index.find(before + " ".join(words))] == [(len(before), len(before) + len(" ".join(words)), 0)]
+
+
+def test_short_items_are_found_with_their_budget():
+    index = D.Index([(1, "stone rivers x")])
+    assert index.find("a stone rivers x b") == [(1, 2, 16, 0)]
+    assert [h[0] for h in index.find("a stone rivars x b")] == [1] and not index.find("a stane rivars x b")
