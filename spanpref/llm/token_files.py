@@ -18,7 +18,7 @@ independently.
 
 Defined results: null text counts as empty; an empty text is its end id alone;
 equal or null doc_ids keep their own rows (nulls first, equal ids in the order
-of their texts); an empty table gives no blocks and no rows.
+of a hash of their token ids); an empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.memo = Memo(self._one, WORD_LIMIT)
 
@@ -81,7 +81,11 @@ class Words:
         what a combining mark (lead bytes CC, CD) composes with, so not with those.
         """
         data = text.encode()
-        words_ = (data if b"\xcc" in data or b"\xcd" in data else data.lower()).split()
+        low = data.lower()
+        if any(x in low for x in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        words_ = (data if b"\xcc" in data or b"\xcd" in data else low).split()
         return b"".join(map(self.memo.__getitem__, words_))
 
 
@@ -261,7 +265,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, alphabet: int, shards: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     n = shards or max(1, ids.rdd.getNumPartitions())
-    ordered = ids.select("doc_id", "ids").repartitionByRange(n, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
+    ordered = ids.select("doc_id", "ids").repartitionByRange(n, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
     ordered.mapInArrow(run, f"shard int, block int, first long, n_ids long, doc_ids array<{kind}>, lengths array<long>, payload binary").write.option(
         "compression", "none"
     ).parquet(f"{folder}/blocks")

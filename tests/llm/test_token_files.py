@@ -32,8 +32,7 @@ def test_damaged_block_is_noticed():
 def test_words_as_the_library_has_them():
     w = T.Words(T.default_tokenizer())
     plain = Tokenizer.from_file(T.default_tokenizer())
-    for text in ("", "a", "A \x01 b\x01c \x01\x01 d", "J̌x é ÀB's he'll 123 4 !?.", "x\x1cy\x85z", "<|endoftext|> now"):
-        plain.encode_special_tokens = True
+    for text in ("", "a", "A \x01 b\x01c \x01\x01 d", "J̌x é ÀB's he'll 123 4 !?.", "x\x1cy\x85z", "<|endoftext|> now", "hello <|endoftext|> x", "a<|ENDOFTEXT|>b  C", "x<|startoftext|><|endoftext|>Y\n", "<|endoftext|>"):
         assert np.frombuffer(w.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
