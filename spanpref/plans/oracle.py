@@ -257,12 +257,13 @@ def preference_loss_metrics():
   round(policy_prob_chosen, {R}) AS policy_prob_chosen, round(barrier_active_pct, {R}) AS barrier_active_pct,
   round(pref_p_pref, {R}) AS pref_p_pref, round(logits_mean, {R}) AS logits_mean, round(logits_max, {R}) AS logits_max,
   round(logits_min, {R}) AS logits_min
-FROM (SELECT model, floor(pair_id / {P.batch_size})::BIGINT AS batch, count(*)::BIGINT AS n_pairs,
+FROM (SELECT model, batch, count(*)::BIGINT AS n_pairs,
         avg(greatest(-{b} * x, 0.0) + ln(1 + exp(-abs(-{b} * x)))) AS loss_preference,
         avg(barrier) * {P.sft_barrier_weight} AS loss_barrier, avg(exp(pi_c)) AS policy_prob_chosen,
         sum(gate_tokens) / greatest(sum(chosen_tokens)::DOUBLE, 1.0) AS barrier_active_pct,
         avg(1.0 / (1.0 + exp(-({b} * x)))) AS pref_p_pref, avg(x) AS logits_mean, max(x) AS logits_max, min(x) AS logits_min
-      FROM (SELECT *, (pi_c - pi_r) - (ref_c - ref_r) AS x FROM sq) GROUP BY ALL)"""
+      FROM (SELECT *, (pi_c - pi_r) - (ref_c - ref_r) AS x, (row_number() OVER (PARTITION BY model ORDER BY pair_id) - 1) // {P.batch_size} AS batch FROM sq)
+      GROUP BY ALL)"""
 
 
 def oracle_sql() -> dict[str, str]:

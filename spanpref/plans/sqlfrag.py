@@ -655,7 +655,7 @@ tk3 AS (SELECT *, list_transform(c_tok, lambda t: CASE WHEN c_start < 0 OR t.s <
 tk4 AS (SELECT *, {targets('c')} AS c_tg, {targets('r')} AS r_tg FROM tk3),
 tk5 AS (SELECT *, {weights('c')} AS c_w0, {weights('r')} AS r_w0,
               {sup('c_lab')}[1] AS c0, {sup('r_lab')}[1] AS r0, least(len({sup('c_lab')}), len({sup('r_lab')})) AS dl FROM tk4),
-tk AS (SELECT model, pair_id, floor(pair_id / {p.batch_size})::BIGINT AS batch, c_ids, c_lab, {diff('c', 'r')} AS c_w, c_start,
+tk AS (SELECT model, pair_id, (row_number() OVER (PARTITION BY model ORDER BY pair_id) - 1) // {p.batch_size} AS batch, c_ids, c_lab, {diff('c', 'r')} AS c_w, c_start,
               r_ids, r_lab, {diff('r', 'c')} AS r_w, r_start FROM tk5)"""
 
 
