@@ -39,19 +39,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanpref.llm.common import Memo, dealt_anew, held_once, slices, staged
+from spanpref.llm.common import dealt_anew, held_once, slices, staged
 
 WINDOW, PREFIX = 50, 8
 #: Runs of a group, and runs whose subtree is built at once.
 GROUP_RUNS, TREE_RUNS = 256, 16_384
-#: Words whose hashes a worker remembers, and places looked at together when a prefix is chosen.
-WORD_LIMIT, SPAN = 200_000, 1 << 16
+#: Bytes whose words are coded together, and places looked at together when a prefix is chosen.
+PIECE, SPAN = 1 << 16, 1 << 16
+SPACE = b" \t\n\x0b\x0c\r"
+IS_SPACE = np.isin(np.arange(256), list(SPACE))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,8 +63,46 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def _hashes(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def words_in(text: bytes, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit code, the start and the end of every word; equal words have equal codes.
+
+    A code is a polynomial of the word's bytes, read off running sums. Texts are taken in pieces cut at white space.
+    """
+    power, inverse = held_once("suffix-powers", _powers)
+    parts, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + piece)
+        while end < len(text) and text[end] not in SPACE:
+            end += 1
+        data = np.frombuffer(text, np.uint8, end - at, at)
+        letter = np.concatenate([[False], ~IS_SPACE[data], [False]])
+        edge = np.flatnonzero(letter[1:] != letter[:-1])
+        start, stop = edge[0::2], edge[1::2]
+        if len(data) > len(power):  # one word longer than a piece
+            power, inverse = _powers(len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
+        parts.append(((sums[stop] - sums[start]) * inverse[start], start + at, stop + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _powers(n: int = PIECE + 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64), dtype=np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of ``width`` values from each place on, the leftmost of equal ones."""
+    # the place in the low bits; the runs' minima double in length until two of them cover the window
+    keyed = (values & ~np.uint64(2 * SPAN - 1)) | np.arange(len(values), dtype=np.uint64)
+    have = 1
+    while 2 * have <= width:
+        keyed = np.minimum(keyed[:-have], keyed[have:])
+        have *= 2
+    if have < width:
+        keyed = np.minimum(keyed[: have - width], keyed[width - have :])
+    return (keyed & np.uint64(2 * SPAN - 1)).astype(np.int64)
 
 
 def runs_of(codes: np.ndarray, window: int = WINDOW, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,11 +117,7 @@ def runs_of(codes: np.ndarray, window: int = WINDOW, prefix: int = PREFIX) -> tu
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
     width = window - prefix + 1
-    chosen = np.empty(n, np.int64)
-    for at in range(0, n, SPAN):
-        part = grams[at : min(at + SPAN, n) + width - 1]
-        chosen[at : at + SPAN] = np.lib.stride_tricks.sliding_window_view(part, width).argmin(axis=1)
-    chosen += np.arange(n)
+    chosen = np.concatenate([at + _least_places(grams[at : min(at + SPAN, n) + width - 1], width) for at in range(0, n, SPAN)])
     starts = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     return grams[chosen[starts]], starts, np.append(starts[1:], n)
 
@@ -103,7 +140,7 @@ def deep_nodes(runs: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarra
         whole = np.flatnonzero(left >= depth)
         pair = node[whole] * (int(node.max(initial=0)) + 1) + node[whole + step]
         deeper = np.full(len(node), -1, np.int64)
-        deeper[whole] = np.unique(pair, return_inverse=True)[1]
+        deeper[whole] = pd.factorize(pair)[0]
         node = deeper
     places = np.flatnonzero(left >= window)
     run = np.repeat(np.arange(len(runs)), sizes)[places]
@@ -118,13 +155,12 @@ def stretches(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.concatenate([[0], cut + 1])].tolist(), (places[np.append(cut, len(places) - 1)] + 1).tolist()))
 
 
-def prints_of(words: list[bytes], start: int, end: int, window: int) -> Iterator[tuple[int, int]]:
-    """128-bit prints of the windows that start at ``start`` to ``end - 1``, as two signed halves."""
-    held = words[start : end + window - 1]
+def prints_of(held: list[bytes], window: int) -> Iterator[tuple[int, int]]:
+    """128-bit prints of all windows of these words, as two signed halves."""
     sizes = np.fromiter(map(len, held), np.int64, len(held))
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
     joined = memoryview(b" ".join(held))
-    for i in range(end - start):
+    for i in range(len(held) - window + 1):
         halves = np.frombuffer(xxhash.xxh3_128_digest(joined[begins[i] : begins[i + window] - 1]), "<i8")
         yield int(halves[0]), int(halves[1])
 
@@ -141,12 +177,10 @@ def _prefix_runs(keyed: DataFrame, window: int, prefix: int) -> DataFrame:
     kind = keyed.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = held_once("suffix-words", lambda: Memo(xxhash.xxh3_64_intdigest, WORD_LIMIT))
         for batch in slices(batches, 256):
             keys, sizes = [], []
             for text in batch.column(2):
-                words = words_of(text.as_py())
-                k = runs_of(_hashes(words, memo), window, prefix)[0] if len(words) >= window else np.empty(0, np.uint64)
+                k = runs_of(words_in(text.as_py())[0], window, prefix)[0]
                 keys.append(k)
                 sizes.append(len(k))
             number = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)
@@ -168,25 +202,26 @@ def _cut_runs(docs: DataFrame, crowded: bool, window: int, prefix: int) -> DataF
     types = [pa.int64(), pa.int64(), doc_type, pa.int64(), pa.int32()] if crowded else [pa.int64(), doc_type, pa.int64(), pa.int32(), pa.binary()]
     spec = f"key long, other long, doc_id {kind.simpleString()}, print long, start int" if crowded else f"key long, doc_id {kind.simpleString()}, print long, start int, text binary"
 
-    def rows(batch: pa.RecordBatch, memo: Memo) -> Iterator[tuple]:
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc_id, print_, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             wanted = [r["run"] for r in wanted.as_py() or () if r["crowded"] == crowded]
             if not wanted:
                 continue
-            words = words_of(text.as_py())
-            keys, starts, ends = runs_of(_hashes(words, memo), window, prefix)
+            text = text.as_py()
+            codes, begins, stops = words_in(text)
+            keys, starts, ends = runs_of(codes, window, prefix)
             for r in wanted:
                 start, end = int(starts[r]), int(ends[r])
+                piece = text[begins[start] : stops[end + window - 2]]
                 if crowded:
-                    yield from ((high, low, doc_id, print_, start + i) for i, (high, low) in enumerate(prints_of(words, start, end, window)))
+                    yield from ((high, low, doc_id, print_, start + i) for i, (high, low) in enumerate(prints_of(words_of(piece), window)))
                 else:
-                    yield int(keys[r : r + 1].view(np.int64)[0]), doc_id, print_, start, b" ".join(words[start : end + window - 1])
+                    yield int(keys[r : r + 1].view(np.int64)[0]), doc_id, print_, start, piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = held_once("suffix-words", lambda: Memo(xxhash.xxh3_64_intdigest, WORD_LIMIT))
         for batch in slices(batches, 64):
             held = []
-            for row in rows(batch, memo):
+            for row in rows(batch):
                 held.append(row)
                 if len(held) == 8192:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)

@@ -59,10 +59,28 @@ def test_runs_hold_every_suffix_and_depend_on_the_window_alone():
 def test_spans_of_prefix_choice_do_not_matter(monkeypatch):
     codes = np.random.default_rng(4).integers(0, 50, 500).astype(np.uint64)
     whole = S.runs_of(codes, 12, 4)
-    monkeypatch.setattr(S, "SPAN", 7)
+    monkeypatch.setattr(S, "SPAN", 64)
     assert all((a == b).all() for a, b in zip(whole, S.runs_of(codes, 12, 4)))
 
 
+def test_words_and_codes():
+    draw = random.Random(9)
+    text = "".join(draw.choice("ab é\t\n\x0b\x0c\r\x1c\u2003  ") for _ in range(3000)).encode() + b"x" * 500
+    want = S.words_of(text)
+    for piece in (1, 7, 100, 1 << 20):
+        codes, starts, stops = S.words_in(text, piece)
+        assert [text[a:b] for a, b in zip(starts, stops)] == want
+        assert len(set(zip(codes.tolist(), want))) == len(set(want)) == len(set(codes.tolist()))
+    assert [len(x) for x in S.words_in(b"")] == [0, 0, 0]
+
+
+def test_least_places():
+    values = np.random.default_rng(2).integers(0, 9, 400).astype(np.uint64) << np.uint64(40)
+    for width in (1, 2, 3, 4, 43):
+        want = np.lib.stride_tricks.sliding_window_view(values, width).argmin(axis=1) + np.arange(401 - width)
+        assert (S._least_places(values, width) == want).all()
+
+
 @pytest.mark.parametrize("window", [1, 2, 5, 50])
 def test_deep_nodes_are_equal_windows(window):
     draw = random.Random(window)
