@@ -5,9 +5,10 @@ least ``m + 1 - q * (k + 1)`` of its q-grams with the place where it occurs, all
 on neighbouring diagonals (text position minus passage position). Hits are
 counted in diagonal bands ``2k + 1`` wide that overlap by half and more, so every
 occurrence lies whole in one band. Within a band, hits must reach the bound
-inside one stretch of text as long as the passage may be; these regions are
-verified by a banded alignment (edit distance of the whole passage against the
-best piece of the region).
+inside one stretch of text as long as the passage may be; each such band is
+verified by itself, by an alignment that keeps to its ``2k + 1`` diagonals (edit distance
+of the whole passage against the best piece of the text there). What bands find is
+merged: the best occurrence first, then those apart from it.
 
 Passages are the benchmark's items: whole texts, lower-cased, white space runs
 as one space. Of items over ``PART_WORDS`` words, every part of that many words
@@ -23,14 +24,17 @@ held has a fixed bound, and every document meets every block. Scanning is narrow
 
 Defined results: null and empty texts hold no passage and are none; items of the
 same text each give their rows; items too short for the lemma (bound under
-one) are found by an unchanged piece, aligned with their budget, as whole words; repeated rows are matched each; empty tables give
-no rows.
+one) are found by an unchanged piece, aligned with their budget, as whole words; of
+equally good occurrences that share more than their edits the first counts; repeated
+rows are matched each; extra columns take no part; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -48,13 +52,14 @@ BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(r"\s+")
+_ODD_SPACE = re.compile(r"[^\S ]")
 
 
 def normal(text: str) -> tuple[str, np.ndarray | None]:
     """Lower-cased text with runs of white space as one space, and each character's place in the original (None: the same)."""
     low = "".join([c if len(c) == 1 else x for x, c in zip(text, map(str.lower, text))]) if len(text.lower()) != len(text) else text.lower()
     flat = low.replace("\n", " ")
-    if not re.search(r"\s\s|[^\S ]", flat):
+    if "  " not in flat and not _ODD_SPACE.search(flat):
         return flat, None
     parts, places, at = [], [], 0
     for m in _SPACE.finditer(low):
@@ -81,70 +86,110 @@ def grams(text: str, q: int = Q) -> np.ndarray:
     return out
 
 
-def align(passage: str, region: str, budget: int) -> tuple[int, int, int] | None:
-    """``(edits, start, end)`` of the best piece of ``region`` within the budget; None if there is none.
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
-    Rows run over the passage; a cell is kept as edits * 2^32 + start, so the
-    smallest value also names where the piece begins. Values over the budget
-    are dropped, which leaves the band of diagonals that can still succeed.
+
+def align(passage: np.ndarray, text: np.ndarray, first: int, budget: int) -> tuple[int, int, int] | None:
+    """``(edits, start, end)`` of the best piece of ``text`` whose alignment stays on the diagonals ``first`` to
+    ``first + 2 * budget`` (text position minus passage position); None if it takes more edits than the budget.
+
+    Rows run over the passage and hold ``2 * budget + 1`` cells, one a diagonal. A cell is
+    edits * 2^32 + start, so the smallest value also names where the piece begins; of
+    equally good pieces the one that ends first counts.
     """
-    p, r = (np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (passage, region))
+    width, m, n = 2 * budget + 1, len(passage), len(text)
     one = np.int64(1) << 32
-    row = np.arange(len(r) + 1, dtype=np.int64)
-    climb = np.arange(len(r) + 1, dtype=np.int64) * one
-    for i, c in enumerate(p):
-        now = row + one
-        now[1:] = np.minimum(now[1:], row[:-1] + (r != c) * one)
+    beyond = np.int64(budget + 1) << 32
+    span = np.full(m + width, 0xFFFFFFFF, np.uint32)  # no character
+    low, high = max(0, first), min(n, first + m + width)
+    if high > low:
+        span[low - first : high - first] = text[low:high]
+    climb = np.arange(width, dtype=np.int64) * one
+    place = first + np.arange(width, dtype=np.int64)
+    row = np.where((place >= 0) & (place <= n), np.maximum(place, 0), beyond)
+    for i in range(m):
+        now = row + (span[i : i + width] != passage[i]) * one
+        np.minimum(now[:-1], row[1:] + one, out=now[:-1])
         now = np.minimum.accumulate(now - climb) + climb
-        if int(now.min()) >> 32 > budget:
+        if first + i + width > n:
+            now[max(0, n - first - i) :] = beyond
+        if now.min() >= beyond:
             return None
         row = now
     edits = row >> 32
     best = int(edits.min())
     if best > budget:
         return None
-    end = int(np.flatnonzero(edits == best)[0])
-    return best, int(row[end] & (one - 1)), end
+    at = int(np.flatnonzero(edits == best)[0])
+    return best, int(row[at] & (one - 1)), first + m + at
+
+
+def apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(start, end, edits)`` of different occurrences: the best first, then those that share no more with one of them than its or their edits.
+
+    Edits at the border of two occurrences may have taken a neighbour's characters. Of equally good ones the first counts.
+    """
+    starts: list[int] = []
+    out: list[tuple[int, int, int]] = []
+    for hit in sorted(set(hits), key=lambda h: (h[2], h[0], h[1])):
+        at = bisect(starts, hit[0])
+        if all(min(hit[1], x[1]) - max(hit[0], x[0]) <= max(hit[2], x[2]) for x in out[max(0, at - 1) : at + 1]):
+            starts.insert(at, hit[0])
+            out.insert(at, hit)
+    return out
+
+
+class Flat:
+    """A text (or passage) as characters and, once they are needed, as codes."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return codes_of(self.text)
+
+    def piece(self, a: int, b: int) -> "Flat":
+        out = Flat(self.text[a:b])
+        out.codes = self.codes[a:b]
+        return out
 
 
-def occurrences(passage: str, flat: str, low: int, high: int, budget: int) -> list[tuple[int, int, int]]:
-    """``(start, end, edits)`` of the passage's occurrences between two places: the best one, then those before and after it.
+def verified(passage: Flat, flat: Flat, diagonals: list[int], budget: int) -> list[tuple[int, int, int]]:
+    """Occurrences on the bands that begin at these diagonals, each aligned by itself.
 
-    What lies before and after may share as many characters with the best as it
-    has edits, since an edit at its border may have taken a neighbour's character.
+    An unchanged passage on a band is the band's best piece. A band that holds the start of one
+    found before has nothing better, and what else it holds isn't apart from that one.
     """
-    out, todo = [], [(low, high)]
-    while todo:
-        low, high = todo.pop()
-        if high - low < len(passage) - budget:
+    m, hits, exact = len(passage.text), [], -1
+    for first in sorted(set(diagonals)):
+        if first <= exact <= first + 2 * budget:
             continue
-        hit = align(passage, flat[low:high], budget)
-        if hit is not None:
-            edits, start, end = hit
-            out.append((low + start, low + end, edits))
-            todo += [(low, low + start + edits), (low + end - edits, high)]
-    return sorted(out)
+        at = flat.text.find(passage.text, max(0, first), max(0, first + 2 * budget + m))
+        if at >= 0:
+            exact = at
+            hits.append((at, at + m, 0))
+        elif hit := align(passage.codes, flat.codes, first, budget):
+            hits.append((hit[1], hit[2], hit[0]))
+    return apart(hits)
 
 
 def short_occurrences(passage: str, flat: str, budget: int) -> list[tuple[int, int, int]]:
     """Occurrences, as whole words, of a passage too short for the lemma: of ``budget + 1`` pieces of it one is unchanged."""
     if not budget:
         return [(m.start(), m.end(), 0) for m in re.finditer(rf"(?<!\w){re.escape(passage)}(?!\w)", flat)]
-    m, regions = len(passage), []
+    m, diagonals = len(passage), []
     cuts = [m * j // (budget + 1) for j in range(budget + 2)]
     for a, b in zip(cuts, cuts[1:]):
         at = flat.find(passage[a:b])
         while at >= 0:
-            regions.append([max(0, at - a - budget), min(len(flat), at - a + m + budget)])
+            diagonals.append(at - a - budget)
             at = flat.find(passage[a:b], at + 1)
-    merged: list[list[int]] = []
-    for low, high in sorted(regions):
-        if merged and low <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], high)
-        else:
-            merged.append([low, high])
+    if not diagonals:
+        return []
     edge = re.compile(r"\w")
-    hits = [hit for low, high in merged for hit in occurrences(passage, flat, low, high, budget)]
+    hits = verified(Flat(passage), Flat(flat), diagonals, budget)
     return [(s, e, k) for s, e, k in hits if not (s and edge.match(flat[s - 1]) and edge.match(flat[s])) and not (e < len(flat) and edge.match(flat[e]) and edge.match(flat[e - 1]))]
 
 
@@ -162,6 +207,7 @@ class Index:
         self.q, self.items = q, []
         codes, whose, where = [], [], []
         self.short: list[tuple] = []
+        self.least: list[int] = []
         for item_id, text in items:
             passage = normal(text)[0].strip()
             if not passage:
@@ -175,12 +221,11 @@ class Index:
             codes.append(g)
             whose.append(np.full(len(g), len(self.items)))
             where.append(np.arange(len(g)))
-            parts = []
-            for a, b in parts_of(passage):
-                k = int((b - a) * edit_share)
-                if b - a + 1 - q * (k + 1) > 0:
-                    parts.append((a, b, k, b - a + 1 - q * (k + 1)))
-            self.items.append((item_id, passage, budget, need, parts))
+            parts = [(a, b, int((b - a) * edit_share)) for a, b in parts_of(passage)]
+            parts = [(a, b, k, b - a + 1 - q * (k + 1)) for a, b, k in parts]
+            parts = np.array([p for p in parts if p[3] > 0], np.int64).reshape(-1, 4)
+            self.items.append((item_id, Flat(passage), budget, need, parts))
+            self.least.append(min([need, *parts[:, 3].tolist()]))
         code = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(code, kind="stable")
         self.code, first, self.size = np.unique(code[order], return_index=True, return_counts=True)
@@ -194,51 +239,66 @@ class Index:
     def _slot(code: np.ndarray) -> np.ndarray:
         return (code * _MIX) >> np.uint64(64 - _FILTER_BITS)
 
-    def find(self, text: str) -> list[tuple]:
-        """``(item_id, start, end, edits)`` of all passages in a text, places in the original text."""
+    def find(self, text: str, first: bool = False) -> list[tuple]:
+        """``(item_id, start, end, edits)`` of all passages in a text, places in the original text; ``first``: of one item at least, if there is any."""
         flat, places = normal(text)
         out = []
         for item_id, passage, budget in self.short:
             out += [(item_id, *hit) for hit in short_occurrences(passage, flat, budget)]
-        if len(self.code):
+            if first and out:
+                break
+        if len(self.code) and not (first and out):
             g = grams(flat, self.q)
             spot = np.flatnonzero(self.seen[self._slot(g)])
             if len(spot):
                 at = np.minimum(np.searchsorted(self.code, g[spot]), len(self.code) - 1)
                 same = self.code[at] == g[spot]
-                out += self._regions(flat, spot[same], at[same])
+                for item_id, hits in self._regions(flat, spot[same], at[same]):
+                    out += [(item_id, *hit) for hit in hits]
+                    if first and out:
+                        break
         if places is not None:
             out = [(i, int(places[s]), int(places[e - 1]) + 1, k) for i, s, e, k in out]
         return out
 
-    def _regions(self, flat: str, spot: np.ndarray, at: np.ndarray) -> list[tuple]:
-        if not len(spot):
-            return []
+    def _regions(self, flat: str, spot: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """``(item_id, hits)`` of the items these q-grams belong to; no step looks at an item without any."""
         size = self.size[at]
+        if int(size.sum()) < min(self.least):
+            return
         spread = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        pos, item, diagonal = np.repeat(spot, size), self.whose[spread], np.repeat(spot, size) - self.where[spread]
-        out = []
-        enough = np.bincount(item, minlength=len(self.items)) >= np.array([min([x[3], *(p[3] for p in x[4])]) for x in self.items])
-        for i in np.flatnonzero(enough).tolist():
+        pos, item, where = np.repeat(spot, size), self.whose[spread], self.where[spread]
+        order = np.argsort(item, kind="stable")  # by item, and by text position in each
+        pos, item, where = pos[order], item[order], where[order]
+        begins = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])).tolist()
+        text = Flat(flat)
+        for low, high in zip(begins, [*begins[1:], len(item)]):
+            i = int(item[low])
+            if high - low < self.least[i]:
+                continue
             item_id, passage, budget, need, parts = self.items[i]
-            own = item == i
-            p, d = pos[own], diagonal[own]
-            whole = self._bands(flat, passage, budget, need, p, d)
+            p, w = pos[low:high], where[low:high]
+            whole = self._bands(text, passage, budget, need, p, p - w)
             pieces = []
-            for a, b, k, least in parts:
-                inside = (p - d >= a) & (p - d <= b - self.q)
-                if int(inside.sum()) >= least:
-                    pieces += [(*hit, a, b) for hit in self._bands(flat, passage[a:b], k, least, p[inside], d[inside] + a)]
-            pieces = [x for x in pieces if not any(min(x[1], e) - max(x[0], s) > (x[1] - x[0]) // 2 for s, e, _ in whole)]
-            out += [(item_id, *hit) for hit in whole + self._joined(flat, passage, pieces)]
-        return out
+            if len(parts):
+                on = np.sort(w)
+                inside = np.searchsorted(on, parts[:, 1] - self.q, "right") - np.searchsorted(on, parts[:, 0])
+                for a, b, k, least in parts[inside >= parts[:, 3]].tolist():
+                    own = (w >= a) & (w <= b - self.q)
+                    pieces += [(*hit, a, b) for hit in self._bands(text, passage.piece(a, b), k, least, p[own], p[own] - w[own] + a)]
+                covers = [(s, e) for s, e, _ in whole]
+                pieces = [x for x in pieces if not _mostly_in(x, covers)]
+            hits = whole + self._joined(text, passage, pieces)
+            if hits:
+                yield item_id, hits
 
     @staticmethod
-    def _joined(flat: str, passage: str, pieces: list[tuple]) -> list[tuple]:
+    def _joined(text: Flat, passage: Flat, pieces: list[tuple]) -> list[tuple]:
         """``(start, end, edits)`` of parts found, those that follow each other in text and passage as one."""
         rows: list[list[tuple]] = []
         for x in sorted(pieces, key=lambda x: (x[0], x[3])):
-            row = next((r for r in rows if x[0] <= r[-1][1] + 1 and x[3] > r[-1][3] and abs((x[0] - x[3]) - (r[-1][0] - r[-1][3])) <= x[2] + r[-1][2]), None)
+            # rows that ended before this part can take no other: parts come by their start
+            row = next((r for r in reversed(rows[-len(pieces) :]) if x[0] <= r[-1][1] + 1 and x[3] > r[-1][3] and abs((x[0] - x[3]) - (r[-1][0] - r[-1][3])) <= x[2] + r[-1][2]), None)
             if row is None:
                 rows.append([x])
             else:
@@ -246,33 +306,34 @@ class Index:
         out = []
         for row in rows:
             low, high, budget = row[0][0], max(x[1] for x in row), sum(x[2] for x in row)
-            hit = align(passage[row[0][3] : row[-1][4]], flat[low:high], budget) if len(row) > 1 else (row[0][2], 0, high - low)
-            out += [(low + hit[1], low + hit[2], hit[0])] if hit else [x[:3] for x in row]
+            hit = align(passage.codes[row[0][3] : row[-1][4]], text.codes[:high], low - budget, budget) if len(row) > 1 else (row[0][2], low, high)
+            out += [(hit[1], hit[2], hit[0])] if hit else [x[:3] for x in row]
         return out
 
-    def _bands(self, flat: str, passage: str, budget: int, need: int, pos: np.ndarray, diagonal: np.ndarray) -> list[tuple]:
-        width, reach = 2 * budget + 1, len(passage) + budget
-        found, done = [], []
+    @staticmethod
+    def _bands(text: Flat, passage: Flat, budget: int, need: int, pos: np.ndarray, diagonal: np.ndarray) -> list[tuple]:
+        """Occurrences on the bands whose hits reach the bound within a stretch as long as the passage may be."""
+        if len(pos) < need:
+            return []
+        m = len(passage.text)
+        width, reach = 2 * budget + 1, m + budget
+        bands = []
         for shift in (0, budget):  # every run of budget + 1 diagonals lies in a band of one of the two rows of bands
-            band = (diagonal + len(passage) + shift) // width
+            band = (diagonal + m + shift) // width
+            if int(np.bincount(band).max()) < need:
+                continue
             order = np.lexsort((pos, band))
             b, p = band[order], pos[order]
-            if len(p) < need:
-                continue
             last = np.arange(need - 1, len(p))
             dense = (b[last] == b[last - need + 1]) & (p[last] - p[last - need + 1] <= reach)
-            for k in np.flatnonzero(dense).tolist():
-                low = (int(b[k])) * width - len(passage) - shift
-                done.append((max(0, low - budget), min(len(flat), low + width + reach + budget)))
-        merged: list[list[int]] = []
-        for low, high in sorted(set(done)):
-            if merged and low <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], high)
-            else:
-                merged.append([low, high])
-        for low, high in merged:
-            found += occurrences(passage, flat, low, high, budget)
-        return found
+            bands += [x * width - m - shift for x in np.unique(b[last[dense]]).tolist()]
+        return verified(passage, text, bands, budget) if bands else []
+
+
+def _mostly_in(piece: tuple, covers: list[tuple[int, int]]) -> bool:
+    """Whether more than half of a part's place lies in one of the sorted occurrences."""
+    at = bisect(covers, (piece[0], piece[1]))
+    return any(min(piece[1], e) - max(piece[0], s) > (piece[1] - piece[0]) // 2 for s, e in covers[max(0, at - 2) : at + 2])
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
@@ -350,6 +411,6 @@ def _flag(held, q: int, edit_share: float):
         held_once("decontaminate")
         index = Index(held.value, q, edit_share)
         for texts in batches:
-            yield pd.Series([bool(index.find(t)) for t in texts], dtype=bool)
+            yield pd.Series([bool(index.find(t, first=True)) for t in texts], dtype=bool)
 
     return holds

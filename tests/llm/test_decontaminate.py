@@ -29,9 +29,61 @@ def test_alignment_is_the_edit_distance():
         p, t = _text(rng, 6), _text(rng, 20)
         cut = rng.randrange(len(t))
         t = t[:cut] + p[: len(p) // 2] + "x" + p[len(p) // 2 :] + t[cut:]
-        hit = D.align(p, t, 10)
-        assert hit is not None and hit[0] == _distance(p, t)
-        assert _distance(p, t[hit[1] : hit[2]]) == hit[0]
+        a, b = D.codes_of(p), D.codes_of(t)
+        hits = [h for h in (D.align(a, b, d, 10) for d in range(-20, len(t))) if h]
+        assert min(hits)[0] == _distance(p, t)
+        for edits, start, end in hits:
+            assert 0 <= start <= end <= len(t) and _distance(p, t[start:end]) <= edits
+
+
+def _on_band(p, t, first, budget):
+    """Least edits of p against a piece of t whose path stays on the band, cell by cell."""
+    best = {(0, j): 0 for j in range(max(0, first), min(len(t), first + 2 * budget) + 1)}
+    for i in range(len(p) + 1):
+        for j in range(max(0, first + i), min(len(t), first + i + 2 * budget) + 1):
+            ways = [best.get((i, j), 10**6), best.get((i - 1, j), 10**6) + 1, best.get((i, j - 1), 10**6) + 1]
+            if i and j:
+                ways.append(best.get((i - 1, j - 1), 10**6) + (p[i - 1] != t[j - 1]))
+            best[i, j] = min(ways)
+    return min((best.get((len(p), j), 10**6) for j in range(len(t) + 1)), default=10**6)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_banded_alignment_keeps_to_its_diagonals(seed):
+    rng = random.Random(seed)
+    p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(2))
+    for budget in (0, 1, 2, 4):
+        for first in range(-6, len(t) + 2):
+            hit = D.align(D.codes_of(p), D.codes_of(t), first, budget)
+            want = _on_band(p, t, first, budget)
+            assert (hit[0] if hit else None) == (want if want <= budget else None)
+
+
+def test_time_grows_with_repeats_not_their_square():
+    import time
+
+    rng = random.Random(1)
+    passage = _text(rng, 60)
+    index = D.Index([(1, passage)])
+
+    def seconds(n):
+        doc = (passage + " ") * n
+        at = time.process_time()
+        assert len(index.find(doc)) == n
+        return time.process_time() - at
+
+    seconds(5)
+    assert seconds(160) < 12 * max(seconds(20), 0.01)
+
+
+def test_items_that_are_not_hit_cost_nothing(monkeypatch):
+    rng = random.Random(2)
+    items = [(i, " ".join(f"{chr(97 + i % 26)}{i}{rng.randint(0, 10**9)}" for _ in range(40))) for i in range(50)]
+    index = D.Index(items)
+    looked = []
+    monkeypatch.setattr(D.Index, "_bands", staticmethod(lambda text, passage, *rest: looked.append(len(passage.text)) or []))
+    index.find(_text(rng, 10) + " " + items[7][1] + " " + _text(rng, 10))
+    assert set(looked) <= {len(items[7][1]), *(b - a for a, b in D.parts_of(items[7][1]))}
 
 
 @pytest.mark.parametrize("seed", range(3))
