@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spanpref.functions.draws import draw
 from spanpref.functions.numeric import sigmoid, softplus
-from spanpref.operators.tokens import IGNORE
+from spanpref.operators.tokens import IGNORE, number_batches
 
 
 @dataclass
@@ -118,9 +118,8 @@ def pair_losses(seq: DataFrame, p: LossParams = LossParams()) -> DataFrame:
 
 
 def batch_metrics(losses: DataFrame, p: LossParams = LossParams()) -> DataFrame:
-    """The nine logged metrics per (model, batch)."""
-    b = losses.withColumn("batch", F.floor(F.col("pair_id") / F.lit(p.batch_size)).cast("bigint"))
-    agg = b.groupBy("model", "batch").agg(
+    """The nine logged metrics per (model, batch) of ``batch_size`` consecutive pairs."""
+    agg = number_batches(losses, p.batch_size).groupBy("model", "batch").agg(
         F.avg("pref_loss").alias("loss_preference"),
         (F.avg("barrier") * F.lit(p.sft_barrier_weight)).alias("loss_barrier"),
         F.avg(F.exp("pi_c")).alias("policy_prob_chosen"),

@@ -1,33 +1,36 @@
-"""Token table for preference training.
+"""Token table for preference training.
 
 The reference builds these tensors inside its training collator; here they are
 one offline Spark job that writes a training-ready table, one row per pair
 with eight arrays (``{chosen,rejected}_{input_ids,attention_mask,labels,weights}``).
 
-Tokenizers are pluggable.  The default is a character tokenizer (id = code
-point, offsets = character positions, BOS at (0, 0)) written with built-in
-functions only, so the whole job stays in the JVM and is reproducible in SQL.
-:func:`regex_tokens` is an Arrow-batched pandas UDF (word/punctuation pieces
-with stable hashed ids) for vocabularies that need Python.
+Tokenizers are pluggable (:mod:`spanpref.operators.tokenizers`).  Token work runs in
+one Arrow pass over the pairs (:func:`token_sides`): a batch's texts are encoded
+together, ids, labels and weights are flat arrays, and a row's work is linear in
+its tokens and targets.  Padding needs each batch's longest row first; that comes
+from narrow rows of lengths, so token arrays are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from spanpref.functions.draws import let
-from spanpref.functions.jsonish import jsonish_values
+from spanpref.functions.jsonish import CODE_VALUE, SPAN_VALUE, SUBCODE_VALUE
+from spanpref.lineage import staged
+from spanpref.operators.numbering import number_rows
+from spanpref.operators.tokenizers import Tokenizer, TokenizerFactory, Tokens, factory_of
+from spanpref.operators.workers import held, new_key
 
-TOKEN_TYPE = ArrayType(StructType([StructField("id", IntegerType()), StructField("s", IntegerType()), StructField("e", IntegerType())]))
 IGNORE = -100
+SIDES = ("chosen", "rejected")
 
 
 @dataclass
@@ -47,361 +50,233 @@ class TokenParams:
     pad_id: int = 2
 
 
-# ---------------------------------------------------------------- tokenizers
-def chars(text: Column) -> Column:
-    return F.split(text, "")
-
-
-def char_tokens(text: Column, bos_id: int = 1) -> Column:
-    """Character tokenizer: BOS (0, 0) then one token per character (id = code point)."""
-    body = F.transform(
-        chars(text), lambda c, i: F.struct(F.ascii(c).alias("id"), i.alias("s"), (i + 1).alias("e"))
-    )
-    bos = F.array(F.struct(F.lit(bos_id).alias("id"), F.lit(0).alias("s"), F.lit(0).alias("e")))
-    return F.concat(bos, body)
-
-
-_PIECE = re.compile(r"\w+|[^\w\s]")
-
-
-def _regex_tokenize(text: str, vocab_size: int = 50000, n_special: int = 3) -> list[dict]:
-    out = [{"id": 1, "s": 0, "e": 0}]
-    for m in _PIECE.finditer(text or ""):
-        tid = n_special + zlib.crc32(m.group(0).encode("utf-8")) % (vocab_size - n_special)
-        out.append({"id": tid, "s": m.start(), "e": m.end()})
-    return out
-
-
-@pandas_udf(TOKEN_TYPE)
-def regex_tokens(text: pd.Series) -> pd.Series:
-    """word/punctuation tokenizer with offsets and stable crc32 ids (Arrow batches)."""
-    return text.map(_regex_tokenize)
-
-
-# ---------------------------------------------------------------- K steps
-def truncate_prompt(prompt: Column, max_prompt_length: int) -> Column:
-    """K1 (character tokenizer): keep the last ``max_prompt_length`` tokens of the prompt."""
-    return F.when(F.length(prompt) <= max_prompt_length, prompt).otherwise(F.right(prompt, F.lit(max_prompt_length)))
-
-
-def truncate_prompt_tokens(prompt: Column, max_prompt_length: int) -> Column:
-    """K1 (tokenizers with offsets): the text from the first of the last ``max_prompt_length`` tokens on."""
-
-    @pandas_udf("string")
-    def cut(text: pd.Series) -> pd.Series:
-        def one(t):
-            starts = [m.start() for m in _PIECE.finditer(t or "")]
-            return t if len(starts) <= max_prompt_length else t[starts[-max_prompt_length] :] if max_prompt_length else ""
-
-        return text.map(one)
-
-    return cut(prompt)
+def require_columns(df: DataFrame, needed=("prompt", "chosen", "rejected"), name: str = "train") -> None:
+    """Fail before any action when a required column is missing."""
+    missing = set(needed) - set(df.columns)
+    if missing:
+        raise ValueError(f"{name} dataset missing columns: {sorted(missing)}")
 
 
-def full_text(prompt: Column, answer: Column, p: TokenParams) -> Column:
+# ---------------------------------------------------------------- one row
+def full_text(prompt: str, answer: str, p: TokenParams) -> str:
     """K2: render system + user + assistant turns with the template."""
     parts = re.split(r"(\{system\}|\{prompt\}|\{answer\})", p.template)
-    cols = {"{system}": F.lit(p.system_prompt), "{prompt}": prompt, "{answer}": answer}
-    return F.concat(*[cols.get(x, F.lit(x)) for x in parts if x != ""])
-
-
-def rfind(s: Column, v: Column) -> Column:
-    """0-based start of the last occurrence of ``v`` in ``s``; -1 when absent.
-
-    The last occurrence in ``s`` is the first occurrence of ``reverse(v)`` in
-    ``reverse(s)``.
-    """
-    located = F.instr(F.reverse(s), F.reverse(v))
-    return F.when(located == 0, F.lit(-1)).otherwise(F.length(s) - located + 1 - F.length(v))
+    values = {"{system}": p.system_prompt, "{prompt}": prompt, "{answer}": answer}
+    return "".join(values.get(x, x) for x in parts)
 
 
-def answer_labels(tokens: Column, start: Column) -> Column:
-    """K4/F8: tokens starting before the answer are ignored; all ignored when absent."""
-    return F.transform(tokens, lambda t: F.when((start < 0) | (t["s"] < start), F.lit(IGNORE)).otherwise(t["id"]))
+_VALUES = tuple(re.compile(x) for x in (CODE_VALUE, SUBCODE_VALUE, SPAN_VALUE))
 
 
-def value_targets(answer: Column, base: Column, p: TokenParams) -> Column:
-    """K7/J9 targets: every (overlapping) occurrence of every Code / Sub-code / Span value
-    of the answer, as character intervals of the full text with their weight."""
+def values_by_weight(answer: str, p: TokenParams) -> dict[float, list[str]]:
+    """The different Code, Sub-code and Span values of an answer, by their weight."""
+    out: dict[float, dict[str, None]] = {}
+    for pattern, weight in zip(_VALUES, (p.weight_code_value, p.weight_subcode_value, p.weight_span_value)):
+        out.setdefault(weight, {}).update(dict.fromkeys(pattern.findall(answer)))
+    return {weight: list(values) for weight, values in out.items()}
 
-    def with_ans(ans):
-        n = F.size(ans)
 
-        def occurrences(values: Column, w: float) -> Column:
-            def per_value(v):
-                def with_vc(vc):
-                    lv = F.size(vc)
-                    starts = F.when(
-                        (lv > 0) & (lv <= n),
-                        F.filter(F.sequence(F.lit(0), n - lv), lambda i: F.slice(ans, i + 1, lv) == vc),
-                    ).otherwise(F.array().cast("array<int>"))
-                    return F.transform(
-                        starts, lambda i: F.struct((base + i).alias("s"), (base + i + lv).alias("e"), F.lit(w).alias("w"))
-                    )
-
-                return let(chars(v), with_vc)
-
-            return F.flatten(F.transform(values, per_value))
-
-        return let(
-            jsonish_values(answer),
-            lambda v: F.concat(
-                occurrences(v["code"], p.weight_code_value),
-                occurrences(v["subcode"], p.weight_subcode_value),
-                occurrences(v["span"], p.weight_span_value),
-            ),
-        )
-
-    return let(chars(answer), with_ans)
+def places_of(value: str, text: str) -> list[int]:
+    """Every place of ``value`` in ``text``, overlapping ones too."""
+    out, at = [], text.find(value)
+    while at >= 0:
+        out.append(at)
+        at = text.find(value, at + 1)
+    return out
 
 
-def first_position(text: Column, answer: Column, p: TokenParams) -> Column:
-    """K5 (character tokens): 0-based place of the answer's first occurrence whose tokens
-    all lie within ``max_length`` (BOS included); -1 when there is none or the answer is empty."""
-    at = F.instr(text, answer) - 1
-    return F.when((F.length(answer) > 0) & (at >= 0) & (at + F.length(answer) < p.max_length), at).otherwise(F.lit(-1))
+def covered(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of ``n`` tokens lie in one of the half-open runs: +1 where runs begin, -1 where they end, summed up."""
+    turns = np.zeros(n + 1, np.int64)
+    some = low < high
+    np.add.at(turns, low[some], 1)
+    np.add.at(turns, high[some], -1)
+    return np.cumsum(turns[:-1]) > 0
 
 
-def first_targets(text: Column, answer: Column, start: Column, p: TokenParams) -> Column:
-    """K8 (character tokens): of every value its first occurrence from the answer's start on."""
-    rest = F.substr(text, start + 1)
+def value_weights(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, answer: str, base: int, p: TokenParams) -> None:
+    """Raise the weights of tokens that overlap a value of the answer to the value's weight.
 
-    def marked(values: Column, w: float) -> Column:
-        def one(v):
-            at = F.instr(rest, v) - 1
-            inside = (F.length(v) > 0) & (at >= 0) & (start + at + F.length(v) < p.max_length)
-            return F.when(inside, F.struct((start + at).alias("s"), (start + at + F.length(v)).alias("e"), F.lit(w).alias("w")))
+    The tokens that overlap a value's place are one run, found by bisection; runs of one
+    weight are marked together, so the work is linear in tokens and places.  Tokens at
+    (0, 0) belong to no text.
+    """
+    real = np.flatnonzero((starts != 0) | (ends != 0))
+    begins, stops = starts[real], ends[real]
+    for weight, values in values_by_weight(answer, p).items():
+        runs = [(base + at, base + at + len(v)) for v in values for at in places_of(v, answer)]
+        if runs:
+            s, e = np.array(runs, np.int64).T
+            hit = real[covered(len(real), np.searchsorted(stops, s, "right"), np.searchsorted(begins, e, "left"))]
+            weights[hit] = np.maximum(weights[hit], weight)
 
-        return F.filter(F.transform(values, one), lambda t: t.isNotNull())
 
-    return let(
-        jsonish_values(answer),
-        lambda v: F.concat(marked(v["code"], p.weight_code_value), marked(v["subcode"], p.weight_subcode_value), marked(v["span"], p.weight_span_value)),
-    )
+def first_run(ids: bytes, needle: bytes, start: int = 0) -> int:
+    """The first place from ``start`` on where the ids of ``needle`` stand in a row (both as 32-bit bytes); -1 if nowhere."""
+    at = ids.find(needle, 4 * start) if needle else -1
+    while at % 4 and at >= 0:
+        at = ids.find(needle, at + 1)
+    return at // 4 if at >= 0 else -1
 
 
-def value_weights(tokens: Column, labels: Column, targets: Column) -> Column:
-    """K6 + K7: 0 for ignored tokens, else the max of 1 and every overlapping target weight.
+class Side:
+    """K3-K8 of one answer: ids, labels, weights and the answer's start.
 
-    ``tokens``, ``labels`` and ``targets`` must be bound values (lambda
-    variables), not expressions: they are read once per token.
-    """
-    return F.transform(
-        tokens,
-        lambda t, i: F.when(F.get(labels, i) == IGNORE, F.lit(0.0))
-        .when((t["s"] == 0) & (t["e"] == 0), F.lit(1.0))
-        .otherwise(
-            F.aggregate(
-                targets,
-                F.lit(1.0),
-                lambda acc, x: F.when((t["s"] < x["e"]) & (t["e"] > x["s"]), F.greatest(acc, x["w"])).otherwise(acc),
-            )
-        ),
-    )
-
-
-def _supervised_positions(labels: Column) -> Column:
-    return F.filter(F.transform(labels, lambda x, i: F.when(x != IGNORE, i)), lambda i: i.isNotNull())
-
-
-def diff_weights(ids: Column, labels: Column, weights: Column, o_ids: Column, o_labels: Column, w_diff: float) -> Column:
-    """From each answer start, position k of both sides; where the ids differ
-    (both supervised) the weight is multiplied by ``w_diff``.  Arguments must be
-    bound values (lambda variables)."""
-
-    def body(st):
-        return F.transform(
-            weights,
-            lambda w, i: F.when(
-                st["c0"].isNotNull() & st["r0"].isNotNull() & (i >= st["c0"]) & (i < st["c0"] + st["L"])
-                & (F.get(labels, i) != IGNORE)
-                & (F.get(o_labels, i - st["c0"] + st["r0"]) != IGNORE)
-                & (F.get(ids, i) != F.get(o_ids, i - st["c0"] + st["r0"])),
-                w * F.lit(w_diff),
-            ).otherwise(w),
-        )
-
-    def with_sup(sup):
-        stats = F.struct(
-            F.get(sup["c"], 0).alias("c0"),
-            F.get(sup["r"], 0).alias("r0"),
-            F.least(F.size(sup["c"]), F.size(sup["r"])).alias("L"),
-        )
-        return let(stats, body)
-
-    return let(F.struct(_supervised_positions(labels).alias("c"), _supervised_positions(o_labels).alias("r")), with_sup)
-
-
-def side_struct(text: Column, answer: Column, p: TokenParams, tokenizer: str = "char") -> Column:
-    """K3-K7 for one side as one bound expression:
-    ``STRUCT<ids, labels, weights, start>`` (weights before the diff step)."""
-    tok_fn = (lambda t: char_tokens(t, p.bos_id)) if tokenizer == "char" else regex_tokens
-
-    def with_tok(tok):
-        def with_start(start):
-            def with_labels(labels):
-                targets = F.when(start >= 0, value_targets(answer, start, p)).otherwise(
-                    F.array().cast("array<struct<s:int,e:int,w:double>>")
-                )
-                return let(
-                    targets,
-                    lambda tg: F.struct(
-                        F.transform(tok, lambda t: t["id"]).alias("ids"),
-                        labels.alias("labels"),
-                        value_weights(tok, labels, tg).alias("weights"),
-                        start.alias("start"),
-                    ),
-                )
-
-            return let(answer_labels(tok, start), with_labels)
-
-        return let(rfind(text, answer), with_start)
-
-    return let(F.slice(tok_fn(text), 1, p.max_length), with_tok)
-
-
-def _char_side(text: Column, answer: Column, p: TokenParams, offsets: bool = True) -> Column:
-    """Character-tokenizer fast path of :func:`side_struct`.
-
-    Token k (k >= 1) covers character k-1, so offsets are implicit.  The masked
-    prefix (BOS + everything before the answer) is built with ``array_repeat``;
-    per-token lambdas run only over the supervised tail.  Same result as the
-    general path (tested), a fraction of the work: prompts are long, answers short.
+    The start is a character; without offsets a token, the ``head`` special ones before the text not counted.
     """
 
-    def with_ids(ids):
-        n = F.size(ids)
-
-        def with_start(start):
-            m = F.when(start < 0, n).otherwise(F.least(start + 1, n))
-
-            def with_m(m):
-                tail_idx = F.when(m < n, F.sequence(m, n - 1)).otherwise(F.array().cast("array<int>"))
-                found = value_targets(answer, start, p) if offsets else first_targets(text, answer, start, p)
-                targets = F.when(start >= 0, found).otherwise(
-                    F.array().cast("array<struct<s:int,e:int,w:double>>")
-                )
-                w_tail = let(
-                    targets,
-                    lambda tg: F.transform(
-                        tail_idx,
-                        lambda k: F.when(k == 0, F.lit(1.0)).otherwise(
-                            F.aggregate(
-                                tg,
-                                F.lit(1.0),
-                                lambda acc, x: F.when((k - 1 < x["e"]) & (k > x["s"]), F.greatest(acc, x["w"])).otherwise(acc),
-                            )
-                        ),
-                    ),
-                )
-                return F.struct(
-                    ids.alias("ids"),
-                    F.concat(F.array_repeat(F.lit(IGNORE), m), F.slice(ids, m + 1, n - m)).alias("labels"),
-                    w_tail.alias("w_tail"),
-                    m.alias("m"),
-                    start.alias("start"),
-                )
-
-            return let(m, with_m)
-
-        return let(rfind(text, answer) if offsets else first_position(text, answer, p), with_start)
-
-    ids = F.slice(F.concat(F.array(F.lit(p.bos_id)), F.transform(chars(text), lambda c: F.ascii(c))), 1, p.max_length)
-    return let(ids, with_ids)
-
-
-def _char_finish(c: Column, r: Column, p: TokenParams) -> Column:
-    """K9 on the supervised tails (positional; all tail tokens are supervised)."""
-    use_diff = bool(p.weight_diff_tokens and p.weight_diff_tokens > 1.0)
-
-    def tail_weights(a, b):
-        if not use_diff:
-            return a["w_tail"]
-        la, lb = F.size(a["w_tail"]), F.size(b["w_tail"])
-        L = F.least(la, lb)
-        differs = F.zip_with(F.slice(a["ids"], a["m"] + 1, L), F.slice(b["ids"], b["m"] + 1, L), lambda x, y: x != y)
-        return let(
-            differs,
-            lambda d: F.transform(
-                a["w_tail"], lambda w, j: F.when(F.coalesce(F.get(d, j), F.lit(False)), w * F.lit(p.weight_diff_tokens)).otherwise(w)
-            ),
-        )
-
-    def full(a, w_tail):
-        return F.concat(F.array_repeat(F.lit(0.0), a["m"]), w_tail)
-
-    return F.struct(
-        c["ids"].alias("chosen_ids"), c["labels"].alias("chosen_labels"), full(c, tail_weights(c, r)).alias("chosen_weights"),
-        c["start"].alias("chosen_start"), c["m"].alias("chosen_m"),
-        r["ids"].alias("rejected_ids"), r["labels"].alias("rejected_labels"), full(r, tail_weights(r, c)).alias("rejected_weights"),
-        r["start"].alias("rejected_start"), r["m"].alias("rejected_m"),
-    )
-
-
-def token_sides(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str = "char", offsets: bool = True) -> DataFrame:
-    """K1-K9 per pair: ids, labels and weights of both sides (unpadded, double
-    weights), plus ``*_m``, the index of the first supervised token.
-
-    ``offsets=False`` (character tokens): as for a tokenizer without an offset map,
-    the answer is the first run of its tokens (K5) and a value counts where its
-    tokens first occur in it (K8)."""
-    if not offsets and tokenizer != "char":
-        raise ValueError("tokens without offsets are searched for the character tokenizer only")
-    cut = truncate_prompt if tokenizer == "char" else truncate_prompt_tokens
-    prompt = cut(F.col("prompt"), p.max_prompt_length)
-    df = pairs.select("model", "pair_id", prompt.alias("_prompt"), "chosen", "rejected")
-    if tokenizer == "char":
-        df = df.select(
-            "model",
-            "pair_id",
-            _char_side(full_text(F.col("_prompt"), F.col("chosen"), p), F.col("chosen"), p, offsets).alias("c"),
-            _char_side(full_text(F.col("_prompt"), F.col("rejected"), p), F.col("rejected"), p, offsets).alias("r"),
-        )
-        df = df.select("model", "pair_id", let(F.struct("c", "r"), lambda b: _char_finish(b["c"], b["r"], p)).alias("t"))
-        return df.select("model", "pair_id", "t.*")
-    df = df.select(
-        "model",
-        "pair_id",
-        side_struct(full_text(F.col("_prompt"), F.col("chosen"), p), F.col("chosen"), p, tokenizer).alias("c"),
-        side_struct(full_text(F.col("_prompt"), F.col("rejected"), p), F.col("rejected"), p, tokenizer).alias("r"),
-    )
-    use_diff = bool(p.weight_diff_tokens and p.weight_diff_tokens > 1.0)
-
-    def finish(b):
-        c, r = b["c"], b["r"]
-        cw = diff_weights(c["ids"], c["labels"], c["weights"], r["ids"], r["labels"], p.weight_diff_tokens) if use_diff else c["weights"]
-        rw = diff_weights(r["ids"], r["labels"], r["weights"], c["ids"], c["labels"], p.weight_diff_tokens) if use_diff else r["weights"]
-        first = lambda lab: F.coalesce(F.get(_supervised_positions(lab), 0), F.size(lab))
-        return F.struct(
-            c["ids"].alias("chosen_ids"), c["labels"].alias("chosen_labels"), cw.alias("chosen_weights"),
-            c["start"].alias("chosen_start"), first(c["labels"]).alias("chosen_m"),
-            r["ids"].alias("rejected_ids"), r["labels"].alias("rejected_labels"), rw.alias("rejected_weights"),
-            r["start"].alias("rejected_start"), first(r["labels"]).alias("rejected_m"),
-        )
-
-    df = df.select("model", "pair_id", let(F.struct("c", "r"), finish).alias("t"))
-    return df.select("model", "pair_id", "t.*")
-
-
-def pad_batches(sides: DataFrame, p: TokenParams = TokenParams()) -> DataFrame:
-    """Right-pad both sides to the batch's joint max length and cast.
-
-    Batches are consecutive pair ids (``pair_id div batch_size``) per model; with
-    batch size 1 (the training default) no window is needed at all.
+    def __init__(self, ids: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None, text: str, answer: str, tok: Tokenizer, p: TokenParams, head: int = 0):
+        self.ids, n = ids, len(ids)
+        if starts is not None:
+            self.start = text.rfind(answer)
+            masked = starts < self.start if self.start >= 0 else np.ones(n, bool)
+        else:
+            flat = ids.astype("<i4").tobytes()
+            at = first_run(flat, tok.encode([answer], special=False).ids.astype("<i4").tobytes())
+            self.start = at - head if at >= 0 else -1
+            masked = np.arange(n) < at if at >= 0 else np.ones(n, bool)
+        self.labels = np.where(masked, IGNORE, ids)
+        self.weights = np.where(masked, 0.0, 1.0)
+        open_ = np.flatnonzero(~masked)
+        self.m = int(open_[0]) if len(open_) else n
+        self.supervised = len(open_)
+        if not len(open_):
+            return
+        if starts is not None:
+            value_weights(self.weights, starts, ends, answer, self.start, p)
+        else:
+            for weight, values in values_by_weight(answer, p).items():
+                found = tok.encode(values, special=False)
+                for k in range(len(values)):
+                    needle = found.of(k)[0]
+                    at = first_run(flat, needle.astype("<i4").tobytes(), self.m)
+                    if at >= 0:
+                        self.weights[at : at + len(needle)] = np.maximum(self.weights[at : at + len(needle)], weight)
+        self.weights[masked] = 0.0
+
+
+def weigh_differences(c: Side, r: Side, factor: float) -> None:
+    """From each answer's first token on, side by side; where the ids differ both weigh more."""
+    if not factor or factor <= 1.0:
+        return
+    n = min(c.supervised, r.supervised)
+    a, b = slice(c.m, c.m + n), slice(r.m, r.m + n)
+    unlike = (c.ids[a] != r.ids[b]) & (c.labels[a] != IGNORE) & (r.labels[b] != IGNORE)
+    for side, at in ((c, a), (r, b)):
+        side.weights[at] = np.where(unlike, side.weights[at] * factor, side.weights[at])
+
+
+# ---------------------------------------------------------------- the Arrow pass
+def _texts(batch: pa.RecordBatch, tok: Tokenizer, p: TokenParams) -> tuple[list[list[str]], list[list[str]]]:
+    """K1/K2: answers and rendered texts of both sides of a batch; null texts are empty."""
+    columns = {name: [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()] for name in ("prompt", *SIDES)}
+    prompts = [tok.tail(x, p.max_prompt_length) for x in columns["prompt"]]
+    answers = [columns[s] for s in SIDES]
+    return answers, [[full_text(x, a, p) for x, a in zip(prompts, side)] for side in answers]
+
+
+def _encoded(texts: list[str], tok: Tokenizer, offsets: bool) -> Tokens:
+    found = tok.encode(texts)
+    return found if offsets else Tokens(found.ids, None, None, found.first)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
+
+
+def token_sides(
+    pairs: DataFrame,
+    p: TokenParams = TokenParams(),
+    tokenizer: str | TokenizerFactory = "char",
+    offsets: bool = True,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """K1-K9 per pair: ids, labels and weights of both sides (unpadded, double weights),
+    the answers' starts, plus ``*_m``, the index of the first supervised token.
+
+    ``offsets=False``, or a tokenizer without an offset map: the answer is the first run of
+    its tokens (K5), and a value counts where its tokens first occur from there on (K8).
+    ``keep``: columns of ``pairs`` to carry along.
+    """
+    require_columns(pairs)
+    factory, key = factory_of(tokenizer), new_key()
+    narrow = pairs.select("model", "pair_id", *keep, "prompt", *SIDES)
+    fields = [narrow.schema[c] for c in ("model", "pair_id", *keep)]
+    ints, doubles = ArrayType(IntegerType()), ArrayType(DoubleType())
+    for s in SIDES:
+        kinds = {"ids": ints, "labels": ints, "weights": doubles, "start": IntegerType(), "m": IntegerType()}
+        fields += [StructField(f"{s}_{name}", kind) for name, kind in kinds.items()]
+    schema = StructType(fields)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = held("tokenizer", key, factory)
+        head = len(tok.encode([""]).ids)
+        for batch in _slices(batches):
+            answers, texts = _texts(batch, tok, p)
+            tokens = [_encoded(side, tok, offsets) for side in texts]
+            rows = []
+            for i in range(batch.num_rows):
+                c, r = (Side(*tokens[k].of(i, p.max_length), texts[k][i], answers[k][i], tok, p, head) for k in (0, 1))
+                weigh_differences(c, r, p.weight_diff_tokens)
+                rows.append((c, r))
+            columns = [batch.column(k) for k in range(2 + len(keep))]
+            for side in zip(*rows):
+                columns += [_lists([x.ids for x in side], pa.int32()), _lists([x.labels for x in side], pa.int32()), _lists([x.weights for x in side], pa.float64())]
+                columns += [pa.array([x.start for x in side], pa.int32()), pa.array([x.m for x in side], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return narrow.mapInArrow(run, schema)
+
+
+def token_lengths(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str | TokenizerFactory = "char") -> DataFrame:
+    """``(model, pair_id, longest)``: the number of tokens of a pair's longer side."""
+    factory, key = factory_of(tokenizer), new_key()
+    narrow = pairs.select("model", "pair_id", "prompt", *SIDES)
+    schema = StructType([narrow.schema["model"], narrow.schema["pair_id"], StructField("longest", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = held("tokenizer", key, factory)
+        for batch in _slices(batches):
+            _, texts = _texts(batch, tok, p)
+            sizes = [np.diff(tok.encode(side).first) for side in texts]
+            longest = np.minimum(np.maximum(*sizes), p.max_length)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(longest, pa.int32())], schema.names)
+
+    return narrow.mapInArrow(run, schema)
+
+
+def number_batches(rows: DataFrame, batch_size: int) -> DataFrame:
+    """``rows`` (narrow) with ``batch``: the row's number in its model by pair_id, ``div batch_size``."""
+    numbered = number_rows(rows, "model", "pair_id", "_number")
+    return numbered.withColumn("batch", F.expr(f"_number div {int(batch_size)}")).drop("_number")
+
+
+def pad_batches(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str | TokenizerFactory = "char", offsets: bool = True) -> DataFrame:
+    """Batches of ``batch_size`` consecutive pairs of a model, both sides padded to the batch's longest, cast.
+
+    Lengths, batches and their longest rows are worked out on narrow rows and joined to the
+    pairs' texts; the token arrays are made after that join and padded where they are made.
     """
-    longest = F.greatest(F.size("chosen_ids"), F.size("rejected_ids"))
-    df = sides.withColumn("batch", F.floor(F.col("pair_id") / F.lit(p.batch_size)).cast("bigint"))
-    if p.batch_size == 1:
-        df = df.withColumn("max_len", longest)
-    else:
-        df = df.withColumn("max_len", F.max(longest).over(Window.partitionBy("model", "batch")))
+    require_columns(pairs)
+    texts = staged(pairs.select("model", "pair_id", "prompt", *SIDES), "pairs")
+    batches = staged(number_batches(token_lengths(texts, p, tokenizer), p.batch_size), "batches")
+    longest = batches.groupBy("model", "batch").agg(F.max("longest").alias("max_len"))
+    placed = batches.drop("longest").join(longest, ["model", "batch"])
+    df = token_sides(texts.join(placed, ["model", "pair_id"]), p, tokenizer, offsets, keep=("batch", "max_len"))
 
     def pad(a: Column, val) -> Column:
         return F.concat(a, F.array_repeat(val, F.col("max_len") - F.size(a)))
 
-    out = df.select("model", "pair_id", "batch", "max_len")
     cols = []
-    for side in ("chosen", "rejected"):
+    for side in SIDES:
         ids, lab, w = F.col(f"{side}_ids"), F.col(f"{side}_labels"), F.col(f"{side}_weights")
         cols += [
             pad(ids, F.lit(p.pad_id)).cast("array<bigint>").alias(f"{side}_input_ids"),
@@ -410,10 +285,3 @@ def pad_batches(sides: DataFrame, p: TokenParams = TokenParams()) -> DataFrame:
             pad(w, F.lit(0.0)).cast("array<float>").alias(f"{side}_weights"),
         ]
     return df.select("model", "pair_id", "batch", "max_len", *cols)
-
-
-def require_columns(df: DataFrame, needed=("prompt", "chosen", "rejected"), name: str = "train") -> None:
-    """Fail before any action when a required column is missing."""
-    missing = set(needed) - set(df.columns)
-    if missing:
-        raise ValueError(f"{name} dataset missing columns: {sorted(missing)}")
