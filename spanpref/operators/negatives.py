@@ -264,21 +264,24 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
     ``dims``: :func:`confusion_dims`, one row per model; ``models`` restricts the
     models generated for (default: every model in ``dims``); one of them that has
     no dimensions still gets its missing, spurious and forced negatives.  Examples fan out to
-    models and negatives in-row, so gold is read and parsed once.
+    models and negatives in-row, so gold is read and parsed once; the dimensions are a
+    constant each row reads its model's entry of, and are in no explode's output.
     """
     seed = params.seed
     if models is not None:
         wanted = dims.sparkSession.createDataFrame([(m,) for m in models], "model string")
         dims = wanted.join(dims, "model", "left")
     empty_map = F.create_map().cast(f"map<string,{CONF_TYPE}>")
-    df = gold.select("ex_id", "query", "answer", "gold", F.explode(F.map_entries(all_dims(dims))).alias("md"))
+    # one constant, read by key: rows fan out with the model's name alone
+    constant = all_dims(dims)
+    df = gold.select("ex_id", "query", "answer", "gold", F.explode(F.map_keys(constant)).alias("model"))
+    df = df.withColumn("dim", F.element_at(constant, F.col("model")))
     df = df.select(
-        "ex_id", "query", "answer", "gold",
-        F.col("md.key").alias("model"),
-        F.coalesce(F.col("md.value.sub_conf"), empty_map).alias("sub_conf"),
-        F.coalesce(F.col("md.value.code_conf"), empty_map).alias("code_conf"),
-        F.coalesce(F.col("md.value.bag"), F.array().cast("array<string>")).alias("bag"),
-        F.coalesce(F.col("md.value.gt_codes"), F.array().cast("array<string>")).alias("gt_codes"),
+        "ex_id", "query", "answer", "gold", "model",
+        F.coalesce(F.col("dim.sub_conf"), empty_map).alias("sub_conf"),
+        F.coalesce(F.col("dim.code_conf"), empty_map).alias("code_conf"),
+        F.coalesce(F.col("dim.bag"), F.array().cast("array<string>")).alias("bag"),
+        F.coalesce(F.col("dim.gt_codes"), F.array().cast("array<string>")).alias("gt_codes"),
     )
     sub_conf, code_conf = F.col("sub_conf"), F.col("code_conf")
     # eligibility does not depend on the negative index: compute it before the fan-out
@@ -303,11 +306,11 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
     for s in names:
         df = df.withColumn(f"_w_{s}", F.when(elig[s], F.lit(w[s])).otherwise(F.lit(0)))
     df = df.withColumn("total_w", sum(F.col(f"_w_{s}") for s in names))
-    # Fan out to negatives_per_sample rows (in-row, no join)
-    df = df.withColumn("neg_idx", F.explode(F.sequence(F.lit(0), F.lit(params.negatives_per_sample - 1))))
-
     purposes = ("gate", "pick", "pos", "lab", "sub", "g4gate", "pos2", "lab2", "miss", "x1", "x2", "x3", "sp1", "sp2")
-    draws = F.struct(*[draw(seed, F.col("model"), F.col("ex_id"), F.col("neg_idx"), p).alias(p) for p in purposes])
+
+    def draws(k):
+        return F.struct(*[draw(seed, F.col("model"), F.col("ex_id"), k, p).alias(p) for p in purposes])
+
     g = F.col("gold")
     code_pos, sub_pos = F.col("code_pos"), F.col("sub_pos")
     has_code = F.size(code_pos) > 0
@@ -424,14 +427,20 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
 
         return let(pick_strategy(u), with_drawn)
 
-    df = df.withColumn("res", let(draws, result))
+    # All negatives of an example are made in its row and then fanned out, so that only
+    # they, not what they were drawn from, go through the explode
+    def negative(k):
+        return let(let(draws(k), result), lambda res: F.struct(k.alias("neg_idx"), res["rejected"].alias("rejected"), res["strategy"].alias("strategy")))
+
+    made = F.transform(F.sequence(F.lit(0), F.lit(params.negatives_per_sample - 1)), negative)
+    df = df.withColumn("made", made).select("model", "ex_id", "query", "answer", "gold", F.explode("made").alias("n"))
     return df.select(
         "model",
         "ex_id",
-        "neg_idx",
+        F.col("n.neg_idx").alias("neg_idx"),
         "query",
         "answer",
         "gold",
-        F.col("res.rejected").alias("rejected"),
-        F.col("res.strategy").alias("strategy"),
+        F.col("n.rejected").alias("rejected"),
+        F.col("n.strategy").alias("strategy"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanpref.functions.jsonish import annotations_json
 from spanpref.functions.text import context_struct, first_current_sentence, pct
+from spanpref.functions import vocab
 from spanpref.operators.negatives import STRATEGIES, GeneratorParams, identical
 
 VERSION = "spanpref-1"
@@ -19,7 +20,8 @@ def assemble_pairs(neg: DataFrame, params: GeneratorParams = GeneratorParams())
 
     ``chosen`` and ``rejected`` are serialised by the same ``to_json`` so the
     string test (F2) compares content, not formatting (H8); the gold text is
-    kept as ``chosen_raw``.
+    kept as ``chosen_raw``.  ``valid_labels`` tells whether every rejected (code,
+    sub-code) is of the hierarchy (H13: the fallback labels are not).
     """
     ctx = context_struct(F.col("query"))
     out = neg.select(
@@ -37,6 +39,7 @@ def assemble_pairs(neg: DataFrame, params: GeneratorParams = GeneratorParams())
         ctx.alias("context"),
         "gold",
         F.col("rejected").alias("rejected_annotations"),
+        F.forall("rejected", lambda a: F.coalesce(vocab.is_valid_pair(a["code"], a["sub_code"]), F.lit(False))).alias("valid_labels"),
     )
     meta = F.struct("strategy", "context", "num_chosen", "num_rejected")
     return out.withColumn("metadata", F.to_json(meta))
@@ -71,6 +74,40 @@ def strategy_distribution(pairs: DataFrame) -> DataFrame:
     return per.select("model", "strategy", "count", pct(F.col("count"), total).alias("pct"))
 
 
+def strategy_ranking(pairs: DataFrame) -> DataFrame:
+    """T4: a model's strategies in descending order of their count (ties by name), with their place."""
+    order = Window.partitionBy("model").orderBy(F.desc("count"), "strategy")
+    ranked = strategy_distribution(pairs).withColumn("place", F.row_number().over(order))
+    return ranked.orderBy("model", "place")
+
+
+def validity_report(pairs: DataFrame) -> DataFrame:
+    """Pairs per strategy, and those with a rejected label pair outside the hierarchy."""
+    return pairs.groupBy("model", "strategy").agg(F.count("*").alias("n_pairs"), F.count_if(~F.col("valid_labels")).alias("n_invalid"))
+
+
+def text_previews(pairs: DataFrame) -> DataFrame:
+    """The beginnings the reference's reports show of every pair: 300 characters of the answers, 70 of
+    every span, 50 of the spans added and removed, 40 of those whose labels changed."""
+    c, r = F.col("gold"), F.col("rejected_annotations")
+
+    def spans(annotations, n):
+        return F.array_join(F.transform(annotations, lambda a: F.left(a["span"], F.lit(n))), "|")
+
+    changed = F.filter(c, lambda a: F.exists(r, lambda b: (b["span"] == a["span"]) & ((b["code"] != a["code"]) | (b["sub_code"] != a["sub_code"]))))
+    return pairs.select(
+        "model",
+        "pair_id",
+        F.left("chosen", F.lit(300)).alias("chosen_300"),
+        F.left("rejected", F.lit(300)).alias("rejected_300"),
+        spans(c, 70).alias("chosen_spans_70"),
+        spans(r, 70).alias("rejected_spans_70"),
+        spans(F.array_sort(F.array_except(r, c)), 50).alias("added_spans_50"),
+        spans(F.array_sort(F.array_except(c, r)), 50).alias("removed_spans_50"),
+        spans(changed, 40).alias("changed_spans_40"),
+    )
+
+
 def pair_diff_counts(pairs: DataFrame) -> DataFrame:
     """Triples added and removed, and code / sub-code changes on equal spans.
 
@@ -140,6 +177,9 @@ __all__ = [
     "drop_identical",
     "identical_filter_report",
     "strategy_distribution",
+    "strategy_ranking",
+    "validity_report",
+    "text_previews",
     "pair_diff_counts",
     "preview",
     "run_config",

@@ -123,14 +123,15 @@ def prediction_dump():
     return _with(S.eval_ctes(), S.labsets_cte()) + f"SELECT model, ex_id, {cols}, pred_text AS raw_pred_text FROM ls"
 
 
-def _pref_with():
+def _pref_with(params=None):
     from spanpref.operators.negatives import SECOND_CONFUSION_GATE
     from spanpref.plans.queries import PARAMS
 
+    p = params or PARAMS
     return _with(
         S.eval_ctes(), S.labsets_cte(), S.conf_table_cte(),
-        S.negatives_ctes(PARAMS.seed, PARAMS.negatives_per_sample, PARAMS.strategies, PARAMS.max_attempts, SECOND_CONFUSION_GATE),
-        S.pairs_cte(PARAMS.negatives_per_sample),
+        S.negatives_ctes(p.seed, p.negatives_per_sample, p.strategies, p.max_attempts, SECOND_CONFUSION_GATE),
+        S.pairs_cte(p.negatives_per_sample),
     )
 
 
@@ -203,6 +204,70 @@ def pair_metadata():
   'num_chosen': num_chosen, 'num_rejected': num_rejected}})::VARCHAR AS metadata FROM pairs"""
 
 
+def strategy_ranking():
+    return _pref_with() + f"""SELECT s.model, s.strategy, s.count, round(coalesce(100.0 * s.count / nullif(e.emitted, 0), 0.0), {R}) AS pct,
+  row_number() OVER (PARTITION BY s.model ORDER BY s.count DESC, s.strategy)::BIGINT AS place
+FROM (SELECT model, strategy, count(*)::BIGINT AS count FROM pairs GROUP BY ALL) s
+LEFT JOIN (SELECT model, count(*) AS emitted FROM pairs WHERE chosen <> rejected GROUP BY model) e USING (model)"""
+
+
+def forced_fallbacks():
+    from spanpref.plans.queries import FORCED
+
+    return _pref_with(FORCED) + "SELECT model, pair_id, strategy, rejected FROM pairs"
+
+
+def quarantine_report():
+    return _pref_with() + """SELECT CASE WHEN gold_strict THEN 'results_not_a_list' ELSE 'invalid_json' END AS reason, count(*)::BIGINT AS n_rows,
+  min(ex_id) AS first_ex_id, max(ex_id) AS last_ex_id FROM pg WHERE NOT (gold_strict AND gold_si IS NOT NULL) GROUP BY 1"""
+
+
+def pair_validity():
+    ok = S.is_valid("a.code", "a.sub_code")
+    return _pref_with() + f"""SELECT model, strategy, count(*)::BIGINT AS n_pairs,
+  count(*) FILTER (WHERE len(list_filter(rejected_annotations, lambda a: NOT coalesce({ok}, false))) > 0)::BIGINT AS n_invalid
+FROM pairs GROUP BY ALL"""
+
+
+def pair_text_previews():
+    def spans(arr, n):
+        return f"array_to_string(list_transform({arr}, lambda a: left(a.span, {n})), '|')"
+
+    def less(a, b):
+        return f"list_sort(list_distinct(list_filter({a}, lambda x: NOT list_contains({b}, x))))"
+
+    changed = "list_filter(gold, lambda a: len(list_filter(rejected_annotations, lambda b: b.span = a.span AND (b.code <> a.code OR b.sub_code <> a.sub_code))) > 0)"
+    return _pref_with() + f"""SELECT model, pair_id, left(chosen, 300) AS chosen_300, left(rejected, 300) AS rejected_300,
+  {spans('gold', 70)} AS chosen_spans_70, {spans('rejected_annotations', 70)} AS rejected_spans_70,
+  {spans(less('rejected_annotations', 'gold'), 50)} AS added_spans_50, {spans(less('gold', 'rejected_annotations'), 50)} AS removed_spans_50,
+  {spans(changed, 40)} AS changed_spans_40 FROM pairs"""
+
+
+def first_examples():
+    return _with(S.fixture_ctes()) + "SELECT ex_id, query, answer FROM fx_ex ORDER BY ex_id LIMIT 100"
+
+
+def confusion_csv():
+    return _with(S.eval_ctes(), S.labsets_cte(), S.conf_table_cte()) + "SELECT model, kind, gt, pred, cnt FROM conf"
+
+
+def generated_predictions():
+    from spanpref.plans.queries import STUB_ANSWER
+
+    before, after = STUB_ANSWER.split("%s")
+    return _with(S.fixture_ctes()) + f"SELECT 'stub' AS model, ex_id, {q(before)} || md5(query) || {q(after)} AS pred_text FROM fx_ex"
+
+
+def pairs_sink():
+    return f"SELECT p.model, p.pair_id, p.prompt, p.chosen, p.rejected, m.metadata, p.strategy FROM ({preference_pairs()}) p JOIN ({pair_metadata()}) m USING (model, pair_id)"
+
+
+def token_weights_words_no_offsets():
+    from spanpref.plans.queries import TOKEN_PARAMS
+
+    return _weights_of(_pref_with().rstrip() + ",\n" + S.word_token_ctes(TOKEN_PARAMS) + "\n", "CASE WHEN {pre}_start < 0 THEN -1 ELSE {pre}_start - 1 END")
+
+
 def _token_with(with_loss: bool = False, offsets: bool = True):
     import math
 
@@ -225,15 +290,19 @@ def token_labels():
 
 
 def token_weights(offsets: bool = True):
+    return _weights_of(_token_with(offsets=offsets))
+
+
+def _weights_of(ctes: str, start: str = "{pre}_start"):
     parts = []
     for side, pre in (("chosen", "c"), ("rejected", "r")):
         parts.append(
-            f"""SELECT model, pair_id, '{side}' AS side, len({pre}_ids)::BIGINT AS n_tokens, {pre}_start::BIGINT AS answer_start,
+            f"""SELECT model, pair_id, '{side}' AS side, len({pre}_ids)::BIGINT AS n_tokens, ({start.format(pre=pre)})::BIGINT AS answer_start,
   len(list_filter({pre}_lab, lambda x: x <> -100))::BIGINT AS n_supervised,
   len(list_filter({pre}_w, lambda x: x > 1.0))::BIGINT AS n_upweighted,
   round(list_reduce({pre}_w, lambda a, x: a + x, 0.0::DOUBLE), 4) AS weight_sum FROM tk"""
         )
-    return _token_with(offsets=offsets) + "\nUNION ALL\n".join(parts)
+    return ctes + "\nUNION ALL\n".join(parts)
 
 
 def padded_batches():
@@ -300,6 +369,20 @@ def oracle_sql() -> dict[str, str]:
         "padded_batches": padded_batches(),
         "sequence_logp": sequence_logp(),
         "preference_loss_metrics": preference_loss_metrics(),
+        "strategy_ranking": strategy_ranking(),
+        "forced_fallbacks": forced_fallbacks(),
+        "quarantine_report": quarantine_report(),
+        "pair_validity": pair_validity(),
+        "pair_text_previews": pair_text_previews(),
+        "first_examples": first_examples(),
+        "confusion_csv": confusion_csv(),
+        "generated_predictions": generated_predictions(),
+        "token_weights_words_no_offsets": token_weights_words_no_offsets(),
+        "prediction_dump_sink": prediction_dump(),
+        "pairs_sink": pairs_sink(),
+        "run_config_sink": run_config(),
+        "example_metrics_sink": per_example_metrics(),
+        "token_table_sink": padded_batches(),
         "doc_code_confusion_edges": edges("code", False, "documents"),
         "doc_eval_report_by_model": eval_report_by_model("documents"),
     }

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from spanpref.functions import jsonish, labels, text, vocab
 from spanpref.operators import confusion, loss, metrics, negatives, pairs, tokens
+from spanpref.lineage import scratch_path, staged
 from spanpref.operators.evaluation_input import evaluation_table, unmatched_report
-from spanpref.sources import fixtures
+from spanpref.operators.inference import generate_predictions
+from spanpref.sources import fixtures, sinks
+from spanpref.sources.confusion_csv import read_confusion_csv, write_confusion_csv
 from spanpref.sources.tables import read_table
 
 R = 6
@@ -230,14 +233,104 @@ def q_run_config(spark, sf_dir):
     return pairs.run_config(p, ex, qn, PARAMS)
 
 
+def q_strategy_ranking(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return pairs.strategy_ranking(p).select("model", "strategy", "count", F.round("pct", R).alias("pct"), F.col("place").cast("bigint").alias("place"))
+
+
+#: No strategy can be drawn: every pair comes from the forced fallback.
+FORCED = negatives.GeneratorParams(seed=42, negatives_per_sample=1, strategies=tuple((s, 0) for s, _ in negatives.STRATEGIES))
+
+
+def q_forced_fallbacks(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir, FORCED)
+    return p.select("model", "pair_id", "strategy", "rejected")
+
+
+def q_quarantine_report(spark, sf_dir):
+    """examples whose gold can't be used, by reason."""
+    _, _, quarantine = preference_build(spark, sf_dir)
+    return quarantine.groupBy("reason").agg(F.count("*").alias("n_rows"), F.min("ex_id").alias("first_ex_id"), F.max("ex_id").alias("last_ex_id"))
+
+
+def q_pair_validity(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return pairs.validity_report(p)
+
+
+def q_pair_text_previews(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return pairs.text_previews(p)
+
+
+def q_first_examples(spark, sf_dir):
+    """The first 100 examples, as ``--max_samples 100`` takes them."""
+    ex, _ = fixture(spark, sf_dir)
+    return sinks.first_n(ex, 100)
+
+
+STUB_ANSWER = '{"results":[{"Code":"SDOH","Sub-code":"EconomicStability","Span":"%s"}]}'
+
+
+def stub_generator():
+    """A generator that answers with the prompt's md5, for the hook's query."""
+    import hashlib
+
+    return lambda prompts: [STUB_ANSWER % hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
+def q_generated_predictions(spark, sf_dir):
+    """The hook's rows with :func:`stub_generator` in place of a model."""
+    ex, _ = fixture(spark, sf_dir)
+    return generate_predictions(ex, stub_generator, "stub")
+
+
+# ---------------------------------------------------------------- sinks, written and read back
+def q_confusion_csv(spark, sf_dir):
+    """Each model's two confusion CSVs, written and read back."""
+    conf = staged(conf_table(spark, sf_dir), "confusions")
+    out = None
+    for model, _ in fixtures.MODELS:
+        for kind in ("code", "sub_code"):
+            path = scratch_path(spark, f"confusion-{kind}")
+            mine = conf.where((F.col("model") == model) & (F.col("kind") == kind))
+            write_confusion_csv(mine.select(F.col("gt").alias("ground_truth"), F.col("pred").alias("predicted"), F.col("cnt").alias("count")), path, kind)
+            back = read_confusion_csv(spark, path, model)
+            out = back if out is None else out.unionByName(back)
+    return out
+
+
+def _sink(name, rows, write, kind="parquet"):
+    def build(spark, sf_dir):
+        return sinks.written_twice(staged(rows(spark, sf_dir), name), scratch_path(spark, name), write, kind)
+
+    build.__doc__ = "Rows as read back from their sink after one model was written again."
+    return build
+
+
+def all_pairs(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return pairs.drop_identical(p).select(*sinks.PAIR_COLUMNS)
+
+
+def padded(spark, sf_dir):
+    p, _, _ = preference_build(spark, sf_dir)
+    return tokens.pad_batches(pairs.drop_identical(p), TOKEN_PARAMS)
+
+
+def q_token_table_sink(spark, sf_dir):
+    """The padded token table as read back from its sink, summed up by batch."""
+    return batch_summary(_sink("token-table", padded, sinks.write_token_table)(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- tokens and loss
 TOKEN_PARAMS = tokens.TokenParams(batch_size=4)
 LOSS_PARAMS = loss.LossParams(batch_size=4)
 
 
-def token_sides(spark, sf_dir, source="conversations", offsets=True):
+def token_sides(spark, sf_dir, source="conversations", offsets=True, tokenizer="char"):
     p, _, _ = preference_build(spark, sf_dir, source=source)
-    return tokens.token_sides(pairs.drop_identical(p), TOKEN_PARAMS, offsets=offsets)
+    return tokens.token_sides(pairs.drop_identical(p), TOKEN_PARAMS, tokenizer, offsets)
 
 
 def q_token_labels(spark, sf_dir):
@@ -283,8 +376,16 @@ def weight_rows(t):
     return rows.select("model", "pair_id", "s.*")
 
 
+def q_token_weights_words_no_offsets(spark, sf_dir):
+    """Word tokens, searched as for a tokenizer without an offset map."""
+    return weight_rows(token_sides(spark, sf_dir, offsets=False, tokenizer="word"))
+
+
 def q_padded_batches(spark, sf_dir):
-    b = tokens.pad_batches(token_sides(spark, sf_dir), TOKEN_PARAMS)
+    return batch_summary(padded(spark, sf_dir))
+
+
+def batch_summary(b):
     pad = F.size(F.filter("chosen_attention_mask", lambda x: x == 0)) + F.size(F.filter("rejected_attention_mask", lambda x: x == 0))
     return b.groupBy("model", "batch").agg(
         F.max("max_len").cast("bigint").alias("max_len"),
@@ -355,6 +456,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "padded_batches": q_padded_batches,
     "sequence_logp": q_sequence_logp,
     "preference_loss_metrics": q_preference_loss_metrics,
+    "strategy_ranking": q_strategy_ranking,
+    "forced_fallbacks": q_forced_fallbacks,
+    "quarantine_report": q_quarantine_report,
+    "pair_validity": q_pair_validity,
+    "pair_text_previews": q_pair_text_previews,
+    "first_examples": q_first_examples,
+    "confusion_csv": q_confusion_csv,
+    "generated_predictions": q_generated_predictions,
+    "token_weights_words_no_offsets": q_token_weights_words_no_offsets,
+    "prediction_dump_sink": _sink("prediction-dump", q_prediction_dump, sinks.write_prediction_dump, "json"),
+    "pairs_sink": _sink("pairs", all_pairs, sinks.write_pairs),
+    "run_config_sink": _sink("run-config", q_run_config, sinks.write_run_config, "json"),
+    "example_metrics_sink": _sink("example-metrics", q_per_example_metrics, sinks.write_example_metrics),
+    "token_table_sink": q_token_table_sink,
     "doc_code_confusion_edges": q_doc_code_confusion_edges,
     "doc_eval_report_by_model": q_doc_eval_report_by_model,
 }

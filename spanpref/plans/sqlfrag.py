@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from spanpref.functions import vocab
 from spanpref.functions.jsonish import SUBCODE_VALUE  # noqa: F401  (documentation link)
-from spanpref.sources.fixtures import CONV_ID_STRIDE, DOC_ID_STRIDE, GOLD_SEED, INSTRUCTION, LOST_SHARE, MODELS, PADDED
+from spanpref.sources.fixtures import BROKEN_GOLD, CONV_ID_STRIDE, DOC_ID_STRIDE, GOLD_SEED, INSTRUCTION, LOST_SHARE, MODELS, NULL_RESULTS, PADDED, ROOT_ARRAY
 
 
 def q(s: str) -> str:
@@ -93,6 +93,11 @@ def fixture_ctes(source: str = "conversations") -> str:
         f" || chr(10) || 'Next sentence: ' || {flat('next_text')}"
     )
     models = ", ".join(f"({q(name)}, {ms})" for name, ms in MODELS)
+    cut, null, array = (bound for _, bound in BROKEN_GOLD)
+    answer = (
+        f"CASE WHEN {ug(q('broken'))} < {cut} THEN left(whole, floor(length(whole) * 0.8)::BIGINT) "
+        f"WHEN {ug(q('broken'))} < {null} THEN {q(NULL_RESULTS)} WHEN {ug(q('broken'))} < {array} THEN {q(ROOT_ARRAY)} ELSE whole END"
+    )
     return f"""
 fx_sent AS ({sentences_sql(source)}),
 fx_b0 AS (
@@ -103,7 +108,8 @@ fx_b0 AS (
   LEFT JOIN fx_sent n ON n.grp = c.grp AND n.seq = c.seq + 1),
 fx_b1 AS (SELECT *, list_transform(range(floor({ug(q('n'))} * 4)::BIGINT), lambda k: {gold_item}) AS gold0 FROM fx_b0),
 fx_b2 AS (SELECT *, CASE WHEN {ug(q('dup'))} < 0.05 AND len(gold0) > 0 THEN list_append(gold0, gold0[1]) ELSE gold0 END AS gold FROM fx_b1),
-fx_ex AS (SELECT grp * stride + seq AS ex_id, grp, seq, {query} AS query, {answer_text('gold')} AS answer, gold, words FROM fx_b2),
+fx_b3 AS (SELECT *, {answer_text('gold')} AS whole FROM fx_b2),
+fx_ex AS (SELECT grp * stride + seq AS ex_id, grp, seq, {query} AS query, {answer} AS answer, gold, words FROM fx_b3),
 fx_m AS (SELECT * FROM (VALUES {models}) AS m(model, ms)),
 {_noisy_pred_ctes()}"""
 
@@ -628,6 +634,15 @@ def token_ctes(p, offsets: bool = True) -> str:
             )
         return f"(CASE WHEN {pre}_start >= 0 THEN list_concat({parts[0]}, {parts[1]}, {parts[2]}) ELSE [] END)"
 
+    head = f"""tk0 AS (SELECT model, pair_id, {prompt} AS pr, chosen AS c_ans, rejected AS r_ans FROM pairs WHERE chosen <> rejected),
+tk1 AS (SELECT *, {_full_text('pr', 'c_ans', p)} AS c_ft, {_full_text('pr', 'r_ans', p)} AS r_ft FROM tk0),
+tk2 AS (SELECT *, {tok('c_ft')} AS c_tok, {tok('r_ft')} AS r_tok, {start('c_ft', 'c_ans')} AS c_start, {start('r_ft', 'r_ans')} AS r_start FROM tk1)"""
+    return head + ",\n" + _token_tail(p, targets)
+
+
+def _token_tail(p, targets) -> str:
+    """From texts, tokens and starts (``tk2``) to ``tk``: labels, weights of values, differences, batches."""
+
     def weights(pre: str) -> str:
         return (
             f"list_transform({pre}_tok, lambda t, i: CASE WHEN {pre}_lab[i] = -100 THEN 0.0 "
@@ -646,10 +661,7 @@ def token_ctes(p, offsets: bool = True) -> str:
             f"AND {a}_ids[i] <> {b}_ids[i - 1 - {a}0 + {b}0 + 1] THEN w * {wd} ELSE w END)"
         )
 
-    return f"""tk0 AS (SELECT model, pair_id, {prompt} AS pr, chosen AS c_ans, rejected AS r_ans FROM pairs WHERE chosen <> rejected),
-tk1 AS (SELECT *, {_full_text('pr', 'c_ans', p)} AS c_ft, {_full_text('pr', 'r_ans', p)} AS r_ft FROM tk0),
-tk2 AS (SELECT *, {tok('c_ft')} AS c_tok, {tok('r_ft')} AS r_tok, {start('c_ft', 'c_ans')} AS c_start, {start('r_ft', 'r_ans')} AS r_start FROM tk1),
-tk3 AS (SELECT *, list_transform(c_tok, lambda t: CASE WHEN c_start < 0 OR t.s < c_start THEN -100 ELSE t.id END) AS c_lab,
+    return f"""tk3 AS (SELECT *, list_transform(c_tok, lambda t: CASE WHEN c_start < 0 OR t.s < c_start THEN -100 ELSE t.id END) AS c_lab,
               list_transform(r_tok, lambda t: CASE WHEN r_start < 0 OR t.s < r_start THEN -100 ELSE t.id END) AS r_lab,
               list_transform(c_tok, lambda t: t.id) AS c_ids, list_transform(r_tok, lambda t: t.id) AS r_ids FROM tk2),
 tk4 AS (SELECT *, {targets('c')} AS c_tg, {targets('r')} AS r_tg FROM tk3),
@@ -659,6 +671,54 @@ tk AS (SELECT model, pair_id, (row_number() OVER (PARTITION BY model ORDER BY pa
               r_ids, r_lab, {diff('r', 'c')} AS r_w, r_start FROM tk5)"""
 
 
+def word_token_ctes(p) -> str:
+    """The same CTEs for word tokens searched without offsets (K5, K8); ``s``/``e`` are places among the tokens, the answer's start counts no BOS."""
+    from spanpref.functions.jsonish import CODE_VALUE, SPAN_VALUE, SUBCODE_VALUE
+
+    word = q(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]")
+    every = f"regexp_extract_all(prompt, {q('[A-Za-z0-9]+|[^A-Za-z0-9]')})"
+    space = q(r"[\x20\x09-\x0D]")
+
+    def ids(t: str) -> str:
+        return f"list_transform(regexp_extract_all({t}, {word}), lambda w: ('0x' || substr(md5(w), 1, 7))::INT)"
+
+    def first(hay: str, needle: str, start: str) -> str:
+        """1-based place of the first run of ``needle`` from ``start`` on; NULL if there is none."""
+        return (
+            f"list_filter(range({start}, len({hay}) - len({needle}) + 2), lambda i: len({needle}) > 0 "
+            f"AND {hay}[i] = {needle}[1] AND list_slice({hay}, i, i + len({needle}) - 1) = {needle})[1]"
+        )
+
+    prompt = (
+        f"(CASE WHEN len(regexp_extract_all(prompt, {word})) <= {p.max_prompt_length} THEN prompt ELSE array_to_string(list_slice({every}, "
+        f"list_filter(list_transform({every}, lambda w, i: CASE WHEN NOT regexp_full_match(w, {space}) THEN i END), lambda i: i IS NOT NULL)"
+        f"[-{p.max_prompt_length}], len({every})), '') END)"
+    )
+
+    def targets(pre: str) -> str:
+        parts = []
+        for pat, w in ((CODE_VALUE, p.weight_code_value), (SUBCODE_VALUE, p.weight_subcode_value), (SPAN_VALUE, p.weight_span_value)):
+            parts.append(
+                f"list_transform(list_filter(list_transform({_values(pre + '_ans', pat)}, lambda v: list_transform([{ids('v')}], "
+                f"lambda n: {{'at': {first(pre + '_all', 'n', pre + '_start + 1')}, 'n': len(n)}})[1]), lambda t: t.at IS NOT NULL), "
+                f"lambda t: {{'s': t.at - 1, 'e': t.at - 1 + t.n, 'w': {w}::DOUBLE}})"
+            )
+        return f"(CASE WHEN {pre}_start >= 0 THEN list_concat({parts[0]}, {parts[1]}, {parts[2]}) ELSE [] END)"
+
+    def tok(pre: str) -> str:
+        return f"list_transform({pre}_all, lambda x, i: {{'id': x, 's': (i - 1)::INT, 'e': CASE WHEN i = 1 THEN 0 ELSE i END::INT}})"
+
+    def whole(ft: str) -> str:
+        return f"list_slice(list_concat([{p.bos_id}], {ids(ft)}), 1, {p.max_length})"
+
+    return f"""tk0 AS (SELECT model, pair_id, {prompt} AS pr, chosen AS c_ans, rejected AS r_ans FROM pairs WHERE chosen <> rejected),
+tk1 AS (SELECT *, {_full_text('pr', 'c_ans', p)} AS c_ft, {_full_text('pr', 'r_ans', p)} AS r_ft FROM tk0),
+tk1a AS (SELECT *, {whole('c_ft')} AS c_all, {whole('r_ft')} AS r_all, {ids('c_ans')} AS c_need, {ids('r_ans')} AS r_need FROM tk1),
+tk2 AS (SELECT *, {tok('c')} AS c_tok, {tok('r')} AS r_tok, coalesce({first('c_all', 'c_need', '1')} - 1, -1) AS c_start,
+               coalesce({first('r_all', 'r_need', '1')} - 1, -1) AS r_start FROM tk1a),
+{_token_tail(p, targets)}"""
+
+
 def token_logp_ctes(seed: int) -> str:
     def ud(purpose, side):
         return u(seed, q(purpose), "model", "pair_id", q(side), "pos")

@@ -32,6 +32,9 @@ CONV_ID_STRIDE = DOC_ID_STRIDE = 1 << 30
 PADDED = (5, 2)
 #: Share of examples a model leaves without a prediction.
 LOST_SHARE = 0.01
+#: Gold answers that can't be used, by upper bounds of a draw: cut off, results that are null, a root that is no object.
+BROKEN_GOLD = (("cut", 0.01), ("null", 0.015), ("array", 0.02))
+NULL_RESULTS, ROOT_ARRAY = '{"results":null}', "[]"
 
 
 def sentences_from_conversations(conversations: DataFrame) -> DataFrame:
@@ -141,12 +144,20 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
         F.when(padded, F.lit("\u00a0\r")).otherwise(""),
         F.lit("\nNext sentence: "), _flat(F.col("next_text")),
     )
+    b = b.withColumn("answer", _answer_text(F.col("gold"))).withColumn("broken", u("broken"))
+    cut, null, array = (bound for _, bound in BROKEN_GOLD)
+    answer = (
+        F.when(F.col("broken") < cut, F.left("answer", F.floor(F.length("answer") * 0.8).cast("int")))
+        .when(F.col("broken") < null, F.lit(NULL_RESULTS))
+        .when(F.col("broken") < array, F.lit(ROOT_ARRAY))
+        .otherwise(F.col("answer"))
+    )
     out = b.select(
         (F.col("grp") * F.col("stride") + F.col("seq")).alias("ex_id"),
         "grp",
         "seq",
         query.alias("query"),
-        _answer_text(F.col("gold")).alias("answer"),
+        answer.alias("answer"),
         "gold",
         "words",
     )

@@ -1,38 +1,57 @@
-"""Sinks for predictions, pairs, reports and run config."""
+"""Sinks for predictions, pairs, reports and run config.
+
+A sink is one folder with one sub-folder per model.  Writing replaces the folders of
+the models written and leaves the others (dynamic partition overwrite), so one
+model's run can be repeated at any time with the same result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PAIR_COLUMNS = ("model", "pair_id", "prompt", "chosen", "rejected", "metadata", "strategy")
+
 
 def first_n(df: DataFrame, n: int, order_col: str = "ex_id") -> DataFrame:
     """``--max_samples``: the first n rows by id (0 = all)."""
     return df if not n else df.orderBy(order_col).limit(n)
 
 
+def write_models(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """``df`` under ``path/model=...``, replacing the folders of its models only."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").format(kind).save(path)
+
+
 def write_prediction_dump(dump: DataFrame, path: str) -> None:
     """JSON lines per model folder (non-ASCII kept, arrays sorted upstream)."""
-    dump.write.mode("overwrite").partitionBy("model").json(path)
+    write_models(dump, path, "json")
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """Training pairs as Parquet, one folder per model."""
-    cols = ["model", "pair_id", "prompt", "chosen", "rejected", "metadata", "strategy"]
-    pairs.select(*cols).write.mode("overwrite").partitionBy("model").parquet(path)
+    write_models(pairs.select(*PAIR_COLUMNS), path)
 
 
 def write_run_config(config: DataFrame, path: str) -> None:
     """One JSON object per model."""
-    config.coalesce(1).write.mode("overwrite").json(path)
+    write_models(config, path, "json")
 
 
 def write_example_metrics(counts: DataFrame, path: str) -> None:
     """Per-example tp/fp/fn by level, partitioned by model."""
     keep = ["model", "ex_id"] + [c for c in counts.columns if c.endswith(("_tp", "_fp", "_fn"))]
-    counts.select(*keep).write.mode("overwrite").partitionBy("model").parquet(path)
+    write_models(counts.select(*keep), path)
 
 
 def write_token_table(batches: DataFrame, path: str) -> None:
     """Training-ready token table (K11 types), one folder per model."""
-    batches.write.mode("overwrite").partitionBy("model").parquet(path)
+    write_models(batches, path)
+
+
+def written_twice(df: DataFrame, path: str, write, kind: str = "parquet") -> DataFrame:
+    """``df`` as read back from ``path`` after its sink wrote all models, and then every second one again."""
+    write(df, path)
+    for row in df.select("model").distinct().orderBy("model").collect()[::2]:  # one row per model
+        write(df.where(F.col("model").eqNullSafe(F.lit(row["model"]))), path)
+    return df.sparkSession.read.schema(df.schema).format(kind).load(path)
