@@ -156,3 +156,67 @@ def test_confusions_outside_the_vocabulary_are_counted(spark):
     rows = [("m", "code", a, b, 2), ("m", "code", a, vocab.NONE_TOKEN, 3), ("m", "code", "Other", "Other", 1), ("m", "code", a, "Foreign", 4), ("m", "sub_code", "X", "Y", 5), ("m", "code", "Foreign", b, 6)]
     got = sorted(tuple(r) for r in N.unknown_confusions(spark.createDataFrame(rows, CONF)).collect())
     assert got == [("m", "code", 2, 10), ("m", "sub_code", 1, 5)]
+
+
+def test_gold_that_cannot_be_used_is_quarantined(spark):
+    rows = [(1, "q", '{"results":[{"Code":"SDOH","Sub-code":"EconomicStability","Span":"a"}]}'), (2, "q", '{"results":[{"Code":"SD'),
+            (3, "q", '{"results":null}'), (4, "q", "[]"), (5, "q", None), (6, "q", '{"results":{}}'), (7, "q", '{"results":[]} x'), (8, "q", '{"results":[]}')]
+    valid, bad = N.parse_gold(spark.createDataFrame(rows, "ex_id long, query string, answer string"))
+    assert sorted(r.ex_id for r in valid.collect()) == [1, 8]
+    assert {r.ex_id: r.reason for r in bad.collect()} == {2: "invalid_json", 3: "results_not_a_list", 4: "results_not_a_list", 5: "invalid_json", 6: "results_not_a_list", 7: "invalid_json"}
+
+
+def test_labels_outside_the_hierarchy_are_flagged(spark, generated):
+    _, _, params, neg, _ = generated
+    pairs = P.assemble_pairs(neg, params)
+    for r in pairs.collect():
+        assert r.valid_labels == all(a.sub_code in vocab.CODE_SUBCODES.get(a.code, ()) for a in r.rejected_annotations)
+    report = {r.strategy: r for r in P.validity_report(pairs).collect()}
+    assert sum(r.n_pairs for r in report.values()) == pairs.count()
+    forced = N.generate_negatives(_gold(spark, 30), N.confusion_dims(_conf(spark).limit(0), spark.createDataFrame([("m",)], "model string")))
+    flags = {r.strategy: r.valid_labels for r in P.assemble_pairs(forced).collect()}
+    assert flags["forced_code_change"] is False and flags["spurious_annotation"] is False
+
+
+def test_every_forced_branch(spark):
+    """G8 with no strategy to draw, by its rules written out."""
+    gold = _gold(spark, 200, seed=4)
+    off = N.GeneratorParams(strategies=tuple((s, 0) for s, _ in N.STRATEGIES))
+    dims = N.confusion_dims(_conf(spark))
+    sub_conf = dims.first().sub_conf
+    seen = set()
+    for r in N.generate_negatives(gold, dims, params=off).collect():
+        g = [tuple(a) for a in r.gold]
+        if not g:
+            want = "spurious_annotation", None
+        elif len(g) > 1:
+            want = "forced_missing_annotation", g[:-1]
+        else:
+            (code, sub, span), = g
+            valid = [x.pred for x in sub_conf.get(sub, []) if x.pred in vocab.CODE_SUBCODES.get(code, ())]
+            want = ("forced_subcode_change", [(code, valid[0], span)]) if valid else ("forced_code_change", [(vocab.FALLBACK_CODE, vocab.FALLBACK_SUB_CODE, span)])
+        assert r.strategy == want[0] and (want[1] is None or [tuple(a) for a in r.rejected] == want[1])
+        seen.add(r.strategy)
+    assert seen == {"spurious_annotation", "forced_missing_annotation", "forced_subcode_change", "forced_code_change"}
+
+
+def test_dimensions_are_in_no_explode(spark):
+    neg = N.generate_negatives(_gold(spark, 5), N.confusion_dims(_conf(spark)), params=N.GeneratorParams(negatives_per_sample=2))
+    plan = neg._jdf.queryExecution().optimizedPlan().toString()
+    fans = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(fans) == 2 and not any(name in line for line in fans for name in ("sub_conf", "code_conf", "bag", "gt_codes", "dim"))
+
+
+def test_ranking_and_previews(spark, generated):
+    _, _, params, neg, _ = generated
+    pairs = P.assemble_pairs(neg, params)
+    ranked = P.strategy_ranking(pairs).collect()
+    assert [r.place for r in ranked] == list(range(1, len(ranked) + 1))
+    assert [(-r["count"], r.strategy) for r in ranked] == sorted((-r["count"], r.strategy) for r in ranked)
+    full = {r.pair_id: r for r in pairs.collect()}
+    for r in P.text_previews(pairs).collect():
+        c, j = ([tuple(a) for a in x] for x in (full[r.pair_id].gold, full[r.pair_id].rejected_annotations))
+        assert r.chosen_300 == full[r.pair_id].chosen[:300] and r.rejected_spans_70 == "|".join(a[2][:70] for a in j)
+        assert r.added_spans_50 == "|".join(a[2][:50] for a in sorted(set(j) - set(c)))
+        assert r.removed_spans_50 == "|".join(a[2][:50] for a in sorted(set(c) - set(j)))
+        assert r.changed_spans_40 == "|".join(a[2][:40] for a in c if any(b[2] == a[2] and b[:2] != a[:2] for b in j))
