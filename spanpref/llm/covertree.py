@@ -3,12 +3,17 @@
 Vectors are scaled to length one, where cosine >= c is a distance of at most
 ``sqrt(2 - 2c)``. Equal vectors of a label are one class.
 
-The upper levels of the tree are laid over the cluster: at most ``MAX_PIVOTS``
-pivots (a net of halving radii over a bounded sample, the only thing broadcast)
-divide each label's classes into nodes; a crowded node is dealt by hash into
-parts of about ``NODE_ROWS``. Nodes know their covering radius, and pairs of
-nodes of a label that the radii rule out are pruned before any vector moves; a
-vector goes only where its own distance to the other node's pivot allows links.
+The upper levels of the tree are laid over the cluster. A label's vectors are the
+first node. A node of more than ``NODE_ROWS`` vectors is split by pivots at half its
+radius or less (a net over a bounded sample of its own vectors, ``FANOUT`` at most) into
+nodes of the next level, which know their covering radius, until nodes are small.
+Pairs of nodes go down level by level: the pairs of a level's children whose pivots lie
+further apart than both radii and the threshold are pruned, so only pairs that may hold a
+link reach the next level, and no vector moves before. Splitting is dealt by node and,
+in large nodes, by hash; nothing that grows with the data is broadcast. At the end a
+vector goes only where its own distance to the other node's pivot allows links. A node
+that no pivot can split (vectors equal but for rounding) is dealt by hash into parts that
+all meet.
 
 The lower levels are built where a pair of nodes meets: nested cover levels
 with halving radii on both sides, traversed together; pairs of tree nodes
@@ -37,9 +42,10 @@ from pyspark.sql import functions as F
 from spanpref.llm.common import components, dealt_anew, slices, staged
 
 THRESHOLD = 0.98
-MAX_PIVOTS, SAMPLE_ROWS, NODE_ROWS, LEAF = 64, 2_000, 1_024, 24
-#: Classes for each pivot: fewer nodes than the data need only send vectors about.
-PIVOT_ROWS = 4_096
+#: Vectors in a node that is small, children of a node, vectors that choose them, vectors a task assigns at a time.
+NODE_ROWS, FANOUT, SAMPLE_ROWS, CHUNK_ROWS = 1_024, 32, 512, 16_384
+#: Vectors in a leaf of the trees that are built inside a task.
+LEAF = 24
 #: Rounding allowance of distances; bounds are loosened by it, links are decided by the cosine itself.
 _SLACK = 1e-7
 
@@ -149,22 +155,16 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def pivots_of(x: np.ndarray, most: int = MAX_PIVOTS) -> np.ndarray:
-    """Up to ``most`` centres of a net of the sample, each the row farthest from those before it."""
-    if not len(x):
-        return x
+def pivots_of(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` rows of a net of ``x`` with half its radius, each the row farthest from those before it."""
     picked, reach = [0], _distances(x, x[0])
-    while len(picked) < most and reach.max() > 1e-6:
+    half = max(float(reach.max()) / 2, 1e-6)
+    while len(picked) < most and reach.max() > half:
         picked.append(int(reach.argmax()))
         reach = np.minimum(reach, _distances(x, x[picked[-1]]))
     return x[picked]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def unit(values: pa.Scalar) -> list[float] | None:
     """A vector scaled to length one in double precision; None if it can't link."""
     if not values.is_valid or not len(values.values) or values.values.null_count:
@@ -189,32 +189,106 @@ def scaled(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", "embedding").mapInArrow(run, f"vec_id {kinds[0]}, label {kinds[1]}, x array<double>")
 
 
-def _nodes(classes: DataFrame) -> tuple[DataFrame, object]:
-    """Classes with their pivot, distance to it and part; the pivots of every vector length as a broadcast."""
-    spark = classes.sparkSession
-    sample = classes.select("dim", "x", F.xxhash64("class").alias("h")).orderBy("h").limit(SAMPLE_ROWS).toPandas()
-    most = max(1, min(MAX_PIVOTS, -(-classes.count() // PIVOT_ROWS)))
-    pivots = {int(d): pivots_of(np.stack(g["x"].to_numpy()), most) for d, g in sample.groupby("dim")}
-    held = spark.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(1).to_numpy()
-            pivot, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
-            for d in np.unique(dims):
-                own = np.flatnonzero(dims == d)
-                known = held.value.get(int(d))
-                if known is None:
-                    far[own] = 2.0  # a length the sample has not met: one node, nothing pruned
-                    continue
-                gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_matrix(batch.column(2).take(pa.array(own))) @ known.T)))
-                pivot[own] = gap.argmin(axis=1)
-                far[own] = gap[np.arange(len(own)), pivot[own]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(4), pa.array(pivot), pa.array(far)], ["label", "dim", "x", "class", "n", "pivot", "far"])
-
-    kind = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("label", "dim", "x", "class", "n").mapInArrow(run, f"label {kind}, dim int, x array<double>, class long, n long, pivot int, far double")
-    return staged(placed, "cover-placed"), held
+def _gap(a, b):
+    """Distance of two columns of vectors of length one."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * dot))
+
+
+def _split(rows: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of crowded nodes dealt to their children, and the children ``(parent, node, centre, radius, size, stuck)``."""
+    own = rows.join(crowded.select(F.col("node").alias("o"), "size"), F.col("node") == F.col("o"))
+    kind = rows.schema["label"].dataType.simpleString()
+
+    def net(group: pd.DataFrame) -> pd.DataFrame:
+        most = min(FANOUT, 2 * -(-int(group["size"].iloc[0]) // NODE_ROWS))
+        group = group.sort_values("class")
+        pivots = pivots_of(np.stack(group["x"].to_numpy()), most)
+        return pd.DataFrame({"node": group["node"].iloc[0], "kid": np.arange(len(pivots), dtype=np.int32), "centre": list(pivots)})
+
+    sample = own.where(F.pmod(F.xxhash64("class", F.lit(1)), F.col("size")) < SAMPLE_ROWS).select("node", "size", "class", "x")
+    pivots = staged(sample.groupBy("node").applyInPandas(net, "node string, kid int, centre array<double>"), "cover-pivots")
+
+    def deal(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return mine.assign(far=0.0)[names]
+        x, known = np.stack(mine["x"].to_numpy()), known.sort_values("kid")
+        if len(known):
+            gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ np.stack(known["centre"].to_numpy()).T)))
+            nearest = gap.argmin(axis=1)
+            far, kid = gap[np.arange(len(x)), nearest], known["kid"].to_numpy()[nearest]
+        else:  # no vector of the node was in the sample
+            far, kid = np.full(len(x), 2.0), np.zeros(len(x), np.int32)
+        return mine.assign(far=far, node=[f"{n}/{k}" for n, k in zip(mine["node"], kid)])[names]
+
+    names = ["label", "dim", "x", "class", "n", "node", "far"]
+    parts = F.ceil(F.col("size") / CHUNK_ROWS).cast("int")
+    left = own.select(*names[:6], F.pmod(F.xxhash64("class"), parts).cast("int").alias("part")).groupBy("node", "part")
+    sent = pivots.join(crowded.select(F.col("node").alias("o"), parts.alias("parts")), F.col("node") == F.col("o"))
+    right = sent.select("node", "kid", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("node", "part")
+    moved = staged(left.cogroup(right).applyInPandas(deal, f"label {kind}, dim int, x array<double>, class long, n long, node string, far double"), "cover-moved")
+    found = moved.groupBy("node").agg(F.max("far").alias("radius"), F.count("*").alias("size"))
+    centres = pivots.select(F.concat_ws("/", "node", F.col("kid").cast("string")).alias("c"), "centre")
+    above = crowded.select(F.col("node").alias("a"), F.col("size").alias("before"))
+    kids = found.withColumn("parent", F.regexp_replace("node", "/[0-9]+$", "")).join(centres, F.col("node") == F.col("c"), "left").join(above, F.col("parent") == F.col("a"))
+    return moved, staged(kids.select("parent", "node", "centre", "radius", "size", (F.col("size") == F.col("before")).alias("stuck")), "cover-kids")
+
+
+def _levels(classes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes in their last nodes, these nodes, and the pairs of them that may hold links."""
+    node = F.concat_ws(":", F.col("label").cast("string"), F.col("dim").cast("string"))
+    rows = classes.select("label", "dim", "x", "class", "n", node.alias("node"), F.lit(2.0).alias("far"))
+    vector = F.lit(None).cast("array<double>")
+    nodes = rows.groupBy("node").agg(F.max("far").alias("radius"), F.count("*").alias("size"))
+    nodes = staged(nodes.select("node", vector.alias("centre"), "radius", "size", F.lit(False).alias("stuck")), "cover-roots")
+    pairs = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    settled, leaves = None, None
+    while True:
+        open_ = (F.col("size") > NODE_ROWS) & (F.col("radius") > 1e-6) & ~F.col("stuck")
+        crowded = nodes.where(open_)
+        done = nodes.where(~open_)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if crowded.isEmpty():
+            settled = rows if settled is None else settled.unionByName(rows)
+            return settled, leaves, pairs
+        rest = rows.join(crowded.select(F.col("node").alias("o")), F.col("node") == F.col("o"), "left_anti")
+        settled = rest if settled is None else settled.unionByName(rest)
+        rows, kids = _split(rows, crowded)
+        # a pair goes on as the pairs of both sides' children; a node that stays is its own only child
+        below = kids.select("parent", "node", "centre", "radius").unionByName(leaves.select(F.col("node").alias("parent"), "node", "centre", "radius"))
+        one, two = (below.select(*[F.col(c).alias(f"{side}_{c}") for c in below.columns]) for side in "ab")
+        met = pairs.join(one, F.col("a") == F.col("a_parent")).join(two, F.col("b") == F.col("b_parent"))
+        met = met.where((F.col("a") != F.col("b")) | (F.col("a_node") <= F.col("b_node")))
+        apart = _gap(F.col("a_centre"), F.col("b_centre")) > F.col("a_radius") + F.col("b_radius") + reach
+        met = met.where((F.col("a_node") == F.col("b_node")) | ~F.coalesce(apart, F.lit(False)))
+        pairs = staged(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "cover-node-pairs")
+        nodes = kids.drop("parent")
+
+
+def _met(classes: DataFrame, reach: float) -> DataFrame:
+    """``(pair, side, same, class, x, n)``: for every pair of nodes that may hold links, the vectors of both that may link there."""
+    placed, leaves, pairs = _levels(classes, reach)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / NODE_ROWS)).cast("int")  # one, but for nodes that couldn't be split
+    known = staged(leaves.select("node", "centre", "radius", parts.alias("parts")), "cover-leaves")
+    one, two = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns]) for side in "ab")
+    each = pairs.join(one, F.col("a") == F.col("a_node")).join(two, F.col("b") == F.col("b_node"))
+    each = each.withColumn("a_part", F.explode(F.sequence(F.lit(0), F.col("a_parts") - 1))).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("b_parts") - 1)))
+    each = each.where((F.col("a") != F.col("b")) | (F.col("a_part") <= F.col("b_part")))
+    met = staged(each.select("a", "b", "a_part", "b_part", "a_centre", "b_centre", "a_radius", "b_radius", F.monotonically_increasing_id().alias("pair")), "cover-pairs")
+    same = (F.col("a") == F.col("b")) & (F.col("a_part") == F.col("b_part"))
+
+    def sent(side: str, other: str, number: int) -> DataFrame:
+        return met.where(F.lit(True) if not number else ~same).select(
+            "pair", F.lit(number).alias("side"), same.alias("same"), F.col(side).alias("k"), F.col(f"{side}_part").alias("k_part"),
+            F.when(F.col("a") != F.col("b"), F.col(f"{other}_centre")).alias("to"), F.col(f"{other}_radius").alias("to_radius"),
+        )
+
+    whole = placed.join(known.select(F.col("node").alias("l"), "parts"), F.col("node") == F.col("l"))
+    own = whole.select("class", "x", "n", "node", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    every = sent("a", "b", 0).unionAll(sent("b", "a", 1))
+    moved = own.join(every, (F.col("node") == F.col("k")) & (F.col("part") == F.col("k_part")))
+    near = F.col("to").isNull() | (_gap(F.col("x"), F.col("to")) <= F.col("to_radius") + reach)
+    return moved.where(near).select("pair", "side", "same", "class", "x", "n")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -222,45 +296,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = staged(scaled(vectors), "cover-scaled")
     grouped = rows.where("x is not null").groupBy("label", "x").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     numbered = staged(grouped.select("label", F.size("x").alias("dim"), "x", "first", "n", F.monotonically_increasing_id().alias("class")), "cover-classes")
-    placed, held = _nodes(numbered)
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + _SLACK
-
-    sizes = placed.groupBy("label", "dim", "pivot").agg(F.count("*").alias("size"))
-    sizes = sizes.select(F.col("label").alias("l"), F.col("dim").alias("d"), dealt_anew("pivot").alias("p"), F.ceil(F.col("size") / NODE_ROWS).cast("int").alias("parts"))
-    parted = placed.join(sizes, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("pivot") == F.col("p")))
-    parted = staged(parted.select("label", "dim", "x", "class", "n", "pivot", "far", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")), "cover-parted")
-    nodes = staged(parted.groupBy("label", "dim", "pivot", "part").agg(F.max("far").alias("radius")).withColumn("node", F.monotonically_increasing_id()), "cover-nodes")
-
-    gaps = {d: np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T))) for d, p in held.value.items()}
-    spark = vectors.sparkSession
-    table = [(d, i, j, float(g[i, j])) for d, g in gaps.items() for i in range(len(g)) for j in range(len(g))]
-    between = spark.createDataFrame(table or [(0, 0, 0, 0.0)], "gd int, gp int, gq int, gap double")
-    a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns])
-    b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns])
-    met = a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_dim") == F.col("b_dim")) & (F.col("a_node") <= F.col("b_node")))
-    met = met.join(F.broadcast(between), (F.col("a_dim") == F.col("gd")) & (F.col("a_pivot") == F.col("gp")) & (F.col("b_pivot") == F.col("gq")), "left")
-    met = met.where(F.coalesce(F.col("gap"), F.lit(0.0)) <= F.col("a_radius") + F.col("b_radius") + reach)
-    met = staged(met.withColumn("pair", F.monotonically_increasing_id()), "cover-pairs")
-    own = ["label", "dim", "pivot", "part"]
-    left = met.select("pair", F.lit(0).alias("side"), *[F.col(f"a_{c}").alias(f"k_{c}") for c in own], F.col("b_pivot").alias("to"), F.col("b_radius").alias("to_radius"), (F.col("a_node") == F.col("b_node")).alias("same"))
-    right = met.where("a_node <> b_node").select("pair", F.lit(1).alias("side"), *[F.col(f"b_{c}").alias(f"k_{c}") for c in own], F.col("a_pivot").alias("to"), F.col("a_radius").alias("to_radius"), F.lit(False).alias("same"))
-    sent = left.unionAll(right)
-    moved = parted.join(sent, (F.col("label") == F.col("k_label")) & (F.col("dim") == F.col("k_dim")) & (F.col("pivot") == F.col("k_pivot")) & (F.col("part") == F.col("k_part")))
-
-    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims, to, limit = (batch.column(i).to_numpy() for i in (6, 4, 5))
-            keep = np.ones(len(dims), bool)
-            for d in np.unique(dims):
-                known = held.value.get(int(d))
-                if known is not None:
-                    mine = np.flatnonzero(dims == d)
-                    gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", _matrix(batch.column(7).take(pa.array(mine))), known[to[mine]])))
-                    keep[mine] = gap <= limit[mine] + reach
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 1, 2, 3, 7, 8)], ["pair", "side", "same", "class", "x", "n"])
-
-    moved = moved.select("pair", "side", "same", "class", "to", "to_radius", "dim", "x", "n").mapInArrow(allowed, "pair long, side int, same boolean, class long, x array<double>, n long")
+    moved = _met(numbered, reach)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         first = group[group["side"] == 0]

@@ -58,6 +58,58 @@ def test_label_model_learns_accuracies_and_correlations():
     assert ((model.posterior(code, np.full(n, -1)) > 0.5) == y).mean() > 0.92
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_posterior_by_enumeration(seed):
+    """The label model's posterior against the joint probability of both classes, factor by factor."""
+    rng = np.random.default_rng(seed)
+    m = int(rng.integers(3, 5))
+    model = toxicity.LabelModel(m)
+    model.parent = [-1] + [int(rng.integers(-1, j)) for j in range(1, m)]
+    model.prior = rng.dirichlet([1, 1])
+    model.fires = rng.uniform(0.05, 0.95, (m, 2, 2))
+    model.says = rng.dirichlet([1, 1], 2)
+    for votes in range(1 << m):
+        for label in (-1, 0, 1):
+            joint = []
+            for y in (0, 1):
+                p = model.prior[y] * (1.0 if label < 0 else model.says[y][label])
+                for j in range(m):
+                    up = votes >> model.parent[j] & 1 if model.parent[j] >= 0 else 0
+                    chance = model.fires[j, y, up]
+                    p *= chance if votes >> j & 1 else 1 - chance
+                joint.append(p)
+            got = model.posterior(np.array([votes]), np.array([label]))[0]
+            assert abs(got - joint[1] / sum(joint)) < 1e-9
+
+
+def test_families_are_beginnings_of_different_words():
+    assert "+abcd" in toxicity.all_terms("abcdef x abcdxy") and "+abcd" not in toxicity.all_terms("abcdef abcdef abcd")
+    voters = toxicity.Voters({"+abcd": 6, "=rude": 0})
+    votes, found = voters.read("abcdef abcdxy! Rude")
+    assert found == {"+abcd", "=rude"} and votes & 1 and votes >> 6 & 1
+    assert voters.read("abcdef abcdef")[1] == set() and voters.read("You idiot")[1] == {"=idiot"}
+
+
+def test_training_rows_vote_once(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    seen = []
+    count = toxicity.vote_counts
+    monkeypatch.setattr(toxicity, "vote_counts", lambda rows, lexicon: seen.append(count(rows, lexicon)) or seen[-1])
+    toxicity.fit(docs, labels.where("doc_id < 700"))
+    assert len(seen) == 1 and seen[0]["n"].sum() == docs.where(toxicity.id_remainder(4) != 2).count()
+    assert (seen[0]["label"] == -1).any() and (seen[0]["label"] == 1).any()
+
+
+@pytest.mark.parametrize("op", [toxicity, quality])
+def test_clashing_columns_of_labels(op, spark, corpus):
+    from pyspark.sql import functions as F
+
+    docs, labels = (t.limit(300) for t in corpus)
+    extra = labels.select("*", F.lit("x").alias("text"), F.lit("y").alias("lang"), F.lit(3).alias("score"), F.lit(1).alias("labelled"))
+    a, b = (sorted((r[0], round(r[2], 9)) for r in op.result(docs, x).collect()) for x in (labels, extra))
+    assert a == b
+
+
 @pytest.mark.parametrize("op", [toxicity, quality])
 def test_messy_rows_and_missing_labels(op, messy, empty, labels, no_labels):
     for some in (labels, no_labels):

@@ -33,8 +33,9 @@ def test_dual_traversal_finds_every_pair():
 
 
 def test_rows_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(C, "NODE_ROWS", 64)
-    monkeypatch.setattr(C, "PIVOT_ROWS", 40)
+    monkeypatch.setattr(C, "NODE_ROWS", 24)
+    monkeypatch.setattr(C, "FANOUT", 3)
+    monkeypatch.setattr(C, "CHUNK_ROWS", 40)
     rng = np.random.default_rng(7)
     x = _cloud(rng, 300, 8) * rng.uniform(0.1, 9, 300)[:, None]
     rows = [(i, v.tolist(), int(rng.random() < 0.3)) for i, v in enumerate(x)]
@@ -58,3 +59,40 @@ def test_rows_by_brute_force(spark, monkeypatch):
     for vec, _, _ in odd[:-2]:
         assert got[vec] == (0, vec, True)
     assert C.near_duplicates(frame.limit(0)).count() == 0
+
+
+def _frame(spark, x):
+    return spark.createDataFrame([(1, x.shape[1], v.tolist(), i, 1) for i, v in enumerate(x)], "label int, dim int, x array<double>, class long, n long")
+
+
+def test_levels_prune_pairs_of_clustered_nodes(spark, monkeypatch):
+    """Tight clusters in one label: most node pairs are pruned, and a vector's copies don't grow with the rows."""
+    monkeypatch.setattr(C, "NODE_ROWS", 40)
+    monkeypatch.setattr(C, "FANOUT", 8)
+    reach = float(np.sqrt(0.04)) + 1e-7
+    copies = []
+    for n in (600, 2400):
+        rng = np.random.default_rng(3)
+        centres = rng.normal(size=(50, 64))
+        x = centres[rng.integers(0, 50, n)] + rng.normal(size=(n, 64)) * 0.02
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        frame = _frame(spark, x)
+        placed, leaves, pairs = C._levels(frame, reach)
+        k = leaves.count()
+        assert k > 15 and pairs.count() < 0.35 * k * (k + 1) / 2
+        seen = {r.node: (np.array(r.centre), r.radius) for r in leaves.collect()}
+        rows = placed.collect()
+        assert sorted(r["class"] for r in rows) == list(range(n))
+        for r in rows:
+            centre, radius = seen[r.node]
+            assert np.linalg.norm(np.array(r.x) - centre) <= radius + 1e-7
+        copies.append(C._met(frame, reach).count() / n)
+    assert copies[1] < 1.5 * copies[0] + 1
+
+
+def test_nodes_that_cannot_be_split_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "NODE_ROWS", 10)
+    rng = np.random.default_rng(5)
+    x = np.ones((45, 4)) / 2 + rng.normal(size=(45, 4)) * 1e-9
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in C.near_duplicates(frame).collect()} == {(44, 0)}
