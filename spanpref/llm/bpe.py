@@ -16,7 +16,9 @@ Decoding joins the tokens' bytes and runs them through an incremental UTF-8
 state machine, chunk by chunk, so a character cut by a chunk's end is carried.
 
 Defined results: null text counts as empty; an empty text has no ids and
-decodes to the empty text; ids unknown to the vocabulary raise.
+decodes to the empty text; texts of any length are taken whole, piece by piece;
+repeated rows each give their row; an empty table gives no rows; other columns are
+left behind; ids unknown to the vocabulary raise.
 """
 
 from __future__ import annotations

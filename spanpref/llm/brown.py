@@ -7,7 +7,8 @@ so that every word of any corpus has a unit, and the table of unit bigrams is
 bounded while the counts behind it cover all training tokens.
 
 Exchange clustering: units move between ``CLASSES`` classes, one after the
-other, to the class that raises the likelihood of the class bigrams most; each
+other, to the class that raises the likelihood of the class bigrams most (of equally
+good classes the one of the smallest number, and a unit stays where no class is better); each
 sweep's statistics (per unit, counts of next and previous classes) are
 aggregated from the bigram table by Spark. There are ``SWEEPS`` sweeps, and more
 until ``PARTS`` of them (each unit's turn once) add less than ``TOLERANCE`` of
