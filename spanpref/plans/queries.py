@@ -399,6 +399,7 @@ def sequence_table(spark, sf_dir):
 
 
 def q_sequence_logp(spark, sf_dir):
+    """A12/A13/A15 per pair. No table has log-probabilities: keyed draws stand in for a model's logged values."""
     s = sequence_table(spark, sf_dir)
     return s.select(
         "model", "pair_id", *[F.round(c, R).alias(c) for c in ("pi_c", "pi_r", "ref_c", "ref_r", "barrier")],
@@ -407,6 +408,7 @@ def q_sequence_logp(spark, sf_dir):
 
 
 def q_preference_loss_metrics(spark, sf_dir):
+    """A14-A16 per batch of four consecutive pairs, on the same drawn log-probabilities as ``sequence_logp``."""
     m = loss.batch_metrics(loss.pair_losses(sequence_table(spark, sf_dir), LOSS_PARAMS), LOSS_PARAMS)
     cols = ("loss", "loss_preference", "loss_barrier", "policy_prob_chosen", "barrier_active_pct", "pref_p_pref",
             "logits_mean", "logits_max", "logits_min")
