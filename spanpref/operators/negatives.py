@@ -267,67 +267,90 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
     models and negatives in-row, so gold is read and parsed once; the dimensions are a
     constant each row reads its model's entry of, and are in no explode's output.
     """
-    seed = params.seed
     if models is not None:
         wanted = dims.sparkSession.createDataFrame([(m,) for m in models], "model string")
         dims = wanted.join(dims, "model", "left")
     empty_map = F.create_map().cast(f"map<string,{CONF_TYPE}>")
-    # one constant, read by key: rows fan out with the model's name alone
-    constant = all_dims(dims)
-    df = gold.select("ex_id", "query", "answer", "gold", F.explode(F.map_keys(constant)).alias("model"))
-    df = df.withColumn("dim", F.element_at(constant, F.col("model")))
-    df = df.select(
-        "ex_id", "query", "answer", "gold", "model",
-        F.coalesce(F.col("dim.sub_conf"), empty_map).alias("sub_conf"),
-        F.coalesce(F.col("dim.code_conf"), empty_map).alias("code_conf"),
-        F.coalesce(F.col("dim.bag"), F.array().cast("array<string>")).alias("bag"),
-        F.coalesce(F.col("dim.gt_codes"), F.array().cast("array<string>")).alias("gt_codes"),
+    # the constant is read once a row, and the negatives of all models are made there: what they were
+    # drawn from goes through no explode
+    df = gold.select("ex_id", "query", "answer", "gold", all_dims(dims).alias("dims"))
+
+    def of_model(entry):
+        dim = F.struct(
+            F.coalesce(entry["value"]["sub_conf"], empty_map).alias("sub_conf"),
+            F.coalesce(entry["value"]["code_conf"], empty_map).alias("code_conf"),
+            F.coalesce(entry["value"]["bag"], F.array().cast("array<string>")).alias("bag"),
+            F.coalesce(entry["value"]["gt_codes"], F.array().cast("array<string>")).alias("gt_codes"),
+        )
+        return let(dim, lambda d: _made(entry["key"], d, params))
+
+    made = F.flatten(F.transform(F.map_entries("dims"), of_model))
+    # the outer form: a plain explode infers a filter on the size, which would make them twice
+    df = df.select("ex_id", "query", "answer", "gold", made.alias("made")).select("ex_id", "query", "answer", "gold", F.explode_outer("made").alias("n"))
+    return df.where(F.col("n").isNotNull()).select(
+        F.col("n.model").alias("model"),
+        "ex_id",
+        F.col("n.neg_idx").alias("neg_idx"),
+        "query",
+        "answer",
+        "gold",
+        F.col("n.rejected").alias("rejected"),
+        F.col("n.strategy").alias("strategy"),
     )
-    sub_conf, code_conf = F.col("sub_conf"), F.col("code_conf")
-    # eligibility does not depend on the negative index: compute it before the fan-out
-    n = F.size("gold")
-    df = df.withColumn("sub_pos", _sub_eligible_positions(F.col("gold"), sub_conf))
-    df = df.withColumn(
-        "code_pos",
-        F.filter(
-            F.transform(F.col("gold"), lambda a, i: F.when(F.coalesce(F.size(F.try_element_at(code_conf, a["code"])), F.lit(0)) > 0, i)),
-            lambda i: i.isNotNull(),
-        ),
+
+
+def _made(model: Column, dim: Column, params: GeneratorParams) -> Column:
+    """All negatives of an example for a model, ``ARRAY<STRUCT<model, neg_idx, rejected, strategy>>``, from the model's bound dimensions."""
+    code_conf = dim["code_conf"]
+    # eligibility does not depend on the negative index
+    code_pos = F.filter(
+        F.transform(F.col("gold"), lambda a, i: F.when(F.coalesce(F.size(F.try_element_at(code_conf, a["code"])), F.lit(0)) > 0, i)),
+        lambda i: i.isNotNull(),
     )
-    w = dict(params.strategies)
-    names = [s for s, _ in params.strategies]
+    places = F.struct(_sub_eligible_positions(F.col("gold"), dim["sub_conf"]).alias("sub"), code_pos.alias("code"))
+    return let(places, lambda pos: _drawn(model, dim, pos["code"], pos["sub"], params))
+
+
+def _drawn(model: Column, dim: Column, code_pos: Column, sub_pos: Column, params: GeneratorParams) -> Column:
+    n = F.size("gold")
     elig = {
-        "code_confusion": F.size("code_pos") > 0,
-        "subcode_confusion": F.size("sub_pos") > 0,
-        "code_and_subcode_confusion": (F.size("code_pos") > 0) | (F.size("sub_pos") > 0),
+        "code_confusion": F.size(code_pos) > 0,
+        "subcode_confusion": F.size(sub_pos) > 0,
+        "code_and_subcode_confusion": (F.size(code_pos) > 0) | (F.size(sub_pos) > 0),
         "missing_annotation": n > 1,
-        "extra_annotation": F.size("bag") > 0,
+        "extra_annotation": F.size(dim["bag"]) > 0,
     }
-    for s in names:
-        df = df.withColumn(f"_w_{s}", F.when(elig[s], F.lit(w[s])).otherwise(F.lit(0)))
-    df = df.withColumn("total_w", sum(F.col(f"_w_{s}") for s in names))
+    weights = F.struct(*[F.when(elig[s], F.lit(w)).otherwise(F.lit(0)).alias(s) for s, w in params.strategies])
+    names = [s for s, _ in params.strategies]
+    return let(weights, lambda w: let(sum(w[s] for s in names), lambda total: _weighed(model, dim, code_pos, sub_pos, w, total, params)))
+
+
+def _weighed(model: Column, dim: Column, code_pos: Column, sub_pos: Column, weight: Column, total_w: Column, params: GeneratorParams) -> Column:
+    seed, g = params.seed, F.col("gold")
+    n = F.size("gold")
+    sub_conf, code_conf, bag, gt_codes = (dim[c] for c in ("sub_conf", "code_conf", "bag", "gt_codes"))
+    names = [s for s, _ in params.strategies]
+
     purposes = ("gate", "pick", "pos", "lab", "sub", "g4gate", "pos2", "lab2", "miss", "x1", "x2", "x3", "sp1", "sp2")
 
     def draws(k):
-        return F.struct(*[draw(seed, F.col("model"), F.col("ex_id"), k, p).alias(p) for p in purposes])
+        return F.struct(*[draw(seed, model, F.col("ex_id"), k, p).alias(p) for p in purposes])
 
-    g = F.col("gold")
-    code_pos, sub_pos = F.col("code_pos"), F.col("sub_pos")
     has_code = F.size(code_pos) > 0
 
     # closed form of the retry loop: P(forced) = ((100 - W) / 100) ^ max_attempts
-    p_fail = (F.lit(100) - F.col("total_w")).cast("double") / F.lit(100.0)
+    p_fail = (F.lit(100) - total_w).cast("double") / F.lit(100.0)
     q = p_fail
     for _ in range(params.max_attempts - 1):
         q = q * p_fail
 
     def pick_strategy(u):
-        r = F.floor(u["pick"] * F.col("total_w"))
+        r = F.floor(u["pick"] * total_w)
         cum = F.lit(0)
         chosen = None
         for s in names:
-            cum = cum + F.col(f"_w_{s}")
-            cond = (F.col(f"_w_{s}") > 0) & (cum > r)
+            cum = cum + weight[s]
+            cond = (weight[s] > 0) & (cum > r)
             chosen = F.when(cond, F.lit(s)) if chosen is None else chosen.when(cond, F.lit(s))
         return F.when(n == 0, F.lit("spurious_annotation")).when(u["gate"] < q, F.lit("forced")).otherwise(chosen)
 
@@ -336,7 +359,7 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
         g2 = subcode_confusion(g, sub_pos, sub_conf, u["pos"], u["lab"])
         miss = F.filter(g, lambda a, i: i != F.floor(u["miss"] * n))
         extra = let(
-            _pick(F.col("bag"), u["x1"]),
+            _pick(bag, u["x1"]),
             lambda xc: F.concat(
                 g,
                 F.array(
@@ -349,11 +372,11 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
             ),
         )
         spurious = let(
-            F.coalesce(_pick(F.col("gt_codes"), u["sp1"]), F.lit(vocab.FALLBACK_CODE)),
+            F.coalesce(_pick(gt_codes, u["sp1"]), F.lit(vocab.FALLBACK_CODE)),
             lambda sc: F.array(
                 F.struct(
                     sc.alias("code"),
-                    F.when(F.size("gt_codes") > 0, _pick(vocab.subs_or_fallback(sc), u["sp2"]))
+                    F.when(F.size(gt_codes) > 0, _pick(vocab.subs_or_fallback(sc), u["sp2"]))
                     .otherwise(F.lit(vocab.FALLBACK_SUB_CODE))
                     .alias("sub_code"),
                     F.lit(SPURIOUS_SPAN).alias("span"),
@@ -427,20 +450,7 @@ def generate_negatives(gold: DataFrame, dims: DataFrame, models: list[str] | Non
 
         return let(pick_strategy(u), with_drawn)
 
-    # All negatives of an example are made in its row and then fanned out, so that only
-    # they, not what they were drawn from, go through the explode
     def negative(k):
-        return let(let(draws(k), result), lambda res: F.struct(k.alias("neg_idx"), res["rejected"].alias("rejected"), res["strategy"].alias("strategy")))
+        return let(let(draws(k), result), lambda res: F.struct(model.alias("model"), k.alias("neg_idx"), res["rejected"].alias("rejected"), res["strategy"].alias("strategy")))
 
-    made = F.transform(F.sequence(F.lit(0), F.lit(params.negatives_per_sample - 1)), negative)
-    df = df.withColumn("made", made).select("model", "ex_id", "query", "answer", "gold", F.explode("made").alias("n"))
-    return df.select(
-        "model",
-        "ex_id",
-        F.col("n.neg_idx").alias("neg_idx"),
-        "query",
-        "answer",
-        "gold",
-        F.col("n.rejected").alias("rejected"),
-        F.col("n.strategy").alias("strategy"),
-    )
+    return F.transform(F.sequence(F.lit(0), F.lit(params.negatives_per_sample - 1)), negative)

@@ -204,7 +204,8 @@ def test_dimensions_are_in_no_explode(spark):
     neg = N.generate_negatives(_gold(spark, 5), N.confusion_dims(_conf(spark)), params=N.GeneratorParams(negatives_per_sample=2))
     plan = neg._jdf.queryExecution().optimizedPlan().toString()
     fans = [line for line in plan.splitlines() if "Generate explode" in line]
-    assert len(fans) == 2 and not any(name in line for line in fans for name in ("sub_conf", "code_conf", "bag", "gt_codes", "dim"))
+    assert plan.count("g4gate") <= 3  # the negatives are written out once
+    assert len(fans) == 1 and not any(name in line for line in fans for name in ("sub_conf", "code_conf", "bag", "gt_codes", "dim"))
 
 
 def test_ranking_and_previews(spark, generated):
