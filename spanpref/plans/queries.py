@@ -25,16 +25,16 @@ from spanpref.sources.tables import read_table
 R = 6
 
 
-def fixture(spark: SparkSession, sf_dir: str, source: str = "conversations") -> tuple[DataFrame, DataFrame]:
+def fixture(spark: SparkSession, sf_dir: str, source: str = "conversations", keep_query: bool = True) -> tuple[DataFrame, DataFrame]:
     if source == "conversations":
         sent = fixtures.sentences_from_conversations(read_table(spark, sf_dir, "conversations"))
     else:
         sent = fixtures.sentences_from_documents(read_table(spark, sf_dir, "documents"))
-    return fixtures.extraction_fixture(sent)
+    return fixtures.extraction_fixture(sent, keep_query)
 
 
 def eval_table(spark, sf_dir, keep_text=False, source="conversations") -> DataFrame:
-    ex, pr = fixture(spark, sf_dir, source)
+    ex, pr = fixture(spark, sf_dir, source, keep_query=False)
     return evaluation_table(ex, pr, keep_text=keep_text)
 
 
@@ -63,7 +63,7 @@ def q_parse_status(spark, sf_dir):
 
 
 def q_format_flags(spark, sf_dir):
-    _, pr = fixture(spark, sf_dir)
+    _, pr = fixture(spark, sf_dir, keep_query=False)
     return pr.select(
         "model",
         "ex_id",
@@ -101,7 +101,7 @@ def q_context_fields(spark, sf_dir):
 
 
 def q_unmatched_report(spark, sf_dir):
-    return unmatched_report(*fixture(spark, sf_dir))
+    return unmatched_report(*fixture(spark, sf_dir, keep_query=False))
 
 
 # ---------------------------------------------------------------- confusion

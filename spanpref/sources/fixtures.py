@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spanpref.functions import vocab
 from spanpref.functions.draws import draw
+from spanpref.lineage import staged
 
 GOLD_SEED = 42
 MODELS = (("model_a", 42), ("model_b", 43))
@@ -95,10 +96,16 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
     window over ``grp``, which would put one very long conversation into a single task.
     """
     b = sentences
+    # Spread the sentences by id before the draws: making gold, like everything downstream
+    # (parsing, negative generation, token weighting), is CPU-heavy per row, and a small or
+    # single-file source would otherwise keep it all in one task.  An explicit
+    # partition count is kept by AQE (it does not coalesce it back to one).
+    n_parts = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if "prev_text" not in b.columns:
         prev = sentences.select("grp", (F.col("seq") + 1).alias("seq"), F.col("text").alias("prev_text"))
         nxt = sentences.select("grp", (F.col("seq") - 1).alias("seq"), F.col("text").alias("next_text"))
         b = b.join(prev, ["grp", "seq"], "left").join(nxt, ["grp", "seq"], "left")
+    b = b.repartition(n_parts, "grp", "seq")
 
     def u(*k):
         return draw(seed, F.col("grp"), F.col("seq"), *k)
@@ -152,7 +159,7 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
         .when(F.col("broken") < array, F.lit(ROOT_ARRAY))
         .otherwise(F.col("answer"))
     )
-    out = b.select(
+    return b.select(
         (F.col("grp") * F.col("stride") + F.col("seq")).alias("ex_id"),
         "grp",
         "seq",
@@ -161,12 +168,6 @@ def examples(sentences: DataFrame, seed: int = GOLD_SEED) -> DataFrame:
         "gold",
         "words",
     )
-    # Spread the examples by id: everything downstream (parsing, negative
-    # generation, token weighting) is CPU-heavy per row, and a small or
-    # single-file source would otherwise keep it all in one task.  An explicit
-    # partition count is kept by AQE (it does not coalesce it back to one).
-    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "ex_id")
 
 
 def _noisy_annotations(df: DataFrame, model_seed: int) -> DataFrame:
@@ -270,7 +271,13 @@ def predictions(ex: DataFrame, models=MODELS) -> DataFrame:
     return out
 
 
-def extraction_fixture(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(examples[ex_id, query, answer], predictions[model, ex_id, pred_text])``."""
+def extraction_fixture(sentences: DataFrame, keep_query: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(examples[ex_id, query, answer], predictions[model, ex_id, pred_text])``.
+
+    The examples are written to the shared folder: every model's predictions and all
+    that a query reads of the examples come from there, so they are made once.
+    ``keep_query=False`` leaves the prompts out, for queries that don't read them.
+    """
     ex = examples(sentences)
-    return ex.select("ex_id", "query", "answer"), predictions(ex)
+    ex = staged(ex if keep_query else ex.drop("query"), "examples")
+    return ex.select("ex_id", *(["query"] if keep_query else []), "answer"), predictions(ex)
