@@ -14,8 +14,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/spanpref/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: survives lost executors, computed once."""
+#: Rows of a Parquet row group of wide rows.  A reader takes up to 4,096 rows of a row group at
+#: once, decoded; token tables have some 100 KB a row.
+WIDE_ROWS = 64
+WIDE = {"parquet.block.row.count.limit": str(WIDE_ROWS)}
+
+
+def staged(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read back: survives lost executors, computed once.  ``wide``: rows of long arrays."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(WIDE if wide else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

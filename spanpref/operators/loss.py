@@ -19,15 +19,23 @@ then one per batch - token rows are never shuffled individually.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from spanpref.functions.draws import draw
+from spanpref.functions.draws import TWO_POW_52
 from spanpref.functions.numeric import sigmoid, softplus
-from spanpref.operators.tokens import IGNORE, number_batches
+from spanpref.operators.tokens import IGNORE, SIDES, number_batches, slices
+
+#: Sides of the flat token table; ``pair`` only keeps its pair.
+KINDS = ("pair", *SIDES)
 
 
 @dataclass
@@ -45,25 +53,52 @@ def token_logps_from_sides(sides: DataFrame, seed: int = 42) -> DataFrame:
     and one row of side ``pair`` for each pair, so that a pair whose answers lie
     beyond the length limit stays (with log-probabilities 0).  The two
     log-probabilities are keyed draws ``ln(max(u, 1e-6))`` standing in for a
-    model's logged values.
+    model's logged values; a batch's are made together.  ``sides`` brings whole arrays or tails.
     """
-    def tail(side: str):
+    def tail(name: str, side: str):
         # only the supervised tail: prompts are long and fully masked
-        m = F.greatest(F.col(f"{side}_m"), F.lit(1))
-        count = F.greatest(F.size(f"{side}_labels") - m, F.lit(0))
-        both = F.arrays_zip(F.slice(f"{side}_labels", m + 1, count).alias("label"), F.slice(f"{side}_weights", m + 1, count).alias("weight"))
-        placed = F.transform(both, lambda t, k: F.struct(F.lit(side).alias("side"), (m + k).cast("bigint").alias("pos"), t["label"].cast("bigint").alias("label"), t["weight"].alias("weight")))
-        return F.filter(placed, lambda t: t["label"] != IGNORE)
-
-    pair = F.struct(F.lit("pair").alias("side"), F.lit(0).cast("bigint").alias("pos"), F.lit(IGNORE).cast("bigint").alias("label"), F.lit(0.0).alias("weight"))
-    out = sides.select("model", "pair_id", F.explode(F.concat(F.array(pair), tail("chosen"), tail("rejected"))).alias("t"))
-    out = out.select("model", "pair_id", "t.*")
-    key = (F.col("model"), F.col("pair_id"), F.col("side"), F.col("pos"))
-    return out.select(
-        "*",
-        F.ln(F.greatest(draw(seed, "policy", *key), F.lit(1e-6))).alias("policy_logp"),
-        F.ln(F.greatest(draw(seed, "reference", *key), F.lit(1e-6))).alias("ref_logp"),
+        if f"{side}_tail_{name}" in sides.columns:
+            return F.col(f"{side}_tail_{name}")
+        m = F.col(f"{side}_m")
+        return F.slice(f"{side}_{name}", m + 1, F.greatest(F.size(f"{side}_{name}") - m, F.lit(0)))
+
+    narrow = sides.select(
+        "model", "pair_id",
+        *[F.concat_ws("|", F.lit(str(seed)), F.lit(of), F.col("model").cast("string"), F.col("pair_id").cast("string")) for of in ("policy", "reference")],
+        *[c for s in SIDES for c in (F.col(f"{s}_m"), tail("labels", s), tail("weights", s))],
     )
+    schema = StructType([
+        *[sides.schema[c] for c in ("model", "pair_id")],
+        *[StructField(c, t) for c, t in (("side", StringType()), ("pos", LongType()), ("label", LongType()), ("weight", DoubleType()))],
+        StructField("policy_logp", DoubleType()), StructField("ref_logp", DoubleType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            policy, reference = (batch.column(k).to_pylist() for k in (2, 3))
+            parts = []  # of every pair and side: pair, side, positions, labels, weights
+            for i in range(batch.num_rows):
+                parts.append((i, 0, np.zeros(1, np.int64), np.array([IGNORE]), np.zeros(1)))
+                for side, at in enumerate((4, 7), 1):
+                    label, weight = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (at + 1, at + 2))
+                    pos = batch.column(at)[i].as_py() + np.arange(len(label))
+                    kept = (label != IGNORE) & (pos >= 1)
+                    parts.append((i, side, pos[kept], label[kept], weight[kept]))
+            sizes = [len(p[2]) for p in parts]
+            pair, side = (pa.array(np.repeat([p[k] for p in parts], sizes)) for k in (0, 1))
+            drawn = [_logps([f"{of[p[0]]}|{KINDS[p[1]]}|" for p in parts], [p[2] for p in parts]) for of in (policy, reference)]
+            pos, label, weight = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+            columns = [batch.column(0).take(pair), batch.column(1).take(pair), pa.array(KINDS).take(side), pa.array(pos), pa.array(label.astype(np.int64)), pa.array(weight), *map(pa.array, drawn)]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return narrow.mapInArrow(run, schema)
+
+
+def _logps(keys: list[str], places: list[np.ndarray]) -> np.ndarray:
+    """``ln(max(u, 1e-6))`` of the draws (``functions.draws``) with each key's places as its last part."""
+    digests = b"".join([hashlib.md5(key + b"%d" % k).digest() for key, at in zip((k.encode() for k in keys), places) for k in at.tolist()])
+    u = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(12)) / TWO_POW_52
+    return np.log(np.maximum(u, 1e-6))
 
 
 def sequence_logps(tokens: DataFrame, p: LossParams = LossParams()) -> DataFrame:

@@ -19,9 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
 from spanpref.functions.jsonish import CODE_VALUE, SPAN_VALUE, SUBCODE_VALUE
 from spanpref.lineage import staged
@@ -31,6 +31,7 @@ from spanpref.operators.workers import held, new_key
 
 IGNORE = -100
 SIDES = ("chosen", "rejected")
+PADDED = ("input_ids", "attention_mask", "labels", "weights")
 
 
 @dataclass
@@ -126,13 +127,14 @@ class Side:
     """
 
     def __init__(self, ids: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None, text: str, answer: str, tok: Tokenizer, p: TokenParams, head: int = 0):
-        self.ids, n = ids, len(ids)
+        self.ids, self.n = ids, len(ids)
+        n = self.n
         if starts is not None:
             self.start = text.rfind(answer)
             masked = starts < self.start if self.start >= 0 else np.ones(n, bool)
         else:
             flat = ids.astype("<i4").tobytes()
-            at = first_run(flat, tok.encode([answer], special=False).ids.astype("<i4").tobytes())
+            at = first_run(flat, _ids([answer], tok, False).ids.astype("<i4").tobytes())
             self.start = at - head if at >= 0 else -1
             masked = np.arange(n) < at if at >= 0 else np.ones(n, bool)
         self.labels = np.where(masked, IGNORE, ids)
@@ -146,7 +148,7 @@ class Side:
             value_weights(self.weights, starts, ends, answer, self.start, p)
         else:
             for weight, values in values_by_weight(answer, p).items():
-                found = tok.encode(values, special=False)
+                found = _ids(values, tok, False)
                 for k in range(len(values)):
                     needle = found.of(k)[0]
                     at = first_run(flat, needle.astype("<i4").tobytes(), self.m)
@@ -154,6 +156,17 @@ class Side:
                         self.weights[at : at + len(needle)] = np.maximum(self.weights[at : at + len(needle)], weight)
         self.weights[masked] = 0.0
 
+    def array(self, name: str) -> np.ndarray:
+        """``ids``, ``labels`` or ``weights``, or one of the latter from the first supervised token on."""
+        return getattr(self, name[5:])[self.m :] if name.startswith("tail_") else getattr(self, name)
+
+    def padded(self, name: str, width: int, p: TokenParams) -> np.ndarray:
+        """One of ``PADDED``, filled up to ``width`` and cast."""
+        values = {"input_ids": self.ids, "attention_mask": 1}.get(name)
+        out = np.full(width, {"input_ids": p.pad_id, "labels": IGNORE}.get(name, 0), np.float32 if name == "weights" else np.int64)
+        out[: self.n] = getattr(self, name) if values is None else values
+        return out
+
 
 def weigh_differences(c: Side, r: Side, factor: float) -> None:
     """From each answer's first token on, side by side; where the ids differ both weigh more."""
@@ -175,12 +188,17 @@ def _texts(batch: pa.RecordBatch, tok: Tokenizer, p: TokenParams) -> tuple[list[
     return answers, [[full_text(x, a, p) for x, a in zip(prompts, side)] for side in answers]
 
 
+def _ids(texts: list[str], tok: Tokenizer, special: bool) -> Tokens:
+    """Ids without offsets; a tokenizer may have a quicker ``encode_ids`` for them."""
+    found = getattr(tok, "encode_ids", tok.encode)(texts, special)
+    return Tokens(found.ids, None, None, found.first)
+
+
 def _encoded(texts: list[str], tok: Tokenizer, offsets: bool) -> Tokens:
-    found = tok.encode(texts)
-    return found if offsets else Tokens(found.ids, None, None, found.first)
+    return tok.encode(texts) if offsets else _ids(texts, tok, True)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -191,15 +209,32 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
 
 
+def _sides(batch: pa.RecordBatch, tok: Tokenizer, p: TokenParams, offsets: bool) -> list[tuple[Side, Side]]:
+    """K1-K9: both sides of every pair of a batch."""
+    head = len(tok.encode([""]).ids)
+    answers, texts = _texts(batch, tok, p)
+    tokens = [_encoded(side, tok, offsets) for side in texts]
+    rows = []
+    for i in range(batch.num_rows):
+        c, r = (Side(*tokens[k].of(i, p.max_length), texts[k][i], answers[k][i], tok, p, head) for k in (0, 1))
+        weigh_differences(c, r, p.weight_diff_tokens)
+        rows.append((c, r))
+    return rows
+
+
 def token_sides(
     pairs: DataFrame,
     p: TokenParams = TokenParams(),
     tokenizer: str | TokenizerFactory = "char",
     offsets: bool = True,
     keep: tuple[str, ...] = (),
+    arrays: tuple[str, ...] = ("ids", "labels", "weights"),
 ) -> DataFrame:
     """K1-K9 per pair: ids, labels and weights of both sides (unpadded, double weights),
-    the answers' starts, plus ``*_m``, the index of the first supervised token.
+    the answers' starts, plus ``*_m``, the index of the first supervised token, and ``*_n``, the number of tokens.
+
+    ``arrays``: which arrays to give out.  ``tail_labels`` and ``tail_weights`` are those of the
+    tokens from ``*_m`` on; prompts are long, and all before it is masked with weight 0.
 
     ``offsets=False``, or a tokenizer without an offset map: the answer is the first run of
     its tokens (K5), and a value counts where its tokens first occur from there on (K8).
@@ -211,26 +246,19 @@ def token_sides(
     fields = [narrow.schema[c] for c in ("model", "pair_id", *keep)]
     ints, doubles = ArrayType(IntegerType()), ArrayType(DoubleType())
     for s in SIDES:
-        kinds = {"ids": ints, "labels": ints, "weights": doubles, "start": IntegerType(), "m": IntegerType()}
+        kinds = {name: doubles if name.endswith("weights") else ints for name in arrays}
+        kinds |= {"start": IntegerType(), "m": IntegerType(), "n": IntegerType()}
         fields += [StructField(f"{s}_{name}", kind) for name, kind in kinds.items()]
     schema = StructType(fields)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = held("tokenizer", key, factory)
-        head = len(tok.encode([""]).ids)
-        for batch in _slices(batches):
-            answers, texts = _texts(batch, tok, p)
-            tokens = [_encoded(side, tok, offsets) for side in texts]
-            rows = []
-            for i in range(batch.num_rows):
-                c, r = (Side(*tokens[k].of(i, p.max_length), texts[k][i], answers[k][i], tok, p, head) for k in (0, 1))
-                weigh_differences(c, r, p.weight_diff_tokens)
-                rows.append((c, r))
+        for batch in slices(batches):
             columns = [batch.column(k) for k in range(2 + len(keep))]
-            for side in zip(*rows):
-                columns += [_lists([x.ids for x in side], pa.int32()), _lists([x.labels for x in side], pa.int32()), _lists([x.weights for x in side], pa.float64())]
-                columns += [pa.array([x.start for x in side], pa.int32()), pa.array([x.m for x in side], pa.int32())]
+            for side in zip(*_sides(batch, tok, p, offsets)):
+                columns += [_lists([x.array(name) for x in side], pa.float64() if name.endswith("weights") else pa.int32()) for name in arrays]
+                columns += [pa.array([getattr(x, name) for x in side], pa.int32()) for name in ("start", "m", "n")]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return narrow.mapInArrow(run, schema)
@@ -244,7 +272,7 @@ def token_lengths(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = held("tokenizer", key, factory)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             _, texts = _texts(batch, tok, p)
             sizes = [np.diff(tok.encode(side).first) for side in texts]
             longest = np.minimum(np.maximum(*sizes), p.max_length)
@@ -263,25 +291,29 @@ def pad_batches(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str
     """Batches of ``batch_size`` consecutive pairs of a model, both sides padded to the batch's longest, cast.
 
     Lengths, batches and their longest rows are worked out on narrow rows and joined to the
-    pairs' texts; the token arrays are made after that join and padded where they are made.
+    pairs' texts; the token arrays are made after that join and padded where they are made,
+    in the Arrow pass: array functions over them took most of the time and memory.
     """
     require_columns(pairs)
     texts = staged(pairs.select("model", "pair_id", "prompt", *SIDES), "pairs")
     batches = staged(number_batches(token_lengths(texts, p, tokenizer), p.batch_size), "batches")
     longest = batches.groupBy("model", "batch").agg(F.max("longest").alias("max_len"))
     placed = batches.drop("longest").join(longest, ["model", "batch"])
-    df = token_sides(texts.join(placed, ["model", "pair_id"]), p, tokenizer, offsets, keep=("batch", "max_len"))
-
-    def pad(a: Column, val) -> Column:
-        return F.concat(a, F.array_repeat(val, F.col("max_len") - F.size(a)))
-
-    cols = []
-    for side in SIDES:
-        ids, lab, w = F.col(f"{side}_ids"), F.col(f"{side}_labels"), F.col(f"{side}_weights")
-        cols += [
-            pad(ids, F.lit(p.pad_id)).cast("array<bigint>").alias(f"{side}_input_ids"),
-            pad(F.array_repeat(F.lit(1), F.size(ids)), F.lit(0)).cast("array<bigint>").alias(f"{side}_attention_mask"),
-            pad(lab, F.lit(IGNORE)).cast("array<bigint>").alias(f"{side}_labels"),
-            pad(w, F.lit(0.0)).cast("array<float>").alias(f"{side}_weights"),
-        ]
-    return df.select("model", "pair_id", "batch", "max_len", *cols)
+    joined = texts.join(placed, ["model", "pair_id"]).select("model", "pair_id", "batch", "max_len", "prompt", *SIDES)
+    factory, key = factory_of(tokenizer), new_key()
+    longs, floats = ArrayType(LongType()), ArrayType(FloatType())
+    fields = [joined.schema[c] for c in ("model", "pair_id", "batch", "max_len")]
+    fields += [StructField(f"{s}_{name}", floats if name == "weights" else longs) for s in SIDES for name in PADDED]
+    schema = StructType(fields)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = held("tokenizer", key, factory)
+        for batch in slices(batches, 64):  # some 100 KB a row
+            widths = batch.column(3).to_pylist()
+            columns = [batch.column(k) for k in range(4)]
+            for side in zip(*_sides(batch, tok, p, offsets)):
+                columns += [_lists([x.padded(name, w, p) for x, w in zip(side, widths)], pa.float32() if name == "weights" else pa.int64()) for name in PADDED]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, schema)

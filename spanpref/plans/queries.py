@@ -300,9 +300,9 @@ def q_confusion_csv(spark, sf_dir):
     return out
 
 
-def _sink(name, rows, write, kind="parquet"):
+def _sink(name, rows, write, kind="parquet", wide=False):
     def build(spark, sf_dir):
-        return sinks.written_twice(staged(rows(spark, sf_dir), name), scratch_path(spark, name), write, kind)
+        return sinks.written_twice(staged(rows(spark, sf_dir), name, wide), scratch_path(spark, name), write, kind)
 
     build.__doc__ = "Rows as read back from their sink after one model was written again."
     return build
@@ -320,7 +320,7 @@ def padded(spark, sf_dir):
 
 def q_token_table_sink(spark, sf_dir):
     """The padded token table as read back from its sink, summed up by batch."""
-    return batch_summary(_sink("token-table", padded, sinks.write_token_table)(spark, sf_dir))
+    return batch_summary(_sink("token-table", padded, sinks.write_token_table, wide=True)(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- tokens and loss
@@ -328,20 +328,20 @@ TOKEN_PARAMS = tokens.TokenParams(batch_size=4)
 LOSS_PARAMS = loss.LossParams(batch_size=4)
 
 
-def token_sides(spark, sf_dir, source="conversations", offsets=True, tokenizer="char"):
+def token_sides(spark, sf_dir, source="conversations", offsets=True, tokenizer="char", arrays=("tail_labels", "tail_weights")):
+    """Tokens of all pairs; everything before the first supervised one is masked with weight 0, so the queries take the tails."""
     p, _, _ = preference_build(spark, sf_dir, source=source)
-    return tokens.token_sides(pairs.drop_identical(p), TOKEN_PARAMS, tokenizer, offsets)
+    return tokens.token_sides(pairs.drop_identical(p), TOKEN_PARAMS, tokenizer, offsets, arrays=arrays)
 
 
 def q_token_labels(spark, sf_dir):
-    t = token_sides(spark, sf_dir)
+    t = token_sides(spark, sf_dir, arrays=("tail_labels",))
 
     def side(name):
-        tail = F.slice(f"{name}_labels", F.col(f"{name}_m") + 1, F.greatest(F.size(f"{name}_ids") - F.col(f"{name}_m"), F.lit(0)))
         return F.struct(
             F.lit(name).alias("side"),
             F.col(f"{name}_m").cast("bigint").alias("n_masked"),
-            F.aggregate(tail, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_sum"),
+            F.aggregate(f"{name}_tail_labels", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_sum"),
         )
 
     return t.select("model", "pair_id", F.explode(F.array(side("chosen"), side("rejected"))).alias("s")).select("model", "pair_id", "s.*")
@@ -358,14 +358,10 @@ def q_token_weights(spark, sf_dir):
 def weight_rows(t):
 
     def side(name):
-        # everything before the first supervised token is masked with weight 0,
-        # so the per-element work only needs the supervised tail
-        n, m = F.size(f"{name}_ids"), F.col(f"{name}_m")
-        lab = F.slice(f"{name}_labels", m + 1, F.greatest(n - m, F.lit(0)))
-        w = F.slice(f"{name}_weights", m + 1, F.greatest(n - m, F.lit(0)))
+        lab, w = F.col(f"{name}_tail_labels"), F.col(f"{name}_tail_weights")
         return F.struct(
             F.lit(name).alias("side"),
-            n.cast("bigint").alias("n_tokens"),
+            F.col(f"{name}_n").cast("bigint").alias("n_tokens"),
             F.col(f"{name}_start").cast("bigint").alias("answer_start"),
             F.size(F.filter(lab, lambda x: x != tokens.IGNORE)).cast("bigint").alias("n_supervised"),
             F.size(F.filter(w, lambda x: x > 1.0)).cast("bigint").alias("n_upweighted"),
@@ -386,7 +382,10 @@ def q_padded_batches(spark, sf_dir):
 
 
 def batch_summary(b):
-    pad = F.size(F.filter("chosen_attention_mask", lambda x: x == 0)) + F.size(F.filter("rejected_attention_mask", lambda x: x == 0))
+    def zeros(mask):
+        return F.size(mask) - F.size(F.array_remove(mask, F.lit(0).cast("bigint")))
+
+    pad = zeros("chosen_attention_mask") + zeros("rejected_attention_mask")
     return b.groupBy("model", "batch").agg(
         F.max("max_len").cast("bigint").alias("max_len"),
         F.count(F.lit(1)).alias("n_pairs"),

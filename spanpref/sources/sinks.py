@@ -7,9 +7,14 @@ model's run can be repeated at any time with the same result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanpref.lineage import WIDE
+
 PAIR_COLUMNS = ("model", "pair_id", "prompt", "chosen", "rejected", "metadata", "strategy")
 
 
@@ -18,9 +23,9 @@ def first_n(df: DataFrame, n: int, order_col: str = "ex_id") -> DataFrame:
     return df if not n else df.orderBy(order_col).limit(n)
 
 
-def write_models(df: DataFrame, path: str, kind: str = "parquet") -> None:
+def write_models(df: DataFrame, path: str, kind: str = "parquet", options: dict[str, str] | None = None) -> None:
     """``df`` under ``path/model=...``, replacing the folders of its models only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").format(kind).save(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**(options or {})).partitionBy("model").format(kind).save(path)
 
 
 def write_prediction_dump(dump: DataFrame, path: str) -> None:
@@ -44,9 +49,29 @@ def write_example_metrics(counts: DataFrame, path: str) -> None:
     write_models(counts.select(*keep), path)
 
 
+#: Models a task writes side by side; only with more of them it sorts its rows by model.
+MODELS_AT_ONCE = 8
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """A task's rows go to the files of their models as they come, without a sort by model first."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(MODELS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_token_table(batches: DataFrame, path: str) -> None:
-    """Training-ready token table (K11 types), one folder per model."""
-    write_models(batches, path)
+    """Training-ready token table (K11 types), one folder per model.
+
+    A row holds some 100 KB of arrays: rows are not sorted, and row groups are of few rows.
+    """
+    with unsorted_writes(batches.sparkSession):
+        write_models(batches, path, options=WIDE)
 
 
 def written_twice(df: DataFrame, path: str, write, kind: str = "parquet") -> DataFrame:
