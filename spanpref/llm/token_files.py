@@ -23,6 +23,7 @@ of a hash of their token ids); an empty table gives no blocks and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,15 +47,30 @@ _WORD = np.uint64(32)
 
 # ---- ids
 
+#: Letters of Latin-1 in UTF-8, A-Z lowered before.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Such letters and then ASCII marks, apostrophes apart.
+MARKED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def _byte_char(b: int) -> int:
+    """Byte-level BPE writes the bytes 7F to A0 as the characters from U+0121 on, AD as U+0143, other letters' as in Latin-1."""
+    return b + 0x121 - 0x7F if 0x7F <= b <= 0xA0 else 0x143 if b == 0xAD else b
+
+
+#: Second bytes of Latin-1's letters as characters, capitals (80 to 9E) lowered.
+BYTE_CHARS = {b: _byte_char(b + 0x20 if b < 0x9F else b) for b in range(0x80, 0xC0)}
+
 
 class Words:
     """Ids of whole texts with the tokenizers library, word by word.
 
     The file's normaliser and splitter treat white space as a border and drop
-    it, so a text's ids are those of its white-space words in a row. A comma or
-    full stop after letters is a piece of its own, so such a word's ids are those
-    of the letters and of the mark. A word of the letters a-z alone is one piece
-    that normalisation leaves as it is: it goes to the library's model directly.
+    it, so a text's ids are those of its white-space words in a row. Marks after
+    letters are a piece of their own, so such a word's ids are those
+    of the letters and of the marks. A word of Latin-1's letters alone (they are
+    composed already) is one piece that normalisation only lowers: it goes to the
+    library's model directly, its bytes as the characters the file has for them.
     """
 
     def __init__(self, path: str):
@@ -68,8 +84,10 @@ class Words:
     def _one(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():  # of bytes: ASCII letters only
             ids = [t.id for t in self.model.tokenize(word.decode())]
-        elif word[-1:] in (b",", b".") and word[:-1].isalpha():
-            return self.memo[word[:-1]] + self.memo[word[-1:]]
+        elif PLAIN.fullmatch(word):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))]
+        elif found := MARKED.fullmatch(word):
+            return self.memo[found[1]] + self.memo[found[2]]
         else:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -213,8 +231,9 @@ def frequencies(ids: DataFrame, alphabet: int, width: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(alphabet, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), width), minlength=alphabet)
+            for part in slices([batch]):
+                found = np.frombuffer(b"".join(part.column(0).to_pylist()), width)
+                counts += np.bincount(found, minlength=alphabet)  # one table a slice, not one a document
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
