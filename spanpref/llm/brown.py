@@ -130,16 +130,46 @@ def neighbour_counts(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> t
     ahead = pairs.where("a <> b").join(F.broadcast(of), F.col("b") == F.col("unit")).select(F.col("a").alias("u"), F.lit(0).alias("side"), "cls", "n")
     back = pairs.where("a <> b").join(F.broadcast(of), F.col("a") == F.col("unit")).select(F.col("b").alias("u"), F.lit(1).alias("side"), "cls", "n")
     own = pairs.where("a = b").select(F.col("a").alias("u"), F.lit(2).alias("side"), F.lit(0).alias("cls"), "n")
-    rows = ahead.unionAll(back).unionAll(own).groupBy("u", "side", "cls").agg(F.sum("n").alias("n")).toPandas()
+    sums = ahead.unionAll(back).unionAll(own).groupBy("u", "side", "cls").agg(F.sum("n").alias("n"))
     x, y, s = np.zeros((len(classes), n_classes)), np.zeros((len(classes), n_classes)), np.zeros(len(classes))
-    u, side, cls, n = (rows[c].to_numpy() for c in ("u", "side", "cls", "n"))
-    for table, k in ((x, 0), (y, 1)):
-        own_rows = side == k
-        table[u[own_rows], cls[own_rows]] = n[own_rows]
-    s[u[side == 2]] = n[side == 2]
+    for row in packed(sums).collect():
+        place, n = unpacked(row["bytes"])
+        u, at = np.divmod(place, SLOTS)
+        side, cls = np.divmod(at, SLOTS // 4)
+        for table, k in ((x, 0), (y, 1)):
+            table[u[side == k], cls[side == k]] = n[side == k]
+        s[u[side == 2]] = n[side == 2]
     return x, y, s
 
 
+#: Places of a unit among packed counts: four sides of as many classes.
+SLOTS = 1 << 12
+
+
+def packed(sums: DataFrame) -> DataFrame:
+    """``sums (u, side, cls, n)`` as few rows ``bytes``: ascending places and their counts, compressed.
+
+    As rows of their own the counts (units x classes x 2 at most) took several hundred
+    MB of the driver in every sweep.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, side, cls, n = (batch.column(c).to_numpy() for c in ("u", "side", "cls", "n"))
+            place = u * SLOTS + side * (SLOTS // 4) + cls
+            order = np.argsort(place)
+            body = np.diff(place[order], prepend=0).astype("<i8").tobytes() + n[order].astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(body, 1)], pa.binary())], ["bytes"])
+
+    return sums.mapInArrow(run, "bytes binary")
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts of a row of :func:`packed`."""
+    place, n = np.frombuffer(zlib.decompress(data), "<i8").reshape(2, -1)
+    return np.cumsum(place), n
+
+
 def _phi(v: np.ndarray) -> np.ndarray:
     return np.where(v > 0, v * np.log(np.maximum(v, 1e-300)), 0.0)
 

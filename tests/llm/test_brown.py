@@ -77,3 +77,25 @@ def test_sweeps_go_on_until_they_add_little(spark):
         classes = B.exchange(x, y, s, classes, 14, turn)
     x, y, s = B.neighbour_counts(pairs, classes, 14)
     assert B.likelihood(B.class_bigrams(x, s, classes, 14)) - B.likelihood(table) <= 0.02 * rise
+
+
+def test_counts_come_to_the_driver_packed(spark):
+    """The counts of a sweep, as few compressed rows, are those of a plain aggregation."""
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), int(n)) for a, b, n in rng.integers(0, 40, (600, 3)) + (0, 0, 1)] + [(0, 1, 1 << 40)]
+    pairs = spark.createDataFrame(rows, "a long, b long, n long").groupBy("a", "b").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    classes = np.arange(40) % 7
+    x, y, s = B.neighbour_counts(pairs, classes, 7)
+    want_x, want_y, want_s = np.zeros((40, 7)), np.zeros((40, 7)), np.zeros(40)
+    for a, b, n in rows:
+        if a == b:
+            want_s[a] += n
+        else:
+            want_x[a, classes[b]] += n
+            want_y[b, classes[a]] += n
+    assert (x == want_x).all() and (y == want_y).all() and (s == want_s).all()
+    sums = spark.range(5000).selectExpr("id as u", "cast(id % 3 as int) as side", "cast(0 as int) as cls", "id * 7 as n").coalesce(1)
+    place, n = (np.concatenate(v) for v in zip(*(B.unpacked(r["bytes"]) for r in B.packed(sums).collect())))
+    assert (place // B.SLOTS).tolist() == list(range(5000)) and (n == 7 * np.arange(5000)).all()
+    assert sum(len(r["bytes"]) for r in B.packed(sums).collect()) < 5000 * 24 / 4
+    assert B.packed(sums.limit(0)).collect() == []
