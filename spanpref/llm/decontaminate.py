@@ -162,9 +162,9 @@ def verified(passage: Flat, flat: Flat, diagonals: list[int], budget: int) -> li
     An unchanged passage on a band is the band's best piece. A band that holds the start of one
     found before has nothing better, and what else it holds isn't apart from that one.
     """
-    m, hits, exact = len(passage.text), [], -1
+    m, hits, exact = len(passage.text), [], None  # no place: bands may begin before the text
     for first in sorted(set(diagonals)):
-        if first <= exact <= first + 2 * budget:
+        if exact is not None and first <= exact <= first + 2 * budget:
             continue
         at = flat.text.find(passage.text, max(0, first), max(0, first + 2 * budget + m))
         if at >= 0:

@@ -120,6 +120,14 @@ def test_normal_keeps_places():
     assert flat == "a b c dİ " and len(places) == len(flat) and text[places[4]] == "C"
 
 
+def test_occurrences_at_the_beginning_of_a_text():
+    """Bands that begin before the text are looked at too."""
+    passage = " ".join(WORDS)
+    for before in range(20):
+        head = "x" * before
+        assert D.Index([(1, passage)]).find(f"{head} {passage} y") == [(1, before + 1, before + 1 + len(passage), 0)]
+
+
 def test_messy_rows(spark, messy, empty, monkeypatch):
     passage = " ".join(WORDS)
     bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, passage.upper()), (5, "short one"), (6, _text(random.Random(5), 30))], "item_id long, text string")
