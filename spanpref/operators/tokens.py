@@ -86,21 +86,23 @@ def places_of(value: str, text: str) -> list[int]:
     return out
 
 
-def covered(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which of ``n`` tokens lie in one of the half-open runs: +1 where runs begin, -1 where they end, summed up."""
-    turns = np.zeros(n + 1, np.int64)
-    some = low < high
-    np.add.at(turns, low[some], 1)
-    np.add.at(turns, high[some], -1)
-    return np.cumsum(turns[:-1]) > 0
+def joined_runs(low: list[int], high: list[int]) -> list[list[int]]:
+    """The half-open runs, joined where they meet or overlap: no place is in two of them."""
+    out: list[list[int]] = []
+    for a, b in sorted(zip(low, high)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def value_weights(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, answer: str, base: int, p: TokenParams) -> None:
     """Raise the weights of tokens that overlap a value of the answer to the value's weight.
 
     The tokens that overlap a value's place are one run, found by bisection; runs of one
-    weight are marked together, so the work is linear in tokens and places.  Tokens at
-    (0, 0) belong to no text.
+    weight are joined first, so a weight meets a token once.  Tokens at (0, 0) belong to
+    no text.
     """
     real = np.flatnonzero((starts != 0) | (ends != 0))
     begins, stops = starts[real], ends[real]
@@ -108,8 +110,9 @@ def value_weights(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, ans
         runs = [(base + at, base + at + len(v)) for v in values for at in places_of(v, answer)]
         if runs:
             s, e = np.array(runs, np.int64).T
-            hit = real[covered(len(real), np.searchsorted(stops, s, "right"), np.searchsorted(begins, e, "left"))]
-            weights[hit] = np.maximum(weights[hit], weight)
+            for low, high in joined_runs(np.searchsorted(stops, s, "right").tolist(), np.searchsorted(begins, e, "left").tolist()):
+                hit = real[low:high]
+                weights[hit] = np.maximum(weights[hit], weight)
 
 
 def first_run(ids: bytes, needle: bytes, start: int = 0) -> int:
@@ -131,21 +134,23 @@ class Side:
         n = self.n
         if starts is not None:
             self.start = text.rfind(answer)
-            masked = starts < self.start if self.start >= 0 else np.ones(n, bool)
+            open_ = np.flatnonzero(starts >= self.start) if self.start >= 0 else np.arange(0)
         else:
             flat = ids.astype("<i4").tobytes()
             at = first_run(flat, _ids([answer], tok, False).ids.astype("<i4").tobytes())
             self.start = at - head if at >= 0 else -1
-            masked = np.arange(n) < at if at >= 0 else np.ones(n, bool)
-        self.labels = np.where(masked, IGNORE, ids)
-        self.weights = np.where(masked, 0.0, 1.0)
-        open_ = np.flatnonzero(~masked)
+            open_ = np.arange(at if at >= 0 else n, n)
         self.m = int(open_[0]) if len(open_) else n
         self.supervised = len(open_)
-        if not len(open_):
+        if self.supervised == n - self.m:
+            open_ = slice(self.m, n)
+        self.labels, self.weights = np.full(n, IGNORE, ids.dtype), np.zeros(n)
+        self.labels[open_], self.weights[open_] = ids[open_], 1.0
+        if not self.supervised:
             return
         if starts is not None:
-            value_weights(self.weights, starts, ends, answer, self.start, p)
+            tail = slice(self.m, n)  # prompts are long
+            value_weights(self.weights[tail], starts[tail], ends[tail], answer, self.start, p)
         else:
             for weight, values in values_by_weight(answer, p).items():
                 found = _ids(values, tok, False)
@@ -154,19 +159,14 @@ class Side:
                     at = first_run(flat, needle.astype("<i4").tobytes(), self.m)
                     if at >= 0:
                         self.weights[at : at + len(needle)] = np.maximum(self.weights[at : at + len(needle)], weight)
-        self.weights[masked] = 0.0
+        if self.supervised < n - self.m:
+            raised, self.weights = self.weights, np.zeros(n)
+            self.weights[open_] = raised[open_]
 
     def array(self, name: str) -> np.ndarray:
         """``ids``, ``labels`` or ``weights``, or one of the latter from the first supervised token on."""
         return getattr(self, name[5:])[self.m :] if name.startswith("tail_") else getattr(self, name)
 
-    def padded(self, name: str, width: int, p: TokenParams) -> np.ndarray:
-        """One of ``PADDED``, filled up to ``width`` and cast."""
-        values = {"input_ids": self.ids, "attention_mask": 1}.get(name)
-        out = np.full(width, {"input_ids": p.pad_id, "labels": IGNORE}.get(name, 0), np.float32 if name == "weights" else np.int64)
-        out[: self.n] = getattr(self, name) if values is None else values
-        return out
-
 
 def weigh_differences(c: Side, r: Side, factor: float) -> None:
     """From each answer's first token on, side by side; where the ids differ both weigh more."""
@@ -209,6 +209,15 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
 
 
+def _padded(sides: tuple[Side, ...], widths: list[int], name: str, p: TokenParams) -> pa.Array:
+    """One of ``PADDED`` of a side's rows, filled up to their widths and cast; made flat, at its final size."""
+    offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+    out = np.full(offsets[-1], {"input_ids": p.pad_id, "labels": IGNORE}.get(name, 0), np.float32 if name == "weights" else np.int64)
+    for at, side in zip(offsets.tolist(), sides):
+        out[at : at + side.n] = 1 if name == "attention_mask" else side.array("ids" if name == "input_ids" else name)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
+
+
 def _sides(batch: pa.RecordBatch, tok: Tokenizer, p: TokenParams, offsets: bool) -> list[tuple[Side, Side]]:
     """K1-K9: both sides of every pair of a batch."""
     head = len(tok.encode([""]).ids)
@@ -274,7 +283,7 @@ def token_lengths(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: s
         tok = held("tokenizer", key, factory)
         for batch in slices(batches):
             _, texts = _texts(batch, tok, p)
-            sizes = [np.diff(tok.encode(side).first) for side in texts]
+            sizes = [np.diff(_ids(side, tok, True).first) for side in texts]
             longest = np.minimum(np.maximum(*sizes), p.max_length)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(longest, pa.int32())], schema.names)
 
@@ -287,22 +296,29 @@ def number_batches(rows: DataFrame, batch_size: int) -> DataFrame:
     return numbered.withColumn("batch", F.expr(f"_number div {int(batch_size)}")).drop("_number")
 
 
-def pad_batches(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str | TokenizerFactory = "char", offsets: bool = True) -> DataFrame:
-    """Batches of ``batch_size`` consecutive pairs of a model, both sides padded to the batch's longest, cast.
+def placed_batches(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str | TokenizerFactory = "char") -> DataFrame:
+    """The pairs' texts with ``batch`` and ``max_len``, the tokens of the batch's longest side.
 
     Lengths, batches and their longest rows are worked out on narrow rows and joined to the
-    pairs' texts; the token arrays are made after that join and padded where they are made,
-    in the Arrow pass: array functions over them took most of the time and memory.
+    texts, once.  Then whole batches are dealt out evenly, in the order of models: tokens take
+    some 20 times the texts' size, and AQE would make few tasks, or one, of a join of texts.
     """
     require_columns(pairs)
     texts = staged(pairs.select("model", "pair_id", "prompt", *SIDES), "pairs")
-    batches = staged(number_batches(token_lengths(texts, p, tokenizer), p.batch_size), "batches")
+    lengths = staged(token_lengths(texts, p, tokenizer), "lengths")  # numbering reads them twice
+    batches = staged(number_batches(lengths, p.batch_size), "batches")
     longest = batches.groupBy("model", "batch").agg(F.max("longest").alias("max_len"))
     placed = batches.drop("longest").join(longest, ["model", "batch"])
-    joined = texts.join(placed, ["model", "pair_id"]).select("model", "pair_id", "batch", "max_len", "prompt", *SIDES)
+    joined = staged(texts.join(placed, ["model", "pair_id"]).select("model", "pair_id", "batch", "max_len", "prompt", *SIDES), "placed")
+    n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an explicit count is kept by AQE
+    return joined.repartition(n_parts, "model", "batch").sortWithinPartitions("model", "batch", "pair_id")
+
+
+def padding(placed: DataFrame, p: TokenParams = TokenParams(), tokenizer: str | TokenizerFactory = "char", offsets: bool = True):
+    """The Arrow pass over :func:`placed_batches` that makes and pads the arrays of both sides, and its schema."""
     factory, key = factory_of(tokenizer), new_key()
     longs, floats = ArrayType(LongType()), ArrayType(FloatType())
-    fields = [joined.schema[c] for c in ("model", "pair_id", "batch", "max_len")]
+    fields = [placed.schema[c] for c in ("model", "pair_id", "batch", "max_len")]
     fields += [StructField(f"{s}_{name}", floats if name == "weights" else longs) for s in SIDES for name in PADDED]
     schema = StructType(fields)
     names = schema.names
@@ -313,7 +329,18 @@ def pad_batches(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str
             widths = batch.column(3).to_pylist()
             columns = [batch.column(k) for k in range(4)]
             for side in zip(*_sides(batch, tok, p, offsets)):
-                columns += [_lists([x.padded(name, w, p) for x, w in zip(side, widths)], pa.float32() if name == "weights" else pa.int64()) for name in PADDED]
+                columns += [_padded(side, widths, name, p) for name in PADDED]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, schema)
+    return run, schema
+
+
+def pad_batches(pairs: DataFrame, p: TokenParams = TokenParams(), tokenizer: str | TokenizerFactory = "char", offsets: bool = True) -> DataFrame:
+    """Batches of ``batch_size`` consecutive pairs of a model, both sides padded to the batch's longest, cast.
+
+    The token arrays are made after texts, batches and longest rows are joined, and padded
+    where they are made, in the Arrow pass: array functions over them took most of the time
+    and memory.
+    """
+    placed = placed_batches(pairs, p, tokenizer)
+    return placed.mapInArrow(*padding(placed, p, tokenizer, offsets))

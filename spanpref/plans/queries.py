@@ -300,9 +300,9 @@ def q_confusion_csv(spark, sf_dir):
     return out
 
 
-def _sink(name, rows, write, kind="parquet", wide=False):
+def _sink(name, rows, write, kind="parquet"):
     def build(spark, sf_dir):
-        return sinks.written_twice(staged(rows(spark, sf_dir), name, wide), scratch_path(spark, name), write, kind)
+        return sinks.written_twice(staged(rows(spark, sf_dir), name), scratch_path(spark, name), write, kind)
 
     build.__doc__ = "Rows as read back from their sink after one model was written again."
     return build
@@ -319,8 +319,15 @@ def padded(spark, sf_dir):
 
 
 def q_token_table_sink(spark, sf_dir):
-    """The padded token table as read back from its sink, summed up by batch."""
-    return batch_summary(_sink("token-table", padded, sinks.write_token_table, wide=True)(spark, sf_dir))
+    """The padded token table as read back from its sink after one model was written again, summed up by batch."""
+    p, _, _ = preference_build(spark, sf_dir)
+    placed = tokens.placed_batches(pairs.drop_identical(p), TOKEN_PARAMS)
+    make, schema = tokens.padding(placed, TOKEN_PARAMS)
+
+    def write(rows, path):
+        sinks.write_token_pass(rows, make, schema, path)
+
+    return batch_summary(sinks.written_twice(placed, scratch_path(spark, "token-table"), write, schema=schema))
 
 
 # ---------------------------------------------------------------- tokens and loss
